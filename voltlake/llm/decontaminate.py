@@ -74,7 +74,7 @@ def hits(docs: DataFrame, items: DataFrame, doc_id="doc_id", text="text", item_i
     found = seen.withColumn("h", F.xxhash64("word")).join(wins, "h")
     found = found.filter((start >= 0) & (start + F.col("len") <= F.size("words")))
     found = found.filter((F.col("word") == F.col("w1")) & (F.get("words", start + F.col("off2")) == F.col("w2")))
-    found = found.filter(F.slice("words", start + 1, F.col("len")) == F.col("w"))
+    found = found.filter(F.slice("words", F.greatest(start + 1, F.lit(1)), F.col("len")) == F.col("w"))
     return found.select("doc_id", "k", start.alias("start"), "len", "ids")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("license_scan", "decontaminate", "chat_format", "topk_search", "web_archive", "packing")
+MODULES = ("license_scan", "decontaminate", "chat_format", "topk_search", "web_archive", "packing", "language_id")
 
 
 def queries() -> dict:
