@@ -33,15 +33,15 @@ class Flush:
         self.seen: set[bytes] = set()
         self.pairs = 0
 
-    def add(self, record: bytes, tokens: np.ndarray) -> bool:
-        """False if this set was there already; copies within a flush travel once."""
-        if record in self.seen:
-            return False
-        self.seen.add(record)
+    def add(self, record: bytes, tokens: np.ndarray, once: bool = True) -> None:
+        """once: the record stands for the set's content, so copies within a flush travel once."""
+        if once and record in self.seen:
+            return
+        if once:
+            self.seen.add(record)
         self.records.append(record)
         self.tokens.append(tokens)
         self.pairs += len(tokens)
-        return True
 
     def full(self) -> bool:
         return self.pairs >= FLUSH_PAIRS or len(self.records) >= FLUSH_SETS
