@@ -25,8 +25,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -339,6 +340,16 @@ def dedup_substrings(docs: DataFrame, doc_id="doc_id", text="text", length: int
     return joined.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(k, v) for k, v in added.items())]))
 
 
+def whole_characters(kept: Column) -> Column:
+    """Text of remaining bytes; bytes of characters that a cut went through are left out."""
+
+    @F.pandas_udf("string")
+    def decode(values: pd.Series) -> pd.Series:
+        return values.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
+
+    return decode(kept)
+
+
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_substrings(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
