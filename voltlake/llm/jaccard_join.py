@@ -34,7 +34,7 @@ from voltlake.llm.common import free_shuffles, staged, table
 
 SHINGLE, PERCENT = 5, 80
 KEY, RECORD = 12, 16  # bytes of a set's digest; with its size behind
-BLOCK_PAIRS, BATCH_BYTES = 4_000_000, 4 << 20
+BLOCK_PAIRS, BATCH_BYTES = 2_000_000, 1 << 20
 
 _low = np.arange(256, dtype=np.uint8)
 _low[ord("A") : ord("Z") + 1] += 32

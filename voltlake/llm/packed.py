@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-HOT, FLUSH_PAIRS, FLUSH_SETS = 64, 2_000_000, 60_000
+HOT, FLUSH_PAIRS, FLUSH_SETS = 64, 1_000_000, 60_000
 TOKEN_BITS = 48
 SCHEMA = "block int, sets binary, idx binary, tok binary, wide boolean, kind int"
 PLAIN, SETTLED, MARKER = 0, 1, 2
