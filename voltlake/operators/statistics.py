@@ -32,23 +32,24 @@ def protocol_classify(df: DataFrame, flip: bool = False, eps: float = 1e-8) -> D
 
 
 def four_digits(x: Column) -> Column:
-    """Four significant digits without trailing zeros."""
-    short = F.format_string("%.3e", x).cast("double")
-    places = F.greatest(F.lit(0), F.least(F.lit(9), 3 - F.floor(F.log10(F.abs(short))).cast("int")))
-    text = F.when(x == 0, "0").otherwise(F.element_at(F.array(*[F.format_string(f"%.{k}f", short) for k in range(10)]), (F.coalesce(places, F.lit(0)) + 1).cast("int")))
-    return F.when(F.contains(text, F.lit(".")), F.regexp_replace(F.regexp_replace(text, "0+$", ""), "\\.$", "")).otherwise(text)
+    """Four significant digits without trailing zeros; halves go up."""
+    short = F.format_string("%.3e", x * 1.000000000001).cast("double")
+    text = F.regexp_replace(F.format_string("%.9f", short), "0+$", "")
+    return F.regexp_replace(text, "\\.$", "")
 
 
 def duration_text(seconds: Column) -> Column:
-    unit = lambda k, name: F.concat(four_digits(seconds / k), F.lit(f" {name}"))
-    return F.when(seconds >= 86400, unit(86400, "d")).when(seconds >= 3600, unit(3600, "h")).when(seconds >= 60, unit(60, "m")).otherwise(unit(1, "s"))
+    day, hour, minute = seconds >= 86400, seconds >= 3600, seconds >= 60
+    size = F.when(day, 86400.0).when(hour, 3600.0).when(minute, 60.0).otherwise(1.0)
+    return F.concat(four_digits(seconds / size), F.when(day, " d").when(hour, " h").when(minute, " m").otherwise(" s"))
 
 
 def protocol_text(df: DataFrame) -> DataFrame:
     """Adds ``text``: the step in words."""
     spans = protocol_classify(df)
-    how = F.when(F.col("step") == "Rest", F.lit("Rest")).when(F.col("step") == "Hold", F.concat(F.lit("Hold at "), four_digits(F.col("u_last")), F.lit(" V"))).otherwise(F.concat("step", F.lit(" at "), four_digits(F.abs("i_mean")), F.lit(" A")))
-    return spans.withColumn("text", F.concat(F.col("seg_pos").cast("string"), F.lit(": "), how, F.lit(" for "), duration_text(F.col("duration"))))
+    number = four_digits(F.when(F.col("step") == "Hold", F.col("u_last")).otherwise(F.abs("i_mean")))
+    level = F.when(F.col("step") == "Rest", "").otherwise(F.concat(F.lit(" at "), number, F.when(F.col("step") == "Hold", " V").otherwise(" A")))
+    return spans.withColumn("text", F.concat(F.col("seg_pos").cast("string"), F.lit(": "), F.col("step"), level, F.lit(" for "), duration_text(F.col("duration"))))
 
 
 def with_charge(df: DataFrame, rule: str = "trapezoid", absolute: bool = False) -> DataFrame:

@@ -24,13 +24,13 @@ def query(sql: str | None = None):
 
 
 def sig(column):
-    """Six significant digits."""
+    """Six significant digits; the nudge keeps exact halves, which engines round differently, from deciding."""
     c = F.col(column) if isinstance(column, str) else column
-    return F.format_string("%.5e", c).cast("double")
+    return F.format_string("%.5e", c * 1.000000000001).cast("double")
 
 
 def sq(expression: str) -> str:
-    return f"CAST(printf('%.5e', CAST({expression} AS DOUBLE)) AS DOUBLE)"
+    return f"CAST(printf('%.5e', CAST({expression} AS DOUBLE) * 1.000000000001) AS DOUBLE)"
 
 
 ENDS = ENDS_SQL.format(src="blocks")

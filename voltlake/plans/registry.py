@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules of this folder that register queries.
-MODULES: tuple[str, ...] = ("segment_queries", "fit_queries")
+MODULES: tuple[str, ...] = ("segment_queries", "fit_queries", "curve_queries", "parameter_queries")
 
 
 def queries() -> dict[str, Query]:

@@ -151,18 +151,20 @@ def nest_points(spark, sf):
 MERGE_SQL = f"""{POINTS_SQL}, f AS (SELECT meas_id, seg_pos, CASE WHEN arg_min(u, pt) > 150 THEN 2 WHEN arg_min(state, pt) IN ('click', 'view') THEN 1 ELSE -1 END AS g FROM points GROUP BY 1, 2),
 m AS (SELECT *, CASE WHEN lag(g) OVER (PARTITION BY meas_id ORDER BY seg_pos) = g THEN 0 ELSE 1 END AS n FROM f),
 merged AS (SELECT meas_id, seg_pos, g, CAST(sum(n) OVER (PARTITION BY meas_id ORDER BY seg_pos ROWS UNBOUNDED PRECEDING) - 1 AS INTEGER) AS merged_pos FROM m)"""
-RULES = F.when(F.col("u") > 150, 2).when(F.col("state").isin("click", "view"), 1)
+def rules():
+    return F.when(F.col("u") > 150, 2).when(F.col("state").isin("click", "view"), 1)
+
 
 
 @query(f'WITH {MERGE_SQL} SELECT p.meas_id, p.pt, p.seg_pos, m.g AS "group", m.merged_pos FROM points p JOIN merged m ON p.meas_id = m.meas_id AND p.seg_pos = m.seg_pos')
 def segment_merge(spark, sf):
-    return S.segment_merge(points(spark, sf), RULES).select("meas_id", "pt", "seg_pos", "group", "merged_pos")
+    return S.segment_merge(points(spark, sf), rules()).select("meas_id", "pt", "seg_pos", "group", "merged_pos")
 
 
 @query(f"""WITH {MERGE_SQL}, g AS (SELECT meas_id, merged_pos, min(seg_pos) AS first_label, count(*) AS members FROM merged GROUP BY 1, 2)
 SELECT meas_id, merged_pos, CAST(first_label - coalesce(sum(members - 1) OVER (PARTITION BY meas_id ORDER BY merged_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS label FROM g""")
 def segment_renumber(spark, sf):
-    merged = S.segment_merge(points(spark, sf), RULES).groupBy("meas_id", "merged_pos").agg(F.min("seg_pos").alias("first_label"), F.countDistinct("seg_pos").alias("members"))
+    merged = S.segment_merge(points(spark, sf), rules()).groupBy("meas_id", "merged_pos").agg(F.min("seg_pos").alias("first_label"), F.countDistinct("seg_pos").alias("members"))
     return S.segment_renumber(merged).select("meas_id", "merged_pos", F.col("label").cast("long").alias("label"))
 
 
