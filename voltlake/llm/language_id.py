@@ -51,7 +51,8 @@ class Words:
         first = code[self.at - 1] == 0
         self.start = np.flatnonzero(first)  # of each word, among the letters
         self.script = _script[data[self.at[self.start]]]
-        self.letters = np.diff(np.append(self.start, len(self.at)))
+        lead = (data[self.at] & 0xC0) != 0x80
+        self.letters = np.add.reduceat(lead.astype(np.int64), self.start) if len(self.start) else self.start
         ends = np.cumsum([len(t) + 1 for t in texts]) + 1
         self.text = np.searchsorted(ends, self.at[self.start], "right")  # of each word
         self.per_text = np.bincount(self.text, minlength=len(texts))
