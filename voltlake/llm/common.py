@@ -5,7 +5,9 @@ from __future__ import annotations
 import gc
 import string
 import tempfile
+import time
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,14 +35,31 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/voltlake/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    _paths[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+_paths: dict[int, tuple] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing will read any more, as what was made of them is staged itself."""
+    for df in tables:
+        ref, path = _paths.pop(id(df), (lambda: None, None))
+        if ref() is df:
+            jvm = df.sparkSession.sparkContext._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop shuffle files of finished jobs whose results are staged."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first round drops what held the shuffles, the cleaner follows after a moment
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def ascii_lower(text: Column) -> Column:

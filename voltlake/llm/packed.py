@@ -139,12 +139,8 @@ def distinct(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def counted(rows: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """records, and of the pairs whose token is in two sets at least: token, number of its record, count (at most HOT)."""
     records, tok, idx, settled, marks = unpacked(rows, width)
-    sure = np.unique(np.stack([tok[settled], idx[settled].astype(np.uint64)]), axis=1) if settled.any() else np.zeros((2, 0), np.uint64)
-    tok, idx = tok[~settled], idx[~settled]
-    order = np.lexsort((idx, tok))
-    tok, idx = tok[order], idx[order]
-    keep = np.append(True, (tok[1:] != tok[:-1]) | (idx[1:] != idx[:-1]))[: len(tok)]  # copies from other flushes
-    tok, idx = tok[keep], idx[keep]
+    sure_tok, sure_idx = _once(tok[settled], idx[settled])
+    tok, idx = _once(tok[~settled], idx[~settled])
     first = np.flatnonzero(np.append(True, tok[1:] != tok[:-1])[: len(tok)])
     n = np.diff(np.append(first, len(tok)))
     n = np.repeat(n, n)
@@ -152,12 +148,20 @@ def counted(rows: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     shared = n >= 2
     return (
         records,
-        np.concatenate([sure[0], tok[shared]]),
-        np.concatenate([sure[1].astype(np.int32), idx[shared]]),
-        np.concatenate([np.full(sure.shape[1], HOT, np.uint8), n[shared]]),
+        np.concatenate([sure_tok, tok[shared]]),
+        np.concatenate([sure_idx, idx[shared]]),
+        np.concatenate([np.full(len(sure_tok), HOT, np.uint8), n[shared]]),
     )
 
 
+def _once(tok: np.ndarray, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs by token, each once: flushes may hold copies of a set."""
+    order = np.lexsort((idx, tok))
+    tok, idx = tok[order], idx[order]
+    keep = np.append(True, (tok[1:] != tok[:-1]) | (idx[1:] != idx[:-1]))[: len(tok)]
+    return tok[keep], idx[keep]
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A finaliser that spreads 64-bit hashes."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)

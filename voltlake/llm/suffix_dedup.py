@@ -3,9 +3,10 @@
 A suffix array over every byte of a corpus would move about sixteen bytes per byte of text through each
 of several sorts. So the text is first cut, without loss, into pieces that must meet:
 
+0. Equal texts become one, with the smallest doc_id that has it; a later copy is covered from end to end.
 1. A string of 50 bytes contains 27 strings of 24 bytes; the one with the smallest hash is its anchor. Equal
    strings have equal anchors. Runs of strings with one anchor are a piece of about 60 bytes.
-2. All anchors meet once, packed (see ``packed``); only pieces whose anchor stands in two documents can
+2. All anchors meet once, packed (see ``packed``); only pieces whose anchor stands in two different texts can
    hold a repeated string. Only these are made, next to their documents, and staged.
 3. Equal pieces become one with its smallest document: a passage that a third of all documents hold is
    one piece from here on. Pieces are dealt by anchor into bounded buckets.
@@ -22,6 +23,7 @@ are one document: its rows don't remove from each other. Overlaps and repeats in
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +34,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voltlake.llm import packed
-from voltlake.llm.common import free_shuffles, staged, table
+from voltlake.llm.common import discard, free_shuffles, staged, table
 
 LENGTH, ANCHOR = 50, 24
-BLOCK_PAIRS, BATCH_BYTES, PIECE_STRINGS, BUCKET_BYTES = 4_000_000, 2 << 20, 64, 1 << 20
+BLOCK_PAIRS, BATCH_BYTES, PIECE_STRINGS, BUCKET_BYTES = 2_000_000, 1 << 18, 64, 1 << 20
+KEY = 12  # bytes of a text's digest
 
 
 def anchors(texts: list[bytes], length: int, anchor: int) -> Iterator[np.ndarray]:
@@ -51,6 +54,7 @@ def anchors(texts: list[bytes], length: int, anchor: int) -> Iterator[np.ndarray
         wide *= 2
     if wide < span:
         low = np.minimum(low[: len(low) - (span - wide)], low[span - wide :]) if len(low) > span - wide else low[:0]
+    low = packed.mixed(low) >> np.uint64(64 - packed.TOKEN_BITS)  # minima crowd near 0; spread again
     at = 0
     for t in texts:
         yield low[at : at + max(0, len(t) - length + 1)]
@@ -74,11 +78,10 @@ def _pairs(length: int, anchor: int, blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flush = packed.Flush(blocks)
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for at, texts in _texts(batch.column(1)):
+            for _, texts in _texts(batch.column(0)):
                 for k, own in enumerate(anchors(texts, length, anchor)):
                     if len(own):
-                        flush.add(ids[at + k].tobytes(), np.unique(own), False)
+                        flush.add(hashlib.md5(texts[k]).digest()[:KEY], np.unique(own))
                     if flush.full() and (rows := flush.rows()):
                         yield rows
         if rows := flush.rows():
@@ -88,31 +91,39 @@ def _pairs(length: int, anchor: int, blocks: int):
 
 
 def _dealt(parts: int):
-    """Of an anchor block: the shared anchors of each document, dealt by document."""
+    """Of an anchor block: the shared anchors of each text, dealt by text."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        records, tok, idx, _ = packed.counted(rows, 8)
-        ids = np.frombuffer(records.tobytes(), "<i8")
-        part = (packed.mixed(ids.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        records, tok, idx, _ = packed.counted(rows, KEY)
+        raw = np.frombuffer(records.tobytes(), np.uint8).reshape(-1, KEY)
+        part = ((raw[:, 0].astype(np.int64) << 8 | raw[:, 1]) * parts) >> 16
         by = np.lexsort((idx, part[idx]))
         tok, idx = tok[by], idx[by]
-        out = [(p, ids[idx[own]].tobytes(), tok[own].tobytes()) for p, own in packed._runs(part[idx])]
-        cols = list(zip(*out, strict=True)) or [[], [], []]
-        return pa.table({"part": pa.array(cols[0], pa.int32()), "ids": pa.array(cols[1], pa.binary()), "toks": pa.array(cols[2], pa.binary())})
+        out = []
+        for p, own in packed._runs(part[idx]):
+            used, local = np.unique(idx[own], return_inverse=True)
+            out.append((p, records[used].tobytes(), local.astype("<u4").tobytes(), tok[own].tobytes()))
+        cols = list(zip(*out, strict=True)) or [[], [], [], []]
+        return pa.table({"part": pa.array(cols[0], pa.int32())} | {n: pa.array(c, pa.binary()) for n, c in zip(("texts", "idx", "toks"), cols[1:], strict=True)})
 
     return run
 
 
-def _per_document(key: tuple, rows: pa.Table) -> pa.Table:
-    ids = np.frombuffer(b"".join(x.as_py() for x in rows["ids"]), "<i8")
-    toks = np.frombuffer(b"".join(x.as_py() for x in rows["toks"]), "<u8")
-    order = np.lexsort((toks, ids))
-    ids, toks = ids[order], toks[order]
-    out = [(i, toks[own].tobytes()) for i, own in packed._runs(ids)]
-    return pa.table({"doc_id": pa.array([o[0] for o in out], pa.int64()), "toks": pa.array([o[1] for o in out], pa.binary())})
+def _per_text(key: tuple, rows: pa.Table) -> pa.Table:
+    sets, idxs, base = [], [], 0
+    for own, idx in zip(rows["texts"], rows["idx"], strict=True):
+        sets.append(np.frombuffer(own.as_buffer(), f"V{KEY}"))
+        idxs.append(np.frombuffer(idx.as_buffer(), "<u4").astype(np.int64) + base)
+        base += len(sets[-1])
+    records, number = packed.distinct(np.concatenate(sets))
+    idx, toks = number[np.concatenate(idxs)], np.concatenate([np.frombuffer(x.as_buffer(), "<u8") for x in rows["toks"]])
+    order = np.lexsort((toks, idx))
+    idx, toks = idx[order], toks[order]
+    out = [(records[i].tobytes(), toks[own].tobytes()) for i, own in packed._runs(idx)]
+    return pa.table({"th": pa.array([o[0] for o in out], pa.binary()), "toks": pa.array([o[1] for o in out], pa.binary())})
 
 
-PIECE = "tok long, piece binary, doc_id long, th long, pos long"
+PIECE = "tok long, piece binary, doc_id long, th binary, pos long"
 
 
 def _pieces(length: int, anchor: int):
@@ -120,9 +131,9 @@ def _pieces(length: int, anchor: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, ths = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            ids = batch.column(0).to_numpy()
             for at, texts in _texts(batch.column(1)):
-                tok, piece, doc, th, pos = [], [], [], [], []
+                tok, piece, row, pos = [], [], [], []
                 for k, own in enumerate(anchors(texts, length, anchor)):
                     if not len(own):
                         continue
@@ -138,10 +149,10 @@ def _pieces(length: int, anchor: int):
                         piece.append(texts[k][a : b + length - 1])
                         pos.append(a)
                     tok.append(own[start[keep]])
-                    doc.append(np.full(int(keep.sum()), ids[at + k]))
-                    th.append(np.full(int(keep.sum()), ths[at + k]))
+                    row.append(np.full(int(keep.sum()), at + k))
                 if piece:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tok).astype(np.int64)), pa.array(piece, pa.binary()), pa.array(np.concatenate(doc)), pa.array(np.concatenate(th)), pa.array(pos, pa.int64())], names=["tok", "piece", "doc_id", "th", "pos"])
+                    row = np.concatenate(row)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tok).astype(np.int64)), pa.array(piece, pa.binary()), pa.array(ids[row]), batch.column(2).take(pa.array(row)), pa.array(pos, pa.int64())], names=["tok", "piece", "doc_id", "th", "pos"])
 
     return run
 
@@ -158,7 +169,13 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     t = np.concatenate([text.astype(np.uint64), np.zeros(3, np.uint64)])
     sample = np.concatenate([np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)])
     bits = np.uint64(21)
-    if int(text.max()) < 1 << 21:
+    if int(text.max()) < 1 << 7:  # bytes of few kinds: counting instead of sorting
+        key = (t[sample] << np.uint64(14) | t[sample + 1] << np.uint64(7) | t[sample + 2]).astype(np.int64)
+        used = np.zeros(1 << 21, np.int64)
+        used[key] = 1
+        number = np.cumsum(used)[key] - 1
+        kinds = int(used.sum())
+    elif int(text.max()) < 1 << 21:
         names, number = np.unique((t[sample] << bits | t[sample + 1]) << bits | t[sample + 2], return_inverse=True)
         kinds = len(names)
     else:
@@ -208,58 +225,82 @@ def _pair_ranks(t: np.ndarray, rank: np.ndarray, two: np.ndarray, rest: np.ndarr
     return lambda i: key[i] << np.uint64(32) | rank[i + 2]
 
 
-def least_documents(pieces: list[bytes], docs: np.ndarray, length: int) -> list[np.ndarray]:
-    """Per piece, for each of its strings of ``length`` bytes, the smallest document of any piece that holds it."""
-    text = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8).astype(np.int64) + 1
-    sizes = np.array([len(p) for p in pieces])
+def least_documents(data: np.ndarray, sizes: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
+    """For each string of ``length`` bytes of pieces laid end to end, by piece and start, the smallest document of any piece that holds it."""
+    kinds = np.zeros(256, np.int64)
+    kinds[data] = 1
+    code = np.cumsum(kinds) + 1  # bytes in their order, densely; 1 stands between pieces
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    text = np.ones(len(data) + len(sizes), np.int64)
+    raw = np.zeros(len(text) + length, np.uint8)
+    place = np.arange(len(data)) + owner
+    text[place] = code[data]
+    raw[place] = data
     ends = np.cumsum(sizes + 1) - 1  # where each piece's separator stands
-    text[ends] = 0
-    text += 1
     order = suffix_array(text, length)
     own = np.searchsorted(ends, order, "left")
     whole = order + length <= ends[own]
     order, own = order[whole], own[whole]
-    raw = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
     views = np.lib.stride_tricks.sliding_window_view(raw, length)
     same = np.zeros(len(order), bool)
-    for at in range(1, len(order), 1 << 16):  # adjacent prefixes
-        stop = min(len(order), at + (1 << 16))
+    for at in range(1, len(order), 1 << 15):  # adjacent prefixes
+        stop = min(len(order), at + (1 << 15))
         rows = views[order[at - 1 : stop]]
         same[at:stop] = (rows[1:] == rows[:-1]).all(1)
     first = np.flatnonzero(~same)
     least = np.minimum.reduceat(docs[own], first)
     by_place = np.empty(len(text), np.int64)
+    starts = np.zeros(len(text), bool)
     by_place[order] = np.repeat(least, np.diff(np.append(first, len(order))))
-    return [by_place[e - s : e - length + 1] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
+    starts[order] = True
+    return by_place[starts]
+
+
+ANSWER = "tok long, h long, least array<long>, runs array<long>"
 
 
 def _answers(length: int):
-    """Of a bucket: pieces in which some string has a smaller document than the piece's largest."""
+    """Of a bucket: for pieces in which some string has a smaller document than the piece's largest, runs of their strings' smallest documents."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        tok = rows["tok"].to_numpy()
-        order = np.argsort(tok, kind="stable")
-        tok = tok[order]
-        low, high, h = (rows[c].to_numpy()[order] for c in ("low", "high", "h"))
-        pieces = rows["piece"].combine_chunks().take(pa.array(order)).to_pylist()
-        n = np.diff(np.append(np.flatnonzero(np.append(True, tok[1:] != tok[:-1])), len(tok)))
-        alone = np.repeat(n, n) == 1  # the only piece with its anchor: nothing to sort
-        out: list = [None] * len(tok)
-        for k in np.flatnonzero(alone).tolist():
-            out[k] = np.full(len(pieces[k]) - length + 1, low[k])
-        several = np.flatnonzero(~alone)
-        at = 0
-        while at < len(several):  # whole anchors, about BUCKET_BYTES at a time
-            stop, size = at, 0
-            while stop < len(several) and (size < BUCKET_BYTES or tok[several[stop]] == tok[several[stop - 1]]):
-                size += len(pieces[several[stop]])
-                stop += 1
-            few = several[at:stop]
-            for k, least in zip(few.tolist(), least_documents([pieces[k] for k in few.tolist()], low[few], length), strict=True):
-                out[k] = least
-            at = stop
-        keep = [k for k in range(len(out)) if out[k].min() < high[k]]
-        return pa.table({"tok": pa.array(tok[keep]), "h": pa.array(h[keep]), "least": pa.array([out[k].astype("<i8").tobytes() for k in keep], pa.binary())})
+        order = np.argsort(rows["tok"].to_numpy(), kind="stable")
+        tok, low, high, h = (rows[c].to_numpy()[order] for c in ("tok", "low", "high", "h"))
+        pieces = rows["piece"].combine_chunks()
+        pieces = (pieces.chunk(0) if isinstance(pieces, pa.ChunkedArray) else pieces).take(pa.array(order))
+        bounds = np.frombuffer(pieces.buffers()[1], np.int32, len(pieces) + 1, pieces.offset * 4)
+        data = np.frombuffer(pieces.buffers()[2], np.uint8)
+        sizes = np.diff(bounds).astype(np.int64)
+        strings = sizes - length + 1
+        least = np.repeat(low, strings)
+        at = np.concatenate([[0], np.cumsum(strings)])
+        anchor = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))
+        many = np.diff(np.append(anchor, len(tok)))
+        # an anchor's only piece has no other to share with; the others are sorted, whole anchors at a time
+        several, held, size = np.flatnonzero(many > 1), [], 0
+
+        def sort() -> None:
+            k = np.concatenate([np.arange(anchor[g], anchor[g] + many[g]) for g in held])
+            own = np.concatenate([data[bounds[anchor[g]] : bounds[anchor[g] + many[g]]] for g in held])
+            found = least_documents(own, sizes[k], low[k], length)
+            least[np.repeat(at[k] - np.concatenate([[0], np.cumsum(strings[k])[:-1]]), strings[k]) + np.arange(len(found))] = found
+
+        for g in several.tolist():
+            held.append(g)
+            size += int(bounds[anchor[g] + many[g]] - bounds[anchor[g]])
+            if size >= BUCKET_BYTES:
+                sort()
+                held, size = [], 0
+        if held:
+            sort()
+        keep = np.minimum.reduceat(least, at[:-1]) < high
+        owner = np.repeat(np.arange(len(tok)), strings)
+        own = keep[owner]
+        least, owner = least[own], owner[own]
+        new = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (least[1:] != least[:-1]))[: len(owner)])
+        runs = np.diff(np.append(new, len(owner)))
+        per = np.bincount(owner[new], minlength=len(tok))[keep]
+        offsets = pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32))
+        return pa.table({"tok": pa.array(tok[keep]), "h": pa.array(h[keep]), "least": pa.ListArray.from_arrays(offsets, pa.array(least[new])), "runs": pa.ListArray.from_arrays(offsets, pa.array(runs))})
 
     return run
 
@@ -269,38 +310,55 @@ def _covered(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, ths, pos = (batch.column(k).to_numpy() for k in range(3))
-            row, start, end = [], [], []
-            for r in range(batch.num_rows):
-                hit = np.frombuffer(batch.column(3)[r].as_buffer(), "<i8") < ids[r]
-                if hit.any():
-                    edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
-                    row += [r] * (len(edge) // 2)
-                    start += (edge[::2] + pos[r]).tolist()
-                    end += (edge[1::2] + pos[r] + length - 1).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(ths[row]), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=["doc_id", "th", "start", "end"])
+            ids, pos = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            least, runs = batch.column(3), batch.column(4)
+            n = np.diff(least.offsets.to_numpy())
+            row = np.repeat(np.arange(len(ids)), n)
+            least, runs = least.flatten().to_numpy(), runs.flatten().to_numpy()
+            before = np.cumsum(runs) - runs
+            first = np.cumsum(n) - n
+            start = pos[row] + before - before[first[row]]
+            hit = least < ids[row]
+            row, start, end = row[hit], start[hit], (start + runs)[hit] + length - 1
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), batch.column(1).take(pa.array(row)), pa.array(start), pa.array(end)], names=["doc_id", "th", "start", "end"])
 
     return run
 
 
+def text_key(text: Column) -> Column:
+    """The first bytes of the text's digest; equal texts are known by them."""
+    return F.unhex(F.substring(F.md5(text.cast("binary")), 1, 2 * KEY))
+
+
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """doc_id, th (hash of the text), start, end: byte ranges covered by strings that an earlier document holds; ``docs`` is doc_id, text, th."""
+    """doc_id, th (key of the text), start, end: byte ranges covered by strings that an earlier document holds; ``docs`` is doc_id, text, th."""
     spark = docs.sparkSession
     rows = docs.filter((F.octet_length("text") >= length) & F.col("doc_id").isNotNull())
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    texts = staged(rows.groupBy("th").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(F.octet_length("text")).alias("size")), "texts")
+    size = texts.agg(F.sum("size")).first()[0] or 0
     blocks = max(12, -(-size // (BLOCK_PAIRS * 14)))
-    meet = rows.select("doc_id", "text").mapInArrow(_pairs(length, anchor, blocks), packed.SCHEMA).repartition(blocks, "block").groupBy("block")
-    shares = meet.applyInArrow(_dealt(blocks), "part int, ids binary, toks binary")
-    shared = staged(shares.groupBy("part").applyInArrow(_per_document, "doc_id long, toks binary"), "anchors")
+    meet = rows.select("text").mapInArrow(_pairs(length, anchor, blocks), packed.SCHEMA).repartition(blocks, "block").groupBy("block")
+    shares = meet.applyInArrow(_dealt(blocks), "part int, texts binary, idx binary, toks binary")
+    shared = shares.groupBy("part").applyInArrow(_per_text, "th binary, toks binary")
+    shared = staged(shared.join(texts.select("th", F.col("low").alias("doc_id")), "th"), "anchors")
     free_shuffles(spark)
-    found = rows.join(shared, "doc_id").select("doc_id", "text", "th", "toks").mapInArrow(_pieces(length, anchor), PIECE)
+    found = rows.join(shared, ["doc_id", "th"]).select("doc_id", "text", "th", "toks").mapInArrow(_pieces(length, anchor), PIECE)
     pieces = staged(found.withColumn("h", F.xxhash64("piece")), "pieces")
+    discard(shared)
     free_shuffles(spark)
     kinds = pieces.groupBy("tok", "h").agg(F.first("piece").alias("piece"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     buckets = max(12, -(-size // (16 << 20)))
-    answers = kinds.withColumn("bucket", F.pmod(F.xxhash64("tok"), F.lit(buckets))).groupBy("bucket").applyInArrow(_answers(length), "tok long, h long, least binary")
-    joined = pieces.select("tok", "h", "doc_id", "th", "pos").join(answers, ["tok", "h"]).select("doc_id", "th", "pos", "least")
-    return joined.mapInArrow(_covered(length), "doc_id long, th long, start long, end long")
+    answers = kinds.withColumn("bucket", F.pmod(F.xxhash64("tok"), F.lit(buckets))).groupBy("bucket").applyInArrow(_answers(length), ANSWER)
+    answers = staged(answers, "answers")
+    free_shuffles(spark)
+    joined = pieces.select("tok", "h", "doc_id", "th", "pos").join(answers, ["tok", "h"]).select("doc_id", "th", "pos", "least", "runs")
+    ranges = joined.mapInArrow(_covered(length), "doc_id long, th binary, start long, end long")
+    # later copies of a text
+    copies = rows.select("doc_id", "th").join(texts.filter("low < high"), "th").filter("doc_id > low")
+    ranges = staged(ranges.unionByName(copies.select("doc_id", "th", F.lit(0).cast("long").alias("start"), F.col("size").cast("long").alias("end"))), "ranges")
+    discard(pieces, texts, answers)
+    free_shuffles(spark)
+    return ranges
 
 
 def _cut(text: bytes, starts, ends) -> tuple[bytes, int, int]:
@@ -319,12 +377,10 @@ def dedup_substrings(docs: DataFrame, doc_id="doc_id", text="text", length: int
     """All columns of ``docs`` with kept (remaining bytes), n_bytes, n_removed, n_spans; columns of these names are replaced."""
     added = {"kept": T.BinaryType(), "n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType()}
     docs = docs.drop(*added)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("th"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), text_key(F.col(text)).alias("th"))
     ranges = repeated_ranges(rows, length)
     by = ranges.distinct().groupBy(F.col("doc_id").alias("_i"), F.col("th").alias("_h")).agg(F.collect_list("start").alias("_starts"), F.collect_list("end").alias("_ends"))
-    by = staged(by, "ranges")
-    free_shuffles(docs.sparkSession)
-    joined = docs.join(by, (F.col(doc_id).cast("long") == F.col("_i")) & (F.xxhash64(F.col(text)) == F.col("_h")), "left").drop("_i", "_h")
+    joined = docs.join(by, (F.col(doc_id).cast("long") == F.col("_i")) & (text_key(F.col(text)) == F.col("_h")), "left").drop("_i", "_h")
     place, n = docs.columns.index(text), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
