@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from voltlake.llm import toxicity as T
 
-DATA = "/root/testdata/sf0.01"
+DATA = "/root/testdata/sf0.1"  # the smaller tables have some fifty toxic labels, too few to learn words of four languages
 
 
 def test_held_out_accuracy(spark):
@@ -12,7 +12,7 @@ def test_held_out_accuracy(spark):
     chain = T.train(docs, labels.filter("doc_id % 3 <> 0"), T.CHAIN)
     got = T.score_toxicity(docs, chain).withColumnRenamed("toxic", "said").join(labels.filter("doc_id % 3 = 0"), "doc_id")
     r = got.agg(F.avg((F.col("said") == (F.col("toxic") == 1)).cast("int")).alias("right"), F.sum(F.when((F.col("toxic") == 0) & F.col("said"), 1).otherwise(0)).alias("wrong"), F.count(F.lit(1)).alias("n")).first()
-    assert r.right > 0.93 and r.wrong <= 0.02 * r.n
+    assert r.right > 0.97 and r.wrong <= 0.005 * r.n
 
 
 def test_edge_cases(spark, docs, corpus, none):
