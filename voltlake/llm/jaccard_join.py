@@ -34,7 +34,7 @@ from voltlake.llm.common import free_shuffles, staged, table
 
 SHINGLE, PERCENT = 5, 80
 KEY, RECORD = 12, 16  # bytes of a set's digest; with its size behind
-BLOCK_PAIRS, BATCH_BYTES = 2_000_000, 1 << 20
+BLOCK_PAIRS, BATCH_BYTES = 2_000_000, 1 << 18
 
 _low = np.arange(256, dtype=np.uint8)
 _low[ord("A") : ord("Z") + 1] += 32
@@ -216,8 +216,8 @@ def _named(df: DataFrame, side: str, *columns: str) -> list:
 
 
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """key, comp: the smallest key that edges (a, b) reach; every vertex has a row."""
-    both = staged(edges.select("a", "b").union(edges.select("b", "a")), "edges")
+    """key, comp: the smallest key that edges (a, b) reach; every vertex has a row. ``edges`` is staged."""
+    both = edges.select("a", "b").union(edges.select("b", "a"))
     labels = staged(both.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("c")).select("key", F.least("key", "c").alias("comp")), "labels")
     while True:
         near = both.join(labels.select(F.col("key").alias("b"), "comp"), "b").groupBy(F.col("a").alias("key")).agg(F.min("comp").alias("near"))
@@ -230,8 +230,8 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return vertices.select("key").join(labels, "key", "left").select("key", F.coalesce("comp", "key").alias("comp"))
 
 
-def linked_sets(docs: DataFrame, sets: DataFrame, text: str, size: int, percent: int) -> DataFrame | None:
-    """a, b: verified links that connect all sets which links connect; None if no set shares enough."""
+def linked_sets(docs: DataFrame, sets: DataFrame, text: str, size: int, percent: int) -> DataFrame:
+    """key, comp: component of each set that shares enough with others to link at all."""
     spark = docs.sparkSession
     total = sets.agg(F.sum("n")).first()[0] or 0
     blocks = max(12, -(-total // BLOCK_PAIRS))
@@ -244,27 +244,27 @@ def linked_sets(docs: DataFrame, sets: DataFrame, text: str, size: int, percent:
     index = staged(kept.mapInArrow(_prefixes(percent), "tok long, key binary, n int, pos int"), "index")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select("a", "b").distinct()
         pairs = pairs.join(kept.select(*_named(kept, "a", "key", "n", "toks")), "a").join(kept.select(*_named(kept, "b", "key", "n", "toks")), "b")
         return staged(pairs.mapInArrow(_verify, "a binary, b binary, a_n int, b_n int, both int"), "verified")
 
+    linked = _enough(F.col("both"), F.col("a_n"), F.col("b_n"), percent)
     # with the pivot of each list
     pivot = index.groupBy("tok").agg(F.min(F.struct("pos", "key", "n")).alias("p"), F.count(F.lit(1)).alias("many")).filter("many > 1")
     star = index.join(pivot, "tok").select("tok", *_named(index, "a", "key", "n", "pos"), F.col("p.key").alias("b"), F.col("p.n").alias("b_n"), F.col("p.pos").alias("b_pos"))
-    first = verified(star.filter("a <> b").filter(_possible(percent)))
-    links = first.filter(_enough(F.col("both"), F.col("a_n"), F.col("b_n"), percent)).select("a", "b")
-    comps = staged(components(kept, links), "components")
+    first = verified(star.filter("a <> b").filter(_possible(percent)).select("a", "b").distinct())
+    comps = staged(components(kept, first.filter(linked)), "components")
+    # lists in which different components are left
+    of = index.join(comps, "key")
+    main = of.groupBy("tok").agg(F.min(F.struct("pos", "key", "comp")).alias("p"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    main = staged(main.filter("low <> high").select("tok", F.col("p.comp").alias("main")), "lists")
+    if main.isEmpty():
+        return comps
     # each set's nearest pivot, for bounds; a pivot is its own
-    nearest = first.groupBy(F.col("a").alias("key")).agg(F.max(F.struct("both", F.col("b").alias("pivot"), F.col("b_n").alias("pivot_n"))).alias("v"))
-    known = comps.join(nearest, "key", "left").join(kept.select("key", "n"), "key")
-    own = F.struct(F.col("n").alias("both"), F.col("key").alias("pivot"), F.col("n").alias("pivot_n"))
-    pivots = first.select(F.col("b").alias("key")).distinct().withColumn("is_pivot", F.lit(True))
-    known = known.join(pivots, "key", "left").select("key", "comp", F.when(F.col("is_pivot"), own).otherwise(F.col("v")).alias("v"))
-    index = staged(index.join(pivot.select("tok"), "tok", "left_semi").join(known, "key"), "index")
+    nearest = first.select(F.col("a").alias("key"), F.struct("both", F.col("b").alias("pivot"), F.col("b_n").alias("pivot_n")).alias("v"))
+    itself = first.select(F.col("b").alias("key"), F.struct(F.col("b_n").alias("both"), F.col("b").alias("pivot"), F.col("b_n").alias("pivot_n")).alias("v"))
+    best = nearest.union(itself).groupBy("key").agg(F.max("v").alias("v"))
+    open_ = staged(of.join(main, "tok").join(best, "key", "left"), "open")
     # pairs of different components: members of a list outside the pivot's component with all others
-    main = index.groupBy("tok").agg(F.min(F.struct("pos", "key", "comp")).alias("p"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    main = main.filter("low <> high").select("tok", F.col("p.comp").alias("main"))
-    open_ = staged(index.join(main, "tok"), "open")
     columns = ("key", "n", "pos", "comp", "v")
     left = open_.filter("comp <> main").select("tok", *_named(open_, "a", *columns))
     right = open_.select("tok", "main", *_named(open_, "b", *columns))
@@ -273,24 +273,29 @@ def linked_sets(docs: DataFrame, sets: DataFrame, text: str, size: int, percent:
     a, b, n, m = F.col("a_v.both"), F.col("b_v.both"), F.col("a_n"), F.col("b_n")
     same = F.coalesce(F.col("a_v.pivot") == F.col("b_v.pivot"), F.lit(False))
     most = F.least(a, b) + F.least(n - a, m - b)
-    least = a + b - F.col("a_v.pivot_n")
-    pairs = staged(pairs.filter(~same | _enough(most, n, m, percent)).select("a", "b", (same & _enough(least, n, m, percent)).alias("sure")).distinct(), "pairs")
-    second = verified(pairs.filter("not sure"))
-    more = second.filter(_enough(F.col("both"), F.col("a_n"), F.col("b_n"), percent)).select("a", "b")
-    return links.union(pairs.filter("sure").select("a", "b")).union(more)
+    sure = same & _enough(a + b - F.col("a_v.pivot_n"), n, m, percent)
+    pairs = staged(pairs.filter(~same | _enough(most, n, m, percent)).select("a", "b", sure.alias("sure")).distinct(), "pairs")
+    if pairs.isEmpty():
+        return comps
+    more = verified(pairs.filter("not sure").select("a", "b")).filter(linked).select("a", "b").union(pairs.filter("sure").select("a", "b"))
+    name = lambda side: comps.select(F.col("key").alias(side), F.col("comp").alias(f"{side}_comp"))
+    across = staged(more.join(name("a"), "a").join(name("b"), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")).distinct(), "edges")
+    if across.isEmpty():
+        return comps
+    groups = components(comps.select(F.col("comp").alias("key")).distinct(), across).select(F.col("key").alias("comp"), F.col("comp").alias("top"))
+    return staged(comps.join(groups, "comp").select("key", F.col("top").alias("comp")), "components")
 
 
 def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included) for every row."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sets = staged(rows.mapInArrow(_sets(size), "doc_id long, n long, key binary"), "sets")
-    links = linked_sets(rows, sets, "text", size, percent)
-    classes = sets.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
-    comps = staged(components(classes, links).join(classes, "key"), "classes")
-    found = comps.groupBy("comp").agg(F.min("least").alias("component_id"))
-    # only classes of more than one document or set need another id than the document's own
-    many = sets.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
-    by_key = comps.join(found, "comp").join(many, "key").filter("copies > 1 or component_id <> least").select("key", "component_id")
+    comps = linked_sets(rows, sets, "text", size, percent)
+    classes = sets.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    joined = staged(classes.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key")), "classes")
+    found = joined.groupBy("comp").agg(F.min("least").alias("component_id"))
+    # only classes of several rows, or in a component with a smaller id, need another id than the document's own
+    by_key = joined.join(found, "comp").filter("copies > 1 or not component_id <=> least").select("key", "component_id")
     return sets.join(by_key, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
