@@ -30,12 +30,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df`` as a table written to the shared folder: cuts the lineage and survives a lost executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/voltlake/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(ARROW_ROWS, None)
+    spark.conf.set(ARROW_ROWS, "1000")  # whole texts are long: smaller batches hold less on either side of a Python task
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, before) if before else spark.conf.unset(ARROW_ROWS)
     out = spark.read.schema(schema).parquet(path)
     _paths[id(out)] = (weakref.ref(out), path)
     return out

@@ -97,7 +97,9 @@ def block_of(tok: np.ndarray, blocks: int) -> np.ndarray:
 
 def unpacked(rows: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """records (void of ``width`` bytes, distinct), per pair token, number of its record and whether settled; marked tokens."""
-    sets, toks, idxs, settled, marks, base = [], [], [], [], [np.zeros(0, np.uint64)], 0
+    sets, marks, base, at = [], [np.zeros(0, np.uint64)], 0, 0
+    total = sum(x.size for x in (b.as_buffer() for b in rows["idx"])) // 2 if len(rows) else 0
+    tok, idx, settled = np.empty(total, np.uint64), np.empty(total, np.int32), np.zeros(total, bool)  # filled in place
     for row in rows.select(["sets", "idx", "tok", "wide", "kind"]).to_batches():
         cols = [row.column(k) for k in range(5)]
         for r in range(row.num_rows):
@@ -106,23 +108,24 @@ def unpacked(rows: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.nda
                 marks.append(np.frombuffer(data, "<u8"))
                 continue
             own = np.frombuffer(cols[0][r].as_buffer(), f"V{width}")
-            idx = np.frombuffer(cols[1][r].as_buffer(), "<u2")
+            local = np.frombuffer(cols[1][r].as_buffer(), "<u2")
+            stop = at + len(local)
             if cols[3][r].as_py():
-                tok = np.frombuffer(data, "<u8")
+                tok[at:stop] = np.frombuffer(data, "<u8")
             else:
-                tok = np.empty(len(idx), np.uint64)
-                tok[0] = np.frombuffer(data, "<u8", 1)[0]
-                tok[1:] = np.frombuffer(data, "<u4", len(idx) - 1, 8)
-                tok = np.cumsum(tok, dtype=np.uint64)
+                tok[at] = np.frombuffer(data, "<u8", 1)[0]
+                tok[at + 1 : stop] = np.frombuffer(data, "<u4", len(local) - 1, 8)
+                np.cumsum(tok[at:stop], out=tok[at:stop])
+            idx[at:stop] = local
+            idx[at:stop] += base
+            settled[at:stop] = kind == SETTLED
             sets.append(own)
-            idxs.append(idx.astype(np.int32) + base)
-            toks.append(tok)
-            settled.append(np.full(len(idx), kind == SETTLED))
             base += len(own)
+            at = stop
     if not sets:
         return np.zeros(0, f"V{width}"), np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, bool), np.concatenate(marks)
     records, number = distinct(np.concatenate(sets))
-    return records, np.concatenate(toks), number[np.concatenate(idxs)], np.concatenate(settled), np.unique(np.concatenate(marks))
+    return records, tok, number[idx], settled, np.unique(np.concatenate(marks))
 
 
 def distinct(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +143,9 @@ def counted(rows: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     """records, and of the pairs whose token is in two sets at least: token, number of its record, count (at most HOT)."""
     records, tok, idx, settled, marks = unpacked(rows, width)
     sure_tok, sure_idx = _once(tok[settled], idx[settled])
-    tok, idx = _once(tok[~settled], idx[~settled])
+    if len(sure_tok):
+        tok, idx = tok[~settled], idx[~settled]
+    tok, idx = _once(tok, idx)
     first = np.flatnonzero(np.append(True, tok[1:] != tok[:-1])[: len(tok)])
     n = np.diff(np.append(first, len(tok)))
     n = np.repeat(n, n)
