@@ -70,3 +70,20 @@ def test_anchors_depend_on_the_string_only(texts):
         assert len(own) == max(0, len(t) - 19)
         for i, a in enumerate(own.tolist()):
             assert seen.setdefault(t[i : i + 20], a) == a
+
+
+def test_five_megabytes_of_one_anchor():
+    rng = np.random.default_rng(3)
+    middle = rng.integers(97, 123, 24, np.uint8)
+    sides = rng.integers(97, 123, (2000, 26), np.uint8)
+    n = 66_000
+    pieces = np.concatenate([sides[rng.integers(0, 2000, n)], np.tile(middle, (n, 1)), rng.integers(97, 123, (n, 26), np.uint8)], 1)
+    pieces[::2, 50:] = sides[rng.integers(0, 2000, n // 2)]
+    docs = rng.permutation(n).astype(np.int64)
+    got = S.least_documents(pieces.ravel(), np.full(n, 76), docs, 50)
+    first, own = {}, [p.tobytes() for p in pieces]
+    for d, p in zip(docs.tolist(), own, strict=True):
+        for i in range(27):
+            w = p[i : i + 50]
+            first[w] = min(first.get(w, d), d)
+    assert pieces.size > 5_000_000 and got.tolist() == [first[p[i : i + 50]] for p in own for i in range(27)]

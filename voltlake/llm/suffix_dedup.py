@@ -200,8 +200,8 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     one, two = ranked[ranked % 3 == 1], ranked[ranked % 3 == 2]
     # how many sampled suffixes of either kind stand before each of the rest
     before = np.searchsorted(t[one] << wide | rank[one + 1], t[rest] << wide | rank[rest + 1])
-    if int(t.max()) < 1 << 21:
-        pair = lambda i: ((t[i] << bits | t[i + 1]) << bits) | rank[i + 2]  # noqa: E731  ranks of a bucket fit in 21 bits
+    if int(t.max()) < 1 << 21 and len(sample) < 1 << 21:  # symbols and ranks fit in 21 bits
+        pair = lambda i: ((t[i] << bits | t[i + 1]) << bits) | rank[i + 2]
     else:
         pair = _pair_ranks(t, rank, two, rest)
     before = before + np.searchsorted(pair(two), pair(rest))
@@ -215,7 +215,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 def _pair_ranks(t: np.ndarray, rank: np.ndarray, two: np.ndarray, rest: np.ndarray):
-    """A key for (symbol, symbol, rank) where symbols are too large to pack: the first two by rank."""
+    """A key for (symbol, symbol, rank) where symbols or ranks are too large to pack: the first two by rank."""
     places = np.concatenate([two, rest])
     order = np.lexsort((t[places + 1], t[places]))
     a, b = t[places][order], t[places + 1][order]
