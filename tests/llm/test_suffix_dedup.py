@@ -1,4 +1,6 @@
 import hashlib
+import random
+from collections import Counter
 
 import numpy as np
 from hypothesis import given, settings
@@ -87,3 +89,28 @@ def test_five_megabytes_of_one_anchor():
             w = p[i : i + 50]
             first[w] = min(first.get(w, d), d)
     assert pieces.size > 5_000_000 and got.tolist() == [first[p[i : i + 50]] for p in own for i in range(27)]
+
+
+def test_crowded_anchors_go_to_no_bucket(spark, docs, corpus, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 9)))
+    line = " ".join(word() for _ in range(9))
+    edges = [" ".join(word() for _ in range(5)) for _ in range(6)]
+    rows = [(k % 250, f"{word()} {rng.choice(edges)} {line} {rng.choice(edges)} {word()} {line}") for k in range(300)]
+    monkeypatch.setattr(S, "ANCHOR_PIECES", 20)
+    inner = S._answers
+
+    def watched(length):
+        run = inner(length)
+
+        def counted(key, rows):
+            most = max(Counter(rows["tok"].to_pylist()).values())
+            assert most <= 20, f"{most} pieces of one anchor"
+            return run(key, rows)
+
+        return counted
+
+    monkeypatch.setattr(S, "_answers", watched)
+    assert result(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    monkeypatch.setattr(S, "ANCHOR_PIECES", 1)
+    assert result(docs) == brute(corpus)

@@ -9,7 +9,9 @@ of several sorts. So the text is first cut, without loss, into pieces that must
 2. All anchors meet once, packed (see ``packed``); only pieces whose anchor stands in two different texts can
    hold a repeated string. Only these are made, next to their documents, and staged.
 3. Equal pieces become one with its smallest document: a passage that a third of all documents hold is
-   one piece from here on. Pieces are dealt by anchor into bounded buckets.
+   one piece from here on. Pieces are dealt by anchor into bounded buckets. An anchor with more than ANCHOR_PIECES
+   distinct pieces (at the edges of such a passage each document has its own) goes to no bucket: its strings are
+   dealt by their own digests, and grouped by them.
 4. In each bucket the difference-cover algorithm sorts all suffixes of its pieces: suffixes at places 1 and 2 modulo 3
    are named by sorted triples, names recur (up to the depth that covers ``length`` bytes), the remaining third is
    sorted by its first byte and the rank behind, and merged. Adjacent suffixes with equal prefixes of ``length`` bytes form
@@ -38,6 +40,7 @@ from voltlake.llm.common import discard, free_shuffles, staged, table
 
 LENGTH, ANCHOR = 50, 24
 BLOCK_PAIRS, BATCH_BYTES, PIECE_STRINGS, BUCKET_BYTES = 2_000_000, 1 << 18, 64, 1 << 20
+ANCHOR_PIECES = 1 << 13  # of some hundred bytes each
 KEY = 12  # bytes of a text's digest
 
 
@@ -318,8 +321,10 @@ def _covered(length: int):
             before = np.cumsum(runs) - runs
             first = np.cumsum(n) - n
             start = pos[row] + before - before[first[row]]
-            hit = least < ids[row]
+            hit = np.flatnonzero(least < ids[row])
             row, start, end = row[hit], start[hit], (start + runs)[hit] + length - 1
+            new = np.append(True, (row[1:] != row[:-1]) | (np.diff(hit) > 1))[: len(hit)]  # adjacent runs are one range
+            row, start, end = row[new], start[new], end[np.append(new[1:], True)[: len(hit)]]
             yield pa.RecordBatch.from_arrays([pa.array(ids[row]), batch.column(1).take(pa.array(row)), pa.array(start), pa.array(end)], names=["doc_id", "th", "start", "end"])
 
     return run
@@ -330,6 +335,28 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.substring(F.md5(text.cast("binary")), 1, 2 * KEY))
 
 
+def crowded_anchors(pieces: DataFrame) -> DataFrame:
+    """tok of the anchors with more than ANCHOR_PIECES distinct pieces, staged; at most one for so many rows of ``pieces``."""
+    cells = max(1, 4 * pieces.count() // ANCHOR_PIECES)
+    cell = F.pmod(F.xxhash64("tok"), F.lit(cells)).alias("cell")
+    # such an anchor fills its cell of hashes by itself; few other cells are full, and only theirs are counted by anchor
+    full = pieces.groupBy(cell).count().filter(F.col("count") > ANCHOR_PIECES).select("cell")
+    kinds = pieces.select("tok", "h", cell).join(F.broadcast(full), "cell", "left_semi").select("tok", "h").distinct()
+    return staged(kinds.groupBy("tok").count().filter(F.col("count") > ANCHOR_PIECES).select("tok"), "crowded")
+
+
+def _string_answers(kinds: DataFrame, length: int) -> DataFrame:
+    """What ``_answers`` finds, by grouping strings by their digests, so that no task needs all pieces of an anchor."""
+    cuts = F.expr(f"transform(sequence(1, octet_length(piece) - {length - 1}), i -> substring(piece, i, {length}))")
+    strings = kinds.select("tok", "h", "low", "high", F.posexplode(cuts).alias("at", "string"))
+    strings = strings.select("tok", "h", "low", "high", "at", text_key(F.col("string")).alias("sh"))
+    least = strings.groupBy("sh").agg(F.min("low").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    found = strings.join(least, "sh", "left").withColumn("least", F.coalesce("least", "low"))
+    per = found.groupBy("tok", "h").agg(F.max("high").alias("high"), F.array_sort(F.collect_list(F.struct("at", "least"))).alias("own"))
+    per = per.withColumn("least", F.col("own.least")).filter(F.array_min("least") < F.col("high"))
+    return per.select("tok", "h", "least", F.array_repeat(F.lit(1).cast("long"), F.size("least")).alias("runs"))
+
+
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, th (key of the text), start, end: byte ranges covered by strings that an earlier document holds; ``docs`` is doc_id, text, th."""
     spark = docs.sparkSession
@@ -348,8 +375,15 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     free_shuffles(spark)
     kinds = pieces.groupBy("tok", "h").agg(F.first("piece").alias("piece"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     buckets = max(12, -(-size // (16 << 20)))
-    answers = kinds.withColumn("bucket", F.pmod(F.xxhash64("tok"), F.lit(buckets))).groupBy("bucket").applyInArrow(_answers(length), ANSWER)
+    crowded = crowded_anchors(pieces)
+    several = not crowded.isEmpty()
+    few = kinds.join(F.broadcast(crowded), "tok", "left_anti") if several else kinds
+    answers = few.withColumn("bucket", F.pmod(F.xxhash64("tok"), F.lit(buckets))).groupBy("bucket").applyInArrow(_answers(length), ANSWER)
+    own = staged(kinds.join(F.broadcast(crowded), "tok", "left_semi"), "kinds") if several else crowded
+    if several:
+        answers = answers.unionByName(_string_answers(own, length))
     answers = staged(answers, "answers")
+    discard(crowded, own)
     free_shuffles(spark)
     joined = pieces.select("tok", "h", "doc_id", "th", "pos").join(answers, ["tok", "h"]).select("doc_id", "th", "pos", "least", "runs")
     ranges = joined.mapInArrow(_covered(length), "doc_id long, th binary, start long, end long")
