@@ -1,4 +1,8 @@
+import itertools
 import re
+from re import _parser
+
+from pyspark.sql import functions as F
 
 from voltlake.llm import license_scan as L
 
@@ -51,3 +55,41 @@ def test_hundreds_of_rules_and_gates():
 
 def test_empty(none):
     assert L.scan_licenses(none).count() == 0
+
+
+def spellings(tree):
+    """Texts that a pattern accepts: every alternative and option; repeats without a bound once and twice."""
+    parts = []
+    for op, arg in tree:
+        kind = str(op)
+        if kind == "LITERAL":
+            parts.append([chr(arg)])
+        elif kind == "NOT_LITERAL":
+            parts.append(["x"])
+        elif kind == "IN":
+            parts.append([chr(a if str(o) == "LITERAL" else a[0]) for o, a in arg])
+        elif kind == "MAX_REPEAT":
+            low, high, sub = arg
+            own = spellings(sub)
+            parts.append(["".join(x) for n in range(low, min(int(high), max(low, 2)) + 1) for x in itertools.product(own, repeat=n)])
+        elif kind == "SUBPATTERN":
+            parts.append(spellings(arg[3]))
+        else:
+            assert kind == "BRANCH"
+            parts.append([x for b in arg[1] for x in spellings(b)])
+    return ["".join(x) for x in itertools.product(*parts)]
+
+
+def test_every_spelling_of_every_rule_is_found(spark):
+    rows = [(order, t) for order, r in enumerate(L.rules()) for t in spellings(_parser.parse(r[4]))]
+    assert {order for order, _ in rows} == set(range(len(L.rules())))
+    assert [t for _, t in rows if not any(g in f" {t} " for g in L.SUPER_GATE)] == []
+    df = spark.createDataFrame(rows, "rule int, text string").withColumn("c", F.concat(F.lit(" "), "text", F.lit(" ")))
+    missed = df.filter(~F.exists(L._found("c", L.rules()), lambda d: (d["ord"] == F.col("rule")) & (-d["ne"] - d["s"] == F.length("text"))))
+    assert [tuple(r) for r in missed.select("rule", "text").collect()] == []
+
+
+def test_copyright_and_british_spellings(spark):
+    want = {"Copyright 2020 Acme": "copyright", "copyright (c) 2019, 2020 acme": "copyright", "Copyright 2021": "copyright", "the Apache Licence": "apache", "End User Licence Agreement": "proprietary", "contributor licence agreement": "contributor-agreement"}
+    got = L.scan_licenses(spark.createDataFrame([(t,) for t in want], "text string")).collect()
+    assert {r.text: [d.label for d in r.detections] for r in got} == {t: [label] for t, label in want.items()}

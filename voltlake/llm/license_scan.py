@@ -107,7 +107,7 @@ CLAUSES = (
     ("gpl", "general public license", 3, 0.6, "(?:gnu )?general public license"),
     ("lgpl", "this library is free software", 1, 0.9, "this library is free software you can redistribute it and or modify it"),
     ("agpl-3.0", "remote network interaction", 2, 0.8, "remote network interaction"),
-    ("apache", "apache license", 3, 0.6, "apache licen[sc]e"),
+    ("apache", "apache licen", 3, 0.6, "apache licen[sc]e"),
     ("apache", "apache licensed", 3, 0.5, "apache licensed"),
     ("mit", "mit licensed", 3, 0.6, "mit licensed"),
     ("mpl-2.0", "source code form is subject", 1, 0.95, "this source code form is subject to the terms of the mozilla public license"),
@@ -122,14 +122,14 @@ CLAUSES = (
     ("proprietary", "all rights reserved", 2, 0.7, "all rights reserved"),
     ("proprietary", "proprietary and confidential", 1, 0.9, "proprietary and confidential"),
     ("proprietary", "unauthorized copying", 1, 0.9, "unauthorized copying of this file"),
-    ("proprietary", "end user license", 2, 0.7, "end user licen[sc]e agreement"),
-    ("copyright", "copyright", 3, 0.3, "copyright (?:c )?(?:[12][0-9]{3} )+"),
+    ("proprietary", "end user licen", 2, 0.7, "end user licen[sc]e agreement"),
+    ("copyright", "copyright", 3, 0.3, "copyright(?: c)?(?: [12][0-9]{3})+"),
     ("warranty", "without warranty", 3, 0.3, "without warranty of any kind"),
     ("warranty", "as is", 3, 0.3, "provided (?:on an )?as is(?: basis)?(?: without warranty)?"),
     ("dual", "dual licensed", 2, 0.6, "dual licensed under"),
     ("beerware", "beer", 1, 0.9, "the beer ?ware licen[sc]e"),
     ("json", "good not evil", 1, 0.95, "shall be used for good not evil"),
-    ("contributor-agreement", "contributor license", 2, 0.6, "contributor licen[sc]e agreement"),
+    ("contributor-agreement", "contributor licen", 2, 0.6, "contributor licen[sc]e agreement"),
     ("see-license", "license file", 3, 0.2, "see (?:the )?(?:accompanying )?license file"),
     ("generic", "under the license", 3, 0.2, "under the license"),
     ("generic", "licensed under", 3, 0.2, "licensed under"),
