@@ -15,6 +15,25 @@ def test_held_out_accuracy(spark):
     assert r.right > 0.97 and r.wrong <= 0.005 * r.n
 
 
+def test_held_out_recall_and_false_alarms(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    chain = T.train(docs, labels.filter("doc_id % 3 <> 0"), T.CHAIN)
+    assert chain.threshold != T.THRESHOLD
+    got = T.score_toxicity(docs, chain).withColumnRenamed("toxic", "said").join(labels.filter("doc_id % 3 = 0"), "doc_id")
+    r = got.agg(*[F.sum(F.expr(f"int(toxic = {t} and {said})")).alias(n) for n, t, said in (("found", 1, "said"), ("toxic", 1, "true"), ("wrong", 0, "said"), ("clean", 0, "true"))]).first()
+    assert r.found >= 0.86 * r.toxic and r.wrong <= 0.006 * r.clean, r
+
+
+def test_threshold_weighs_missed_and_wrong_rows():
+    y = np.array([1] * 4 + [0] * 100 + [1])
+    p = np.concatenate([[0.9, 0.8, 0.4, 0.3], np.linspace(0.2, 0.01, 100), [0.35]])
+    assert 0.2 < T.best_threshold(p, y, 0.01) < 0.3
+    p[4] = 0.5  # one clean row stands among them
+    assert 0.2 < T.best_threshold(p, y, 0.01) < 0.3 and 0.5 < T.best_threshold(p, y, 0.0) < 0.8
+    assert T.best_threshold(p, y * 0, 0.01) == T.best_threshold(p[:0], y[:0], 0.01) == T.THRESHOLD
+
+
 def test_edge_cases(spark, docs, corpus, none):
     labels = spark.createDataFrame([(k, 0, k % 2) for k in range(20)] + [(3, None, 1), (None, 1, 1)], "doc_id long, low_quality int, toxic int")
     chain = T.train(docs, labels, T.CHAIN)
