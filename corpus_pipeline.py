@@ -1,14 +1,14 @@
 """Corpus pipeline: five stages over documents, each written as Parquet and reread as the next one's input.
 
 1. toxicity: documents that the classifier chain rejects go.
-2. near duplicates: of each group linked by shingle sets, the document with the smallest doc_id stays.
+2. near duplicates: of each group of rows linked by shingle sets, one with the smallest doc_id stays (null is last).
 3. repeated substrings: bytes covered by 50-byte strings of earlier documents go from the texts; a text of
    which nothing is left goes as a document. A character that a cut goes through goes with it.
 4. decontamination: documents in which a window of a benchmark item occurs go.
 5. packing: what is left is packed into windows of tokens; this returns the pieces.
 
 Stages 1 to 4 return the columns of documents; n_chars follows the text where it is changed. Rows with null
-doc_id pass stages 2 and 3 as they are.
+doc_id pass stage 3 as they are.
 """
 
 from __future__ import annotations
@@ -26,9 +26,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard_join.near_duplicates(docs)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
+    rows = docs.withColumn("_k", F.xxhash64("doc_id", "text"))  # rows are told apart by id and text, as ids repeat and may be null
+    found = staged(jaccard_join.near_duplicates(rows, "_k").filter("n_shingles > 0").groupBy(F.col("doc_id").alias("_k"), "component_id").count(), "linked")
+    first = F.min_by("_k", F.struct(F.col("doc_id").isNull(), "doc_id", "_k")).alias("_first")
+    kept = found.join(rows.select("_k", "doc_id").distinct(), "_k").groupBy("component_id").agg(first)
+    gone = found.join(kept, "component_id").filter("_k <> _first").select("_k")
+    again = found.filter("count > 1").select("_k")
+    rows = rows.join(gone, "_k", "left_anti")
+    once = rows.join(again, "_k", "left_semi").dropDuplicates(["_k"])
+    return rows.join(again, "_k", "left_anti").unionByName(once).select(*docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,6 +32,15 @@ def test_stages_against_brute_force(spark, corpus, tmp_path):
     assert {r.doc_id for r in clean.collect()} == {d for d, r in got.items() if not test_decontaminate.brute(r.text, items)[1]}
 
 
+def test_near_duplicates_by_row(spark):
+    a, b, c, d = ("one two three four five six seven", "red green blue black white grey pink", "north south east west up down left", "iron gold zinc lead tin copper neon")
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, b), (None, d), (5, d), (None, c + " right"), (6, ""), (7, ""), (8, None)]
+    schema, data = table(rows)
+    kept = P.drop_near_duplicates(spark, spark.createDataFrame(data, schema), "")
+    want = [(1, a), (2, b), (3, c), (5, d), (None, c + " right"), (6, ""), (7, ""), (8, None)]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+
+
 def test_run_on_the_smallest_tables(spark):
     pieces = P.run(spark, "/root/testdata/sf0.001")
     assert pieces.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and pieces.count() > 0
