@@ -2,12 +2,14 @@
 
 import math
 
+import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from voltlake.functions import circuits as C
 from voltlake.functions import ocv as O
-from voltlake.operators import fits, joins, parameters, segments, statistics
+from voltlake.operators import clustering, fits, joins, parameters, segments, statistics
 from voltlake.sources import measurements
 
 PLATEAUS = [(3.9, 0.25, 0.3), (3.7, 0.5, 0.3), (3.4, 0.2, 0.4)]
@@ -168,3 +170,97 @@ def test_empty_table(spark):
     df = points(spark, [])
     assert segments.segment_by_change(df.withColumn("state", F.lit("a")), "state").count() == 0
     assert statistics.protocol_text(df).count() == 0 and fits.gitt_features(df).count() == 0
+
+
+def test_derived_parameters_follow_changes(spark):
+    rules = {"dolor": "ipsum", "sit": lambda get: get("lorem"), "amet": lambda get: get("dolor") + get("sit")}
+    base = spark.createDataFrame([(k, n, v) for k in (0, 1, 2) for n, v in (("lorem", 1.0), ("ipsum", 2.0))], "set_id long, name string, value double")
+    free = spark.createDataFrame([(1, "lorem", 2.0), (1, "ipsum", 4.0), (2, "dolor", 9.0)], "set_id long, name string, value double")
+    got = {(r.set_id, r.name): r.value for r in parameters.derived_parameters(base, free, rules).collect()}
+    want = {0: (1.0, 2.0, 2.0, 1.0, 3.0), 1: (2.0, 4.0, 4.0, 2.0, 6.0), 2: (1.0, 2.0, 9.0, 1.0, 10.0)}
+    assert got == {(k, n): v for k, values in want.items() for n, v in zip(("lorem", "ipsum", "dolor", "sit", "amet"), values, strict=True)}
+    with pytest.raises(ValueError, match="circle"):
+        parameters.derived_parameters(base, free, {"a": "b", "b": "a"})
+
+
+def test_alias_closure_of_long_chains_quotes_and_circles(spark):
+    edges = [(f"k{i + 1}", f"k{i}") for i in range(110)] + [("it's", "k3"), ("k0", "k110"), ("other", "else")]
+    got = {r.name for r in joins.alias_closure(spark.createDataFrame(edges, "name string, dep string"), ["k0"]).collect()}
+    assert got == {f"k{i}" for i in range(111)} | {"it's"}
+
+
+def test_chi_squared_of_any_degree():
+    known = {1: 3.841458820694124, 2: 5.991464547107979, 3: 7.814727903251179, 10: 18.307038053275146, 25: 37.65248413348277, 100: 124.34211340400407}
+    assert all(abs(statistics.chi2_95(d) - v) < 1e-9 * v for d, v in known.items())
+
+
+def test_slow_chains_need_more_lags(spark):
+    rng = np.random.default_rng(0)
+    slow = np.cumsum(rng.normal(size=400)) * 0.05 + np.sin(np.arange(400) / 60)
+    rows = [("slow", k, float(v)) for k, v in enumerate(slow)] + [("fast", k, float(v)) for k, v in enumerate(rng.normal(size=300))] + [("one", 0, 1.0)]
+    got = {r.key: r.ess for r in statistics.effective_sample_size(spark.createDataFrame(rows, "key string, o long, x double"), ["key"], "o", "x", lags=7).collect()}
+    for key in ("slow", "fast"):
+        x = np.array([v for k, _, v in rows if k == key])
+        d, total, lag = x - x.mean(), 0.0, 1
+        while lag < len(d) and (c := (d[lag:] * d[:-lag]).sum() / (d * d).sum()) > 0:
+            total, lag = total + c, lag + 1
+        assert got[key] == pytest.approx(len(d) / (1 + 2 * total))
+        assert key == "fast" or lag > 25
+    assert got["one"] == 1.0
+
+
+def test_changes_are_counted_over_slices(spark):
+    rng = np.random.default_rng(1)
+    states = [[None, "a", "b"][k] for k in rng.integers(0, 3, 500)]
+    rows = [(m, k, states[(k + 13 * m) % 500]) for m in range(3) for k in range(200)]
+    df = spark.createDataFrame(rows, "meas_id long, pt long, state string").repartition(4)
+    got = {(r.meas_id, r.pt): r.seg_pos for r in segments.segment_by_change(df, "state", slice_points=7).collect()}
+    for m in range(3):
+        at, own = 0, [s for i, _, s in rows if i == m]
+        for k, s in enumerate(own):
+            at += k > 0 and s != own[k - 1]
+            assert got[m, k] == at
+
+
+def test_plateaus_of_known_clusters(spark):
+    rng = np.random.default_rng(2)
+    volts = np.concatenate([3.9 + rng.normal(0, 0.002, 300), 3.6 + rng.normal(0, 0.002, 500), 3.2 + rng.normal(0, 0.002, 200)])
+    rows = [(m, k, float(v), k / 999) for m in (1, 2) for k, v in enumerate(volts)] + [(3, 0, 3.0, 0.5), (3, 1, 3.0, 0.6)]
+    df = spark.createDataFrame(rows, "meas_id long, pt long, e double, soc double")
+    got = [clustering.plateau_clusters(df.repartition(n), 3).orderBy("meas_id", "k").collect() for n in (2, 5)]
+    assert got[0] == got[1]
+    for m in (1, 2):
+        own = [r for r in got[0] if r.meas_id == m]
+        assert [r.k for r in own] == [0, 1, 2] and [round(r.e0, 2) for r in own] == [3.9, 3.6, 3.2] and [round(r.share, 1) for r in own] == [0.3, 0.5, 0.2]
+    assert [(r.k, r.e0, r.share, r.slope) for r in got[0] if r.meas_id == 3] == [(0, 3.0, 1.0, 1.0)]
+
+
+def test_static_read_and_row_groups(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    t = np.arange(0, 40, 1.0)
+    lines = ["# comment", "t;I;U;step"] + [f"{x};{2 * np.exp(-0.2 * x) + 0.5};{1000 * (3 + np.exp(-0.1 * x))};{int(x >= 30)}" for x in t]
+    (tmp_path / "in" / "a.txt").write_text("\n".join(lines) + "\n")
+    d = measurements.read_instrument(spark, str(tmp_path / "in"), {0: "t [s]", 1: "I [A]", 2: "U [mV]"}, skip=2, delimiter=";", segment_column=3, datatype="static")
+    r = d.filter("seg_pos = 0").first()
+    assert (r.asymptotic_voltage, r.i_asymptote) == pytest.approx((3.0, 0.5), abs=0.1) and d.count() == 40 and d.filter("seg_pos = 1").count() == 10
+    made = measurements.write_segments(d.withColumn("meas_id", F.lit(1)), str(tmp_path / "out")).collect()
+    assert sum(r.groups for r in made) == 2 and sum(r.rows for r in made) == 40
+    assert sum(pq.ParquetFile(r.uri.removeprefix("file://")).num_row_groups for r in made) == 2
+
+
+def test_lines_are_numbered_over_blocks(spark, tmp_path):
+    (tmp_path / "x.txt").write_text("".join(f"{k}\n" for k in range(5000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        got = measurements.numbered_lines(spark, str(tmp_path / "x.txt")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r.n, int(r.line)) for r in got) == [(k, k) for k in range(5000)]
+
+
+def test_windows_of_gitt_features(spark):
+    b = points(spark, [(1, 0, k, float(k), 1.0, 3 + math.exp(-0.3 * k) + (5.0 if k < 4 else 0.0)) for k in range(40)])
+    whole = {r.feature: r.value for r in fits.gitt_features(b).collect()}
+    cut = {r.feature: r.value for r in fits.gitt_features(b, exp_window=(4.0, None), sqrt_window=(4.0, 30.0)).collect()}
+    assert abs(cut[1]) < 2 < abs(whole[1]) and set(cut) == set(whole) == {0, 1, 2, 3, 4}

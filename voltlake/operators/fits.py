@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from voltlake.operators.segments import SEG, ir_step, segment_ends, whole
+from voltlake.operators.segments import SEG, ir_step, keep_window, segment_ends, whole
+from voltlake.operators.storage import staged
 
 LEAST_POINTS = 4
 
@@ -85,13 +86,50 @@ def fit_sqrt(df: DataFrame, threshold: float = 0.95, layer: float = 0.0) -> Data
 RATES = tuple(0.2 * 250 ** (k / 23) for k in range(24))
 
 
-def fit_exp_decay(df: DataFrame, rates: Sequence[float] = RATES) -> DataFrame:
-    """meas_id, seg_pos, asymptote, amplitude, rate, sse: u = asymptote + amplitude * exp(-rate * tau), rate on a grid of ``rates`` over the duration."""
+def fit_exp_decay(df: DataFrame, rates: Sequence[float] = RATES, y: str = "u") -> DataFrame:
+    """meas_id, seg_pos, asymptote, amplitude, rate, sse: y = asymptote + amplitude * exp(-rate * tau), rate on a grid of ``rates`` over the duration."""
     d = since_start(df).filter("span > 0")
-    fit = grid_fit(d, [*SEG, "span"], rates, lambda g: F.exp(-g * F.col("tau") / F.col("span")), F.col("u"))
+    fit = grid_fit(d, [*SEG, "span"], rates, lambda g: F.exp(-g * F.col("tau") / F.col("span")), F.col(y))
     return fit.select(*SEG, F.col("b").alias("asymptote"), F.col("c").alias("amplitude"), (F.col("g") / F.col("span")).alias("rate"), "sse")
 
 
+#: Trailing shares of a segment that a decay's fit tries.
+TAILS = (1.0, 0.75, 0.5, 0.25)
+
+
+def fit_exp_decays(df: DataFrame, threshold: float = 0.95, passes: int = 2, rates: Sequence[float] = RATES, y: str = "u") -> DataFrame:
+    """meas_id, seg_pos, pass, share, asymptote, amplitude, rate, r2: y = asymptote + amplitude * exp(-rate * tau) over a trailing share of each segment.
+
+    The longest share whose inverted axis reaches the threshold, else the one with the best r2. Each further pass fits the faster decay: the residual
+    of the stretch before the last one's, where at least LEAST_POINTS are left. tau counts from the segment's start in each pass.
+    """
+    rest, out = df.select(*SEG, "pt", "t", F.col(y).alias("_v")), None
+    w = Window.partitionBy(*SEG)
+    rest = rest.withColumn("_tau", F.col("t") - F.min("t").over(w))
+    for k in range(passes):
+        d = rest.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_k", F.row_number().over(w.orderBy("pt")))
+        d = d.withColumn("share", F.explode(F.array(*[F.lit(x) for x in TAILS]))).filter(F.col("_k") > F.col("_n") - F.ceil(F.col("share") * F.col("_n")))
+        of = Window.partitionBy(*SEG, "share")
+        d = d.withColumn("_t0", F.min("_tau").over(of)).withColumn("_span", F.max("_tau").over(of) - F.col("_t0")).filter("_span > 0")
+        fit = grid_fit(d, [*SEG, "share", "_t0", "_span"], rates, lambda g: F.exp(-g * (F.col("_tau") - F.col("_t0")) / F.col("_span")), F.col("_v"))
+        fit = fit.filter("c <> 0").select(*SEG, "share", "_t0", F.col("b").alias("asymptote"), (F.col("c") * F.exp(F.col("g") * F.col("_t0") / F.col("_span"))).alias("amplitude"), (F.col("g") / F.col("_span")).alias("rate"))
+        both = d.drop("_t0").join(fit, [*SEG, "share"])
+        back = -F.ln(F.greatest((F.col("_v") - F.col("asymptote")) / F.col("amplitude"), F.lit(LEAST_RATIO))) / F.col("rate")
+        r2 = inverse_axis_r2(both, [*SEG, "share", "_t0", "asymptote", "amplitude", "rate"], F.col("_tau"), back)
+        order = F.struct((F.coalesce("r2", F.lit(-1e300)) >= threshold).alias("ok"), F.when(F.col("r2") >= threshold, F.col("share")).otherwise(F.col("r2")).alias("v"), "share")
+        found = best_candidate(r2.filter("r2 is not null"), SEG, order, ["share", "_t0", "asymptote", "amplitude", "rate", "r2"])
+        found = staged(found.withColumn("pass", F.lit(k)), "decays")
+        out = found if out is None else out.unionByName(found)
+        if k + 1 < passes:
+            value = F.col("_v") - F.col("asymptote") - F.col("amplitude") * F.exp(-F.col("rate") * F.col("_tau"))
+            rest = staged(rest.join(found.drop("pass"), SEG).filter("_tau < _t0").select(*SEG, "pt", "t", value.alias("_v"), "_tau"), "residuals")
+    return out.select(*SEG, "pass", "share", "asymptote", "amplitude", "rate", "r2")
+
+
+#: What the argument of a logarithm is at least.
+LEAST_RATIO = 1e-3
+
+
 def fit_power_law(df: DataFrame, exponents: Sequence[float], high: float) -> DataFrame:
     """meas_id, seg_pos, n, k, ln_k, r2: u - u0 = k * tau^n with n on a grid and 0 <= k <= high."""
     d = since_start(df).withColumn("_u0", F.first("u").over(whole(*SEG))).filter("tau > 0")
@@ -113,14 +151,22 @@ def fit_curve_values(df: DataFrame, fits: DataFrame) -> DataFrame:
 
 
 def static_features(df: DataFrame) -> DataFrame:
-    """Per segment: asymptotic voltage (of the fit, else the last), IR step, and the decay."""
+    """Per segment: asymptotic voltage (of the fit, else the last), IR step, and the decays of voltage and current."""
     ends = ir_step(segment_ends(df))
-    return ends.join(fit_exp_decay(df), SEG, "left").select(*SEG, F.coalesce("asymptote", "u1").alias("asymptotic_voltage"), "ir_step", "amplitude", "rate")
+    current = fit_exp_decay(df, y="i").select(*SEG, F.col("asymptote").alias("i_asymptote"), F.col("amplitude").alias("i_amplitude"), F.col("rate").alias("i_rate"))
+    both = ends.join(fit_exp_decay(df), SEG, "left").join(current, SEG, "left")
+    return both.select(*SEG, F.coalesce("asymptote", "u1").alias("asymptotic_voltage"), "ir_step", "amplitude", "rate", "i_asymptote", "i_amplitude", "i_rate")
 
 
-def gitt_features(df: DataFrame, wanted: Sequence[int] | None = None) -> DataFrame:
-    """meas_id, seg_pos, feature (5 * segment + k), value: asymptote minus U0, amplitude, 1 / rate, U0, 1 / slope of each segment."""
-    both = fit_exp_decay(df).join(fit_sqrt(df), SEG)
+def gitt_features(df: DataFrame, wanted: Sequence[int] | None = None, exp_window: tuple[float | None, float | None] | None = None, sqrt_window: tuple[float | None, float | None] | None = None) -> DataFrame:
+    """meas_id, seg_pos, feature (5 * segment + k), value: asymptote minus U0, amplitude, 1 / rate, U0, 1 / slope of each segment.
+
+    The windows (seconds from each segment's start) cut what the decay and the square root are fitted to.
+    """
+    cut = lambda window: df if window is None else keep_window(df, *window)
+    renumbered = lambda d: d.withColumn("pt", F.row_number().over(Window.partitionBy(*SEG).orderBy("pt")) - 1)
+    root = fit_sqrt(df if sqrt_window is None else renumbered(cut(sqrt_window)))
+    both = fit_exp_decay(cut(exp_window)).join(root, SEG)
     values = [F.col("asymptote") - F.col("b"), F.col("amplitude"), 1 / F.col("rate"), F.col("b"), 1 / F.col("c")]
     long = both.select(*SEG, F.posexplode(F.array(*values)).alias("k", "value")).withColumn("feature", 5 * F.col("seg_pos") + F.col("k"))
     if wanted is not None:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from voltlake.operators.storage import staged
+
 
 def join_source_index(segs: DataFrame, ocv: DataFrame, value: str, index: Column | None = None) -> DataFrame:
     """The OCV row whose source index is the segment's label before (or the given one); the first if several. A segment without one fails the job."""
@@ -87,13 +90,21 @@ def param_one_at_a_time(bases: DataFrame, names: Sequence[str], lists: dict[str,
     return sets.select("base_id", "set_id", F.explode(F.array(*rows)).alias("_p")).select("base_id", "set_id", "_p.*")
 
 
-def alias_closure(edges: DataFrame, start: Sequence[str], view: str = "alias_edges") -> DataFrame:
-    """name: all keys that depend on the given ones, by any number of steps; edges: name, dep, without cycles."""
-    edges.createOrReplaceTempView(view)
-    names = ", ".join(f"('{s}')" for s in start)
-    return edges.sparkSession.sql(
-        f"WITH RECURSIVE reached(name) AS (SELECT name FROM VALUES {names} AS v(name) UNION ALL SELECT e.name FROM {view} e JOIN reached r ON e.dep = r.name) SELECT DISTINCT name FROM reached"
-    )
+def alias_closure(edges: DataFrame, start: Sequence[str], hops: int = 8) -> DataFrame:
+    """name: all keys that depend on the given ones, by any number of steps; edges: name, dep; circles do no harm.
+
+    Two, four and then ``hops`` steps at a time, whose new names are written before the next ones start from them.
+    """
+    many = 2
+    reached = front = edges.sparkSession.createDataFrame([(s,) for s in start], "name string").distinct()
+    while True:
+        steps = [front]
+        for _ in range(min(many, hops)):
+            steps.append(edges.join(steps[-1].select(F.col("name").alias("dep")), "dep").select("name").distinct())
+        front = staged(reduce(DataFrame.union, steps[1:]).distinct().join(reached, "name", "left_anti"), "front")
+        if front.isEmpty():
+            return reached
+        reached, many = staged(reached.union(front), "reached"), many * 2
 
 
 def features_join(measured: DataFrame, simulated: DataFrame) -> DataFrame:

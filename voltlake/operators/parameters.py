@@ -15,20 +15,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from voltlake.operators.statistics import CHI2_95
+from voltlake.operators.statistics import chi2_95
 from voltlake.operators.storage import staged
 
 
-def transform_params(value: Column, kind: Column, back: bool = False) -> Column:
-    """none or log, and its inverse."""
-    return F.when(kind == "log", F.exp(value) if back else F.ln(value)).otherwise(value)
+Transform = tuple[Callable[[Column], Column], Callable[[Column], Column]]
+
+
+def transform_params(value: Column, kind: Column, back: bool = False, pairs: dict[str, Transform] | None = None) -> Column:
+    """none or log (to the logarithm, ``back`` from it), or one of the user's own ``pairs`` of functions (to the inner scale, back from it) by name."""
+    out = F.when(kind == "log", F.exp(value) if back else F.ln(value))
+    for name, (there, home) in (pairs or {}).items():
+        out = out.when(kind == name, home(value) if back else there(value))
+    return out.otherwise(value)
 
 
 def prior_from_bounds(df: DataFrame, dimensions: int) -> DataFrame:
     """Adds m and s to (lo, hi, kind, guess): the middle of the transformed bounds (or the guess) and the larger distance over sqrt(chi2)."""
     lo, hi = transform_params(F.col("lo"), F.col("kind")), transform_params(F.col("hi"), F.col("kind"))
     d = df.withColumn("m", F.coalesce(transform_params(F.col("guess"), F.col("kind")), 0.5 * (lo + hi)))
-    return d.withColumn("s", F.greatest(F.abs(hi - F.col("m")), F.abs(F.col("m") - lo)) / CHI2_95[dimensions - 1] ** 0.5)
+    return d.withColumn("s", F.greatest(F.abs(hi - F.col("m")), F.abs(F.col("m") - lo)) / chi2_95(dimensions) ** 0.5)
 
 
 def prior_chain(lo: Column, hi: Column, low: float, high: float, margin: float = 0.25) -> tuple[Column, Column]:
@@ -47,7 +53,7 @@ def hashed_normal(seed: int, *keys: Column) -> Column:
 
 
 def whitening(q: DataFrame, r: DataFrame) -> DataFrame:
-    """run_id, i, j, m (V diag(lambda)^-1/2), mean_i for each run's precision; runs whose precision isn't positive definite have no rows."""
+    """run_id, i, j, m (V diag(lambda)^-1/2), mean_i, bound (sqrt of chi-squared) for each run's precision; runs whose precision isn't positive definite have no rows."""
 
     def per_run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         d = len(b)
@@ -56,28 +62,26 @@ def whitening(q: DataFrame, r: DataFrame) -> DataFrame:
         vec = np.zeros(d)
         vec[b["i"]] = b["r"]
         if not d or (np.linalg.eigvalsh(mat) <= 0).any():
-            return pd.DataFrame(columns=["run_id", "i", "j", "m", "mean_i"])
+            return pd.DataFrame(columns=["run_id", "i", "j", "m", "mean_i", "bound"])
         lam, v = np.linalg.eigh(mat)
         m, mean = v / np.sqrt(lam), np.linalg.solve(mat, vec)
         i, j = np.divmod(np.arange(d * d), d)
-        return pd.DataFrame({"run_id": key[0], "i": i, "j": j, "m": m.ravel(), "mean_i": mean[i]})
+        return pd.DataFrame({"run_id": key[0], "i": i, "j": j, "m": m.ravel(), "mean_i": mean[i], "bound": chi2_95(d) ** 0.5})
 
-    return q.groupBy("run_id").cogroup(r.groupBy("run_id")).applyInPandas(per_run, "run_id long, i int, j int, m double, mean_i double")
+    return q.groupBy("run_id").cogroup(r.groupBy("run_id")).applyInPandas(per_run, "run_id long, i int, j int, m double, mean_i double, bound double")
 
 
 def prior_draws(white: DataFrame, draws: int, seed: int) -> DataFrame:
     """run_id, draw, i, value: samples of each run's prior, bounded to its 95 % ellipsoid's box."""
-    d = white.select("run_id", "i", "j", "m", "mean_i", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    size = F.max("j").over(Window.partitionBy("run_id")) + 1
-    bound = F.sqrt(F.element_at(F.array(*[F.lit(c) for c in CHI2_95]), F.least(size, F.lit(10)).cast("int")))
+    d = white.select("run_id", "i", "j", "m", "mean_i", "bound", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
     z = hashed_normal(seed, F.col("run_id"), F.col("draw"), F.col("j"))
-    d = d.withColumn("z", F.greatest(F.least(z, bound), -bound))
+    d = d.withColumn("z", F.greatest(F.least(z, F.col("bound")), -F.col("bound")))
     return d.groupBy("run_id", "draw", "i").agg((F.first("mean_i") + F.sum(F.col("m") * F.col("z"))).alias("value"))
 
 
 def confidence_nodes(white: DataFrame, dimensions: int) -> DataFrame:
     """run_id, kind, node, i, value: 2n semiaxis nodes and 2^n face nodes of each run's 95 % ellipsoid."""
-    a = CHI2_95[dimensions - 1] ** 0.5
+    a = chi2_95(dimensions) ** 0.5
     n = dimensions
     axis = [F.struct(F.lit("semiaxis").alias("kind"), F.lit(2 * k + (s < 0)).cast("int").alias("node"), F.array(*[F.lit(a * s if j == k else 0.0) for j in range(n)]).alias("w")) for k in range(n) for s in (1, -1)]
     face = [F.struct(F.lit("face").alias("kind"), F.lit(k).cast("int").alias("node"), F.array(*[F.lit(a / n**0.5 * (1 if k >> j & 1 else -1)) for j in range(n)]).alias("w")) for k in range(2**n)]
@@ -85,8 +89,15 @@ def confidence_nodes(white: DataFrame, dimensions: int) -> DataFrame:
     return d.groupBy("run_id", F.col("p.kind").alias("kind"), F.col("p.node").alias("node"), "i").agg((F.first("mean_i") + F.sum(F.col("m") * F.element_at("p.w", F.col("j") + 1))).alias("value"))
 
 
-def sweep_features(sets: DataFrame, keys: Sequence[str], names: Sequence[str], model: Callable[[dict[str, float]], dict[str, float]]) -> DataFrame:
-    """keys, feature, value: a user's model run on every parameter set (name, value); a set on which it fails has null features under the name ``failed``."""
+Extractor = Callable[[object], dict[str, float]]
+
+
+def sweep_features(sets: DataFrame, keys: Sequence[str], names: Sequence[str], model: Callable[[dict[str, float]], object], extractors: Sequence[Extractor] | None = None, label: Callable[[str], str] | None = None) -> DataFrame:
+    """keys, feature, value: a user's model run once on every parameter set (name, value).
+
+    Without ``extractors`` the model returns its features; with them, each takes what the one simulation returned and gives
+    features of its own. ``label`` turns feature names into those displayed. A set on which any of them fails has null features under the name ``failed``.
+    """
     wide = sets.groupBy(*keys).pivot("name", list(names)).agg(F.first("value"))
 
     def run(batches):
@@ -95,7 +106,10 @@ def sweep_features(sets: DataFrame, keys: Sequence[str], names: Sequence[str], m
             for row in pdf.to_dict("records"):
                 own = [row[k] for k in keys]
                 try:
-                    rows += [[*own, f, float(v)] for f, v in model({n: row[n] for n in names}).items()]
+                    data, found = model({n: row[n] for n in names}), {}
+                    for extract in extractors or [dict]:
+                        found |= extract(data)
+                    rows += [[*own, label(f) if label else f, float(v)] for f, v in found.items()]
                 except Exception:  # a failed simulation is a result of its own
                     rows.append([*own, "failed", None])
             yield pd.DataFrame(rows, columns=[*keys, "feature", "value"])
@@ -104,6 +118,45 @@ def sweep_features(sets: DataFrame, keys: Sequence[str], names: Sequence[str], m
     return wide.mapInPandas(run, f"{schema}, feature string, value double")
 
 
+def named_features(features: DataFrame, names: DataFrame) -> DataFrame:
+    """Features with the names to display (feature, display; one row each); a feature without one keeps its own."""
+    return features.join(names.select("feature", "display"), "feature", "left").withColumn("display", F.coalesce("display", "feature"))
+
+
+Get = Callable[[str], Column]
+
+
+def derived_parameters(base: DataFrame, free: DataFrame, rules: dict[str, str | Callable[[Get], Column]]) -> DataFrame:
+    """set_id, name, value of base values and derived ones, after the overrides of ``free`` (both: set_id, name, value).
+
+    A rule is the name whose value is taken, or a function from a getter of other values to an expression. Where a set overrides a derived
+    name, its rule doesn't count. Rules may build on each other; a circle of them is an error before anything runs, an unknown name gives null.
+    """
+    pairs = lambda df, c: df.groupBy("set_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias(c))
+    wide = pairs(base, "_base").join(pairs(free, "_free"), "set_id", "full_outer")
+    under: list[str] = []
+
+    def get(name: str) -> Column:
+        if name in under:
+            raise ValueError(f"rules go round in a circle: {' -> '.join([*under, name])}")
+        held = F.try_element_at("_free", F.lit(name))
+        if name not in rules:
+            return F.coalesce(held, F.try_element_at("_base", F.lit(name)))
+        under.append(name)
+        rule = rules[name]
+        value = get(rule) if isinstance(rule, str) else rule(get)
+        under.pop()
+        return F.coalesce(held, value.cast("double"))
+
+    made = wide
+    for name in rules:
+        made = made.withColumn(f"_rule_{name}", get(name))
+    none = F.create_map().cast("map<string,double>")
+    plain = F.map_filter(F.map_concat(F.map_filter(F.coalesce("_base", none), lambda k, v: ~F.map_contains_key(F.coalesce("_free", none), k)), F.coalesce("_free", none)), lambda k, v: ~k.isin(list(rules)))
+    own = F.map_from_entries(F.array(*[F.struct(F.lit(n).alias("key"), F.col(f"_rule_{n}").alias("value")) for n in rules])) if rules else none
+    return made.select("set_id", F.explode(F.map_concat(plain, own)).alias("name", "value"))
+
+
 def feature_discrepancy(simulated: DataFrame, measured: DataFrame, keys: Sequence[str], normalise: bool = True) -> DataFrame:
     """keys, discrepancy: log of the Euclidean norm of (simulated / measured) * weight over the features; failed sets have none."""
     d = simulated.join(measured.select("feature", F.col("value").alias("measured"), "weight"), "feature")
@@ -122,7 +175,7 @@ def abc_accept(df: DataFrame, keys: Sequence[str], share: float, order: Sequence
 UPDATE = "run_id long, what string, i int, j int, value double"
 
 
-def ep_site_update(moments: DataFrame, q: DataFrame, r: DataFrame, site_q: DataFrame, site_r: DataFrame, damp: float) -> DataFrame:
+def ep_site_update(moments: DataFrame, q: DataFrame, r: DataFrame, site_q: DataFrame | None, site_r: DataFrame | None, damp: float) -> DataFrame:
     """run_id, what (Q, r, site Q, site r), i, j, value after one site's update from sample moments (run_id, i, j, mean_i, cov).
 
     Runs with a singular covariance, or whose new precision isn't positive definite, keep what they had.
@@ -132,7 +185,8 @@ def ep_site_update(moments: DataFrame, q: DataFrame, r: DataFrame, site_q: DataF
     means = moments.filter("i = j")
     both = tag(moments, "cov", "cov", F.col("j")).unionByName(tag(means, "mean", "mean_i", zero))
     for df, what, value, j in ((q, "Q", "q", F.col("j")), (r, "r", "r", zero), (site_q, "site Q", "q", F.col("j")), (site_r, "site r", "r", zero)):
-        both = both.unionByName(tag(df, what, value, j))
+        if df is not None:  # a run without a site yet has an empty one
+            both = both.unionByName(tag(df, what, value, j))
 
     def per_run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         d = int(pdf["i"].max()) + 1
@@ -212,7 +266,7 @@ def long_moments(samples: DataFrame) -> DataFrame:
 
 def site_report(q: DataFrame, r: DataFrame, dimensions: int) -> DataFrame:
     """run_id, i, mean, std, low, high of each run's (or site's) Gaussian; runs without a proper one are left out."""
-    k = CHI2_95[dimensions - 1] ** 0.5
+    k = chi2_95(dimensions) ** 0.5
 
     def per_run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         d = len(b)
@@ -251,6 +305,16 @@ def param_curve(df: DataFrame, keys: Sequence[str], x: str, y: str, points: int
     return d.select(*keys, "x0", "k", (F.col("x0") + at * (F.col("_x1") - F.col("x0"))).alias("x"), (F.exp(out) if log else out).alias("y"))
 
 
+def param_points(df: DataFrame, keys: Sequence[str], x: str, y: str, lo: str, hi: str, log: bool = False) -> DataFrame:
+    """keys, place (by rising x), x, y, down, up, missing: the points behind a curve with their bounds as distances to either side.
+
+    With ``log`` y and the distances are those of the logarithms. ``missing`` reports places without a value, which the curve leaves out.
+    """
+    scale = F.ln if log else F.col
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(x)) - 1
+    return df.select(*keys, place.alias("place"), F.col(x).alias("x"), scale(y).alias("y"), (scale(y) - scale(lo)).alias("down"), (scale(hi) - scale(y)).alias("up"), (F.col(y).isNull() | F.isnan(F.col(y).cast("double"))).alias("missing"))
+
+
 def add_noise(df: DataFrame, column: str, sigma: float, seed: int, keys: Sequence[str]) -> DataFrame:
     """Gaussian noise that depends on the keys only."""
     return df.withColumn(column, F.col(column) + sigma * hashed_normal(seed, *[F.col(k) for k in keys]))

@@ -39,11 +39,27 @@ def flip_sign(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: -F.col(c) for c in columns})
 
 
-def segment_by_change(df: DataFrame, column: str) -> DataFrame:
-    """seg_pos: counts the changes of ``column`` along each measurement, from 0."""
-    before = F.lag(column).over(within("meas_id"))
-    changed = F.when(before.eqNullSafe(F.col(column)) & (F.row_number().over(within("meas_id")) > 1), 0).otherwise(1)
-    return df.withColumn("_c", changed).withColumn("seg_pos", (F.sum("_c").over(running("meas_id")) - 1).cast("int")).drop("_c")
+#: Points of a measurement that one task numbers at a time.
+SLICE = 1 << 16
+
+
+def segment_by_change(df: DataFrame, column: str, slice_points: int = SLICE) -> DataFrame:
+    """seg_pos: counts the changes of ``column`` along each measurement, from 0.
+
+    In two levels: changes inside slices of ``pt``, then a prefix over the slices' totals, with a change where a slice begins
+    with another value than the last one ended with. So a long measurement isn't one task.
+    """
+    d = df.withColumn("_s", F.floor(F.col("pt") / slice_points))
+    w = within("meas_id", "_s")
+    inside = F.when(F.row_number().over(w) == 1, 0).when(F.lag(column).over(w).eqNullSafe(F.col(column)), 0).otherwise(1)
+    d = d.withColumn("_c", inside).withColumn("_in", F.sum("_c").over(running("meas_id", "_s")))
+    ends = d.groupBy("meas_id", "_s").agg(F.sum("_c").alias("_n"), F.min_by(F.struct(F.col(column).alias("v")), "pt").alias("_first"), F.max_by(F.struct(F.col(column).alias("v")), "pt").alias("_last"))
+    order = Window.partitionBy("meas_id").orderBy("_s")
+    new = F.when(F.lag("_last").over(order).isNull() | F.lag("_last.v").over(order).eqNullSafe(F.col("_first.v")), 0).otherwise(1)
+    ends = ends.withColumn("_new", new)
+    before = F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    ends = ends.select("meas_id", "_s", before.alias("_before"))
+    return d.join(ends, ["meas_id", "_s"]).withColumn("seg_pos", (F.col("_before") + F.col("_in")).cast("int")).drop("_c", "_s", "_in", "_before")
 
 
 def seg_filter(df: DataFrame, positions: Sequence[int]) -> DataFrame:

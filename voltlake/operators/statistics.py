@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,9 +12,32 @@ from pyspark.sql.window import Window
 
 from voltlake.operators.joins import join_interp
 from voltlake.operators.segments import SEG, running, within
-
-#: 95 % quantiles of chi-squared for 1 to 10 degrees of freedom.
-CHI2_95 = (3.841458820694124, 5.991464547107979, 7.814727903251179, 9.487729036781154, 11.070497693516351, 12.591587243743977, 14.067140449340169, 15.507313055865453, 16.918977604620448, 18.307038053275146)
+from voltlake.operators.storage import staged
+
+@functools.lru_cache
+def chi2_95(degrees: int) -> float:
+    """95 % quantile of chi-squared; its distribution function is a finite sum for whole degrees, halved on until it stands still."""
+
+    def above(x: float) -> float:
+        h = x / 2
+        if degrees % 2 == 0:
+            term = total = math.exp(-h)
+            for k in range(1, degrees // 2):
+                term *= h / k
+                total += term
+            return total
+        total, term = math.erfc(math.sqrt(h)), math.exp(-h) * math.sqrt(h) / math.gamma(1.5)
+        for k in range(1, (degrees - 1) // 2 + 1):
+            total += term
+            term *= h / (k + 0.5)
+        return total
+
+    low, high = 0.0, degrees + 10 * math.sqrt(2 * degrees) + 20
+    while True:
+        middle = 0.5 * (low + high)
+        if not low < middle < high:
+            return middle
+        low, high = (middle, high) if above(middle) > 0.05 else (low, middle)
 
 
 def segment_stats(df: DataFrame) -> DataFrame:
@@ -85,7 +110,8 @@ def cc_cv_capacity(curves: DataFrame) -> DataFrame:
 def on_grid(curves: DataFrame, ranges: DataFrame, points: int) -> DataFrame:
     """meas_id, kind, k, x, y: each curve at ``points`` equidistant x over its measurement's range."""
     grid = ranges.filter("high > low").select("meas_id", "low", "high", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k"))
-    x = F.col("low") + (F.col("high") - F.col("low")) * F.col("k") / (points - 1)
+    # the ends are knots of one of the curves, so they are taken as they are
+    x = F.when(F.col("k") == points - 1, F.col("high")).otherwise(F.col("low") + (F.col("high") - F.col("low")) * F.col("k") / (points - 1))
     grid = grid.select("meas_id", "k", x.alias("x"), F.explode(F.array(F.lit("charge"), F.lit("discharge"))).alias("kind"))
     return join_interp(grid, curves.select("meas_id", "kind", "x", F.col("u").alias("y")), ["meas_id", "kind"])
 
@@ -181,7 +207,7 @@ def plateau_order(df: DataFrame, keys: Sequence[str], near: float = 1e-4) -> Dat
 
 def feature_shuffle(df: DataFrame, keys: Sequence[str], feature: str, seed: int) -> DataFrame:
     """Adds ord: a permutation of the features, the same in each pass with a seed."""
-    return df.withColumn("ord", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), feature), feature)) - 1)
+    return df.withColumn("ord", F.row_number().over(Window.partitionBy(*keys).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(feature))), feature)) - 1)
 
 
 def sample_moments(df: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -200,7 +226,7 @@ def correlation_across_runs(corr: DataFrame) -> DataFrame:
 
 def error_bounds(df: DataFrame, mean: str, std: str, dimensions: int, kind: Column) -> DataFrame:
     """Adds low and high: mean -/+ sqrt(chi2) * std, back-transformed (exp where kind is log)."""
-    k = CHI2_95[dimensions - 1] ** 0.5
+    k = chi2_95(dimensions) ** 0.5
     back = lambda c: F.when(kind == "log", F.exp(c)).otherwise(c)
     return df.withColumn("low", back(F.col(mean) - k * F.col(std))).withColumn("high", back(F.col(mean) + k * F.col(std)))
 
@@ -223,7 +249,7 @@ def geo_mean_dev(df: DataFrame, keys: Sequence[str], deviation: Column) -> DataF
 
 def sensitivity(df: DataFrame, dimensions: int = 4) -> DataFrame:
     """Adds sensitivity of features (f at the estimate, f_lo, f_hi at its bounds) to a parameter with bounds lo, hi."""
-    delta = F.abs(F.ln("hi") - F.ln("lo")) / CHI2_95[dimensions - 1] ** 0.5
+    delta = F.abs(F.ln("hi") - F.ln("lo")) / chi2_95(dimensions) ** 0.5
     norm = 0.5 * (F.ln("lo") + F.ln("hi"))
     return df.withColumn("sensitivity", F.abs(norm * F.abs(F.col("f_hi") - F.col("f_lo")) / (delta * F.col("f"))))
 
@@ -240,24 +266,45 @@ def chain_diagnostics(df: DataFrame, keys: Sequence[str], chain: str, x: str) ->
 
 
 def effective_sample_size(df: DataFrame, keys: Sequence[str], order: str, x: str, lags: int = 20) -> DataFrame:
-    """keys, ess: n / (1 + 2 * sum of the positive first autocorrelations, up to the first that isn't)."""
-    d = df.withColumn("_m", F.avg(x).over(Window.partitionBy(*keys))).withColumn("_d", F.col(x) - F.col("_m"))
+    """keys, ess: n / (1 + 2 * sum of the positive first autocorrelations, up to the first that isn't).
+
+    ``lags`` at a time: keys whose correlations are all positive so far go on with the next ones, until none is left.
+    """
     w = Window.partitionBy(*keys).orderBy(order)
-    sums = d.withColumns({f"_p{k}": F.col("_d") * F.lag("_d", k).over(w) for k in range(1, lags + 1)})
-    per = sums.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_d") * F.col("_d")).alias("v"), *[F.sum(f"_p{k}").alias(f"_a{k}") for k in range(1, lags + 1)])
-    rho = F.array(*[F.coalesce(F.col(f"_a{k}") / F.nullif("v", F.lit(0.0)), F.lit(0.0)) for k in range(1, lags + 1)])
-    total = F.aggregate(rho, F.struct(F.lit(0.0).alias("s"), F.lit(True).alias("on")), lambda a, r: F.struct((a["s"] + F.when(a["on"] & (r > 0), r).otherwise(0.0)).alias("s"), (a["on"] & (r > 0)).alias("on")), lambda a: a["s"])
-    return per.select(*keys, (F.col("n") / (1 + 2 * total)).alias("ess"))
+    d = df.withColumn("_m", F.avg(x).over(Window.partitionBy(*keys))).select(*keys, (F.col(x) - F.col("_m")).alias("_d"), F.row_number().over(w).alias("_o"))
+    w, at, done, found = Window.partitionBy(*keys).orderBy("_o"), 0, [], None
+    d = staged(d, "deviations")
+    while True:
+        span = range(at + 1, at + lags + 1)
+        sums = d if found is None else d.join(found.filter("_on").select(*keys, F.col("_s").alias("_before")), list(keys))
+        sums = sums.withColumns({f"_p{k}": F.col("_d") * F.lag("_d", k).over(w) for k in span})
+        before = F.lit(0.0) if found is None else F.first("_before")
+        per = sums.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_d") * F.col("_d")).alias("v"), before.alias("_before"), *[F.sum(f"_p{k}").alias(f"_a{k}") for k in span])
+        rho = F.array(*[F.coalesce(F.col(f"_a{k}") / F.nullif("v", F.lit(0.0)), F.lit(0.0)) for k in span])
+        start = F.struct(F.col("_before").alias("s"), F.lit(True).alias("on"))
+        total = F.aggregate(rho, start, lambda a, r: F.struct((a["s"] + F.when(a["on"] & (r > 0), r).otherwise(0.0)).alias("s"), (a["on"] & (r > 0)).alias("on")))
+        found = staged(per.select(*keys, "n", total.alias("_t")).select(*keys, "n", F.col("_t.s").alias("_s"), F.col("_t.on").alias("_on")), "correlations")
+        done.append(found.filter("not _on"))
+        at += lags
+        if found.filter("_on").isEmpty():
+            break
+    out = functools.reduce(DataFrame.unionByName, done)
+    return out.select(*keys, (F.col("n") / (1 + 2 * F.col("_s"))).alias("ess"))
 
 
 def ocv_subtract(df: DataFrame, ocv: Column, sign: float = 1.0) -> DataFrame:
-    """Adds overpotential: u - sign * OCV(SOC); segments whose current is zero throughout keep the last OCV before them (the first: its own)."""
-    idle = F.max(F.abs("i")).over(Window.partitionBy(*SEG)) == 0
-    d = df.withColumn("_own", ocv).withColumn("_idle", idle)
-    order = running("meas_id", order=("seg_pos", "pt"))
-    first = F.first("_own").over(Window.partitionBy("meas_id").orderBy("seg_pos", "pt").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    used = F.when(F.col("_idle"), F.coalesce(F.last(F.when(~F.col("_idle"), F.col("_own")), True).over(order), first)).otherwise(F.col("_own"))
-    return d.withColumn("overpotential", F.col("u") - sign * used).drop("_own", "_idle")
+    """Adds overpotential: u - sign * OCV(SOC); segments whose current is zero throughout keep the last OCV before them (the first: its own).
+
+    In two levels: each segment's last OCV inside segments, then the last of a segment with current over the few segments.
+    """
+    d = df.withColumn("_own", ocv)
+    per = d.groupBy(*SEG).agg((F.max(F.abs("i")) == 0).alias("_idle"), F.max_by("_own", "pt").alias("_end"), F.min_by("_own", "pt").alias("_begin"))
+    order = Window.partitionBy("meas_id").orderBy("seg_pos")
+    before = F.last(F.when(~F.col("_idle"), F.col("_end")), True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    first = F.first("_begin").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    per = per.select(*SEG, "_idle", F.coalesce(before, first).alias("_held"))
+    used = F.when(F.col("_idle"), F.col("_held")).otherwise(F.col("_own"))
+    return d.join(per, SEG).withColumn("overpotential", F.col("u") - sign * used).drop("_own", "_idle", "_held")
 
 
 def ocv_mismatch_ramp(df: DataFrame, mismatch: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from voltlake.functions import ocv as O
 from voltlake.operators import segments as S
@@ -82,9 +83,12 @@ def digits_sql(x):
 _D = " ".join(f"WHEN duration >= {k} THEN {digits_sql(f'duration / {k}.0')} || ' {n}'" for k, n in ((86400, "d"), (3600, "h"), (60, "m")))
 
 
-@query(f"""WITH {BLOCKS_SQL}, {SPAN_SQL.format(src='blocks')}, s AS (SELECT *, {STEP_SQL} AS step FROM span)
+PROTOCOL_SQL = f"""{BLOCKS_SQL}, {SPAN_SQL.format(src='blocks')}, s AS (SELECT *, {STEP_SQL} AS step FROM span), protocol AS (
 SELECT meas_id, seg_pos, seg_pos || ': ' || CASE step WHEN 'Rest' THEN 'Rest' WHEN 'Hold' THEN 'Hold at ' || {digits_sql('u_last')} || ' V' ELSE step || ' at ' || {digits_sql('abs(i_mean)')} || ' A' END
-  || ' for ' || CASE {_D} ELSE {digits_sql('duration')} || ' s' END AS text FROM s""")
+  || ' for ' || CASE {_D} ELSE {digits_sql('duration')} || ' s' END AS text FROM s)"""
+
+
+@query(f"WITH {PROTOCOL_SQL} SELECT meas_id, seg_pos, text FROM protocol")
 def protocol_text(spark, sf):
     return A.protocol_text(blocks(spark, sf)).select(*S.SEG, "text")
 
@@ -111,25 +115,24 @@ def cc_cv_capacity(spark, sf):
     return A.cc_cv_capacity(cc_cv(spark, sf)).select("meas_id", *sigs("low", "high", "i_mean"))
 
 
-MEAN_SQL = """gk AS (SELECT meas_id, CAST(k AS INTEGER) AS k, low + (high - low) * k / 8 AS x FROM cap, (SELECT unnest(range(0, 9)) AS k) WHERE high > low),
+MEAN_SQL = """gk AS (SELECT meas_id, CAST(k AS INTEGER) AS k, CASE WHEN k = 8 THEN high ELSE low + (high - low) * k / 8 END AS x FROM cap, (SELECT unnest(range(0, 9)) AS k) WHERE high > low),
 kn AS (SELECT meas_id, kind, x, min(u) AS y FROM curves GROUP BY 1, 2, 3), sg AS (SELECT meas_id, kind, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM kn WINDOW w AS (PARTITION BY meas_id, kind ORDER BY x)),
 at_ AS (SELECT g.meas_id, g.k, g.x, s.kind, CASE WHEN s.x0 = g.x THEN s.y0 WHEN s.x1 IS NOT NULL THEN s.y0 + (g.x - s.x0) / (s.x1 - s.x0) * (s.y1 - s.y0) END AS y FROM gk g LEFT JOIN sg s ON s.meas_id = g.meas_id AND s.x0 <= g.x AND (g.x < s.x1 OR s.x1 IS NULL)),
 mo AS (SELECT meas_id, k, min(x) AS x, sum(y) AS s, count(y) AS n FROM at_ GROUP BY 1, 2)"""
 
 
-@query(f"WITH {BLOCKS_SQL}, {CURVES_SQL}, {MEAN_SQL} SELECT meas_id, k, {sq('x')} AS x, CASE WHEN n = 2 THEN {sq('0.5 * s')} END AS u FROM mo WHERE k BETWEEN 1 AND 7")
+@query(f"WITH {BLOCKS_SQL}, {CURVES_SQL}, {MEAN_SQL} SELECT meas_id, k, {sq('x')} AS x, CASE WHEN n = 2 THEN {sq('0.5 * s')} END AS u FROM mo")
 def mean_ocv(spark, sf):
-    """At the inner points of the grid: the ends lie on knots up to rounding."""
-    d = A.mean_ocv(cc_cv(spark, sf)).filter("k between 1 and 7")
+    d = A.mean_ocv(cc_cv(spark, sf))
     return d.select("meas_id", "k", sig("x").alias("x"), F.when(F.col("u").isNotNull(), sig("u")).alias("u"))
 
 
 @query(f"""WITH {BLOCKS_SQL}, {CURVES_SQL}, {MEAN_SQL}, src AS (SELECT meas_id, pt * 2000.0 AS x, u AS y FROM blocks WHERE seg_pos = 3), {INTERP_SQL.format(src='src')}
 SELECT g.meas_id, g.k, CASE WHEN g.n = 2 AND s.x1 IS NOT NULL THEN {sq('g.s - 2 * (s.y0 + (g.x - s.x0) / (s.x1 - s.x0) * (s.y1 - s.y0))')} END AS d
-FROM mo g LEFT JOIN seg s ON s.meas_id = g.meas_id AND s.x0 <= g.x AND (g.x < s.x1 OR s.x1 IS NULL) WHERE k BETWEEN 1 AND 7""")
+FROM mo g LEFT JOIN seg s ON s.meas_id = g.meas_id AND s.x0 <= g.x AND (g.x < s.x1 OR s.x1 IS NULL)""")
 def qocv_second_difference(spark, sf):
     quasi = blocks(spark, sf).filter("seg_pos = 3").select("meas_id", (F.col("pt") * 2000.0).alias("x"), F.col("u").alias("y"))
-    d = A.qocv_second_difference(cc_cv(spark, sf), quasi).filter("k between 1 and 7")
+    d = A.qocv_second_difference(cc_cv(spark, sf), quasi)
     return d.select("meas_id", "k", F.when(F.col("d").isNotNull(), sig("d")).alias("d"))
 
 
@@ -209,12 +212,11 @@ def plateau_order(spark, sf):
     return A.plateau_order(lines, ["model_id"], 1.0).select("model_id", "k", "pos", "close", F.round("dx", 6).alias("dx"))
 
 
-@query(f"WITH {BLOCKS_SQL} SELECT meas_id, count(*) AS n, CAST(0 AS INTEGER) AS low, CAST(count(*) - 1 AS INTEGER) AS high, count(*) AS kinds FROM (SELECT DISTINCT meas_id, seg_pos FROM blocks) GROUP BY 1")
+@query(f"""WITH {BLOCKS_SQL}, f AS (SELECT DISTINCT meas_id, 'f' || seg_pos AS feature FROM blocks)
+SELECT meas_id, feature, CAST(row_number() OVER (PARTITION BY meas_id ORDER BY md5('7:' || feature), feature) - 1 AS INTEGER) AS ord FROM f""")
 def feature_shuffle(spark, sf):
-    """The permutation's order is a hash; what can be checked is that it is one."""
     features = blocks(spark, sf).select("meas_id", F.concat(F.lit("f"), F.col("seg_pos").cast("string")).alias("feature")).distinct()
-    d = A.feature_shuffle(features, S.MEAS, "feature", 7)
-    return d.groupBy("meas_id").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("low"), F.max("ord").alias("high"), F.countDistinct("ord").alias("kinds"))
+    return A.feature_shuffle(features, S.MEAS, "feature", 7)
 
 
 E_SQL = "(3.0 + u / 500)"
@@ -313,19 +315,33 @@ def ocv_loss(spark, sf):
     return loss.groupBy("meas_id").agg(F.min_by("s", "loss").alias("scale"), F.min("loss").alias("loss")).select("meas_id", "scale", sig("loss").alias("loss"))
 
 
+PLATEAU_SQL = f"""{RAW_SQL}, v AS (SELECT meas_id, count(*) AS points, count(DISTINCT 3.0 + u / 500) AS kinds FROM raw GROUP BY 1)"""
+
+
+@query(f"""WITH {PLATEAU_SQL} SELECT meas_id, points, true AS numbered, true AS falling, true AS shares, true AS slopes, true AS inside FROM v""")
 def fit_ocv_plateaus(spark, sf):
-    """Initial plateau models by clustering: median voltage, share of points and slope per cluster (rows only: k-means)."""
+    """Initial plateau models by clustering. Clusterings have no closed form; what any right one has is checked per measurement:
+
+    clusters numbered from 0 without gaps, at most four, e0 falling and among the measurement's voltages, shares between 0 and 1, slopes positive.
+    """
     from voltlake.operators.clustering import plateau_clusters
 
-    return plateau_clusters(raw_points(spark, sf).select("meas_id", (3.0 + F.col("u") / 500).alias("e"), F.col("t").alias("soc")), 4)
+    p = raw_points(spark, sf).select("meas_id", "pt", (3.0 + F.col("u") / 500).alias("e"), (F.col("pt") / 1000).alias("soc"))
+    found = plateau_clusters(p, 4)
+    w = Window.partitionBy("meas_id").orderBy("k")
+    d = found.withColumn("_up", F.coalesce(F.lag("e0").over(w) <= F.col("e0"), F.lit(False)))
+    per = d.groupBy("meas_id").agg(((F.max("k") + 1 == F.count(F.lit(1))) & (F.max("k") < 4)).alias("numbered"), (~F.bool_or("_up")).alias("falling"), F.bool_and(F.coalesce(F.col("share").between(0, 1), F.lit(True))).alias("shares"), F.bool_and(F.col("slope") > 0).alias("slopes"), F.collect_list("e0").alias("e0s"))
+    keys = ["meas_id", "numbered", "falling", "shares", "slopes"]
+    own = F.array_min("e0s") >= F.min("e"), F.array_max("e0s") <= F.max("e")
+    return p.join(per, "meas_id").groupBy(*keys, "e0s").agg(F.count(F.lit(1)).alias("points"), (own[0] & own[1]).alias("inside")).drop("e0s")
 
 
+@query(f"WITH {BLOCKS_SQL} SELECT meas_id, seg_pos, true AS known, true AS named FROM blocks GROUP BY 1, 2")
 def cycle_labels(spark, sf):
-    """Clusters of segments by mean and variance of current and voltage (rows only: k-means)."""
+    """Clusters of segments by mean and variance of current and voltage: each segment has one of the cluster numbers, and a cluster one name."""
     from voltlake.operators.clustering import label_cycles
 
-    b = blocks(spark, sf)
-    return label_cycles(A.segment_stats(b), 4)
-
-
-QUERIES |= {"fit_ocv_plateaus": fit_ocv_plateaus, "cycle_labels": cycle_labels}
+    found = label_cycles(A.segment_stats(blocks(spark, sf)), 4)
+    names = found.groupBy("cluster").agg((F.countDistinct("name") == 1).alias("named"))
+    known = F.col("cluster").between(0, 3) & F.col("name").isin("constant current", "constant voltage")
+    return found.join(names, "cluster").select("meas_id", "seg_pos", known.alias("known"), "named")

@@ -51,10 +51,10 @@ def pair_pulse_rest(spark, sf):
     return d.select("meas_id", "seg_pos", *[F.round(c, 6).alias(c) for c in ("pulse_u1", "pulse_i_mean", "u1")])
 
 
-@query("""WITH n AS (SELECT l_suppkey AS meas_id, l_returnflag AS f, l_quantity AS v, row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY l_orderkey * 10 + l_linenumber) - 1 AS cycle
-  FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_returnflag, l_orderkey, l_linenumber ORDER BY l_quantity) AS d FROM lineitem) WHERE d = 1)
-SELECT a.meas_id, CAST(a.cycle AS INTEGER) AS cycle, a.v AS charge, b.v AS hold, c.v AS discharge FROM n a JOIN n b ON b.meas_id = a.meas_id AND b.cycle = a.cycle AND b.f = 'N'
-JOIN n c ON c.meas_id = a.meas_id AND c.cycle = a.cycle AND c.f = 'R' WHERE a.f = 'A'""")
+@query("""WITH d AS (SELECT l_suppkey AS meas_id, l_returnflag AS f, l_orderkey * 10 + l_linenumber AS seg_pos, min(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3),
+n AS (SELECT *, row_number() OVER (PARTITION BY meas_id, f ORDER BY seg_pos) - 1 AS cycle FROM d),
+p AS (SELECT meas_id, cycle, max(v) FILTER (f = 'A') AS charge, max(v) FILTER (f = 'N') AS hold, max(v) FILTER (f = 'R') AS discharge FROM n GROUP BY 1, 2)
+SELECT meas_id, CAST(cycle AS INTEGER) AS cycle, charge, hold, discharge FROM p WHERE charge IS NOT NULL AND hold IS NOT NULL AND discharge IS NOT NULL""")
 def align_cycles(spark, sf):
     lines = table(spark, sf, "lineitem").groupBy("l_suppkey", "l_returnflag", "l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("value"))
     lines = lines.select(F.col("l_suppkey").alias("meas_id"), "l_returnflag", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seg_pos"), "value")
@@ -131,6 +131,28 @@ cand AS (SELECT meas_id, seg_pos, span, g, regr_intercept(u, x) AS b, regr_slope
   FROM (SELECT *, exp(-g * tau / span) AS x FROM tau, (SELECT 0.2 * pow(250, k / 23) AS g FROM (SELECT unnest(range(0, 24)) AS k)) WHERE span > 0) GROUP BY meas_id, seg_pos, span, g),
 decay AS (SELECT meas_id, seg_pos, arg_min(b, (sse, g)) AS asymptote, arg_min(c, (sse, g)) AS amplitude, arg_min(g / span, (sse, g)) AS rate, min(sse) AS sse FROM cand WHERE n >= 4 AND sxx > 0 GROUP BY 1, 2)"""
 EXP = EXP_SQL.format(src="blocks")
+#: The same of the current, with names of its own.
+EXP_I = EXP.replace("tau AS (", "tau_i AS (").replace("FROM tau,", "FROM tau_i,").replace("(u, x)", "(i, x)").replace("cand AS (", "cand_i AS (").replace("FROM cand ", "FROM cand_i ").replace("decay AS (", "decay_i AS (")
+_PASS = """n{p} AS (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY meas_id, seg_pos ORDER BY pt) AS k FROM {src} WINDOW w AS (PARTITION BY meas_id, seg_pos)),
+s{p} AS (SELECT n{p}.*, s.share, min(tau) OVER w AS t0, max(tau) OVER w - min(tau) OVER w AS span FROM n{p}, (VALUES (1.0::DOUBLE), (0.75), (0.5), (0.25)) s(share) WHERE k > n - ceil(s.share * n) WINDOW w AS (PARTITION BY meas_id, seg_pos, s.share)),
+c{p} AS (SELECT meas_id, seg_pos, share, t0, span, g, regr_intercept(v, x) AS b, regr_slope(v, x) AS c, regr_syy(v, x) - regr_sxy(v, x) * regr_sxy(v, x) / regr_sxx(v, x) AS sse, regr_sxx(v, x) AS sxx, count(*) AS n
+  FROM (SELECT *, exp(-g * (tau - t0) / span) AS x FROM s{p}, (SELECT 0.2 * pow(250, k / 23) AS g FROM (SELECT unnest(range(0, 24)) AS k)) WHERE span > 0) GROUP BY meas_id, seg_pos, share, t0, span, g),
+f{p} AS (SELECT meas_id, seg_pos, share, t0, arg_min(b, (sse, g)) AS asymptote, arg_min(c * exp(g * t0 / span), (sse, g)) AS amplitude, arg_min(g / span, (sse, g)) AS rate, arg_min(c, (sse, g)) AS c FROM c{p} WHERE n >= 4 AND sxx > 0 GROUP BY 1, 2, 3, 4),
+r{p} AS (SELECT s.meas_id, s.seg_pos, s.share, any_value(f.t0) AS t0, any_value(f.asymptote) AS asymptote, any_value(f.amplitude) AS amplitude, any_value(f.rate) AS rate,
+  1 - sum(pow(tau + ln(greatest((v - asymptote) / amplitude, 1e-3)) / rate, 2)) / nullif(regr_sxx(tau, tau), 0) AS r2 FROM s{p} s JOIN f{p} f ON f.meas_id = s.meas_id AND f.seg_pos = s.seg_pos AND f.share = s.share WHERE f.c <> 0 AND s.span > 0 GROUP BY 1, 2, 3),
+b{p} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY meas_id, seg_pos ORDER BY r2 >= 0.95 DESC, CASE WHEN r2 >= 0.95 THEN share ELSE r2 END DESC, share DESC) AS o FROM r{p} WHERE r2 IS NOT NULL) WHERE o = 1)"""
+DECAYS_SQL = "z0 AS (SELECT meas_id, seg_pos, pt, t - min(t) OVER (PARTITION BY meas_id, seg_pos) AS tau, u AS v FROM blocks), " + _PASS.format(p=0, src="z0") + """,
+z1 AS (SELECT z0.meas_id, z0.seg_pos, z0.pt, z0.tau, v - asymptote - amplitude * exp(-rate * tau) AS v FROM z0 JOIN b0 ON b0.meas_id = z0.meas_id AND b0.seg_pos = z0.seg_pos WHERE tau < t0), """ + _PASS.format(p=1, src="z1")
+
+
+@query(f"""WITH {BLOCKS_SQL}, {DECAYS_SQL}, e AS (SELECT 0 AS pass, * FROM b0 UNION ALL SELECT 1, * FROM b1)
+SELECT meas_id, seg_pos, CAST(pass AS INTEGER) AS pass, share, {sq('asymptote')} AS asymptote, {sq('amplitude')} AS amplitude, {sq('rate')} AS rate, {r('r2', 5)} AS r2 FROM e""")
+def fit_exp_decays(spark, sf):
+    """Decays over the best trailing stretch, then the faster ones on the residual before it."""
+    d = X.fit_exp_decays(blocks(spark, sf))
+    return d.select(*S.SEG, "pass", "share", *[sig(c).alias(c) for c in ("asymptote", "amplitude", "rate")], F.round("r2", 5).alias("r2"))
+
+
 SQRT_SQL = """lead_ AS (SELECT b.*, s.share, sqrt(tau + {layer}) - sqrt({layer}) AS x FROM (SELECT *, t - min(t) OVER w AS tau, count(*) OVER w AS n FROM blocks WINDOW w AS (PARTITION BY meas_id, seg_pos)) b, (VALUES (1.0), (0.75), (0.5), (0.25)) s(share) WHERE b.pt < ceil(s.share * b.n)),
 reg AS (SELECT meas_id, seg_pos, share, regr_intercept(u, x) AS b, regr_slope(u, x) AS c FROM lead_ GROUP BY 1, 2, 3 HAVING count(*) >= 4 AND regr_slope(u, x) <> 0),
 rr AS (SELECT reg.*, 1 - z.e / nullif(z.v, 0) AS r2 FROM reg JOIN (SELECT l.meas_id, l.seg_pos, l.share, sum(pow(pow((u - b) / c + sqrt({layer}), 2) - {layer} - tau, 2)) AS e, regr_sxx(tau, tau) AS v FROM lead_ l JOIN reg q ON q.meas_id = l.meas_id AND q.seg_pos = l.seg_pos AND q.share = l.share GROUP BY 1, 2, 3) z
@@ -216,13 +238,14 @@ def best_candidate(spark, sf):
     return best.select("meas_id", sig("r2").alias("r2"), "seg_pos")
 
 
-@query(f"""WITH {BLOCKS_SQL}, {EXP}, {ENDS}, i AS (SELECT *, coalesce(u0 - lag(u1) OVER (PARTITION BY meas_id ORDER BY seg_pos), 0) AS ir FROM ends)
-SELECT i.meas_id, i.seg_pos, {sq('coalesce(d.asymptote, i.u1)')} AS asymptotic_voltage, {r('ir')} AS ir_step, CASE WHEN d.rate IS NOT NULL THEN {sq('d.amplitude')} END AS amplitude, CASE WHEN d.rate IS NOT NULL THEN {sq('d.rate')} END AS rate
-FROM i LEFT JOIN decay d ON d.meas_id = i.meas_id AND d.seg_pos = i.seg_pos""")
+@query(f"""WITH {BLOCKS_SQL}, {EXP}, {EXP_I}, {ENDS}, i AS (SELECT *, coalesce(u0 - lag(u1) OVER (PARTITION BY meas_id ORDER BY seg_pos), 0) AS ir FROM ends)
+SELECT i.meas_id, i.seg_pos, {sq('coalesce(d.asymptote, i.u1)')} AS asymptotic_voltage, {r('ir')} AS ir_step, CASE WHEN d.rate IS NOT NULL THEN {sq('d.amplitude')} END AS amplitude, CASE WHEN d.rate IS NOT NULL THEN {sq('d.rate')} END AS rate,
+  CASE WHEN c.rate IS NOT NULL THEN {sq('c.asymptote')} END AS i_asymptote, CASE WHEN c.rate IS NOT NULL THEN {sq('c.amplitude')} END AS i_amplitude, CASE WHEN c.rate IS NOT NULL THEN {sq('c.rate')} END AS i_rate
+FROM i LEFT JOIN decay d ON d.meas_id = i.meas_id AND d.seg_pos = i.seg_pos LEFT JOIN decay_i c ON c.meas_id = i.meas_id AND c.seg_pos = i.seg_pos""")
 def static_features(spark, sf):
     d = X.static_features(blocks(spark, sf))
     kept = lambda c: F.when(F.col(c).isNotNull(), sig(c)).alias(c)
-    return d.select(*S.SEG, sig("asymptotic_voltage").alias("asymptotic_voltage"), F.round("ir_step", 6).alias("ir_step"), kept("amplitude"), kept("rate"))
+    return d.select(*S.SEG, sig("asymptotic_voltage").alias("asymptotic_voltage"), F.round("ir_step", 6).alias("ir_step"), *[kept(c) for c in ("amplitude", "rate", "i_asymptote", "i_amplitude", "i_rate")])
 
 
 @query(f"""WITH {BLOCKS_SQL}, {EXP}, {SQRT_SQL.format(layer='0.0')}, v AS (SELECT d.meas_id, d.seg_pos, unnest([0, 1, 2, 3, 4]) AS k, unnest([asymptote - b, amplitude, 1 / rate, b, 1 / c]) AS value FROM decay d JOIN root s ON s.meas_id = d.meas_id AND s.seg_pos = d.seg_pos)

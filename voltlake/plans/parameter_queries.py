@@ -13,10 +13,10 @@ from voltlake.operators import segments as S
 from voltlake.operators import statistics as A
 from voltlake.operators.joins import join_interp, join_source_index, lookup_nearest
 from voltlake.operators.storage import new_path, staged
-from voltlake.plans.curve_queries import PLATEAUS, sigs
+from voltlake.plans.curve_queries import PLATEAUS, PROTOCOL_SQL, sigs
 from voltlake.plans.fit_queries import EXP, sig, sq
 from voltlake.plans.segment_queries import ENDS_SQL
-from voltlake.plans.views import BLOCKS_SQL, RAW_SQL, SPECTRA_SQL, blocks, r, raw_points, spectra, table
+from voltlake.plans.views import BLOCKS_SQL, RAW_SQL, SIGNS, SPECTRA_SQL, blocks, r, raw_points, spectra, table
 from voltlake.sources import measurements as M
 
 QUERIES, ORACLE = {}, {}
@@ -32,7 +32,7 @@ def query(sql: str | None = None):
     return register
 
 
-CHI = {d: A.CHI2_95[d - 1] ** 0.5 for d in range(1, 11)}
+CHI = {d: A.chi2_95(d) ** 0.5 for d in range(1, 11)}
 
 # ---- samples: quantity and price (thousands) of each supplier's line items
 
@@ -110,9 +110,14 @@ def chain_diagnostics(spark, sf):
     return A.chain_diagnostics(samples(spark, sf), ["run_id"], "chain", "a").select("run_id", F.round("r_hat", 6).alias("r_hat"))
 
 
-@query()
+@query(f"""WITH {SAMPLES_SQL}, d AS (SELECT run_id, a - avg(a) OVER (PARTITION BY run_id) AS d, row_number() OVER (PARTITION BY run_id ORDER BY o, l, a) AS k FROM samples),
+s AS (SELECT x.run_id, y.k - x.k AS lag, sum(x.d * y.d) AS c FROM d x JOIN d y ON y.run_id = x.run_id AND y.k - x.k BETWEEN 1 AND 60 GROUP BY 1, 2),
+v AS (SELECT run_id, count(*) AS n, sum(d * d) AS v FROM d GROUP BY 1), e AS (SELECT s.run_id, coalesce(min(lag) FILTER (NOT c > 0), 61) AS stop FROM s GROUP BY 1)
+SELECT v.run_id, {sq('any_value(n) / (1 + 2 * coalesce(sum(c / nullif(v, 0)) FILTER (lag < stop), 0))')} AS ess FROM v LEFT JOIN e ON e.run_id = v.run_id LEFT JOIN s ON s.run_id = v.run_id GROUP BY 1""")
 def effective_sample_size(spark, sf):
-    return A.effective_sample_size(samples(spark, sf).withColumn("ord", F.struct("o", "l", "a")), ["run_id"], "ord", "a")
+    """SQL sums up to 60 lags; a chain of these samples has its first correlation that isn't positive long before."""
+    d = A.effective_sample_size(samples(spark, sf).withColumn("ord", F.struct("o", "l", "a")), ["run_id"], "ord", "a")
+    return d.select("run_id", sig("ess").alias("ess"))
 
 
 # ---- priors and updates
@@ -138,6 +143,29 @@ def transform_params(spark, sf):
     return d.withColumn("back", P.transform_params(F.col("inner_"), F.col("kind"), True)).select("set_id", *sigs("inner_", "back"))
 
 
+DERIVED_SQL = """v AS (SELECT s_suppkey AS set_id, CASE WHEN s_nationkey < 10 THEN 1.5 ELSE s_acctbal END AS balance, CAST(s_nationkey AS DOUBLE) AS nation, CASE WHEN s_nationkey < 5 THEN 7.0 END AS held FROM supplier),
+w AS (SELECT *, coalesce(held, balance) AS same FROM v)"""
+
+
+@query(f"""WITH {DERIVED_SQL} SELECT set_id, n.name, CAST(CASE n.name WHEN 'balance' THEN balance WHEN 'nation' THEN nation WHEN 'same' THEN same WHEN 'copy' THEN nation WHEN 'sum' THEN same + nation ELSE 2 * (same + nation) END AS DOUBLE) AS value
+FROM w, (VALUES ('balance'), ('nation'), ('same'), ('copy'), ('sum'), ('twice')) n(name)""")
+def derived_parameters(spark, sf):
+    """An alias, a copy, a sum of both and a rule on that, with base values and the alias overridden in some sets."""
+    s = table(spark, sf, "supplier")
+    base = F.explode(F.array(F.struct(F.lit("balance").alias("name"), F.col("s_acctbal").alias("value")), F.struct(F.lit("nation").alias("name"), F.col("s_nationkey").cast("double").alias("value")))).alias("p")
+    one = lambda name, value, below: s.filter(F.col("s_nationkey") < below).select(F.col("s_suppkey").alias("set_id"), F.lit(name).alias("name"), F.lit(value).alias("value"))
+    rules = {"same": "balance", "copy": lambda get: get("nation"), "sum": lambda get: get("same") + get("copy"), "twice": lambda get: 2 * get("sum")}
+    return P.derived_parameters(s.select(F.col("s_suppkey").alias("set_id"), base).select("set_id", "p.*"), one("balance", 1.5, 10).unionByName(one("same", 7.0, 5)), rules)
+
+
+@query(f"WITH {BOUNDS_SQL} SELECT set_id, {sq('sqrt(lo)')} AS inner_, {sq('lo')} AS back FROM bnd")
+def transform_pairs(spark, sf):
+    """A transformation of the user's own, by name."""
+    pairs = {"root": (F.sqrt, lambda x: x * x)}
+    d = bounds(spark, sf).withColumn("kind", F.lit("root")).withColumn("inner_", P.transform_params(F.col("lo"), F.col("kind"), pairs=pairs))
+    return d.withColumn("back", P.transform_params(F.col("inner_"), F.col("kind"), True, pairs)).select("set_id", *sigs("inner_", "back"))
+
+
 F4 = (1e6 / 100.0) ** 0.25
 CHAIN_SQL = f"""ch AS (SELECT set_id, greatest(lo / {F4!r}, 100.0) AS a, least(hi * {F4!r}, 1e6) AS b FROM bnd),
 c2 AS (SELECT *, CASE WHEN a = 100.0 AND b < a * {F4!r} * {F4!r} THEN a * {F4!r} * {F4!r} ELSE b END AS b2, CASE WHEN NOT (a = 100.0 AND b < a * {F4!r} * {F4!r}) AND b = 1e6 AND a > b / ({F4!r} * {F4!r}) THEN b / ({F4!r} * {F4!r}) ELSE a END AS a2 FROM ch)"""
@@ -163,21 +191,39 @@ def natural(spark, sf):
     return q, m.select("run_id", F.explode(F.array(*rs)).alias("c")).select("run_id", "c.*")
 
 
-@query()
-def prior_draws(spark, sf):
-    q, rr = natural(spark, sf)
-    return P.prior_draws(P.whitening(q, rr), 50, 1)
-
-
-NODES_SQL = f"""n2 AS (SELECT run_id, avg(a) AS ma, avg(b) AS mb FROM samples GROUP BY 1 HAVING covar_samp(a, a) * covar_samp(b, b) - pow(covar_samp(a, b), 2) > 0)"""
+NODES_SQL = f"""n2 AS (SELECT run_id, avg(a) AS ma, avg(b) AS mb, covar_samp(a, a) AS aa, covar_samp(a, b) AS ab, covar_samp(b, b) AS bb FROM samples GROUP BY 1 HAVING covar_samp(a, a) * covar_samp(b, b) - pow(covar_samp(a, b), 2) > 0)"""
 
 
-@query(f"WITH {SAMPLES_SQL}, {NODES_SQL} SELECT run_id, kind, CAST(i AS INTEGER) AS i, {sq('CASE WHEN i = 0 THEN ma ELSE mb END')} AS centre, CAST(4 AS BIGINT) AS n FROM n2, (VALUES ('semiaxis'), ('face')) k(kind), (VALUES (0), (1)) d(i)")
+@query(f"WITH {SAMPLES_SQL}, {NODES_SQL} SELECT run_id, CAST(i AS INTEGER) AS i, CAST(200 AS BIGINT) AS draws, true AS mean_ok, true AS spread_ok, true AS inside FROM n2, (VALUES (0), (1)) d(i)")
+def prior_draws(spark, sf):
+    """Draws of hashed normals: their mean within six standard errors, their spread within a third, and all inside the ellipsoid's box."""
+    q, rr = natural(spark, sf)
+    white = staged(P.whitening(q, rr), "whitening")
+    drawn = P.prior_draws(white, 200, 1)
+    scale = white.groupBy("run_id", "i").agg(F.first("mean_i").alias("mean"), F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("s"), (F.first("bound") * F.sum(F.abs("m"))).alias("far"))
+    d = drawn.join(scale, ["run_id", "i"]).groupBy("run_id", "i").agg(
+        F.count(F.lit(1)).alias("draws"), (F.abs(F.avg("value") - F.first("mean")) <= 6 * F.first("s") / 200**0.5).alias("mean_ok"),
+        (F.stddev_samp("value") / F.first("s")).between(2 / 3, 4 / 3).alias("spread_ok"), (F.max(F.abs(F.col("value") - F.col("mean"))) <= F.first("far") * 1.000001).alias("inside"),
+    )
+    return d.select("run_id", F.col("i").cast("int").alias("i"), "draws", "mean_ok", "spread_ok", "inside")
+
+
+@query(f"""WITH {SAMPLES_SQL}, {NODES_SQL} SELECT run_id, kind, {sq('ma')} AS centre_a, {sq('mb')} AS centre_b, {sq(f'2 * {CHI[2] ** 2!r} * aa')} AS aa, {sq(f'2 * {CHI[2] ** 2!r} * bb')} AS bb, round({CHI[2] ** 2!r}, 6) AS nearest, round({CHI[2] ** 2!r}, 6) AS farthest, CAST(4 AS BIGINT) AS n
+FROM n2, (VALUES ('semiaxis'), ('face')) k(kind)""")
 def confidence_nodes(spark, sf):
-    """Eigenvectors' signs differ between libraries; the nodes' centre and number are checked."""
+    """What doesn't depend on the signs of eigenvectors: centre, scatter (twice chi-squared times the covariance) and each node's squared Mahalanobis distance."""
     q, rr = natural(spark, sf)
-    d = P.confidence_nodes(P.whitening(q, rr), 2).groupBy("run_id", "kind", "i").agg(F.avg("value").alias("centre"), F.count(F.lit(1)).alias("n"))
-    return d.select("run_id", "kind", "i", sig("centre").alias("centre"), "n")
+    white = staged(P.whitening(q, rr), "whitening")
+    nodes = P.confidence_nodes(white, 2)
+    mean = white.select("run_id", "i", "mean_i").distinct()
+    d = nodes.join(mean, ["run_id", "i"]).groupBy("run_id", "kind", "node").agg(*[F.max(F.when(F.col("i") == k, F.col("value") - F.col("mean_i"))).alias(f"d{k}") for k in (0, 1)], *[F.max(F.when(F.col("i") == k, F.col("mean_i"))).alias(f"m{k}") for k in (0, 1)])
+    wide = q.groupBy("run_id").agg(*[F.max(F.when((F.col("i") == i) & (F.col("j") == j), F.col("q"))).alias(f"q{i}{j}") for i, j in ((0, 0), (0, 1), (1, 1))])
+    far = F.col("q00") * F.col("d0") * F.col("d0") + 2 * F.col("q01") * F.col("d0") * F.col("d1") + F.col("q11") * F.col("d1") * F.col("d1")
+    per = d.join(wide, "run_id").withColumn("far", far).groupBy("run_id", "kind").agg(
+        F.avg(F.col("m0") + F.col("d0")).alias("centre_a"), F.avg(F.col("m1") + F.col("d1")).alias("centre_b"), F.sum(F.col("d0") * F.col("d0")).alias("aa"), F.sum(F.col("d1") * F.col("d1")).alias("bb"),
+        F.round(F.min("far"), 6).alias("nearest"), F.round(F.max("far"), 6).alias("farthest"), F.count(F.lit(1)).alias("n"),
+    )
+    return per.select("run_id", "kind", *sigs("centre_a", "centre_b", "aa", "bb"), "nearest", "farthest", "n")
 
 
 def _linear(p):
@@ -202,6 +248,23 @@ def sweep_features(spark, sf):
     return _sweep(spark, sf)[1].select("set_id", "feature", F.round("value", 6).alias("value"))
 
 
+def _simulate(p):
+    if p["s_acctbal"] < 0:
+        raise ValueError("no solution")
+    return [p["s_acctbal"], p["s_nationkey"]]
+
+
+@query("""SELECT s_suppkey AS set_id, n.name AS feature, round(CASE n.k WHEN 0 THEN s_acctbal + s_nationkey WHEN 1 THEN s_acctbal - s_nationkey ELSE greatest(s_acctbal, s_nationkey) END, 6) + 0 AS value
+FROM supplier, (VALUES (0, 'the sum'), (1, 'the difference'), (2, 'largest')) n(k, name) WHERE s_acctbal >= 0 UNION ALL SELECT s_suppkey, 'failed', NULL FROM supplier WHERE s_acctbal < 0""")
+def sweep_extractors(spark, sf):
+    """One simulation per set, two extractors on what it returns, and names to display."""
+    sets, _ = _sweep(spark, sf)
+    extractors = [lambda x: {"sum": x[0] + x[1], "difference": x[0] - x[1]}, lambda x: {"largest": max(x)}]
+    d = P.sweep_features(sets, ["set_id"], ["s_acctbal", "s_nationkey"], _simulate, extractors)
+    names = spark.createDataFrame([("sum", "the sum"), ("difference", "the difference")], "feature string, display string")
+    return P.named_features(d, F.broadcast(names)).select("set_id", F.col("display").alias("feature"), F.round("value", 6).alias("value"))
+
+
 DISC_SQL = "ds AS (SELECT set_id, ln(sqrt(sum(pow(value * w / m - w, 2)))) AS d FROM sw JOIN (VALUES ('sum', 5000.0, 1.0), ('scaled', 9000.0, 0.5)) x(f, m, w) ON x.f = feature GROUP BY 1)"
 
 
@@ -236,21 +299,23 @@ SELECT run_id, v.what, CAST(v.i AS INTEGER) AS i, CAST(v.j AS INTEGER) AS j, {sq
 FROM q, (VALUES (0, 'Q', 0, 0), (1, 'Q', 0, 1), (1, 'Q', 1, 0), (2, 'Q', 1, 1), (3, 'r', 0, 0), (4, 'r', 1, 0), (5, 'site Q', 0, 0), (6, 'site Q', 0, 1), (6, 'site Q', 1, 0), (7, 'site Q', 1, 1), (8, 'site r', 0, 0), (9, 'site r', 1, 0)) v(k, what, i, j)""")
 def ep_site_update(spark, sf):
     """One update of every supplier's run from the same prior with an empty site, dampening 0.4."""
-    place = F.create_map(F.lit("a"), F.lit(0), F.lit("b"), F.lit(1))
-    m = moments(spark, sf).select("run_id", place[F.col("i")].alias("i"), place[F.col("j")].alias("j"), "mean_i", "cov")
-    q, rr = natural(spark, sf)
-    pick = lambda d, v: F.element_at(F.array(*[F.lit(x) for x in v]), d + 1)
-    prior_q = q.withColumn("q", F.when(F.col("i") == F.col("j"), pick(F.col("i"), [0.01, 0.02])).otherwise(0.0))
-    prior_r = rr.withColumn("r", pick(F.col("i"), [0.1, 0.2]))
-    empty_q, empty_r = q.withColumn("q", F.lit(0.0)), rr.withColumn("r", F.lit(0.0))
-    m = m.join(rr.select("run_id").distinct(), "run_id", "left_semi")
-    d = P.ep_site_update(m, prior_q, prior_r, empty_q, empty_r, 0.4)
+    m = samples(spark, sf).groupBy("run_id").agg(F.avg("a").alias("ma"), F.avg("b").alias("mb"), F.covar_samp("a", "a").alias("aa"), F.covar_samp("a", "b").alias("ab"), F.covar_samp("b", "b").alias("bb"))
+    one = staged(m.filter(F.col("aa") * F.col("bb") - F.col("ab") * F.col("ab") > 0), "gaussians")  # a row per run, from which all else follows
+    cells = lambda *rows: one.select("run_id", F.explode(F.array(*rows)).alias("c")).select("run_id", "c.*")
+    cell = lambda i, j, **values: F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), *[(F.col(v) if isinstance(v, str) else F.lit(v)).alias(k) for k, v in values.items()])
+    found = cells(cell(0, 0, mean_i="ma", cov="aa"), cell(0, 1, mean_i="ma", cov="ab"), cell(1, 1, mean_i="mb", cov="bb"))
+    prior_q = cells(cell(0, 0, q=0.01), cell(0, 1, q=0.0), cell(1, 0, q=0.0), cell(1, 1, q=0.02))
+    prior_r = cells(cell(0, 0, r=0.1), cell(1, 0, r=0.2)).drop("j")
+    d = P.ep_site_update(found, prior_q, prior_r, None, None, 0.4)
     return d.select("run_id", "what", "i", "j", sig("value").alias("value"))
 
 
-@query()
+@query(f"WITH {SAMPLES_SQL}, {NODES_SQL} SELECT run_id, CAST(6 AS BIGINT) AS n, true AS symmetric, true AS definite, true AS narrower FROM n2")
 def ep_loop(spark, sf):
-    """Two parameters per supplier, two features, two passes; the model returns the parameters."""
+    """Two parameters per supplier, two features, two passes; the model returns the parameters.
+
+    Of Gaussians and a model without noise it is known that precision stays symmetric and positive definite, and that the volume shrinks.
+    """
     q, rr = natural(spark, sf)
     q, rr = staged(q, "prior"), staged(rr, "prior")
     measured = spark.createDataFrame([("first", 25.0, 1.0), ("second", 30.0, 1.0)], "feature string, value double, weight double")
@@ -258,7 +323,14 @@ def ep_loop(spark, sf):
     def simulate(draws):
         return draws.select("run_id", "draw", F.when(F.col("i") == 0, "first").otherwise("second").alias("feature"), "value")
 
-    return P.ep_loop(q, rr, measured, ["first", "second"], simulate, 2, 200, 0.25)
+    found = P.ep_loop(q, rr, measured, ["first", "second"], simulate, 2, 200, 0.25)
+    at = lambda name, i, j: F.max(F.when((F.col("i") == i) & (F.col("j") == j) & (F.col("what") == "Q"), F.col(name)))
+    det = lambda name: at(name, 0, 0) * at(name, 1, 1) - at(name, 0, 1) * at(name, 1, 0)
+    both = found.join(q.select("run_id", "i", "j", F.lit("Q").alias("what"), "q"), ["run_id", "what", "i", "j"], "left")
+    return both.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("n"), (F.abs(at("value", 0, 1) - at("value", 1, 0)) <= 1e-9 * F.abs(at("value", 0, 1)) + 1e-12).alias("symmetric"),
+        ((at("value", 0, 0) > 0) & (det("value") > 0)).alias("definite"), (det("value") > det("q")).alias("narrower"),
+    )
 
 
 @query(f"""WITH {SAMPLES_SQL}, m AS (SELECT run_id, avg(a) AS ma, avg(b) AS mb, stddev_samp(a) AS sa, stddev_samp(b) AS sb FROM samples GROUP BY 1 HAVING covar_samp(a, a) * covar_samp(b, b) - pow(covar_samp(a, b), 2) > 0)
@@ -280,9 +352,27 @@ def param_curve(spark, sf):
     return d.select("meas_id", F.col("x0").alias("seg_pos"), "k", *sigs("x", "y"))
 
 
-@query()
+@query(f"""WITH {BLOCKS_SQL}, {ENDS_SQL.format(src='blocks')} SELECT meas_id, CAST(row_number() OVER (PARTITION BY meas_id ORDER BY seg_pos) - 1 AS INTEGER) AS place, CAST(seg_pos AS INTEGER) AS x,
+  CASE WHEN seg_pos % 5 <> 2 THEN {sq('ln(u1)')} END AS y, CASE WHEN seg_pos % 5 <> 2 THEN {sq('ln(u1) - ln(0.9 * u1)')} END AS down, CASE WHEN seg_pos % 5 <> 2 THEN {sq('ln(1.2 * u1) - ln(u1)')} END AS up, seg_pos % 5 = 2 AS missing FROM ends""")
+def param_points(spark, sf):
+    """The points of a curve with asymmetric bounds; places without a value are reported."""
+    ends = S.segment_ends(blocks(spark, sf)).withColumn("y", F.when(F.col("seg_pos") % 5 != 2, F.col("u1"))).withColumn("lo", 0.9 * F.col("u1")).withColumn("hi", 1.2 * F.col("u1"))
+    d = P.param_points(ends, ["meas_id"], "seg_pos", "y", "lo", "hi", True)
+    kept = lambda c: F.when(~F.col("missing"), sig(c)).alias(c)
+    return d.select("meas_id", "place", F.col("x").cast("int").alias("x"), kept("y"), kept("down"), kept("up"), "missing")
+
+
+@query(f"WITH {RAW_SQL} SELECT meas_id, count(*) AS n, true AS mean_ok, true AS spread_ok, true AS again FROM raw GROUP BY 1")
 def add_noise(spark, sf):
-    return P.add_noise(raw_points(spark, sf), "u", 0.01, 5, ["meas_id", "pt"]).select("meas_id", "pt", "u")
+    """Hashed noise: mean and largest within bounds of a normal's, the spread within a half where there are 100 points, and the same when made again."""
+    raw = raw_points(spark, sf)
+    noisy = lambda name: P.add_noise(raw, "u", 0.01, 5, ["meas_id", "pt"]).select("meas_id", "pt", F.col("u").alias(name))
+    d = raw.select("meas_id", "pt", "u").join(noisy("a"), ["meas_id", "pt"]).join(noisy("b").repartition(7, "pt"), ["meas_id", "pt"]).withColumn("e", F.col("a") - F.col("u"))
+    n = F.count(F.lit(1))
+    return d.groupBy("meas_id").agg(
+        n.alias("n"), ((F.abs(F.avg("e")) <= 0.06 / F.sqrt(n)) & (F.max(F.abs("e")) <= 0.07)).alias("mean_ok"),
+        ((n < 100) | (F.stddev_pop("e")).between(0.005, 0.015)).alias("spread_ok"), F.bool_and(F.col("a") == F.col("b")).alias("again"),
+    )
 
 
 @query(f"""WITH o AS (SELECT o_custkey AS set_id, avg(o_totalprice) AS a, max(o_totalprice) AS b FROM orders GROUP BY 1)
@@ -485,15 +575,45 @@ def src_decimal(spark, sf):
     return d.select("event_id", "number", F.when(F.col("number").isNull(), F.col("cell")).alias("text"))
 
 
-@query("SELECT c_custkey, CAST(right(regexp_replace(c_name, '[^0-9]', '', 'g'), 4) AS INTEGER) AS number FROM customer")
+def _event_files(spark, sf):
+    """Events as tab-separated files with a header line each, a folder for each event type, and the folder's path."""
+    path = new_path(spark, "instrument")
+    events = table(spark, sf, "events").select("event_id", "user_id", F.col("value").cast("string").alias("value"), "event_type", F.col("event_type").alias("device"))
+    events.write.option("header", True).option("sep", "\t").partitionBy("device").csv(path)
+    return path
+
+
+EVENT_COLUMNS = {0: "event_id", 1: "user_id", 2: "U [mV]", 3: "state"}
+
+
+@query("SELECT event_id, event_type AS folder, CAST(0 AS INTEGER) AS number, round(value / 1000, 8) + 0 AS u FROM events")
 def src_multi_file(spark, sf):
-    return table(spark, sf, "customer").select("c_custkey", M.file_number(F.col("c_name"), 4).alias("number"))
+    """All files of a tree in one read; what a file's name says becomes columns, here its folder and the number behind ``part-``."""
+    path = _event_files(spark, sf)
+    d = M.read_instrument_csv(spark, path, EVENT_COLUMNS, skip=1)
+    number = M.file_number(F.regexp_extract("file", "part-([0-9]+)", 1), 5)
+    folder = F.regexp_extract("file", "device=([^/]+)/", 1)
+    return d.select(F.col("event_id").cast("long").alias("event_id"), folder.alias("folder"), F.when(number >= 0, 0).otherwise(1).alias("number"), F.round("U", 8).alias("u"))
+
 
+@query("SELECT event_id, state FROM (SELECT event_id, event_type AS state, row_number() OVER (PARTITION BY event_id // 500 ORDER BY event_id) AS k FROM events) WHERE k <= 3")
+def src_line_limit(spark, sf):
+    """At most three data lines of each file: files of 500 events, as their ids number them, read with the limit."""
+    path = new_path(spark, "limited")
+    events = table(spark, sf, "events").select("event_id", "event_type", F.floor(F.col("event_id") / 500).alias("part"))
+    events.repartition("part").sortWithinPartitions("part", "event_id").write.option("header", True).option("sep", "\t").partitionBy("part").csv(path)
+    d = M.read_instrument_csv(spark, path, {0: "event_id", 1: "state"}, skip=1, limit=3)
+    return d.select(F.col("event_id").cast("long").alias("event_id"), F.col("state_text").alias("state"))
 
-@query("SELECT s_suppkey, n_name, n_regionkey FROM supplier JOIN nation ON n_nationkey = s_nationkey")
+
+@query("SELECT event_id, event_type AS name, CAST(length(event_type) AS INTEGER) AS serial, round(value / 1000, 8) + 0 AS u FROM events WHERE event_type IN ('click', 'error')")
 def src_measurement_catalog(spark, sf):
-    catalog = table(spark, sf, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name", "n_regionkey")
-    return M.by_catalog(table(spark, sf, "supplier"), catalog, "s_nationkey").select("s_suppkey", "n_name", "n_regionkey")
+    """The catalog says which files to read, with what columns and unit, and what is known of them."""
+    path = _event_files(spark, sf)
+    kinds = table(spark, sf, "events").select("event_type").distinct()
+    catalog = kinds.select(F.concat(F.lit(f"{path}/device="), "event_type").alias("path"), F.col("event_type").alias("name"), F.length("event_type").alias("serial"))
+    d = M.by_catalog(spark, catalog.filter("name in ('click', 'error')"), EVENT_COLUMNS, skip=1)
+    return d.select(F.col("event_id").cast("long").alias("event_id"), "name", "serial", F.round("U", 8).alias("u"))
 
 
 @query(f"WITH {BLOCKS_SQL} SELECT meas_id, seg_pos, pt, {r('t')} AS t, i + 0 AS i, u FROM blocks")
@@ -515,31 +635,71 @@ def sink_measurement_parquet(spark, sf):
     return d.select("meas_id", "seg_pos", "pt", (F.col("i") + 0.0).alias("i"), "u", "state")
 
 
-@query(f"WITH {BLOCKS_SQL} SELECT 'state' AS extra, count(*) AS n FROM blocks WHERE seg_pos = 2")
+@query(f"WITH {BLOCKS_SQL} SELECT 'state' AS extra, meas_id, seg_pos, pt, i + 0 AS i, u, state FROM blocks WHERE seg_pos = 2")
 def src_measurement_parquet(spark, sf):
     """Extra columns are the difference of names; the segment filter reaches the scan."""
     d, extra = M.read_parquet(spark, _written(spark, sf))
-    return d.filter("seg_pos = 2").agg(F.count(F.lit(1)).alias("n")).select(F.lit(",".join(extra)).alias("extra"), "n")
+    return d.filter("seg_pos = 2").select(F.lit(",".join(extra)).alias("extra"), "meas_id", "seg_pos", "pt", (F.col("i") + 0.0).alias("i"), "u", "state")
+
+
+@query(f"WITH {BLOCKS_SQL} SELECT meas_id, seg_pos, pt, i + 0 AS i, u, state, true AS own_group FROM blocks")
+def sink_segment_groups(spark, sf):
+    """A row group for each segment: what is read back, and that there are as many groups as segments."""
+    made = M.write_segments(blocks(spark, sf), new_path(spark, "segments"))
+    groups = made.agg(F.sum("groups").alias("groups"))
+    d = spark.read.parquet(*[r.uri for r in made.select("uri").collect()])
+    segments = d.select("meas_id", "seg_pos").distinct().agg(F.count(F.lit(1)).alias("n"))
+    same = groups.first().groups == segments.first().n
+    return d.select("meas_id", "seg_pos", "pt", (F.col("i") + 0.0).alias("i"), "u", "state", F.lit(same).alias("own_group"))
 
 
 @query("SELECT event_id, user_id, round(value / 1000, 8) + 0 AS u, event_type AS state FROM events")
 def src_instrument_csv(spark, sf):
     """Events written as tab-separated text with one comment line per file, and read as an instrument's file."""
-    path = new_path(spark, "instrument")
-    events = table(spark, sf, "events").select("event_id", "user_id", F.col("value").cast("string").alias("value"), "event_type")
-    events.write.option("header", True).option("sep", "\t").csv(path)
-    d = M.read_instrument_csv(spark, path, {0: "event_id", 1: "user_id", 2: "U [mV]", 3: "state"}, skip=1)
+    d = M.read_instrument_csv(spark, _event_files(spark, sf), EVENT_COLUMNS, skip=1)
     return d.select(F.col("event_id").cast("long").alias("event_id"), F.col("user_id").cast("long").alias("user_id"), F.round("U", 8).alias("u"), F.col("state_text").alias("state"))
 
 
-@query("SELECT event_id, value AS u FROM events")
+INSTRUMENT_SQL = f"""{RAW_SQL}, seg AS (SELECT *, CASE WHEN lag(state) OVER (PARTITION BY meas_id ORDER BY pt) = state THEN 0 ELSE 1 END AS c FROM raw),
+num AS (SELECT *, CAST(sum(c) OVER (PARTITION BY meas_id ORDER BY pt ROWS UNBOUNDED PRECEDING) - 1 AS INTEGER) AS seg_pos FROM seg)"""
+
+
+def _user_files(spark, sf, *columns):
+    """Points of each user as a file of its own, in order."""
+    path = new_path(spark, "cycler")
+    p = raw_points(spark, sf).select("pt", *columns, F.col("meas_id").alias("cell"))
+    p.repartition("cell").sortWithinPartitions("cell", "pt").drop("pt").write.option("header", True).option("sep", ";").partitionBy("cell").csv(path)
+    return path
+
+
+@query(f"""WITH {INSTRUMENT_SQL} SELECT meas_id, seg_pos, pt, {r('t', 3)} AS t, {r('i', 6)} AS i, {r('-u', 6)} AS u FROM num WHERE seg_pos IN (0, 2, 3)""")
+def src_instrument_cycling(spark, sf):
+    """One read of cycler files: decimal commas, units, segments by a column's changes, chosen segments, signs by state, flipped voltage."""
+    comma = lambda c, k: F.replace((F.col(c) * k).cast("decimal(30,10)").cast("string"), F.lit("."), F.lit(",")).alias(c)
+    path = _user_files(spark, sf, comma("t", 1.0), comma("raw", 1000.0), comma("u", 1.0), "state")
+    d = M.read_instrument(spark, path, {0: "t [s]", 1: "I [mA]", 2: "U [V]"}, skip=1, delimiter=";", symbol=",", segment_column=3, segments=[0, 2, 3], state_column=3, signs=SIGNS, flip_voltage=True)
+    cell = F.regexp_extract("file", "cell=([0-9]+)/", 1).cast("long")
+    return d.select(cell.alias("meas_id"), "seg_pos", "pt", F.round("t", 3).alias("t"), (F.round("i", 6) + 0.0).alias("i"), (F.round("u", 6) + 0.0).alias("u"))
+
+
+@query(f"""WITH {RAW_SQL} SELECT meas_id, CAST(0 AS INTEGER) AS seg_pos, pt, {r('t + 1', 3)} AS f, {r('-raw.u', 6)} AS re, {r('raw.u / 2', 6)} AS im FROM raw WHERE pt < 20""")
+def src_instrument_impedance(spark, sf):
+    """One read of impedance files: both parts flipped, the imaginary one back again, at most twenty lines of each."""
+    path = _user_files(spark, sf, (F.col("t") + 1).alias("f"), F.col("u").alias("re"), (F.col("u") / 2).alias("im"))
+    d = M.read_instrument(spark, path, {0: "f [Hz]", 1: "real [Ω]", 2: "imag [Ω]"}, skip=1, delimiter=";", limit=20, datatype="impedance", flip_voltage=True, flip_imaginary=True)
+    cell = F.regexp_extract("file", "cell=([0-9]+)/", 1).cast("long")
+    return d.select(cell.alias("meas_id"), "seg_pos", "pt", F.round("f", 3).alias("f"), (F.round("re", 6) + 0.0).alias("re"), (F.round("im", 6) + 0.0).alias("im"))
+
+
+@query("SELECT event_id, value AS u, 'event_id' || chr(9) || 'value' AS comment FROM events")
 def sink_csv_to_parquet(spark, sf):
-    """Plain conversion; the comment lines are a table of their own."""
+    """Plain conversion; the comment lines are a table of their own, read back with the file they stood in."""
     path, out = new_path(spark, "instrument"), new_path(spark, "converted")
     table(spark, sf, "events").select("event_id", "value").write.option("header", True).option("sep", "\t").csv(path)
     M.read_instrument_csv(spark, path, {0: "event_id", 1: "value"}, skip=1).write.parquet(out)
     M.comment_lines(spark, path, 1).write.parquet(out + "-comments")
-    return spark.read.parquet(out).select(F.col("event_id").cast("long").alias("event_id"), F.col("value").alias("u"))
+    comments = spark.read.parquet(out + "-comments").select("file", F.col("line").alias("comment"))
+    return spark.read.parquet(out).join(comments, "file").select(F.col("event_id").cast("long").alias("event_id"), F.col("value").alias("u"), "comment")
 
 
 @query(f"WITH {BLOCKS_SQL}, {ENDS_SQL.format(src='blocks')} SELECT meas_id, CAST(seg_pos AS BIGINT) AS source_index, {r('u0 / 500')} AS soc, {r('u1')} AS ocv FROM ends")
@@ -570,9 +730,9 @@ def sink_result_json(spark, sf):
     return M.from_result_json(spark.read.schema("run_id long, json string").json(path))
 
 
-@query(f"WITH {BLOCKS_SQL} SELECT meas_id, count(DISTINCT seg_pos) AS steps FROM blocks GROUP BY 1")
+@query(f"WITH {PROTOCOL_SQL} SELECT meas_id, string_agg(text, '|' ORDER BY seg_pos) AS steps FROM protocol GROUP BY 1")
 def sink_protocol_json(spark, sf):
     path = new_path(spark, "protocol")
     steps = A.protocol_text(blocks(spark, sf)).groupBy("meas_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seg_pos", "text"))), lambda x: x["text"]).alias("steps"))
     steps.write.json(path)
-    return spark.read.schema("meas_id long, steps array<string>").json(path).select("meas_id", F.size("steps").cast("long").alias("steps"))
+    return spark.read.schema("meas_id long, steps array<string>").json(path).select("meas_id", F.array_join("steps", "|").alias("steps"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from voltlake.operators import segments as S
 from voltlake.plans.views import BLOCKS_SQL, POINTS_SQL, RAW_SQL, SPECTRA_SQL, blocks, points, r, raw_points, spectra, table
@@ -205,11 +204,3 @@ e AS (SELECT *, abs(u - 0.5 * (b + a)) * sqrt(pi() / 2) AS x FROM n)
 SELECT meas_id, seg_pos, pt, {r('coalesce(x, CASE WHEN b IS NULL THEN lead(x) OVER w ELSE lag(x) OVER w END)')} AS noise FROM e WINDOW w AS (PARTITION BY meas_id, seg_pos ORDER BY pt)""")
 def noise_estimate(spark, sf):
     return S.noise_estimate(blocks(spark, sf), S.SEG, "u").select("meas_id", "seg_pos", "pt", F.round("noise", 6).alias("noise"))
-
-
-@query("SELECT l_orderkey AS meas_id, CAST(min(l_linenumber) AS INTEGER) AS first_seg FROM lineitem GROUP BY 1")
-def src_line_limit(spark, sf):
-    """At most one line per file: the row number along the file decides."""
-    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("meas_id"), F.col("l_linenumber").alias("pt"))
-    numbered = lines.withColumn("n", F.row_number().over(Window.partitionBy("meas_id").orderBy("pt")))
-    return numbered.filter("n <= 1").select("meas_id", F.col("pt").cast("int").alias("first_seg"))

@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Sequence
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from voltlake.operators.segments import seg_filter, segment_by_change, state_sign
+from voltlake.operators.storage import staged
+
 #: Unit prefixes and time units of column headers.
 PREFIXES = {"M": 1e6, "k": 1e3, "m": 1e-3, "µ": 1e-6, "μ": 1e-6, "n": 1e-9}
 TIMES = {"s": 1.0, "m": 60.0, "min": 60.0, "h": 3600.0}
@@ -50,20 +57,33 @@ def file_number(name: Column, digits: int) -> Column:
     return F.right(F.regexp_replace(name, "[^0-9]", ""), F.lit(digits)).try_cast("int")
 
 
-def read_instrument_csv(spark: SparkSession, path: str, columns: dict[int, str], skip: int = 0, delimiter: str = "\t", encoding: str = "utf-8", symbol: str = ".", limit: int | None = None) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str | Sequence[str], encoding: str = "utf-8") -> DataFrame:
+    """file, n, line: the lines of text files, numbered from 0 in each file.
+
+    In two levels: lines are numbered inside the blocks in which Spark reads a file, and a prefix over the blocks' counts does the rest, so a
+    large file isn't one task.
+    """
+    paths = path if isinstance(path, str) else list(path)
+    lines = spark.read.option("sep", "\x01").option("quote", "").option("encoding", encoding).schema("line string").csv(paths)
+    lines = lines.select("line", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m"))
+    lines = lines.withColumn("_k", F.row_number().over(Window.partitionBy("file", "_b").orderBy("_m")) - 1)
+    blocks = lines.groupBy("file", "_b").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy("file").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select("file", "_b", F.coalesce(before, F.lit(0)).alias("_before"))
+    return lines.join(blocks, ["file", "_b"]).select("file", (F.col("_before") + F.col("_k")).alias("n"), "line")
+
+
+def read_instrument_csv(spark: SparkSession, path: str | Sequence[str], columns: dict[int, str], skip: int = 0, delimiter: str = "\t", encoding: str = "utf-8", symbol: str = ".", limit: int | None = None, keep: Sequence[int] = ()) -> DataFrame:
     """file, pt and the given columns (position -> ``name [unit]``) of delimited text files, in SI units.
 
     Lines aren't split by quotes; the first ``skip`` of each file are comments; at most ``limit`` data lines of each file are taken.
-    Values of columns without a unit that aren't numbers stay as text in ``<name>_text``.
+    Values of columns without a unit that aren't numbers stay as text in ``<name>_text``. Columns at positions ``keep`` come as text in ``_cell<position>``.
     """
-    lines = spark.read.option("sep", "\x01").option("quote", "").option("encoding", encoding).schema("line string").csv(path)
-    lines = lines.select("line", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m"))
-    order = Window.partitionBy("file").orderBy("_b", "_m")
-    rows = lines.withColumn("pt", F.row_number().over(order) - 1 - skip).filter("pt >= 0")
+    rows = numbered_lines(spark, path, encoding).withColumn("pt", F.col("n") - skip).filter("pt >= 0")
     if limit is not None:
         rows = rows.filter(F.col("pt") < limit)
     cells = F.split("line", re.escape(delimiter))
-    out = []
+    out = [F.trim(F.get(cells, F.lit(k))).alias(f"_cell{k}") for k in keep]
     for k, header in columns.items():
         name, factor = unit_factor(header)
         cell = F.trim(F.get(cells, F.lit(k)))
@@ -74,11 +94,50 @@ def read_instrument_csv(spark: SparkSession, path: str, columns: dict[int, str],
     return rows.select("file", F.col("pt").cast("long").alias("pt"), *out)
 
 
+#: Names of columns in headers, and what they are called here.
+CYCLING = {"t": "t", "I": "i", "U": "u"}
+IMPEDANCE = {"f": "f", "real": "re", "imag": "im", "phase": "phase", "abs": "abs"}
+
+
+def read_instrument(
+    spark: SparkSession, path: str | Sequence[str], columns: dict[int, str], skip: int = 0, delimiter: str = "\t", encoding: str = "utf-8", symbol: str = ".", limit: int | None = None,
+    datatype: str = "cycling", segment_column: int | None = None, segments: Sequence[int] | None = None, state_column: int | None = None, signs: dict[str, float] | None = None,
+    flip_voltage: bool = False, flip_imaginary: bool = False,
+) -> DataFrame:
+    """A measurement in one call: file, seg_pos, pt, then t, i, u (cycling), with static features per segment beside them (static), or f, re, im (impedance; from real and
+    imag, or from abs and phase), and further columns of ``columns``.
+
+    A new segment begins where the text of ``segment_column`` changes (without one, a file is one segment), counted from 0 in all lines of a file before ``segments`` keeps
+    some. Currents are multiplied by the factor in ``signs`` of the text in ``state_column``; a text without one fails the job. ``flip_voltage`` turns the sign of the voltage, or of
+    both impedance parts; ``flip_imaginary`` that of the imaginary part (both cancel out there).
+    """
+    keep = sorted({k for k in (segment_column, state_column) if k is not None})
+    d = read_instrument_csv(spark, path, columns, skip, delimiter, encoding, symbol, limit, keep).withColumn("meas_id", F.col("file"))
+    d = segment_by_change(d, f"_cell{segment_column}") if segment_column is not None else d.withColumn("seg_pos", F.lit(0))
+    if segments is not None:
+        d = seg_filter(d, segments)
+    names = IMPEDANCE if datatype == "impedance" else CYCLING
+    for given, name in names.items():
+        d = d.withColumnRenamed(given, name) if given in d.columns else d
+    if signs and state_column is not None:
+        d = state_sign(d, signs, f"_cell{state_column}", "i")
+    if datatype == "impedance":
+        if "re" not in d.columns:
+            d = d.withColumn("re", F.col("abs") * F.cos("phase")).withColumn("im", F.col("abs") * F.sin("phase"))
+        d = d.withColumn("re", F.col("re") * (-1 if flip_voltage else 1)).withColumn("im", F.col("im") * (-1 if flip_voltage != flip_imaginary else 1))
+    elif flip_voltage:
+        d = d.withColumn("u", -F.col("u"))
+    d = d.drop(*[f"_cell{k}" for k in keep])
+    if datatype == "static":
+        from voltlake.operators.fits import static_features
+
+        d = d.join(static_features(d), ["meas_id", "seg_pos"], "left")
+    return d.drop("meas_id")
+
+
 def comment_lines(spark: SparkSession, path: str, skip: int) -> DataFrame:
     """file, n, line of the comments in front of each file."""
-    lines = spark.read.option("sep", "\x01").option("quote", "").schema("line string").csv(path)
-    lines = lines.select("line", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m"))
-    return lines.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("_b", "_m")) - 1).filter(F.col("n") < skip).select("file", "n", "line")
+    return numbered_lines(spark, path).filter(F.col("n") < skip).select("file", "n", "line")
 
 
 def write_parquet(df: DataFrame, path: str, level: int = 3) -> None:
@@ -87,6 +146,47 @@ def write_parquet(df: DataFrame, path: str, level: int = 3) -> None:
     ordered.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
 
 
+def write_segments(df: DataFrame, folder: str, level: int = 3) -> DataFrame:
+    """uri, groups, rows of Parquet files in which each segment is one row group, so that readers fetch segments alone.
+
+    ``df``: meas_id, seg_pos, pt and further columns. A task holds one segment at a time. Files of repeated attempts aren't in the result.
+    """
+    place = folder if ":" in folder.split("/")[0] else f"file://{folder}"
+    ordered = df.repartition("meas_id", "seg_pos").sortWithinPartitions("meas_id", "seg_pos", "pt")
+
+    def run(batches):
+        system, path = fs.FileSystem.from_uri(place)
+        system.create_dir(path, recursive=True)
+        name = f"part-{uuid.uuid4().hex}.parquet"
+        held, out, key, groups, rows = [], None, None, 0, 0
+
+        def flush():
+            nonlocal out, groups, rows
+            table = pa.Table.from_batches(held)
+            out = out or pq.ParquetWriter(f"{path}/{name}", table.schema, filesystem=system, compression="zstd", compression_level=level)
+            out.write_table(table, row_group_size=max(1, table.num_rows))
+            groups, rows = groups + 1, rows + table.num_rows
+            held.clear()
+
+        for batch in batches:
+            keys = list(zip(batch["meas_id"].to_pylist(), batch["seg_pos"].to_pylist(), strict=True))
+            cuts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if held and keys[a] != key:
+                    flush()
+                key = keys[a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            flush()
+        if out:
+            out.close()
+            yield pa.RecordBatch.from_pydict({"uri": [f"{place}/{name}"], "groups": [groups], "rows": [rows]})
+
+    return staged(ordered.mapInArrow(run, "uri string, groups long, rows long"), "manifest")
+
+
 def read_parquet(spark: SparkSession, path: str, known: Sequence[str] = ("meas_id", "seg_pos", "pt", "t", "i", "u")) -> tuple[DataFrame, list[str]]:
     """The measurement, and the names of its further columns."""
     df = spark.read.parquet(path)
@@ -142,6 +242,18 @@ def from_result_json(df: DataFrame) -> DataFrame:
     return rows.select("run_id", "name", "value", bound(1).alias("lo"), bound(2).alias("hi"))
 
 
-def by_catalog(df: DataFrame, catalog: DataFrame, key: str) -> DataFrame:
-    """Rows with what the catalog (few rows, read by name) says about their file or device."""
-    return df.join(catalog, key)
+def by_catalog(spark: SparkSession, catalog: DataFrame, columns: dict[int, str], **options) -> DataFrame:
+    """Reads the files that the catalog names and adds what it says about them: ``path`` (a file or folder, without wildcards) and any other columns.
+
+    The catalog is metadata, a row per file or folder; its paths are what the driver hands to Spark's reader. A file belongs to the longest path that it begins with.
+    """
+    known = catalog.collect()
+    if not known:
+        raise ValueError("the catalog names no file")
+    d = read_instrument_csv(spark, [r["path"] for r in known], columns, **options)
+    files = d.select("file").distinct()
+    plain = lambda c: F.regexp_replace(c, "^[a-z]+:/*", "/")
+    named = F.broadcast(spark.createDataFrame(known, catalog.schema).withColumnRenamed("path", "_path"))
+    of = files.join(named, plain(F.col("file")).startswith(plain(F.col("_path"))))
+    best = of.groupBy("file").agg(F.max_by(F.struct(*[c for c in named.columns if c != "_path"]), F.length("_path")).alias("_c"))
+    return d.join(best, "file").select(*d.columns, "_c.*")
