@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import string
 import tempfile
-import time
+import threading
 import uuid
 import weakref
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,16 +22,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that all executors share, as spark.checkpoint.dir names it; a local master without it (tests) gets one of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: While tables are staged: batches are bounded by bytes, as whole texts are long and a Python task holds some on either side; shuffle files go with the job.
+WHILE_STAGING = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+_lock = threading.Lock()
+_staging: dict[str, tuple[int, dict]] = {}  # by session: writes under way, and the settings to come back to
+
+
+@contextlib.contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Settings of staged writes; the first of several threads sets them, the last brings the user's own back."""
+    who = str(spark._jsparkSession.sessionUUID())
+    with _lock:
+        n, before = _staging.get(who, (0, {}))
+        if n == 0:
+            before = {k: spark.conf.get(k, None) for k in WHILE_STAGING}
+            for k, v in WHILE_STAGING.items():
+                spark.conf.set(k, v)
+        _staging[who] = n + 1, before
+    try:
+        yield
+    finally:
+        with _lock:
+            n, before = _staging[who]
+            _staging[who] = n - 1, before
+            if n == 1:
+                del _staging[who]
+                for k, v in before.items():
+                    spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -38,12 +66,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/voltlake/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    before = spark.conf.get(ARROW_ROWS, None)
-    spark.conf.set(ARROW_ROWS, "1000")  # whole texts are long: smaller batches hold less on either side of a Python task
-    try:
+    with staging(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(ARROW_ROWS, before) if before else spark.conf.unset(ARROW_ROWS)
     out = spark.read.schema(schema).parquet(path)
     _paths[id(out)] = (weakref.ref(out), path)
     return out
@@ -62,14 +86,6 @@ def discard(*tables: DataFrame) -> None:
             place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop shuffle files of finished jobs whose results are staged."""
-    for _ in range(2):  # the first round drops what held the shuffles, the cleaner follows after a moment
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z become a-z, all else stays (``lower`` would change other letters as well)."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(

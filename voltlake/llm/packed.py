@@ -1,12 +1,16 @@
-"""Packed postings: (token, set) pairs travel as arrays, a few bytes each, instead of rows.
-
-Tokens are 48-bit numbers. A task's pairs are cut into flushes; in each, the pairs are sorted by token and
-split into token blocks. A row holds a block's share of a flush: the sets' records, and per pair the
-token's distance to the one before (32 bits where that fits) and the number of its set (16 bits).
-
-A token found in ``HOT`` or more sets of one flush has that many in all; its pairs needn't meet those of
-other flushes to know that they are frequent. They travel as settled, spread over all blocks, so that a
-token which a third of all sets hold doesn't end in one task; the token's own block gets a marker.
+"""Packed postings: (token, set) pairs travel as arrays, a constant number of bytes each, instead of rows.
+
+Tokens are 48-bit numbers. A task's pairs are cut into flushes; in each, the pairs are sorted by token and dealt
+to token blocks. A row holds a block's share of a flush: per pair the token's distance to the one before (32 bits where
+that fits) and its set (16 bits), and per set in that share its number in the flush with 48 bits of its digest.
+The sets' own records stay in one row of their flush, and what a block finds out goes back to the flush, not
+to each set, so bytes a pair don't grow with the number of blocks: 6 to 12.
+(A flush has a row for each block. With the sizes below shares keep a hundred pairs up to some 2 * 10^10 pairs,
+beyond which flushes and blocks should be made larger.)
+
+A token held by a large part of a flush's sets is frequent in all; its pairs needn't meet those of other
+flushes to know that. They go straight home as settled, and the token's own block gets a marker. So a token that all
+sets hold sends a block one number a flush.
 """
 
 from __future__ import annotations
@@ -15,16 +19,26 @@ import numpy as np
 import pyarrow as pa
 
 HOT, FLUSH_PAIRS, FLUSH_SETS = 64, 1_000_000, 60_000
+HOT_LEAST, HOT_PART = 8, 8  # settled: held by HOT sets of a flush, or by an eighth of its sets where these are fewer
 TOKEN_BITS = 48
-SCHEMA = "block int, sets binary, idx binary, tok binary, wide boolean, kind int"
-PLAIN, SETTLED, MARKER = 0, 1, 2
+SCHEMA = "block int, flush long, kind int, sets binary, idx binary, tok binary, width int"
+RETURNED = "flush long, kind int, sets binary, idx binary, tok binary, width int, n binary"
+PLAIN, SETTLED, MARKER, HOME = 0, 1, 2, 3
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+_LOW48 = np.uint64((1 << 48) - 1)
+
+
+def arrow(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(f.split() for f in schema.split(", ")), strict=True)
+    cols = list(zip(*rows, strict=True)) or [[] for _ in names]
+    return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, k in zip(cols, kinds, strict=True)], names=list(names))
 
 
 class Flush:
-    """Gathers (set record, sorted distinct tokens) and gives rows of SCHEMA."""
+    """Gathers (set record, sorted distinct tokens) and gives rows of SCHEMA. ``source`` numbers the task, the same at each attempt."""
 
-    def __init__(self, blocks: int):
-        self.blocks = blocks
+    def __init__(self, blocks: int, source: int = 0):
+        self.blocks, self.number = blocks, source << 32
         self.clear()
 
     def clear(self) -> None:
@@ -32,16 +46,15 @@ class Flush:
         self.tokens: list[np.ndarray] = []
         self.seen: set[bytes] = set()
         self.pairs = 0
+        self.number += 1
 
-    def add(self, record: bytes, tokens: np.ndarray, once: bool = True) -> None:
-        """once: the record stands for the set's content, so copies within a flush travel once."""
-        if once and record in self.seen:
-            return
-        if once:
+    def add(self, record: bytes, tokens: np.ndarray) -> None:
+        """The record stands for the set's content and begins with its digest; copies within a flush travel once."""
+        if record not in self.seen:
             self.seen.add(record)
-        self.records.append(record)
-        self.tokens.append(tokens)
-        self.pairs += len(tokens)
+            self.records.append(record)
+            self.tokens.append(tokens)
+            self.pairs += len(tokens)
 
     def full(self) -> bool:
         return self.pairs >= FLUSH_PAIRS or len(self.records) >= FLUSH_SETS
@@ -55,35 +68,53 @@ class Flush:
         order = np.argsort(tok, kind="stable")
         tok, idx = tok[order], idx[order]
         first = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))
-        hot = np.repeat(np.diff(np.append(first, len(tok))) >= HOT, np.diff(np.append(first, len(tok))))
-        out: list[tuple] = []
-        self._split(tok[~hot], idx[~hot], block_of(tok[~hot], self.blocks), PLAIN, out)
+        many = np.diff(np.append(first, len(tok)))
+        hot = np.repeat(many >= min(HOT, max(HOT_LEAST, len(self.records) // HOT_PART)), many)
+        self.named = np.array([int.from_bytes(r[:6], "little") for r in self.records], np.uint64) | np.arange(len(self.records), dtype=np.uint64) << np.uint64(48)
+        out: list[tuple] = [(self.number % self.blocks, self.number, HOME, b"".join(self.records), b"", b"", 8)]
+        self._deal(tok[~hot], idx[~hot], block_of(tok[~hot], self.blocks), PLAIN, out)
         if hot.any():
-            spread = (idx[hot].astype(np.int64) + len(self.records)) % self.blocks
+            spread = (idx[hot].astype(np.int64) + self.number) % self.blocks
             by = np.argsort(spread, kind="stable")
-            self._split(tok[hot][by], idx[hot][by], spread[by], SETTLED, out)
+            self._deal(tok[hot][by], idx[hot][by], spread[by], SETTLED, out)
             marks = np.unique(tok[hot])
-            for b, own in _runs(block_of(marks, self.blocks)):
-                out.append((b, b"", b"", marks[own].astype("<u8").tobytes(), True, MARKER))
+            for b, own in runs(block_of(marks, self.blocks)):
+                out.append((b, self.number, MARKER, b"", b"", marks[own].astype("<u8").tobytes(), 8))
         self.clear()
-        cols = list(zip(*out, strict=True))
-        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.bool_(), pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
-
-    def _split(self, tok, idx, block, kind, out) -> None:
-        for number, own in _runs(block):
-            a, b = own.start, own.stop
-            used, local = np.unique(idx[a:b], return_inverse=True)
-            gaps = np.diff(tok[a:b], prepend=np.uint64(0))
-            wide = bool(kind != PLAIN or b - a == 1 or gaps[1:].max() >= 2**32)
-            if wide:
-                data = tok[a:b].astype("<u8").tobytes()
-            else:
-                data = tok[a : a + 1].astype("<u8").tobytes() + gaps[1:].astype("<u4").tobytes()
-            out.append((number, b"".join(self.records[k] for k in used), local.astype("<u2").tobytes(), data, wide, kind))
+        return arrow(out, SCHEMA)
+
+    def _deal(self, tok, idx, block, kind, out) -> None:
+        for number, own in runs(block):
+            used, local = np.unique(idx[own], return_inverse=True)
+            data, width = gaps(tok[own])
+            few = 8 * len(used) + 2 * len(local) < 8 * len(local)  # else a name for each pair
+            names = self.named[used] if few else self.named[used][local]
+            out.append((number, self.number, kind, names.astype("<u8").tobytes(), local.astype("<u2").tobytes() if few else b"", data, width))
+
 
+def gaps(tok: np.ndarray) -> tuple[bytes, int]:
+    """Sorted tokens as the first and distances of as many bytes (4 at least) as the widest needs."""
+    steps = np.diff(tok)
+    width = max(4, -(-int(steps.max()).bit_length() // 8)) if len(steps) else 4
+    narrow = steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width] if width > 4 else steps.astype("<u4")
+    return tok[:1].astype("<u8").tobytes() + narrow.tobytes(), width
 
-def _runs(values: np.ndarray):
+
+def from_gaps(data, width: int) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    steps = np.zeros(((len(raw) - 8) // width + 1, 8), np.uint8)
+    steps[0] = raw[:8]
+    steps[1:, :width] = raw[8:].reshape(-1, width)
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
+
+
+def _named(sets, idx) -> np.ndarray:
+    """Of each pair its set's number in the flush and digest."""
+    sets, idx = np.frombuffer(sets, "<u8"), np.frombuffer(idx, "<u2")
+    return sets[idx] if len(idx) else sets
+
+
+def runs(values: np.ndarray):
     """(value, slice) of each run of equal values."""
     if len(values):
         cuts = np.flatnonzero(np.diff(values)) + 1
@@ -95,76 +126,68 @@ def block_of(tok: np.ndarray, blocks: int) -> np.ndarray:
     return ((tok >> np.uint64(TOKEN_BITS - 24)).astype(np.int64) * blocks) >> 24
 
 
-def unpacked(rows: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """records (void of ``width`` bytes, distinct), per pair token, number of its record and whether settled; marked tokens."""
-    sets, marks, base, at = [], [np.zeros(0, np.uint64)], 0, 0
-    total = sum(x.size for x in (b.as_buffer() for b in rows["idx"])) // 2 if len(rows) else 0
-    tok, idx, settled = np.empty(total, np.uint64), np.empty(total, np.int32), np.zeros(total, bool)  # filled in place
-    for row in rows.select(["sets", "idx", "tok", "wide", "kind"]).to_batches():
-        cols = [row.column(k) for k in range(5)]
-        for r in range(row.num_rows):
-            data, kind = cols[2][r].as_buffer(), cols[4][r].as_py()
-            if kind == MARKER:
+def shared(rows: pa.Table) -> pa.Table:
+    """Of a token block: the pairs whose token two sets hold at least, back to their flushes with the number of sets (at most HOT)."""
+    out, marks, plain, total = [], [np.zeros(0, np.uint64)], [], 0
+    for batch in rows.select([f.split()[0] for f in SCHEMA.split(", ")]).to_batches():
+        _, flush, kind, sets, idx, tok, width = (batch.column(k) for k in range(7))
+        for r in range(batch.num_rows):
+            which, data = kind[r].as_py(), tok[r].as_buffer()
+            if which == MARKER:
                 marks.append(np.frombuffer(data, "<u8"))
-                continue
-            own = np.frombuffer(cols[0][r].as_buffer(), f"V{width}")
-            local = np.frombuffer(cols[1][r].as_buffer(), "<u2")
-            stop = at + len(local)
-            if cols[3][r].as_py():
-                tok[at:stop] = np.frombuffer(data, "<u8")
+            elif which == HOME:
+                out.append((flush[r].as_py(), HOME, sets[r].as_py(), b"", b"", 8, b""))
+            elif which == SETTLED:
+                number = (_named(sets[r].as_buffer(), idx[r].as_buffer()) >> np.uint64(48)).astype("<u2")
+                out.append((flush[r].as_py(), PLAIN, b"", number.tobytes(), tok[r].as_py(), width[r].as_py(), np.full(len(number), HOT, np.uint8).tobytes()))
+            else:
+                plain.append((flush[r].as_py(), sets[r].as_buffer(), idx[r].as_buffer(), data, width[r].as_py()))
+                total += (data.size - 8) // width[r].as_py() + 1
+    tok, named = np.empty(total, np.uint64), np.empty(total, np.uint64)  # filled in place
+    bounds = np.zeros(len(plain) + 1, np.int64)
+    for r, (_, sets, idx, data, step) in enumerate(plain):
+        own = from_gaps(data, step)
+        a, b = bounds[r], bounds[r] + len(own)
+        tok[a:b] = own
+        named[a:b] = _named(sets, idx)
+        bounds[r + 1] = b
+    if total:
+        counts = _counts(tok, named & _LOW48, np.unique(np.concatenate(marks)))
+        for r, row in enumerate(plain):
+            own = np.flatnonzero(counts[bounds[r] : bounds[r + 1]] > 1) + bounds[r]
+            if len(own):
+                data, step = gaps(tok[own])
+                out.append((row[0], PLAIN, b"", (named[own] >> np.uint64(48)).astype("<u2").tobytes(), data, step, counts[own].tobytes()))
+    return pa.Table.from_batches([arrow(out, RETURNED)])
+
+
+def _counts(tok: np.ndarray, digest: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Of each pair, the number of distinct sets that hold its token: flushes may hold copies of a set."""
+    order = np.lexsort((digest, tok))
+    tok, digest = tok[order], digest[order]
+    new = np.append(True, tok[1:] != tok[:-1])
+    other = new | np.append(True, digest[1:] != digest[:-1])
+    first = np.flatnonzero(new)
+    n = np.repeat(np.add.reduceat(other, first), np.diff(np.append(first, len(tok))))
+    out = np.empty(len(tok), np.uint8)
+    out[order] = np.where(np.isin(tok, marks), HOT, np.minimum(n, HOT))
+    return out
+
+
+def at_home(rows: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a flush: the records of its sets, and number, token and count of its shared pairs, by number."""
+    records, idx, tok, n = np.zeros(0, f"V{width}"), [np.zeros(0, np.uint16)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
+    for batch in rows.select([f.split()[0] for f in RETURNED.split(", ")]).to_batches():
+        for r in range(batch.num_rows):
+            if batch.column(1)[r].as_py() == HOME:
+                records = np.frombuffer(batch.column(2)[r].as_buffer(), f"V{width}")
             else:
-                tok[at] = np.frombuffer(data, "<u8", 1)[0]
-                tok[at + 1 : stop] = np.frombuffer(data, "<u4", len(local) - 1, 8)
-                np.cumsum(tok[at:stop], out=tok[at:stop])
-            idx[at:stop] = local
-            idx[at:stop] += base
-            settled[at:stop] = kind == SETTLED
-            sets.append(own)
-            base += len(own)
-            at = stop
-    if not sets:
-        return np.zeros(0, f"V{width}"), np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, bool), np.concatenate(marks)
-    records, number = distinct(np.concatenate(sets))
-    return records, tok, number[idx], settled, np.unique(np.concatenate(marks))
-
-
-def distinct(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct values of a void array, and the number of each entry's value."""
-    as_bytes = np.frombuffer(records.tobytes(), np.uint8).reshape(len(records), -1)
-    order = np.lexsort(as_bytes.T[::-1])
-    sorted_ = as_bytes[order]
-    new = np.append(True, (sorted_[1:] != sorted_[:-1]).any(1))
-    number = np.empty(len(records), np.int32)
-    number[order] = np.cumsum(new) - 1
-    return records[order][new], number
-
-
-def counted(rows: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """records, and of the pairs whose token is in two sets at least: token, number of its record, count (at most HOT)."""
-    records, tok, idx, settled, marks = unpacked(rows, width)
-    sure_tok, sure_idx = _once(tok[settled], idx[settled])
-    if len(sure_tok):
-        tok, idx = tok[~settled], idx[~settled]
-    tok, idx = _once(tok, idx)
-    first = np.flatnonzero(np.append(True, tok[1:] != tok[:-1])[: len(tok)])
-    n = np.diff(np.append(first, len(tok)))
-    n = np.repeat(n, n)
-    n = np.where(np.isin(tok, marks), HOT, np.minimum(n, HOT)).astype(np.uint8)
-    shared = n >= 2
-    return (
-        records,
-        np.concatenate([sure_tok, tok[shared]]),
-        np.concatenate([sure_idx, idx[shared]]),
-        np.concatenate([np.full(len(sure_tok), HOT, np.uint8), n[shared]]),
-    )
-
-
-def _once(tok: np.ndarray, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs by token, each once: flushes may hold copies of a set."""
-    order = np.lexsort((idx, tok))
-    tok, idx = tok[order], idx[order]
-    keep = np.append(True, (tok[1:] != tok[:-1]) | (idx[1:] != idx[:-1]))[: len(tok)]
-    return tok[keep], idx[keep]
+                idx.append(np.frombuffer(batch.column(3)[r].as_buffer(), "<u2"))
+                tok.append(from_gaps(batch.column(4)[r].as_buffer(), batch.column(5)[r].as_py()))
+                n.append(np.frombuffer(batch.column(6)[r].as_buffer(), np.uint8))
+    idx, tok, n = np.concatenate(idx), np.concatenate(tok), np.concatenate(n)
+    order = np.argsort(idx, kind="stable")
+    return records, idx[order], tok[order], n[order]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

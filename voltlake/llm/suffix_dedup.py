@@ -31,12 +31,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voltlake.llm import packed
-from voltlake.llm.common import discard, free_shuffles, staged, table
+from voltlake.llm.common import discard, staged, table
 
 LENGTH, ANCHOR = 50, 24
 BLOCK_PAIRS, BATCH_BYTES, PIECE_STRINGS, BUCKET_BYTES = 2_000_000, 1 << 18, 64, 1 << 20
@@ -79,7 +80,7 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
 
 def _pairs(length: int, anchor: int, blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flush = packed.Flush(blocks)
+        flush = packed.Flush(blocks, TaskContext.get().partitionId())
         for batch in batches:
             for _, texts in _texts(batch.column(0)):
                 for k, own in enumerate(anchors(texts, length, anchor)):
@@ -93,37 +94,16 @@ def _pairs(length: int, anchor: int, blocks: int):
     return run
 
 
-def _dealt(parts: int):
-    """Of an anchor block: the shared anchors of each text, dealt by text."""
-
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        records, tok, idx, _ = packed.counted(rows, KEY)
-        raw = np.frombuffer(records.tobytes(), np.uint8).reshape(-1, KEY)
-        part = ((raw[:, 0].astype(np.int64) << 8 | raw[:, 1]) * parts) >> 16
-        by = np.lexsort((idx, part[idx]))
-        tok, idx = tok[by], idx[by]
-        out = []
-        for p, own in packed._runs(part[idx]):
-            used, local = np.unique(idx[own], return_inverse=True)
-            out.append((p, records[used].tobytes(), local.astype("<u4").tobytes(), tok[own].tobytes()))
-        cols = list(zip(*out, strict=True)) or [[], [], [], []]
-        return pa.table({"part": pa.array(cols[0], pa.int32())} | {n: pa.array(c, pa.binary()) for n, c in zip(("texts", "idx", "toks"), cols[1:], strict=True)})
-
-    return run
+def _shared(key: tuple, rows: pa.Table) -> pa.Table:
+    return packed.shared(rows)
 
 
 def _per_text(key: tuple, rows: pa.Table) -> pa.Table:
-    sets, idxs, base = [], [], 0
-    for own, idx in zip(rows["texts"], rows["idx"], strict=True):
-        sets.append(np.frombuffer(own.as_buffer(), f"V{KEY}"))
-        idxs.append(np.frombuffer(idx.as_buffer(), "<u4").astype(np.int64) + base)
-        base += len(sets[-1])
-    records, number = packed.distinct(np.concatenate(sets))
-    idx, toks = number[np.concatenate(idxs)], np.concatenate([np.frombuffer(x.as_buffer(), "<u8") for x in rows["toks"]])
-    order = np.lexsort((toks, idx))
-    idx, toks = idx[order], toks[order]
-    out = [(records[i].tobytes(), toks[own].tobytes()) for i, own in packed._runs(idx)]
-    return pa.table({"th": pa.array([o[0] for o in out], pa.binary()), "toks": pa.array([o[1] for o in out], pa.binary())})
+    """Of a flush: the shared anchors of each text, sorted."""
+    records, idx, tok, _ = packed.at_home(rows, KEY)
+    order = np.lexsort((tok, idx))
+    tok = tok[order].astype("<u8")
+    return pa.Table.from_batches([packed.arrow([(records[i].tobytes(), tok[own].tobytes()) for i, own in packed.runs(idx[order])], "th binary, toks binary")])
 
 
 PIECE = "tok long, piece binary, doc_id long, th binary, pos long"
@@ -359,20 +339,18 @@ def _string_answers(kinds: DataFrame, length: int) -> DataFrame:
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, th (key of the text), start, end: byte ranges covered by strings that an earlier document holds; ``docs`` is doc_id, text, th."""
-    spark = docs.sparkSession
     rows = docs.filter((F.octet_length("text") >= length) & F.col("doc_id").isNotNull())
     texts = staged(rows.groupBy("th").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(F.octet_length("text")).alias("size")), "texts")
     size = texts.agg(F.sum("size")).first()[0] or 0
     blocks = max(12, -(-size // (BLOCK_PAIRS * 14)))
-    meet = rows.select("text").mapInArrow(_pairs(length, anchor, blocks), packed.SCHEMA).repartition(blocks, "block").groupBy("block")
-    shares = meet.applyInArrow(_dealt(blocks), "part int, texts binary, idx binary, toks binary")
-    shared = shares.groupBy("part").applyInArrow(_per_text, "th binary, toks binary")
+    meet = rows.select("text").mapInArrow(_pairs(length, anchor, blocks), packed.SCHEMA).repartitionById(blocks, F.col("block")).groupBy("block")
+    shares = meet.applyInArrow(_shared, packed.RETURNED)
+    shared = shares.groupBy("flush").applyInArrow(_per_text, "th binary, toks binary")
+    shared = shared.dropDuplicates(["th"])  # copies in several flushes came back with the same anchors
     shared = staged(shared.join(texts.select("th", F.col("low").alias("doc_id")), "th"), "anchors")
-    free_shuffles(spark)
     found = rows.join(shared, ["doc_id", "th"]).select("doc_id", "text", "th", "toks").mapInArrow(_pieces(length, anchor), PIECE)
     pieces = staged(found.withColumn("h", F.xxhash64("piece")), "pieces")
     discard(shared)
-    free_shuffles(spark)
     kinds = pieces.groupBy("tok", "h").agg(F.first("piece").alias("piece"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     buckets = max(12, -(-size // (16 << 20)))
     crowded = crowded_anchors(pieces)
@@ -384,14 +362,12 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
         answers = answers.unionByName(_string_answers(own, length))
     answers = staged(answers, "answers")
     discard(crowded, own)
-    free_shuffles(spark)
     joined = pieces.select("tok", "h", "doc_id", "th", "pos").join(answers, ["tok", "h"]).select("doc_id", "th", "pos", "least", "runs")
     ranges = joined.mapInArrow(_covered(length), "doc_id long, th binary, start long, end long")
     # later copies of a text
     copies = rows.select("doc_id", "th").join(texts.filter("low < high"), "th").filter("doc_id > low")
     ranges = staged(ranges.unionByName(copies.select("doc_id", "th", F.lit(0).cast("long").alias("start"), F.col("size").cast("long").alias("end"))), "ranges")
     discard(pieces, texts, answers)
-    free_shuffles(spark)
     return ranges
 
 
