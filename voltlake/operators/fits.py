@@ -25,8 +25,11 @@ def since_start(df: DataFrame) -> DataFrame:
     return d.withColumn("span", F.max("tau").over(w))
 
 
-def grid_fit(df: DataFrame, keys: Sequence[str], grid: Sequence[float], regressor: Callable[[Column], Column], y: Column) -> DataFrame:
-    """keys, g, b, c, sse: y = b + c * regressor(g), for the g of the grid with the least squares; ties to the first."""
+def grid_fit(df: DataFrame, keys: Sequence[str], grid: Sequence[float], regressor: Callable[[Column], Column], y: Column, exact: float = 0.0) -> DataFrame:
+    """keys, g, b, c, sse: y = b + c * regressor(g), for the g of the grid with the least squares; ties to the first.
+
+    Squares of less than ``exact`` times those of y count as equal: what is left then is rounding.
+    """
     d = df.withColumn("_y", y).withColumn("g", F.explode(F.array(*[F.lit(float(g)) for g in grid])))
     d = d.withColumn("_x", regressor(F.col("g")))
     per = d.groupBy(*keys, "g").agg(
@@ -34,7 +37,7 @@ def grid_fit(df: DataFrame, keys: Sequence[str], grid: Sequence[float], regresso
         F.regr_sxx("_y", "_x").alias("sxx"), F.regr_sxy("_y", "_x").alias("sxy"), F.regr_syy("_y", "_x").alias("syy"), F.count("_x").alias("n"),
     )
     per = per.filter((F.col("n") >= LEAST_POINTS) & (F.col("sxx") > 0)).withColumn("sse", F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx"))
-    return best_candidate(per, keys, F.struct("sse", "g"), ["g", "b", "c", "sse"], lowest=True)
+    return best_candidate(per, keys, F.struct(F.greatest("sse", exact * F.col("syy")), "g"), ["g", "b", "c", "sse"], lowest=True)
 
 
 def origin_fit(df: DataFrame, keys: Sequence[str], grid: Sequence[float], regressor: Callable[[Column], Column], y: Column, low: float, high: float) -> DataFrame:
@@ -111,7 +114,7 @@ def fit_exp_decays(df: DataFrame, threshold: float = 0.95, passes: int = 2, rate
         d = d.withColumn("share", F.explode(F.array(*[F.lit(x) for x in TAILS]))).filter(F.col("_k") > F.col("_n") - F.ceil(F.col("share") * F.col("_n")))
         of = Window.partitionBy(*SEG, "share")
         d = d.withColumn("_t0", F.min("_tau").over(of)).withColumn("_span", F.max("_tau").over(of) - F.col("_t0")).filter("_span > 0")
-        fit = grid_fit(d, [*SEG, "share", "_t0", "_span"], rates, lambda g: F.exp(-g * (F.col("_tau") - F.col("_t0")) / F.col("_span")), F.col("_v"))
+        fit = grid_fit(d, [*SEG, "share", "_t0", "_span"], rates, lambda g: F.exp(-g * (F.col("_tau") - F.col("_t0")) / F.col("_span")), F.col("_v"), EXACT)
         fit = fit.filter("c <> 0").select(*SEG, "share", "_t0", F.col("b").alias("asymptote"), (F.col("c") * F.exp(F.col("g") * F.col("_t0") / F.col("_span"))).alias("amplitude"), (F.col("g") / F.col("_span")).alias("rate"))
         both = d.drop("_t0").join(fit, [*SEG, "share"])
         back = -F.ln(F.greatest((F.col("_v") - F.col("asymptote")) / F.col("amplitude"), F.lit(LEAST_RATIO))) / F.col("rate")
@@ -126,8 +129,8 @@ def fit_exp_decays(df: DataFrame, threshold: float = 0.95, passes: int = 2, rate
     return out.select(*SEG, "pass", "share", "asymptote", "amplitude", "rate", "r2")
 
 
-#: What the argument of a logarithm is at least.
-LEAST_RATIO = 1e-3
+#: What the argument of a logarithm is at least, and the share of a segment's squares below which a fit is exact.
+LEAST_RATIO, EXACT = 1e-3, 1e-9
 
 
 def fit_power_law(df: DataFrame, exponents: Sequence[float], high: float) -> DataFrame:

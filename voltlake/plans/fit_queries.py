@@ -135,9 +135,9 @@ EXP = EXP_SQL.format(src="blocks")
 EXP_I = EXP.replace("tau AS (", "tau_i AS (").replace("FROM tau,", "FROM tau_i,").replace("(u, x)", "(i, x)").replace("cand AS (", "cand_i AS (").replace("FROM cand ", "FROM cand_i ").replace("decay AS (", "decay_i AS (")
 _PASS = """n{p} AS (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY meas_id, seg_pos ORDER BY pt) AS k FROM {src} WINDOW w AS (PARTITION BY meas_id, seg_pos)),
 s{p} AS (SELECT n{p}.*, s.share, min(tau) OVER w AS t0, max(tau) OVER w - min(tau) OVER w AS span FROM n{p}, (VALUES (1.0::DOUBLE), (0.75), (0.5), (0.25)) s(share) WHERE k > n - ceil(s.share * n) WINDOW w AS (PARTITION BY meas_id, seg_pos, s.share)),
-c{p} AS (SELECT meas_id, seg_pos, share, t0, span, g, regr_intercept(v, x) AS b, regr_slope(v, x) AS c, regr_syy(v, x) - regr_sxy(v, x) * regr_sxy(v, x) / regr_sxx(v, x) AS sse, regr_sxx(v, x) AS sxx, count(*) AS n
+c{p} AS (SELECT meas_id, seg_pos, share, t0, span, g, regr_intercept(v, x) AS b, regr_slope(v, x) AS c, regr_syy(v, x) - regr_sxy(v, x) * regr_sxy(v, x) / regr_sxx(v, x) AS sse, regr_sxx(v, x) AS sxx, count(*) AS n, 1e-9 * regr_syy(v, x) AS least
   FROM (SELECT *, exp(-g * (tau - t0) / span) AS x FROM s{p}, (SELECT 0.2 * pow(250, k / 23) AS g FROM (SELECT unnest(range(0, 24)) AS k)) WHERE span > 0) GROUP BY meas_id, seg_pos, share, t0, span, g),
-f{p} AS (SELECT meas_id, seg_pos, share, t0, arg_min(b, (sse, g)) AS asymptote, arg_min(c * exp(g * t0 / span), (sse, g)) AS amplitude, arg_min(g / span, (sse, g)) AS rate, arg_min(c, (sse, g)) AS c FROM c{p} WHERE n >= 4 AND sxx > 0 GROUP BY 1, 2, 3, 4),
+f{p} AS (SELECT meas_id, seg_pos, share, t0, arg_min(b, (greatest(sse, least), g)) AS asymptote, arg_min(c * exp(g * t0 / span), (greatest(sse, least), g)) AS amplitude, arg_min(g / span, (greatest(sse, least), g)) AS rate, arg_min(c, (greatest(sse, least), g)) AS c FROM c{p} WHERE n >= 4 AND sxx > 0 GROUP BY 1, 2, 3, 4),
 r{p} AS (SELECT s.meas_id, s.seg_pos, s.share, any_value(f.t0) AS t0, any_value(f.asymptote) AS asymptote, any_value(f.amplitude) AS amplitude, any_value(f.rate) AS rate,
   1 - sum(pow(tau + ln(greatest((v - asymptote) / amplitude, 1e-3)) / rate, 2)) / nullif(regr_sxx(tau, tau), 0) AS r2 FROM s{p} s JOIN f{p} f ON f.meas_id = s.meas_id AND f.seg_pos = s.seg_pos AND f.share = s.share WHERE f.c <> 0 AND s.span > 0 GROUP BY 1, 2, 3),
 b{p} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY meas_id, seg_pos ORDER BY r2 >= 0.95 DESC, CASE WHEN r2 >= 0.95 THEN share ELSE r2 END DESC, share DESC) AS o FROM r{p} WHERE r2 IS NOT NULL) WHERE o = 1)"""
