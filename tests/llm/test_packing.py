@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -17,6 +18,21 @@ def test_ids_are_the_tokenizers(corpus):
     assert [a.tolist()[:-1] for a in packing.WordEncoder(PATH).encode(texts)] == direct
 
 
+def test_ids_of_all_words_of_a_table_are_the_tokenizers():
+    """Every stretch that stands in the documents of sf0.1, alone; and some whole texts, the longest among them."""
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist()]
+    words = sorted({w for t in texts for w in packing.stretches(t)})
+    assert len(words) > 10_000
+    tokenizer = Tokenizer.from_file(PATH)
+    for at in range(0, len(words), 50_000):
+        few = words[at : at + 50_000]
+        direct = [e.ids for e in tokenizer.encode_batch_fast(few, add_special_tokens=False)]
+        assert [a.tolist()[:-1] for a in packing.WordEncoder(PATH).encode(few)] == direct
+    some = sorted(texts, key=len)[-20:] + texts[::500]
+    assert max(len(t.split()) for t in some) > 10_000
+    assert [a.tolist()[:-1] for a in packing.WordEncoder(PATH).encode(some)] == [e.ids for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+
+
 def check(rows, texts):
     """Every id once, sequences gapless and at most full."""
     ids = {}
