@@ -1,3 +1,7 @@
+import math
+import random
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -52,3 +56,71 @@ def test_later_label_reads_earlier_probability():
     assert len(chain.weights[1]) == len(chain.weights[0]) + 1 and chain.weights[1][-2] > 0
     p = chain.predict(x)
     assert ((p[:, 1] > 0.5) == (y[:, 1] == 1)).all()
+
+
+def test_newton_steps_find_the_minimum_of_the_loss():
+    """Against plain gradient descent on the same penalised loss, written anew."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(120, 3))
+    y = (x @ [1.5, -2.0, 0.0] + rng.normal(size=120) > 0.3).astype(float)
+    got = T.fit_logistic(x, y, 0.7)
+    w = [0.0] * 4
+    for _ in range(20_000):
+        slope = [0.7 * w[0], 0.7 * w[1], 0.7 * w[2], 1e-3 * w[3]]
+        for row, label in zip(x.tolist(), y.tolist(), strict=True):
+            z = sum(a * b for a, b in zip(w, [*row, 1.0], strict=True))
+            e = 1 / (1 + math.exp(-z)) - label
+            slope = [s + e * v for s, v in zip(slope, [*row, 1.0], strict=True)]
+        w = [a - 0.02 * s for a, s in zip(w, slope, strict=True)]
+        if max(map(abs, slope)) < 1e-6:
+            break
+    assert np.abs(got - np.array(w)).max() < 1e-4
+
+
+def test_chain_of_three_reads_all_before():
+    rng = np.random.default_rng(1)
+    x = np.hstack([(rng.random((900, 2)) < 0.5).astype(np.float32), rng.random((900, 4)).astype(np.float32)])
+    a, b = x[:, 0], x[:, 1]
+    y = np.stack([a, b, a * b], 1).astype(float)
+    chain = T.Chain(["u", "v"], ["a", "b", "both"]).fit(x, y)
+    assert [len(w) for w in chain.weights] == [7, 8, 9]
+    p = chain.predict(x)
+    assert ((p[:, 2] >= chain.threshold) == (y[:, 2] == 1)).mean() > 0.99 and p.shape == (900, 3)
+
+
+def plain_scores(chain, text):
+    """Probabilities of a text with a chain's weights, in plain Python."""
+    words = re.findall("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", text.lower())
+    own = set(words) | {"^" + w[:n] for w in words for n in (5, 7) if len(w) > n}
+    letters, n = sum(len(w) for w in words), max(1, len(words))
+    shape = [math.log(1 + len(words)), len(set(words)) / n, letters / n / 10, 1 - letters / max(1, len(text))]
+    x = [1.0 if w in own else 0.0 for w in chain.index] + [(v - m) / s for v, m, s in zip(shape, chain.mean, chain.scale, strict=True)]
+    out = []
+    for w in chain.weights:
+        z = sum(a * b for a, b in zip(x, w, strict=False)) + w[-1]
+        out.append(1 / (1 + math.exp(-max(-30, min(30, z)))))
+        x.append(out[-1])
+    return out
+
+
+def test_whole_query_against_plain_python(spark):
+    """Chosen words and every document's probabilities, on a small corpus with a repeated id, an empty, a null and a very long text."""
+    rng = random.Random(3)
+    bad, fine = "idiotic rotten vileness stupidly".split(), [f"word{k}" for k in range(40)]
+    rows, labels = [], []
+    for k in range(400):
+        toxic = k % 5 == 0
+        words = [rng.choice(fine) for _ in range(rng.randint(3, 30))] + ([rng.choice(bad), rng.choice(bad)] if toxic else [])
+        rng.shuffle(words)
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(k % 5 == 0 or k % 7 == 0), int(toxic)))
+    rows += [(1000, ""), (1001, None), (1002, "fine word1 " * 20_100), (3, "idiotic " * 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    chain = T.train(docs, spark.createDataFrame(labels, "doc_id long, low_quality int, toxic int"), T.CHAIN, words=12)
+    assert set(bad) <= chain.index.keys()
+    got = T.score_toxicity(docs, chain).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        want = plain_scores(chain, r.text or "")
+        assert abs(r.p_low_quality - want[0]) < 1e-5 and abs(r.p_toxic - want[1]) < 1e-5 and r.toxic == (r.p_toxic >= chain.threshold)
+    assert sum(r.toxic for r in got if r.doc_id < 400 and r.doc_id % 5 == 0) >= 78
