@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from voltlake.operators.storage import staged
 
 
-BINS, ROUNDS, PARTS = 1024, 60, 64
+BINS, ROUNDS, PART_ROWS = 1024, 60, 200_000
 
 
 def plateau_clusters(df: DataFrame, plateaus: int, keys: Sequence[str] = ("meas_id",)) -> DataFrame:
@@ -64,10 +64,12 @@ def plateau_clusters(df: DataFrame, plateaus: int, keys: Sequence[str] = ("meas_
 def label_cycles(stats: DataFrame, most: int, seed: int = 0) -> DataFrame:
     """Adds cluster and name to segments (i_mean, i_var, u_mean, u_var): k from 2 to ``most`` by silhouette; named by what varies less within the cluster.
 
-    The rows are put in one order in a fixed number of partitions first, as MLlib's start depends on both.
+    The rows are put in one order, in a number of partitions that follows from theirs, first, as MLlib's start depends on both.
     """
     features = ["i_mean", "i_var", "u_mean", "u_var"]
-    raw = VectorAssembler(inputCols=features, outputCol="raw").transform(stats.dropna(subset=features).repartition(PARTS, "meas_id").sortWithinPartitions("meas_id", "seg_pos"))
+    known = staged(stats.dropna(subset=features), "stats")
+    parts = max(4, -(-known.count() // PART_ROWS))
+    raw = VectorAssembler(inputCols=features, outputCol="raw").transform(known.repartition(parts, "meas_id").sortWithinPartitions("meas_id", "seg_pos"))
     data = StandardScaler(inputCol="raw", outputCol="features").fit(raw).transform(raw).persist()
     best = None
     for k in range(2, most + 1):
