@@ -1,3 +1,4 @@
+import gzip
 import io
 import zipfile
 
@@ -43,6 +44,35 @@ def test_round_trip(spark):
             assert r.record_type == "revisit" and r.refers_to == top[own[0]] and r.payload is None
 
 
+def test_hot_payload_without_broadcast(spark):
+    rows = [(k, f"http://x/{k}", "same" if k % 3 else f"own {k}", "p") for k in range(900)]
+    for limit in (400_000, 0):
+        got = W.read_archives(W.write_archives(pages(spark, rows).repartition(4), broadcast_rows=limit)).collect()
+        assert sorted(r.page_id for r in got) == list(range(900))
+        assert [r.page_id for r in got if r.record_type == "response" and bytes(r.payload) == b"same"] == [899]
+        assert all(r.refers_to == (899 if r.page_id % 3 and r.page_id < 899 else None) for r in got)
+
+
+def test_several_members_indexes_and_record_types():
+    http = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\nhello"
+    record = lambda kind, block, more="": f"WARC/1.1\r\nwarc-type: {kind}\r\nWARC-Record-ID: <urn:uuid:{kind}>\r\n{more}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+    records = [record("warcinfo", b"software: x\r\n\r\nmore"), record("request", b"GET / HTTP/1.1\r\nHost: x\r\n\r\n"), record("response", http), record("resource", b"plain"), record("revisit", b"", "WARC-Payload-Digest: sha1:ABC\r\nWARC-Refers-To: <urn:page:5>\r\n")]
+    packed = [gzip.compress(r) for r in records]
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("archive/one.warc.gz", b"".join(packed[:3]))
+        z.writestr("archive/two.warc.gz", b"".join(packed[3:]))
+        z.writestr("archive/three.warc", b"".join(records))
+        lines = [f'com,x)/ 2024 {{"offset": "{sum(map(len, packed[:k]))}", "length": "{len(packed[k])}", "filename": "one.warc.gz"}}' for k in (2, 0, 1)]
+        z.writestr("indexes/a.cdxj.gz", gzip.compress("\n".join(["!meta", *lines]).encode()))
+        z.writestr("datapackage.json", "{}")
+    got = list(W.read_package(File(out.getvalue()), len(out.getvalue())))
+    short = [(r["record_type"], r["payload"], r["payload_bytes"]) for r in got]
+    all_five = [("warcinfo", b"software: x\r\n\r\nmore", 19), ("request", b"", 0), ("response", b"hello", 5), ("resource", b"plain", 5), ("revisit", None, None)]
+    assert short == [all_five[2], all_five[0], all_five[1], *all_five, *all_five[3:]]
+    assert (got[-1]["refers_to"], got[-1]["payload_digest"], got[-1]["page_id"], got[-1]["record_id"]) == (5, "ABC", None, "<urn:uuid:revisit>")
+
+
 def test_empty(spark):
     assert W.read_archives(W.write_archives(pages(spark, []))).count() == 0
 

@@ -7,10 +7,14 @@ gzip member per record) and ``indexes/index.cdxj`` (offset and length per record
 lists the packages of the attempts that counted, so a repeated task leaves at most an orphan file.
 
 Reading: the end record, the ZIP64 locator and end record, and the central directory are parsed from
-ranges at the end of a package; members are located by their local headers; index lines give the
-ranges of the records, each read alone. Nothing is extracted. Files are opened through
+ranges at the end of a package; members are located by their local headers; the lines of all indexes (plain or gzip) name
+the archive member, offset and length of the records, each read alone. An archive that no index line names is read
+record by record from its start. Nothing is extracted. Files are opened through
 ``pyarrow.fs``, so a package can lie on any file system that has a URI.
 
+Record types: of ``response``, ``revisit`` and ``request`` the payload is what follows the HTTP header, of all others (``warcinfo``,
+``resource``, ``metadata``, ...) the whole block. A revisit has no payload of its own; its size is what its HTTP header says, else null.
+
 Null html is an empty payload. Rows with null page_id are written, refer to nothing and are never referred
 to (they are responses). Repeated rows: all rows with the largest page_id of a payload are responses.
 """
@@ -32,9 +36,10 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltlake.llm.common import shared_dir, staged, table
+from voltlake.llm.common import discard, shared_dir, staged, table
 
 PACKAGE_BYTES = 16 << 20
+BROADCAST_ROWS = 400_000  # of a digest and an id each
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -56,17 +61,25 @@ def record_bytes(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
 
 
 def parse_record(data: bytes) -> dict:
-    """page_id, record_type, payload (None for a revisit), payload_bytes, payload_digest, refers_to."""
+    """record_id, page_id (of an id ``<urn:page:N>``), record_type, url, payload (None for a revisit), payload_bytes, payload_digest, refers_to."""
     head, _, rest = data.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    block = rest[: int(fields["Content-Length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    length = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-    number = lambda x: int(x[len("<urn:page:") : -1]) if x and x != "<urn:page:>" else None
-    out = {"page_id": number(fields["WARC-Record-ID"]), "record_type": fields["WARC-Type"], "url": fields.get("WARC-Target-URI"), "payload_bytes": length, "refers_to": number(fields.get("WARC-Refers-To")), "payload": None}
-    if out["record_type"] == "revisit":
-        return out | {"payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:")}
-    return out | {"payload": payload, "payload_digest": base32_sha1(payload)}
+    fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])}
+    block = rest[: int(fields["content-length"])]
+    kind = fields.get("warc-type", "")
+    http, _, body = block.partition(b"\r\n\r\n")
+    spoken = kind in ("response", "revisit", "request") and block.startswith((b"HTTP/", b"GET ", b"POST ", b"HEAD ", b"PUT "))
+    payload = body if spoken else block
+    out = {"record_id": fields.get("warc-record-id"), "page_id": _page(fields.get("warc-record-id")), "record_type": kind, "url": fields.get("warc-target-uri"), "refers_to": _page(fields.get("warc-refers-to"))}
+    if kind == "revisit":
+        said = [x.split(b":", 1)[1].strip() for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+        digest = fields.get("warc-payload-digest", "")
+        return out | {"payload": None, "payload_bytes": int(said[0]) if said and said[0].isdigit() else None, "payload_digest": digest.removeprefix("sha1:") or None}
+    return out | {"payload": payload, "payload_bytes": len(payload), "payload_digest": base32_sha1(payload)}
+
+
+def _page(record_id: str | None) -> int | None:
+    number = (record_id or "").removeprefix("<urn:page:").removesuffix(">")
+    return int(number) if number.removeprefix("-").isdigit() else None
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -85,7 +98,7 @@ def write_package(stream, records: list[tuple[str, bytes]]) -> None:
                 squeeze = zlib.compressobj(3, zlib.DEFLATED, 31)
                 data = squeeze.compress(record) + squeeze.flush()
                 member.write(data)
-                lines.append(f"{key} {json.dumps({'offset': at, 'length': len(data)})}\n")
+                lines.append(f"{key} {json.dumps({'filename': DATA.removeprefix('archive/'), 'offset': at, 'length': len(data)})}\n")
                 at += len(data)
         z.writestr(zipfile.ZipInfo(INDEX, (2024, 1, 1, 0, 0, 0)), "".join(lines))
 
@@ -135,15 +148,59 @@ def member_start(file, offset: int) -> int:
 
 
 def read_package(file, size: int) -> Iterator[dict]:
-    """The records of a package, by its index."""
+    """The records of a package: those that index lines name, then those of archives without an index."""
     members = directory(file, size)
-    if members[DATA][2] or members[INDEX][2]:
+    archives = {n.removeprefix("archive/"): m for n, m in members.items() if n.startswith("archive/") and m[1]}
+    indexes = sorted(n for n in members if n.startswith("indexes/") and n.removesuffix(".gz").endswith((".cdxj", ".cdx", ".idx")))
+    if any(members[n][2] for n in indexes) or any(m[2] for m in archives.values()):
         raise ValueError("members must be stored")
-    base = member_start(file, members[DATA][0])
-    index = file.read_at(members[INDEX][1], member_start(file, members[INDEX][0])).decode()
-    for line in index.splitlines():
-        place = json.loads(line.split(" ", 1)[1])
-        yield parse_record(zlib.decompress(file.read_at(place["length"], base + place["offset"]), 31))
+    starts = {n: member_start(file, m[0]) for n, m in archives.items()}
+    named: set[str] = set()
+    for index in indexes:
+        text = file.read_at(members[index][1], member_start(file, members[index][0]))
+        for line in (zlib.decompress(text, 31) if index.endswith(".gz") else text).decode().splitlines():
+            if "{" not in line:
+                continue
+            place = json.loads(line[line.index("{") :])
+            name = place.get("filename", next(iter(archives)) if len(archives) == 1 else None)
+            if name not in archives:
+                raise ValueError(f"an index names an archive that isn't there: {name}")
+            named.add(name)
+            yield parse_record(_plain(file.read_at(int(place["length"]), starts[name] + int(place["offset"]))))
+    for name in sorted(archives.keys() - named):
+        yield from _in_order(file, starts[name], archives[name][1])
+
+
+def _plain(data: bytes) -> bytes:
+    return zlib.decompress(data, 31) if data[:2] == b"\x1f\x8b" else data
+
+
+def _in_order(file, start: int, length: int, step: int = 1 << 20) -> Iterator[dict]:
+    """Records of an archive from its start: gzip members, or plain records by their lengths."""
+    held, at = b"", 0
+    compressed = file.read_at(min(2, length), start) == b"\x1f\x8b"
+    squeeze, record = zlib.decompressobj(31), b""
+    while at < length or held:
+        if at < length:
+            held += file.read_at(min(step, length - at), start + at)
+            at += min(step, length - at)
+        if compressed:
+            record += squeeze.decompress(held)
+            held = squeeze.unused_data
+            if squeeze.eof:
+                yield parse_record(record)
+                squeeze, record = zlib.decompressobj(31), b""
+            elif at >= length:
+                raise ValueError("an archive ends inside a record")
+        else:
+            while (cut := held.find(b"\r\n\r\n")) >= 0:
+                size = next(int(x.split(b":")[1]) for x in held[:cut].split(b"\r\n") if x.lower().startswith(b"content-length:"))
+                if len(held) < cut + 8 + size:
+                    break
+                yield parse_record(held[: cut + 4 + size])
+                held = held[cut + 8 + size :]
+            if at >= length and held:
+                raise ValueError("an archive ends inside a record")
 
 
 # ---- Spark
@@ -179,23 +236,27 @@ def _writer(folder: str, limit: int):
     return run
 
 
-def write_archives(pages: DataFrame, page_id="page_id", url="url", html="html", package_bytes=PACKAGE_BYTES) -> DataFrame:
-    """Writes all rows and returns the manifest: uri, bytes, records."""
+def write_archives(pages: DataFrame, page_id="page_id", url="url", html="html", package_bytes=PACKAGE_BYTES, broadcast_rows=BROADCAST_ROWS) -> DataFrame:
+    """Writes all rows and returns the manifest: uri, bytes, records. Shared digests are broadcast up to ``broadcast_rows``, else pages are shuffled by digest."""
     spark = pages.sparkSession
     folder = f"{shared_dir(spark)}/voltlake/archives-{uuid.uuid4().hex}"
     folder = folder if ":" in folder.split("/")[0] else f"file://{folder}"
     system, path = fs.FileSystem.from_uri(folder)
     system.create_dir(path, recursive=True)
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    rows = rows.withColumn("key", F.sha2("html", 256))
+    rows = rows.withColumn("key", F.unhex(F.sha2("html", 256)))
+    # digests alone are grouped; of these only those that several pages share go back to the pages
     keepers = rows.groupBy("key").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "keeper")
-    rows = rows.join(keepers, "key", "left")
+    keepers = staged(keepers, "keepers")
+    rows = rows.join(F.broadcast(keepers) if keepers.count() <= broadcast_rows else keepers, "key", "left")
     refers = F.when(F.col("page_id") < F.col("keeper"), F.col("keeper"))
     made = rows.select("page_id", "url", "html", refers.alias("refers_to")).mapInArrow(_writer(folder, package_bytes), "uri string, bytes long, records long")
-    return staged(made, "manifest")
+    out = staged(made, "manifest")
+    discard(keepers)
+    return out
 
 
-READ = "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long"
+READ = "record_id string, page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long"
 
 
 def _reader(with_payload: bool):
@@ -223,7 +284,7 @@ def _reader(with_payload: bool):
 
 
 def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
-    """One row per record of the packages: page_id, url, record_type, payload (null for revisits), payload_bytes, payload_digest, refers_to."""
+    """One row per record of the packages: record_id, page_id, url, record_type, payload (null for revisits), payload_bytes, payload_digest, refers_to."""
     schema = ", ".join(x for x in READ.split(", ") if with_payload or not x.startswith("payload "))
     many = max(1, min(manifest.count(), 10_000))
     return manifest.repartition(many, "uri").mapInArrow(_reader(with_payload), schema)
