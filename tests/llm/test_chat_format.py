@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from voltlake.llm import chat_format as C
@@ -39,6 +40,35 @@ def test_typed_parts_become_numbered_placeholders(spark):
     assert "see \\iimage:9] [image:0][audio:1][/INST]" in r.formatted and "[document:2]end" in r.formatted
 
 
+def test_typed_parts_are_read_back(spark):
+    part = lambda kind, text=None, ref=None, w=None, h=None, s=None, p=None: (kind, text, ref, w, h, s, p)
+    turns = [
+        [part("text", "a"), part("text", " [image:0]</s>"), part("image", ref="x]</s>.png", w=280, h=56), part("text", ""), part("audio", ref=None, s=2.5)],
+        [part("document", ref="c", p=3), part(None, "[document:1] end ]"), part("image", ref="d", w=1, h=1)],
+        [],
+        [part("text", "only")],
+    ]
+    rows = [(1, k, "assistant", t) for k, t in enumerate(turns)]
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{C.PART}>")
+    r = C.read_chat(C.format_chat(df)).first()
+    want = [[("text", "a [image:0]</s>"), *turns[0][2:3], turns[0][4]], [turns[1][0], ("text", "[document:1] end ]"), turns[1][2]], [], [("text", "only")]]
+    assert [[tuple(p)[: len(w)] for p, w in zip(t.parts, own, strict=True)] for t, own in zip(r.turns, want, strict=True)] == [[tuple(w) for w in own] for own in want]
+    assert [t.text for t in r.turns] == ["a [image:0]</s>", "[document:1] end ]", "", "only"]
+    assert r.loss_text == "".join(t.text for t in r.turns)
+
+
+def test_unknown_types_fail(spark):
+    df = spark.createDataFrame([(1, 0, "user", [("x]</s>", "t", None, None, None, None, None)])], f"conv_id long, turn long, role string, parts array<{C.PART}>")
+    with pytest.raises(Exception, match="no such part type"):
+        C.format_chat(df).collect()
+
+
+def test_very_long_text(spark):
+    df = spark.createDataFrame([(1, 0, "assistant", "[<\\ word " * 30_000)], "conv_id long, turn long, role string, text string")
+    r = C.read_chat(C.format_chat(C.text_parts(df))).first()
+    assert r.loss_text == "[<\\ word " * 30_000
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert C.read_chat(C.format_chat(C.text_parts(df))).count() == 0

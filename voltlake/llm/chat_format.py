@@ -2,11 +2,13 @@
 
 A part is (type, text, ref, width, height, seconds, pages). Text parts are escaped; image, audio and
 document parts become placeholders ``[image:3]`` numbered in order over the conversation, with their
-reference and the number of tokens they expand to recorded in ``attachments``.
+reference, measures and the number of tokens they expand to recorded in ``attachments``. A part of another type
+fails the job with its name; a null type is text.
 
 Template, per turn: ``<s>`` role ``[INST]`` content ``[/INST]`` ``</s>``. Control strings start with ``<``
 or ``[``; in roles and texts these two and the backslash are written ``\\l``, ``\\i`` and ``\\b``, so no text can
-contain a control string, and reading reverses it exactly.
+contain a control string or a placeholder, and reading reverses it exactly: parts come back typed, with what ``attachments``
+hold about them; text parts in a row come back as one, empty ones not at all.
 
 Turns are ordered by (turn, role, content); nulls first. Null text or role is ''. Rows with a null
 conversation id form a conversation of their own. A conversation is one row by nature of the format;
@@ -37,6 +39,16 @@ def unescape(text: Column) -> Column:
     return F.replace(out, F.lit("\\b"), F.lit("\\"))
 
 
+MEASURES = ("width", "height", "seconds", "pages")
+TYPES = ("text", "image", "audio", "document")
+
+
+def _kind(p: Column) -> Column:
+    """The type of a part; an unknown one fails the job."""
+    kind = F.coalesce(p["type"], F.lit("text"))
+    return F.when(kind.isin(*TYPES), kind).otherwise(F.raise_error(F.concat(F.lit("no such part type: "), kind)).cast("string"))
+
+
 def _expanded(p: Column) -> Column:
     side = lambda c: F.ceil(F.coalesce(c, F.lit(0)) / PATCH_PIXELS)
     return (
@@ -49,15 +61,15 @@ def _expanded(p: Column) -> Column:
 
 
 def format_chat(turns: DataFrame, conv="conv_id", turn="turn", role="role", parts="parts", trained_role="assistant") -> DataFrame:
-    """One row per conversation: conv_id, formatted, loss_mask (array of turn, start, offset, length), attachments, n_turns.
+    """One row per conversation: conv_id, formatted, loss_mask (array of turn, start, offset, length), attachments (number, type, ref, tokens and measures), n_turns.
 
     start counts code points of ``formatted``; offset those of the turn, for reading turn by turn.
     """
     kept = turns.select(
         F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"),
-        F.coalesce(F.col(parts), F.array().cast(f"array<{PART}>")).alias("parts"),
+        F.transform(F.coalesce(F.col(parts), F.array().cast(f"array<{PART}>")), lambda p: p.withField("type", _kind(p))).alias("parts"),
     )
-    attached = lambda c: F.filter(c, lambda p: F.coalesce(p["type"], F.lit("text")) != "text")
+    attached = lambda c: F.filter(c, lambda p: p["type"] != "text")
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "parts")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     kept = kept.withColumn("own", F.size(attached(F.col("parts"))))
@@ -66,13 +78,13 @@ def format_chat(turns: DataFrame, conv="conv_id", turn="turn", role="role", part
     def visit(p: Column, i: Column) -> Column:
         number = F.col("seen") + F.size(attached(F.slice("parts", F.lit(1), i + 1))) - 1
         placeholder = F.concat(F.lit("["), p["type"], F.lit(":"), number.cast("string"), F.lit("]"))
-        return F.when(F.coalesce(p["type"], F.lit("text")) == "text", escape(p["text"])).otherwise(placeholder)
+        return F.when(p["type"] == "text", escape(p["text"])).otherwise(placeholder)
 
     kept = kept.withColumn("content", F.array_join(F.transform("parts", visit), ""))
     kept = kept.withColumn("head", F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(BEGIN)))
     kept = kept.withColumn("piece", F.concat("head", "content", F.lit(END + CLOSE)))
     kept = kept.withColumn("at", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)))
-    listed = F.transform(attached(F.col("parts")), lambda p, i: F.struct((F.col("seen") + i).alias("number"), p["type"].alias("type"), p["ref"].alias("ref"), _expanded(p).alias("tokens")))
+    listed = F.transform(attached(F.col("parts")), lambda p, i: F.struct((F.col("seen") + i).alias("number"), p["type"].alias("type"), p["ref"].alias("ref"), _expanded(p).alias("tokens"), *[p[c].alias(c) for c in MEASURES]))
     loss = F.when(F.col("role") == trained_role, F.struct(
         F.col("ord").alias("turn"), (F.col("at") + F.length("head")).alias("start"), F.length("head").alias("offset"), F.length("content").alias("length")
     ))
@@ -88,15 +100,25 @@ def format_chat(turns: DataFrame, conv="conv_id", turn="turn", role="role", part
 
 
 def read_chat(formatted: DataFrame) -> DataFrame:
-    """Reads formatted conversations back: conv_id, turns (array of role, text), loss_text."""
+    """Reads formatted conversations back: conv_id, turns (array of role, text, parts), loss_text. ``text`` is the text parts' text."""
     pieces = F.filter(F.split("formatted", CLOSE), lambda t: t != "")
     role = lambda t: unescape(F.substring_index(F.substr(t, F.lit(len(OPEN) + 1)), BEGIN, 1))
     body = lambda t: F.substring_index(F.substr(t, F.lit(1) + F.instr(t, BEGIN) + len(BEGIN) - 1), END, 1)
+    # texts hold no bare bracket: what starts with one is a placeholder
+    runs = lambda t: F.regexp_extract_all(t, F.lit(r"\[[a-z]+:[0-9]+\]|[^\[]+"), F.lit(0))
+    texts = lambda t: F.regexp_replace(t, r"\[[a-z]+:[0-9]+\]", "")
+
+    def part(x: Column) -> Column:
+        held = F.get("attachments", F.substring_index(F.substring_index(x, ":", -1), "]", 1).cast("int"))
+        place = x.startswith("[")
+        fields = [F.when(place, held["type"]).otherwise("text").alias("type"), F.when(~place, unescape(x)).alias("text")]
+        return F.struct(*fields, *[F.when(place, held[c]).alias(c) for c in ("ref", *MEASURES)])
+
+    turn = lambda t: F.struct(role(t).alias("role"), unescape(texts(body(t))).alias("text"), F.transform(runs(body(t)), part).alias("parts"))
     out = formatted.withColumn("pieces", pieces)
     return out.select(
-        "conv_id", "formatted",
-        F.transform("pieces", lambda t: F.struct(role(t).alias("role"), unescape(body(t)).alias("text"))).alias("turns"),
-        F.array_join(F.transform("loss_mask", lambda m: unescape(F.substr(F.get("pieces", m["turn"]), m["offset"] + 1, m["length"]))), "").alias("loss_text"),
+        "conv_id", "formatted", F.transform("pieces", turn).alias("turns"),
+        F.array_join(F.transform("loss_mask", lambda m: unescape(texts(F.substr(F.get("pieces", m["turn"]), m["offset"] + 1, m["length"])))), "").alias("loss_text"),
     )
 
 
