@@ -1,8 +1,11 @@
 """Language ID of mixed texts: script ranges narrow candidates, Viterbi over per-word scores labels spans.
 
 Learning: one pass counts letter trigrams (hashed to 2^16 buckets, word borders included) and the script of
-each word, per language, over all training rows; counts are summed by Spark and become one row per
-language. What reaches the driver is languages x 2^16 counts, whatever the input.
+each word, per language, over all training rows; counts are summed by Spark and become arrays by language and range of
+buckets, of 2^16 + 64 counts a language. What reaches the driver and is broadcast is languages x these, whatever the input, and
+more than MAX_LANGUAGES languages (dirty labels, as a rule) end learning with an error before anything is counted.
+
+Scripts are ranges of code points; dashes, quotes, symbols and emoji are no letters. Bytes that aren't UTF-8 can't occur in Spark's strings.
 
 Labelling: a word's score for a language is the sum of its trigrams' log probabilities; languages in which
 fewer than ``rare`` of the words have the word's script are no candidates for it (unless none is left).
@@ -25,18 +28,41 @@ from pyspark.sql import functions as F
 
 from voltlake.llm.common import table
 
-BUCKETS, SCRIPTS, PENALTY, RARE = 1 << 16, 256, 12.0, 0.001
+BUCKETS, SCRIPTS, PENALTY, RARE = 1 << 16, 64, 12.0, 0.001
+MAX_LANGUAGES, PART_SLOTS = 1000, 4096
 BATCH_BYTES, GROUP = 4 << 20, 256
 
 _letter = np.zeros(256, np.uint8)  # what a byte counts as: 0 for no letter, else the small letter or the byte itself
 _letter[0x80:] = np.arange(0x80, 0x100)
 _letter[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
 _letter[ord("A") : ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
-#: Script class by the first byte of a UTF-8 letter: all of Latin is one, else ranges of lead bytes.
-_script = np.arange(256, dtype=np.int64)
-_script[:0xCA] = 1  # ASCII and Latin letters with marks
-for _low, _high in ((0xCD, 0xCF), (0xD0, 0xD4), (0xD6, 0xD7), (0xD8, 0xDB), (0xE4, 0xE9), (0xEA, 0xED)):
-    _script[_low : _high + 1] = _low
+#: Fixed values, by Unicode blocks: where ranges of code points start, and what script (0: no letters) they hold.
+RANGES = (
+    (0x00, 1), (0xA0, 0), (0xAA, 1), (0xAB, 0), (0xB5, 1), (0xB6, 0), (0xBA, 1), (0xBB, 0), (0xC0, 1), (0xD7, 0), (0xD8, 1), (0xF7, 0), (0xF8, 1),
+    (0x2B9, 0), (0x300, 1), (0x370, 2), (0x37E, 0), (0x37F, 2), (0x400, 3), (0x530, 4), (0x590, 5), (0x600, 6), (0x60C, 0), (0x610, 6), (0x61B, 0), (0x620, 6), (0x66A, 0), (0x66E, 6), (0x700, 7), (0x750, 6), (0x780, 8),
+    (0x7C0, 9), (0x800, 10), (0x8A0, 6), (0x900, 11), (0x964, 0), (0x966, 11), (0x980, 12), (0xA00, 13), (0xA80, 14), (0xB00, 15), (0xB80, 16), (0xC00, 17), (0xC80, 18), (0xD00, 19), (0xD80, 20),
+    (0xE00, 21), (0xE80, 22), (0xF00, 23), (0x1000, 24), (0x10A0, 25), (0x1100, 26), (0x1200, 27), (0x13A0, 28), (0x1400, 29), (0x1680, 30), (0x1780, 31), (0x1800, 32), (0x18B0, 29), (0x1900, 33),
+    (0x1AB0, 1), (0x1B00, 33), (0x1C80, 3), (0x1C90, 25), (0x1CC0, 33), (0x1D00, 1), (0x1F00, 2), (0x2000, 0), (0x2071, 1), (0x2080, 0), (0x2090, 1), (0x20A0, 0), (0x2C00, 34), (0x2C60, 1), (0x2C80, 35), (0x2D00, 25), (0x2D30, 36),
+    (0x2D80, 27), (0x2DE0, 3), (0x2E00, 0), (0x3005, 37), (0x3008, 0), (0x3041, 38), (0x30A0, 39), (0x3100, 40), (0x3130, 26), (0x3190, 0), (0x31A0, 40), (0x31C0, 0), (0x31F0, 39), (0x3200, 0), (0x3400, 37), (0x4DC0, 0), (0x4E00, 37),
+    (0xA000, 41), (0xA4D0, 42), (0xA640, 3), (0xA6A0, 43), (0xA700, 0), (0xA720, 1), (0xA800, 44), (0xA8E0, 11), (0xA900, 44), (0xA960, 26), (0xA980, 44), (0xA9E0, 24), (0xAA00, 44), (0xAB00, 27), (0xAB30, 1), (0xAB70, 28), (0xABC0, 44), (0xAC00, 26),
+    (0xD800, 0), (0xF900, 37), (0xFB00, 1), (0xFB13, 4), (0xFB1D, 5), (0xFB50, 6), (0xFE00, 0), (0xFE70, 6), (0xFEFF, 0), (0xFF21, 1), (0xFF3B, 0), (0xFF41, 1), (0xFF5B, 0), (0xFF66, 39), (0xFFA0, 26), (0xFFDD, 0),
+    (0x10000, 45), (0x1D000, 0), (0x1E000, 45), (0x1F000, 0), (0x20000, 37), (0x40000, 0),
+)
+_range_starts, _range_scripts = (np.array(c) for c in zip(*RANGES, strict=True))
+
+
+def scripts_of(points: np.ndarray) -> np.ndarray:
+    return _range_scripts[np.searchsorted(_range_starts, points, "right") - 1]
+
+
+def code_points(data: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the UTF-8 characters of several bytes that begin at ``lead``, and their numbers of bytes."""
+    first = data[lead].astype(np.int64)
+    size = 2 + (first >= 0xE0) + (first >= 0xF0)
+    point = first & np.where(size == 2, 0x1F, np.where(size == 3, 0x0F, 0x07))
+    for k in (1, 2, 3):
+        point = np.where(size > k, point << 6 | data[np.minimum(lead + k, len(data) - 1)] & 0x3F, point)
+    return point, size
 
 
 class Words:
@@ -45,12 +71,20 @@ class Words:
     def __init__(self, texts: list[bytes]):
         data = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", np.uint8)
         code = _letter[data].astype(np.uint32)
+        script = np.ones(len(data), np.int64)  # of the letter that begins at a byte
+        wide = np.flatnonzero(data >= 0xC0)
+        if len(wide):
+            point, size = code_points(data, wide)
+            script[wide] = scripts_of(point)
+            none = script[wide] == 0
+            for k in range(4):
+                code[wide[none & (size > k)] + k] = 0
         self.at = np.flatnonzero(code)  # places of letters
         mixed = code[self.at - 1] * np.uint32(0x9E3779B1) ^ code[self.at] * np.uint32(0x85EBCA77) ^ code[np.minimum(self.at + 1, len(code) - 1)] * np.uint32(0xC2B2AE3D)
         self.bucket = ((mixed * np.uint32(0x27D4EB2F)) >> np.uint32(16)).astype(np.int64)
         first = code[self.at - 1] == 0
         self.start = np.flatnonzero(first)  # of each word, among the letters
-        self.script = _script[data[self.at[self.start]]]
+        self.script = script[self.at[self.start]]
         lead = (data[self.at] & 0xC0) != 0x80
         self.letters = np.add.reduceat(lead.astype(np.int64), self.start) if len(self.start) else self.start
         ends = np.cumsum([len(t) + 1 for t in texts]) + 1
@@ -93,9 +127,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _dense(key: tuple, rows: pa.Table) -> pa.Table:
-    counts = np.zeros(BUCKETS + SCRIPTS, "<i8")
-    counts[rows["slot"].to_numpy()] = rows["n"].to_numpy()
-    return pa.table({"lang": pa.array([key[0].as_py()], pa.string()), "counts": pa.array([counts.tobytes()], pa.binary())})
+    """Counts of a language's slots in one range as an array."""
+    counts = np.zeros(PART_SLOTS, "<i8")
+    counts[rows["slot"].to_numpy() % PART_SLOTS] = rows["n"].to_numpy()
+    return pa.table({"lang": pa.array([key[0].as_py()], pa.string()), "part": pa.array([key[1].as_py()], pa.int32()), "counts": pa.array([counts.tobytes()], pa.binary())})
 
 
 class Model:
@@ -112,10 +147,17 @@ class Model:
 def learn(docs: DataFrame, text="text", lang="lang", rare: float = RARE) -> Model:
     """Counts all rows of ``docs`` with a language."""
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+    found = rows.select("lang").distinct().count()
+    if found > MAX_LANGUAGES:
+        raise ValueError(f"{found} languages, at most {MAX_LANGUAGES} can be learned; clean the labels first")
     sums = rows.mapInArrow(_count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
-    got = sorted((r.lang, bytes(r.counts)) for r in sums.groupBy("lang").applyInArrow(_dense, "lang string, counts binary").collect())
-    counts = np.array([np.frombuffer(c, "<i8") for _, c in got]) if got else np.zeros((0, BUCKETS + SCRIPTS), np.int64)
-    return Model([x for x, _ in got], counts.astype(float), rare)
+    sums = sums.withColumn("part", F.floor(F.col("slot") / PART_SLOTS).cast("int"))
+    got = sums.groupBy("lang", "part").applyInArrow(_dense, "lang string, part int, counts binary").collect()
+    langs = sorted({r.lang for r in got})
+    counts = np.zeros((len(langs), -(-(BUCKETS + SCRIPTS) // PART_SLOTS), PART_SLOTS))
+    for r in got:
+        counts[langs.index(r.lang), r.part] = np.frombuffer(r.counts, "<i8")
+    return Model(langs, counts.reshape(len(langs), counts.shape[1] * PART_SLOTS)[:, : BUCKETS + SCRIPTS], rare)
 
 
 def viterbi(score: np.ndarray, length: np.ndarray, penalty: float) -> np.ndarray:
@@ -167,7 +209,7 @@ def label(model: Model, texts: list[bytes], penalty: float) -> tuple[list[str],
     total = weight.sum(1)
     for d in np.flatnonzero(total):
         x = texts[d]
-        if x.isascii() or _ASCII_LETTER.search(x) or any(c.isalpha() for c in x.decode()):
+        if x.isascii() or _ASCII_LETTER.search(x) or any(c.isalpha() for c in x.decode()):  # marks and digits of other scripts alone are no letters
             names[d], share[d] = model.langs[int(weight[d].argmax())], weight[d].max() / total[d]
             own = path[begin[d] : begin[d + 1]]
             cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
