@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,6 +37,30 @@ def test_large_values_stay_exact(spark):
     assert sorted(map(tuple, K.top_k(df, F.col("vec_id") % 50 == 0, 5).collect())) == brute(rows, 5)
 
 
+def test_repeated_query_ids_and_many_ties(spark, monkeypatch):
+    """A third of all rows have one query's id, another third one vector."""
+    monkeypatch.setattr(K, "BLOCK_ROWS", 32)
+    monkeypatch.setattr(K, "QUERY_ROWS", 1)
+    rng = random.Random(1)
+    rows = [(100, [rng.gauss(0, 1) for _ in range(16)]) for _ in range(100)] + [(1000 + k, [0.5] * 16) for k in range(100)] + [(k, [rng.gauss(0, 1) for _ in range(16)]) for k in range(100)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(map(tuple, K.top_k(df, F.col("vec_id") % 50 == 0, 5).collect()))
+    assert got == brute(rows, 5)
+
+
+def test_floors_prune_without_loss():
+    rng = np.random.default_rng(0)
+    ids, cols = np.arange(200), rng.integers(-300, 300, (24, 200)).astype(float)
+    tails = [np.sqrt((cols[at:] ** 2).sum(0)) for at in range(K.STEP, 24, K.STEP)]
+    for q in rng.integers(-300, 300, (20, 24)).astype(float):
+        score = q @ cols
+        order = np.lexsort((ids, -score))
+        for floor in (K.NO_FLOOR, int(score[order[3]]), int(score[order[0]]), int(score.max()) + 1):
+            got, values = K.best(ids, cols, -1, q, 5, tails, floor)
+            want = [i for i in order[:5] if score[i] >= floor]
+            assert got.tolist() == want and values.tolist() == score[want].tolist()
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<double>")
     assert K.top_k(df, F.col("vec_id") % 50 == 0).count() == 0

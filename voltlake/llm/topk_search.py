@@ -6,7 +6,10 @@ blocks, 2 % of the rows, are the side that is repeated). Within a block pair, sc
 few dimensions at a time; after each step a candidate survives only if its score so far plus the
 largest the remaining dimensions can add (product of the remaining norms) reaches the k-th best lower
 bound, and the arrays are compacted to the survivors. Ties survive, since the comparison isn't strict.
-Each block pair returns k rows per query; a window takes the best k of all.
+
+Query blocks meet candidate blocks in rounds: one, then up to eight, sixty-four, ... of all. After each round the best k of all so far are
+kept, and the k-th is the query's bound in the next, where most candidates go after a few dimensions and a block returns only
+what reaches the bound: some k rows in a round for each of the blocks before, however many blocks there are.
 
 Vectors that are null, empty or hold null, NaN or infinite components take no part, nor do rows without
 id. Only vectors of the query's length are candidates. Rows with a query's own id never answer it;
@@ -23,10 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from voltlake.llm.common import table
+from voltlake.llm.common import discard, staged, table
 
-BLOCK_ROWS, QUERY_ROWS, STEP = 16384, 512, 8
-PACKED = "dim int, block long, qblock long, ids binary, mat binary"
+BLOCK_ROWS, QUERY_ROWS, STEP, ROUND = 8192, 512, 8, 8
+PACKED = "dim int, block long, qblock long, ids binary, floors binary, mat binary"
+NO_FLOOR = -(1 << 63)
 
 
 def scaled(vector: Column) -> Column:
@@ -40,28 +44,30 @@ def _pack(key: tuple, rows: pa.Table) -> pa.Table:
     dim = key[0].as_py()
     mat = rows["v"].combine_chunks()
     mat = (mat.chunk(0) if isinstance(mat, pa.ChunkedArray) else mat).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-    ids = rows["vec_id"].to_numpy()
+    ids, floors = rows["vec_id"].to_numpy(), rows["floor"].to_numpy()
     n = {f: key[k].as_py() for k, f in ((1, "block"), (1, "qblock"))}
     return pa.table({
         "dim": pa.array([dim], pa.int32()), "block": pa.array([n["block"]], pa.int64()), "qblock": pa.array([n["qblock"]], pa.int64()),
-        "ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()), "mat": pa.array([np.ascontiguousarray(mat.T).astype("<i8").tobytes()], pa.binary()),
+        "ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()), "floors": pa.array([floors.astype("<i8").tobytes()], pa.binary()), "mat": pa.array([np.ascontiguousarray(mat.T).astype("<i8").tobytes()], pa.binary()),
     })
 
 
-def best(ids: np.ndarray, cols: np.ndarray, own: int, query: np.ndarray, k: int, tails: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """ids and scores of the k best rows of a block for one query; cols: dimension by row; tails: norms of what follows each step."""
+def best(ids: np.ndarray, cols: np.ndarray, own: int, query: np.ndarray, k: int, tails: np.ndarray, floor: int = NO_FLOOR) -> tuple[np.ndarray, np.ndarray]:
+    """ids and scores of the k best rows of a block for one query that reach the floor; cols: dimension by row; tails: norms of what follows each step."""
     alive = np.flatnonzero(ids != own)
     score = np.zeros(len(alive), cols.dtype)
     for step, at in enumerate(range(0, len(query), STEP)):
         part = cols[at : at + STEP]
         score = score + query[at : at + STEP] @ (part if len(alive) == part.shape[1] else part[:, alive])
-        if at + STEP >= len(query) or len(alive) <= k:
+        if at + STEP >= len(query) or len(alive) == 0 or len(alive) <= k and floor == NO_FLOOR:
             continue
         rest = np.sqrt(float((query[at + STEP :].astype(float) ** 2).sum())) * tails[step][alive] * (1 + 1e-9) + 1e-6
-        floor = np.partition(score - rest, len(alive) - k)[len(alive) - k]
-        keep = score + rest >= floor
+        least = np.partition(score - rest, len(alive) - k)[len(alive) - k] if len(alive) > k else -np.inf
+        keep = score + rest >= max(least, floor)
         if keep.sum() < 0.8 * len(alive):
             alive, score = alive[keep], score[keep]
+    keep = score >= floor
+    alive, score = alive[keep], score[keep]
     order = np.lexsort((ids[alive], -score))[:k]
     return ids[alive][order], score[order]
 
@@ -71,7 +77,7 @@ def _search(k: int):
         for batch in batches:
             for row in batch.to_pylist():
                 dim = row["dim"]
-                ids, qids = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["qids"], "<i8")
+                ids, qids, floors = (np.frombuffer(row[c], "<i8") for c in ("ids", "qids", "floors"))
                 cols = np.frombuffer(row["mat"], "<i8").reshape(dim, -1)
                 queries = np.frombuffer(row["qmat"], "<i8").reshape(dim, -1)
                 top = float(np.abs(cols).max(initial=0)) * float(np.abs(queries).max(initial=0)) * dim
@@ -79,7 +85,7 @@ def _search(k: int):
                 cols, queries = cols.astype(kind), np.ascontiguousarray(queries.T).astype(kind)
                 squares = (cols.astype(float) ** 2)[::-1].cumsum(0)[::-1]
                 tails = [np.sqrt(squares[at]) for at in range(STEP, dim, STEP)]
-                found = [(q, *best(ids, cols, q, v, k, tails)) for q, v in zip(qids.tolist(), queries, strict=True)]
+                found = [(q, *best(ids, cols, q, v, k, tails, f)) for q, v, f in zip(qids.tolist(), queries, floors.tolist(), strict=True)]
                 yield pa.RecordBatch.from_pydict({
                     "query_id": pa.array(np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype("i8")),
                     "vec_id": pa.array(np.concatenate([f[1] for f in found]).astype("i8")),
@@ -97,12 +103,36 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_i
     n = rows.count()
     blocks, qblocks = max(1, -(-n // BLOCK_ROWS)), max(1, -(-n // (50 * QUERY_ROWS)))
     where = lambda count: F.pmod(F.xxhash64("vec_id"), F.lit(count))
-    packed = rows.withColumn("block", where(blocks)).groupBy("dim", "block").applyInArrow(_pack, PACKED).drop("qblock")
-    wanted = asked.withColumn("qblock", where(qblocks)).groupBy("dim", "qblock").applyInArrow(_pack, PACKED)
-    wanted = wanted.select("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.col("ids").alias("qids"), F.col("mat").alias("qmat"))
-    found = packed.join(wanted, ["dim", "block"]).mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    no_floor = F.lit(NO_FLOOR).cast("long").alias("floor")
+    packed = rows.select("dim", "vec_id", "v", no_floor, where(blocks).alias("block")).groupBy("dim", "block").applyInArrow(_pack, PACKED)
+    packed = staged(packed.select("dim", "block", "ids", "mat"), "blocks")
+    asked = asked.withColumn("qblock", where(qblocks))
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def met(wanted: DataFrame, first: int, last: int) -> DataFrame:
+        """Answers of query blocks in the candidate blocks ``first`` to ``last`` behind their own, a task for each candidate block."""
+        to = F.transform(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long")), lambda o: F.pmod(F.col("qblock") + o, F.lit(blocks).cast("long")))
+        wanted = wanted.groupBy("dim", "qblock").applyInArrow(_pack, PACKED)
+        wanted = wanted.select("dim", F.explode(to).alias("block"), F.col("ids").alias("qids"), "floors", F.col("mat").alias("qmat"))
+        sides = [df.repartition(max(2, blocks), "dim", "block") for df in (packed, wanted)]
+        return sides[0].join(sides[1].hint("shuffle_merge"), ["dim", "block"]).mapInArrow(_search(k), "query_id long, vec_id long, score long")
+
+    best_so_far, at = None, 0
+    while at < blocks:
+        end = min(blocks, max(1, ROUND * at))
+        bounded = asked.withColumn("floor", no_floor)
+        if best_so_far is not None:
+            floors = best_so_far.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+            bounded = asked.join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", no_floor))
+        found = met(bounded, at, end - 1)
+        if best_so_far is not None:
+            found = found.unionByName(best_so_far.drop("rank"))
+        found = staged(found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k), "best")
+        if best_so_far is not None:
+            discard(best_so_far)
+        best_so_far, at = found, end
+    discard(packed)
+    return best_so_far.select("query_id", "rank", "vec_id", "score")
 
 
 def op10_topk_search(spark, sf_dir: str) -> DataFrame:
