@@ -86,6 +86,11 @@ def discard(*tables: DataFrame) -> None:
             place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` (staged), to be broadcast if it has at most ``rows`` rows; else the same join is shuffled."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z become a-z, all else stays (``lower`` would change other letters as well)."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(

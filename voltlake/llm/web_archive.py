@@ -36,7 +36,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltlake.llm.common import discard, shared_dir, staged, table
+from voltlake.llm.common import bounded, discard, shared_dir, staged, table
 
 PACKAGE_BYTES = 16 << 20
 BROADCAST_ROWS = 400_000  # of a digest and an id each
@@ -248,7 +248,7 @@ def write_archives(pages: DataFrame, page_id="page_id", url="url", html="html",
     # digests alone are grouped; of these only those that several pages share go back to the pages
     keepers = rows.groupBy("key").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "keeper")
     keepers = staged(keepers, "keepers")
-    rows = rows.join(F.broadcast(keepers) if keepers.count() <= broadcast_rows else keepers, "key", "left")
+    rows = rows.join(bounded(keepers, broadcast_rows), "key", "left")
     refers = F.when(F.col("page_id") < F.col("keeper"), F.col("keeper"))
     made = rows.select("page_id", "url", "html", refers.alias("refers_to")).mapInArrow(_writer(folder, package_bytes), "uri string, bytes long, records long")
     out = staged(made, "manifest")
