@@ -48,6 +48,24 @@ def test_edge_cases(spark, docs, corpus, none):
     assert T.score_toxicity(docs, nothing).filter("toxic").count() == 0
 
 
+def test_repeated_ids_and_labels_are_bounded(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(300)] + [(k, f"other words {k}") for k in range(2, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0, 1)] * 500 + [(1, 0, 0)] + [(k, 0, k % 2) for k in range(2, 40)], "doc_id long, low_quality int, toxic int")
+    seen = []
+    fit = T.Chain.fit
+
+    def watched(self, x, y, **options):
+        seen.append(len(x))
+        return fit(self, x, y, **options)
+
+    T.Chain.fit = watched
+    try:
+        T.train(docs, labels, T.CHAIN)
+    finally:
+        T.Chain.fit = fit
+    assert seen == [40]
+
+
 def test_later_label_reads_earlier_probability():
     rng = np.random.default_rng(0)
     x = np.hstack([(rng.random((400, 1)) < 0.5).astype(np.float32), np.zeros((400, 4), np.float32)])

@@ -9,7 +9,7 @@ Newton steps on these few columns.
 
 Prediction is one pass over whole texts without a shuffle. Null texts count as empty. A document is toxic
 if the last label's probability reaches ``threshold``, by default the one that suits its out-of-fold probabilities best. Without labelled rows nothing is toxic. Repeated
-rows are judged each for itself; labels of repeated ids count each.
+rows are judged each for itself; different labels of one id count each.
 """
 
 from __future__ import annotations
@@ -141,12 +141,16 @@ def _matrix(texts: list, index: dict[str, int]) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, names: list[str], doc_id="doc_id", text="text", sample_rows=SAMPLE_ROWS, words=WORDS) -> Chain:
-    """A chain for the 0/1 columns ``names`` of ``labels``, in that order; rows with a null label aren't used."""
-    known = labels.select(F.col(doc_id).alias("doc_id"), *names).dropna()
+    """A chain for the 0/1 columns ``names`` of ``labels``, in that order; rows with a null label aren't used.
+
+    Equal label rows count once, and of several documents with a labelled id the one with the smallest text, so what is broadcast and
+    what comes to the driver is bounded by ``sample_rows`` whatever repeats.
+    """
+    known = labels.select(F.col(doc_id).alias("doc_id"), *names).dropna().distinct()
     share = min(1.0, sample_rows / max(1, known.count()))
     known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
-    rows = rows.persist()
+    rows = rows.groupBy("doc_id", *names).agg(F.min("text").alias("text")).persist()
     try:
         total = rows.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in names]).first()
         if not total["n"]:
