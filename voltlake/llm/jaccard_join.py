@@ -41,7 +41,7 @@ from voltlake.llm.common import discard, staged, table
 
 SHINGLE, PERCENT = 5, 80
 KEY, RECORD = 12, 16  # bytes of a set's digest; with its size behind
-BLOCK_PAIRS, BATCH_BYTES = 2_000_000, 1 << 18
+BLOCK_PAIRS, BATCH_BYTES = 1_000_000, 1 << 18
 CHUNK, SKIP, BUCKET_ENTRIES = 4096, 64, 400_000
 
 _low = np.arange(256, dtype=np.uint8)
@@ -100,6 +100,7 @@ def _sets(size: int):
             for at, texts in _texts(batch, 1):
                 sets = shingle_sets(texts, size)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary())], names=["doc_id", "n", "key"])
+        packed.give_back()
 
     return run
 
@@ -116,6 +117,7 @@ def _pairs(size: int, blocks: int):
                         yield rows
         if rows := flush.rows():
             yield rows
+        packed.give_back()
 
     return run
 
@@ -126,7 +128,9 @@ def _need(n: int, percent: int) -> int:
 
 
 def _shared(key: tuple, rows: pa.Table) -> pa.Table:
-    return packed.shared(rows)
+    out = packed.shared(rows)
+    packed.give_back()
+    return out
 
 
 def _survivors(percent: int):

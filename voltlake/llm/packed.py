@@ -15,6 +15,8 @@ sets hold sends a block one number a flush.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -152,7 +154,7 @@ def shared(rows: pa.Table) -> pa.Table:
         named[a:b] = _named(sets, idx)
         bounds[r + 1] = b
     if total:
-        counts = _counts(tok, named & _LOW48, np.unique(np.concatenate(marks)))
+        counts = _counts(tok, named, np.unique(np.concatenate(marks)))
         for r, row in enumerate(plain):
             own = np.flatnonzero(counts[bounds[r] : bounds[r + 1]] > 1) + bounds[r]
             if len(own):
@@ -161,16 +163,22 @@ def shared(rows: pa.Table) -> pa.Table:
     return pa.Table.from_batches([arrow(out, RETURNED)])
 
 
-def _counts(tok: np.ndarray, digest: np.ndarray, marks: np.ndarray) -> np.ndarray:
+def _counts(tok: np.ndarray, named: np.ndarray, marks: np.ndarray) -> np.ndarray:
     """Of each pair, the number of distinct sets that hold its token: flushes may hold copies of a set."""
-    order = np.lexsort((digest, tok))
-    tok, digest = tok[order], digest[order]
+    order = np.argsort(named & _LOW48)
+    order = order[np.argsort(tok[order], kind="stable")]
+    tok = tok[order]
     new = np.append(True, tok[1:] != tok[:-1])
+    digest = (named & _LOW48)[order]
     other = new | np.append(True, digest[1:] != digest[:-1])
+    del digest
     first = np.flatnonzero(new)
-    n = np.repeat(np.add.reduceat(other, first), np.diff(np.append(first, len(tok))))
+    n = np.minimum(np.add.reduceat(other, first, dtype=np.int32), HOT).astype(np.uint8)
+    at = np.searchsorted(tok[first], marks)
+    at = at[at < len(first)]
+    n[at[np.isin(tok[first[at]], marks)]] = HOT
     out = np.empty(len(tok), np.uint8)
-    out[order] = np.where(np.isin(tok, marks), HOT, np.minimum(n, HOT))
+    out[order] = np.repeat(n, np.diff(np.append(first, len(tok))))
     return out
 
 
@@ -190,6 +198,16 @@ def at_home(rows: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return records, idx[order], tok[order], n[order]
 
 
+_libc = ctypes.CDLL(None)
+
+
+def give_back() -> None:
+    """Returns to the system what a task no longer holds: idle Python workers count beside the executor's own memory."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A finaliser that spreads 64-bit hashes."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)

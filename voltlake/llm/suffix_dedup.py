@@ -37,11 +37,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voltlake.llm import packed
-from voltlake.llm.common import discard, staged, table
+from voltlake.llm.common import bounded, discard, staged, table
 
 LENGTH, ANCHOR = 50, 24
-BLOCK_PAIRS, BATCH_BYTES, PIECE_STRINGS, BUCKET_BYTES = 2_000_000, 1 << 18, 64, 1 << 20
+BLOCK_PAIRS, BATCH_BYTES, PIECE_STRINGS, BUCKET_BYTES = 1_000_000, 1 << 18, 64, 1 << 20
 ANCHOR_PIECES = 1 << 13  # of some hundred bytes each
+BROADCAST_ROWS = 1_000_000  # of one number
 KEY = 12  # bytes of a text's digest
 
 
@@ -90,12 +91,15 @@ def _pairs(length: int, anchor: int, blocks: int):
                         yield rows
         if rows := flush.rows():
             yield rows
+        packed.give_back()
 
     return run
 
 
 def _shared(key: tuple, rows: pa.Table) -> pa.Table:
-    return packed.shared(rows)
+    out = packed.shared(rows)
+    packed.give_back()
+    return out
 
 
 def _per_text(key: tuple, rows: pa.Table) -> pa.Table:
@@ -282,6 +286,7 @@ def _answers(length: int):
         new = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (least[1:] != least[:-1]))[: len(owner)])
         runs = np.diff(np.append(new, len(owner)))
         per = np.bincount(owner[new], minlength=len(tok))[keep]
+        packed.give_back()
         offsets = pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32))
         return pa.table({"tok": pa.array(tok[keep]), "h": pa.array(h[keep]), "least": pa.ListArray.from_arrays(offsets, pa.array(least[new])), "runs": pa.ListArray.from_arrays(offsets, pa.array(runs))})
 
@@ -320,9 +325,11 @@ def crowded_anchors(pieces: DataFrame) -> DataFrame:
     cells = max(1, 4 * pieces.count() // ANCHOR_PIECES)
     cell = F.pmod(F.xxhash64("tok"), F.lit(cells)).alias("cell")
     # such an anchor fills its cell of hashes by itself; few other cells are full, and only theirs are counted by anchor
-    full = pieces.groupBy(cell).count().filter(F.col("count") > ANCHOR_PIECES).select("cell")
-    kinds = pieces.select("tok", "h", cell).join(F.broadcast(full), "cell", "left_semi").select("tok", "h").distinct()
-    return staged(kinds.groupBy("tok").count().filter(F.col("count") > ANCHOR_PIECES).select("tok"), "crowded")
+    full = staged(pieces.groupBy(cell).count().filter(F.col("count") > ANCHOR_PIECES).select("cell"), "full")
+    kinds = pieces.select("tok", "h", cell).join(bounded(full, BROADCAST_ROWS), "cell", "left_semi").select("tok", "h").distinct()
+    out = staged(kinds.groupBy("tok").count().filter(F.col("count") > ANCHOR_PIECES).select("tok"), "crowded")
+    discard(full)
+    return out
 
 
 def _string_answers(kinds: DataFrame, length: int) -> DataFrame:
@@ -355,9 +362,11 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     buckets = max(12, -(-size // (16 << 20)))
     crowded = crowded_anchors(pieces)
     several = not crowded.isEmpty()
-    few = kinds.join(F.broadcast(crowded), "tok", "left_anti") if several else kinds
-    answers = few.withColumn("bucket", F.pmod(F.xxhash64("tok"), F.lit(buckets))).groupBy("bucket").applyInArrow(_answers(length), ANSWER)
-    own = staged(kinds.join(F.broadcast(crowded), "tok", "left_semi"), "kinds") if several else crowded
+    apart = bounded(crowded, BROADCAST_ROWS)
+    few = kinds.join(apart, "tok", "left_anti") if several else kinds
+    few = few.withColumn("bucket", F.pmod(F.xxhash64("tok"), F.lit(buckets)).cast("int")).repartitionById(buckets, F.col("bucket"))
+    answers = few.groupBy("bucket").applyInArrow(_answers(length), ANSWER)
+    own = staged(kinds.join(apart, "tok", "left_semi"), "kinds") if several else crowded
     if several:
         answers = answers.unionByName(_string_answers(own, length))
     answers = staged(answers, "answers")
