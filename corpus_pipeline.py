@@ -8,47 +8,74 @@
 5. packing: what is left is packed into windows of tokens; this returns the pieces.
 
 Stages 1 to 4 return the columns of documents; n_chars follows the text where it is changed. Rows with null
-doc_id pass stage 3 as they are.
+doc_id pass stage 3 as they are. Columns beside doc_id, text and n_chars go through each stage under names of their own, so none can clash
+with what an operator adds. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltlake.llm import decontaminate, jaccard_join, packing, suffix_dedup, toxicity
-from voltlake.llm.common import staged, table
+from voltlake.llm.common import bounded, staged, table
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Rows of a table of row keys up to which it is broadcast.
+BROADCAST_ROWS = 1_000_000
+#: Columns that stages read.
+OWN = ("doc_id", "text", "n_chars")
+
+
+def shielded(stage: Stage) -> Stage:
+    """The stage on the columns OWN and ``_0``, ``_1``, ... for all others, whose names come back behind it."""
 
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = docs.columns
+        plain = [c if c in OWN else f"_{k}" for k, c in enumerate(names)]
+        return stage(spark, docs.toDF(*plain), sf_dir).select(*plain).toDF(*names)
 
+    return run
+
+
+@shielded
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     chain = toxicity.chain_for(spark, docs, sf_dir)
-    return toxicity.score_toxicity(docs, chain).filter("not toxic").select(*docs.columns)
+    return toxicity.score_toxicity(docs, chain).filter("not toxic")
 
 
+@shielded
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = docs.withColumn("_k", F.xxhash64("doc_id", "text"))  # rows are told apart by id and text, as ids repeat and may be null
-    found = staged(jaccard_join.near_duplicates(rows, "_k").filter("n_shingles > 0").groupBy(F.col("doc_id").alias("_k"), "component_id").count(), "linked")
-    first = F.min_by("_k", F.struct(F.col("doc_id").isNull(), "doc_id", "_k")).alias("_first")
-    kept = found.join(rows.select("_k", "doc_id").distinct(), "_k").groupBy("component_id").agg(first)
-    gone = found.join(kept, "component_id").filter("_k <> _first").select("_k")
-    again = found.filter("count > 1").select("_k")
-    rows = rows.join(gone, "_k", "left_anti")
-    once = rows.join(again, "_k", "left_semi").dropDuplicates(["_k"])
-    return rows.join(again, "_k", "left_anti").unionByName(once).select(*docs.columns)
-
-
+    rows = docs.withColumn("key", F.xxhash64("doc_id", "text"))  # rows are told apart by id and text, as ids repeat and may be null
+    found = staged(jaccard_join.near_duplicates(rows, "key").filter("n_shingles > 0").groupBy(F.col("doc_id").alias("key"), "component_id").count(), "linked")
+    first = F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first")
+    kept = found.join(rows.select("key", "doc_id").distinct(), "key").groupBy("component_id").agg(first)
+    gone = bounded(staged(found.join(kept, "component_id").filter("key <> first").select("key"), "gone"), BROADCAST_ROWS)
+    again = bounded(staged(found.filter("count > 1").select("key"), "again"), BROADCAST_ROWS)
+    rows = rows.join(gone, "key", "left_anti")
+    once = rows.join(again, "key", "left_semi").dropDuplicates(["key"])
+    return rows.join(again, "key", "left_anti").unionByName(once)
+
+
+@shielded
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.dedup_substrings(docs).filter("n_removed = 0 or n_removed < n_bytes")
     changed = F.col("n_removed") > 0
-    text = F.when(changed, suffix_dedup.whole_characters(F.col("kept"))).otherwise(F.col("text"))
-    columns = [text.alias("text") if c == "text" else F.when(changed, F.length(text)).otherwise(F.col(c)).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return cut.select(*columns)
+    cut = cut.withColumn("text", F.when(changed, suffix_dedup.whole_characters(F.col("kept"))).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return cut
 
 
+@shielded
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    hits = decontaminate.hits(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_i"), F.col("k").alias("_k")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_i")) & (F.xxhash64("doc_id", "text") == F.col("_k"))
-    return docs.join(hits, same, "left_anti").select(*docs.columns)
+    hits = decontaminate.hits(docs, table(spark, sf_dir, "benchmark"))
+    keys = bounded(staged(hits.select(F.col("k").alias("key")).distinct(), "contaminated"), BROADCAST_ROWS)
+    return docs.withColumn("key", decontaminate.row_key("doc_id", "text")).join(keys, "key", "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
