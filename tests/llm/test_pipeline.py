@@ -3,6 +3,8 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
+from pyspark.sql import functions as F  # noqa: E402
+
 import corpus_pipeline as P  # noqa: E402
 from tests.llm import test_decontaminate, test_jaccard_join, test_suffix_dedup  # noqa: E402
 
@@ -41,6 +43,36 @@ def test_near_duplicates_by_row(spark):
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
 
 
+CLASHES = ("toxic", "p_toxic", "kept", "n_bytes", "n_removed", "n_spans", "key", "first", "component_id", "_0", "_k", "th", "h", "words", "start")
+
+
+def test_clashing_columns_repeated_rows_and_ids(spark, corpus, tmp_path):
+    """Every stage returns the columns of documents with their own values, whatever they are called, and treats repeated and null ids as without them."""
+    rows = [*corpus, corpus[41], (None, corpus[42][1]), (None, None)]
+    plain = spark.createDataFrame([(d, t) for d, t in rows], "doc_id long, text string").repartition(3)
+    more = plain.select("doc_id", *[F.xxhash64(F.lit(c), "doc_id", "text").alias(c) for c in CLASHES], "text", F.length("text").alias("n_chars"))
+    labels = [(d, 1, int(d % 2)) for d, _ in corpus if d < 30]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, rows[60][1]), (2, " ".join(rows[20][1].split()[:12]))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for _, stage in P.STAGES[:-1]:
+        got = stage(spark, more, str(tmp_path))
+        assert got.columns == more.columns and got.schema == more.schema
+        want = stage(spark, plain, str(tmp_path))
+        pairs = lambda df: sorted(((r.doc_id, r.text) for r in df.select("doc_id", "text").collect()), key=str)
+        assert pairs(got) == pairs(want) and len(pairs(want)) > 0
+        wrong = F.lit(False)
+        for c in CLASHES:
+            wrong = wrong | ~F.col(c).eqNullSafe(F.xxhash64(F.lit(c), "doc_id", "text"))
+        kept = got.join(more.select("doc_id", "text").distinct(), ["doc_id", "text"])  # texts that weren't cut
+        assert kept.filter(wrong).count() == 0 and got.filter("n_chars <> length(text)").count() == 0
+
+
+def test_empty_run(spark, tmp_path):
+    for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert P.run(spark, str(tmp_path)).count() == 0
+
+
 def test_run_on_the_smallest_tables(spark):
     pieces = P.run(spark, "/root/testdata/sf0.001")
     assert pieces.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and pieces.count() > 0
