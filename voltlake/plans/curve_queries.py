@@ -8,7 +8,6 @@ from pyspark.sql.window import Window
 from voltlake.functions import ocv as O
 from voltlake.operators import segments as S
 from voltlake.operators import statistics as A
-from voltlake.operators.joins import join_interp
 from voltlake.plans.fit_queries import INTERP_SQL, sig, sq
 from voltlake.plans.segment_queries import COULOMB_SQL, ENDS_SQL
 from voltlake.plans.views import BLOCKS_SQL, POINTS_SQL, RAW_SQL, SPECTRA_SQL, blocks, points, r, raw_points, spectra, table

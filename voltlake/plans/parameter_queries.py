@@ -11,10 +11,10 @@ from voltlake.functions import ocv as O
 from voltlake.operators import parameters as P
 from voltlake.operators import segments as S
 from voltlake.operators import statistics as A
-from voltlake.operators.joins import join_interp, join_source_index, lookup_nearest
+from voltlake.operators.joins import join_source_index, lookup_nearest
 from voltlake.operators.storage import new_path, staged
-from voltlake.plans.curve_queries import PLATEAUS, PROTOCOL_SQL, sigs
-from voltlake.plans.fit_queries import EXP, sig, sq
+from voltlake.plans.curve_queries import PROTOCOL_SQL, sigs
+from voltlake.plans.fit_queries import sig, sq
 from voltlake.plans.segment_queries import ENDS_SQL
 from voltlake.plans.views import BLOCKS_SQL, RAW_SQL, SIGNS, SPECTRA_SQL, blocks, r, raw_points, spectra, table
 from voltlake.sources import measurements as M
