@@ -101,3 +101,13 @@ def ascii_lower(text: Column) -> Column:
 def canonical(text: Column) -> Column:
     """The words of a text joined by single blanks; null or wordless texts give ''."""
     return F.trim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS, " "))
+
+
+#: DuckDB: CRC-32's table of bytes as one row (t); and, with it joined, the unsigned checksum of a short ASCII string.
+CRC_TABLE_SQL = """crc_of AS MATERIALIZED (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i))"""
+
+
+def crc_sql(text: str) -> str:
+    codes = f"list_transform(string_split({text}, ''), lambda d: CAST(ascii(d) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INTEGER) + 1])), 4294967295)"

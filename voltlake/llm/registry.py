@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("license_scan", "decontaminate", "chat_format", "topk_search", "web_archive", "packing", "language_id", "toxicity", "jaccard_join", "suffix_dedup")
+MODULES = ("license_scan", "decontaminate", "chat_format", "topk_search", "web_archive", "packing", "language_id", "toxicity", "jaccard_join", "suffix_dedup", "hash_forest", "conversation_repair", "merkle_manifest")
 
 
 def queries() -> dict:
