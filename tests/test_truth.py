@@ -23,13 +23,13 @@ def test_exponential_recovers_known_decay(spark):
     rate = fits.RATES[10] / 100
     df = points(spark, [(1, 0, k, k * 5.0, 0.0, 3.5 + 0.2 * math.exp(-rate * k * 5.0)) for k in range(21)])
     r = fits.fit_exp_decay(df).first()
-    assert (r.asymptote, r.amplitude, r.rate) == pytest.approx((3.5, 0.2, rate), rel=1e-9)
+    assert (r.asymptote, r.amplitude, r.rate) == pytest.approx((3.5, 0.2, rate), rel=1e-4)
 
 
 def test_square_root_recovers_known_slope(spark):
     df = points(spark, [(1, 0, k, float(k), 0.0, 3.0 + 0.1 * math.sqrt(k)) for k in range(20)])
     r = fits.fit_sqrt(df).first()
-    assert (r.share, r.b, r.c, r.r2) == pytest.approx((1.0, 3.0, 0.1, 1.0), rel=1e-9)
+    assert (r.share, r.b, r.c, r.r2) == pytest.approx((0.5, 3.0, 0.1, 1.0), rel=1e-9)  # the first half reaches the threshold
 
 
 def test_short_and_flat_segments_have_no_fit(spark):
@@ -40,7 +40,7 @@ def test_short_and_flat_segments_have_no_fit(spark):
 def test_power_law_recovers_exponent(spark):
     df = points(spark, [(1, 0, k, float(k), 0.0, 1.0 + 0.5 * k**0.7) for k in range(20)])
     r = fits.fit_power_law(df, [0.5, 0.6, 0.7, 0.8], 10.0).first()
-    assert (r.exponent, r.k) == pytest.approx((0.7, 0.5), rel=1e-9)
+    assert (r.exponent, r.k) == pytest.approx((0.7, 0.5), rel=1e-4)
 
 
 def test_model_and_inverse_are_identity(spark):
@@ -264,3 +264,74 @@ def test_windows_of_gitt_features(spark):
     whole = {r.feature: r.value for r in fits.gitt_features(b).collect()}
     cut = {r.feature: r.value for r in fits.gitt_features(b, exp_window=(4.0, None), sqrt_window=(4.0, 30.0)).collect()}
     assert abs(cut[1]) < 2 < abs(whole[1]) and set(cut) == set(whole) == {0, 1, 2, 3, 4}
+
+
+def test_rates_are_continuous(spark):
+    """Planted rates between the grid's values, over the whole and over trailing stretches."""
+    rates = [0.011, 0.0437, 0.123, 0.3071, 0.47]
+    rows = [(k, 0, j, float(j), 0.0, 3.0 + 0.2 * math.exp(-d * j)) for k, d in enumerate(rates) for j in range(101)]
+    got = {r.meas_id: r for r in fits.fit_exp_decay(points(spark, rows)).collect()}
+    assert all(abs(got[k].rate / d - 1) < 1e-3 and abs(got[k].asymptote - 3.0) < 1e-4 for k, d in enumerate(rates))
+    both = [(k, 0, j, float(j), 0.0, 3.0 + 0.2 * math.exp(-d * j) + (0.5 * math.exp(-2.0 * j) if j < 20 else 0)) for k, d in enumerate(rates[:3]) for j in range(101)]
+    slow = {r.meas_id: r for r in fits.fit_exp_decays(points(spark, both), 0.999999).collect() if r["pass"] == 0}
+    assert all(abs(slow[k].rate / d - 1) < 1e-3 for k, d in enumerate(rates[:3]))
+
+
+def test_rates_that_the_data_cant_tell_are_lower_bounds(spark):
+    """The decay is over before the second point: any faster rate fits as well, up to rounding."""
+    rows = [(1, 0, k, 10.0 * k, 0.0, u) for k, u in enumerate([5.0, 1.0, 1.2, 0.8, 1.0])]
+    r = fits.fit_exp_decay(points(spark, rows)).first()
+    assert 0.2 < r.rate < 2.0 and abs(r.sse - 0.08) < 1e-6
+
+
+def test_power_law_exponents_are_continuous(spark):
+    rows = [(k, 0, j, float(j), 0.0, 2.0 + 0.3 * j**n) for k, n in enumerate((0.537, 0.811, 1.03)) for j in range(60)]
+    got = {r.meas_id: r.exponent for r in fits.fit_power_law(points(spark, rows), [0.5 + 0.05 * k for k in range(13)], 10.0).collect()}
+    assert all(abs(got[k] - n) < 1e-4 for k, n in enumerate((0.537, 0.811, 1.03)))
+
+
+def halved(t, u, threshold):
+    """The stretch found by plain halving, with each stretch fitted by itself."""
+    def r2(m):
+        x = np.sqrt(np.array(t[:m]) - t[0])
+        if m < 4 or (x - x.mean()) @ (x - x.mean()) == 0:
+            return -1e300
+        c = ((x - x.mean()) @ np.array(u[:m])) / ((x - x.mean()) @ (x - x.mean()))
+        b = np.mean(u[:m]) - c * x.mean()
+        back = ((np.array(u[:m]) - b) / c) ** 2
+        tau = np.array(t[:m]) - t[0]
+        return 1 - ((tau - back) ** 2).sum() / ((tau - tau.mean()) ** 2).sum()
+
+    n = len(t)
+    d, k, best = 0, 0, n // 2
+    now = most = r2(best)
+    while now < threshold and (k + 1) * n // 2**d - k * n // 2**d > 1:
+        left, right = (4 * k + 1) * n // 2 ** (d + 2), (4 * k + 3) * n // 2 ** (d + 2)
+        lower = r2(left) > r2(right)
+        m = left if lower else right
+        now = r2(m)
+        if now >= threshold or now > most:
+            best = m
+        most, d, k = max(most, now), d + 1, 2 * k + (not lower)
+    return best, r2(best)
+
+
+def test_leading_stretches_by_halving(spark):
+    """Segments of many slices and of several rounds of halving, with gaps in pt, against plain Python."""
+    rng = np.random.default_rng(5)
+    rows, want, sizes = [], {}, (4, 7, 16, 33, 100, 257, 700)
+    for k, n in enumerate(sizes):
+        t, u = [float(j) for j in range(n)], [3 + 0.1 * math.sqrt(j) + (0.02 * rng.standard_normal() if j < n * 0.7 else 0.3 * rng.standard_normal()) for j in range(n)]
+        rows += [(k, 0, 3 * j, t[j] + 5.0, 0.0, u[j]) for j in range(n)]
+        want[k] = halved(t, u, 0.9)
+    got = {r.meas_id: r for r in fits.fit_sqrt(points(spark, rows), 0.9, slice_points=32, levels=5).collect()}
+    assert {k: round(r.share * sizes[k]) for k, r in got.items()} == {k: m for k, (m, r2) in want.items() if r2 > -1e300}
+    assert all(abs(got[k].r2 - r2) < 1e-6 for k, (_, r2) in want.items() if k in got)
+
+
+def test_numbers_run_over_slices(spark):
+    from voltlake.operators.segments import numbered
+
+    rows = [(k % 3, 0, 7 * k, float(k), 0.0, 0.0) for k in range(100)]
+    got = sorted((r.meas_id, r.pt, r.k, r.n) for r in numbered(points(spark, rows), ["meas_id"], "k", "n", 50).collect())
+    assert got == sorted((m, 7 * k, k // 3 + 1, len(range(m, 100, 3))) for m in range(3) for k in range(m, 100, 3))

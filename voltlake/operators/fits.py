@@ -1,7 +1,8 @@
-"""Grouped fits in closed form: for each candidate of a small grid a linear regression, then the best candidate.
+"""Grouped fits in closed form: for each candidate rate a linear regression, then the best candidate, in rounds that narrow a bracket.
 
-Points are unpacked once per candidate, and sums per (segment, candidate) are partial before the shuffle, so
-what moves is a few numbers per segment and candidate, whatever the length of a segment.
+Sums per (segment, candidate) are partial before the shuffle, so what moves is a few numbers per segment and candidate, whatever the length of a
+segment. A round's brackets are one small row per segment, joined back to the points (broadcast where adaptive execution finds them small).
+Leading stretches are fitted from prefix moments: running sums inside slices of a segment, and a prefix over the slices.
 """
 
 from __future__ import annotations
@@ -12,44 +13,82 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from voltlake.operators.segments import SEG, ir_step, keep_window, segment_ends, whole
+from voltlake.operators.segments import SEG, SLICE, ir_step, keep_window, numbered, running, segment_ends
 from voltlake.operators.storage import staged
 
 LEAST_POINTS = 4
+#: Rounds after the first, and the candidates of each: a bracket shrinks to 2/11 in a round.
+ROUNDS, FINE = 5, 12
+#: Squares within this share of the least, or of those of y, count as equal: what is left then is rounding.
+TIE, EXACT = 1e-9, 1e-11
 
 
 def since_start(df: DataFrame) -> DataFrame:
-    """Adds tau (seconds since the segment's start), span (its duration) and n (its points)."""
-    w = Window.partitionBy(*SEG)
-    d = df.withColumn("tau", F.col("t") - F.min("t").over(w)).withColumn("n", F.count(F.lit(1)).over(w))
-    return d.withColumn("span", F.max("tau").over(w))
+    """Adds tau (seconds since the segment's start), span (its duration) and n (its points): an aggregate joined back."""
+    ends = df.groupBy(*SEG).agg(F.min("t").alias("_t0"), F.max("t").alias("_t1"), F.count(F.lit(1)).alias("n"))
+    d = df.join(ends, SEG).withColumn("tau", F.col("t") - F.col("_t0"))
+    return d.withColumn("span", F.col("_t1") - F.col("_t0")).drop("_t0", "_t1")
 
 
-def grid_fit(df: DataFrame, keys: Sequence[str], grid: Sequence[float], regressor: Callable[[Column], Column], y: Column, exact: float = 0.0) -> DataFrame:
-    """keys, g, b, c, sse: y = b + c * regressor(g), for the g of the grid with the least squares; ties to the first.
+Reducer = Callable[[DataFrame, Sequence[str]], DataFrame]
 
-    Squares of less than ``exact`` times those of y count as equal: what is left then is rounding.
+
+def bracketed(df: DataFrame, keys: Sequence[str], grid: Sequence[float], regressor: Callable[[Column], Column], y: Column, reducer: Reducer, fields: Sequence[str], log: bool, rounds: int) -> DataFrame:
+    """keys, g, and fields of the reducer, for the g with the least sse: first of the grid, then ``rounds`` times of FINE values between the best one's neighbours.
+
+    Spaced evenly in the logarithm or plainly. Of values whose squares are equal (TIE, EXACT) the first is taken, so where the data
+    can't tell rates beyond some value apart, that value comes out: a lower bound.
     """
-    d = df.withColumn("_y", y).withColumn("g", F.explode(F.array(*[F.lit(float(g)) for g in grid])))
-    d = d.withColumn("_x", regressor(F.col("g")))
-    per = d.groupBy(*keys, "g").agg(
+    d = df.withColumn("_y", y)
+    near = [(g, grid[max(0, k - 1)], grid[min(len(grid) - 1, k + 1)]) for k, g in enumerate(grid)]
+    tries = F.array(*[F.struct(F.lit(float(g)).alias("g"), F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi")) for g, lo, hi in near])
+    at = lambda k: F.col("lo") * F.pow(F.col("hi") / F.col("lo"), k / (FINE - 1)) if log else F.col("lo") + (F.col("hi") - F.col("lo")) * (k / (FINE - 1))
+    finer = F.array(*[F.struct(at(k).alias("g"), at(max(0, k - 1)).alias("lo"), at(min(FINE - 1, k + 1)).alias("hi")) for k in range(FINE)])
+    found = None
+    for _ in range(rounds + 1):
+        if found is None:
+            tried = d.withColumn("_c", F.explode(tries))
+        else:
+            tried = d.join(found.select(*keys, finer.alias("_f")), list(keys)).withColumn("_c", F.explode("_f")).drop("_f")
+        tried = tried.select(*df.columns, "_y", F.col("_c.g").alias("g"), F.col("_c.lo").alias("lo"), F.col("_c.hi").alias("hi")).withColumn("_x", regressor(F.col("g")))
+        held = reducer(tried, [*keys, "g", "lo", "hi"]).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("g", "lo", "hi", "sse", "syy", *[f for f in fields if f not in ("sse", "syy")]))).alias("_c"))
+        held = held.withColumn("_least", F.array_min(F.transform("_c", lambda x: x["sse"])))
+        first = F.get(F.filter("_c", lambda x: x["sse"] <= F.col("_least") * (1 + TIE) + EXACT * x["syy"]), F.lit(0))
+        found = held.select(*keys, first.alias("_b")).select(*keys, "_b.*")
+    return found.select(*keys, "g", *fields)
+
+
+def linear(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, b, c, sse, syy of _y = b + c * _x."""
+    per = df.groupBy(*keys).agg(
         F.regr_intercept("_y", "_x").alias("b"), F.regr_slope("_y", "_x").alias("c"),
         F.regr_sxx("_y", "_x").alias("sxx"), F.regr_sxy("_y", "_x").alias("sxy"), F.regr_syy("_y", "_x").alias("syy"), F.count("_x").alias("n"),
     )
-    per = per.filter((F.col("n") >= LEAST_POINTS) & (F.col("sxx") > 0)).withColumn("sse", F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx"))
-    return best_candidate(per, keys, F.struct(F.greatest("sse", exact * F.col("syy")), "g"), ["g", "b", "c", "sse"], lowest=True)
+    per = per.filter((F.col("n") >= LEAST_POINTS) & (F.col("sxx") > 0))
+    return per.withColumn("sse", F.greatest(F.lit(0.0), F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx")))
 
 
-def origin_fit(df: DataFrame, keys: Sequence[str], grid: Sequence[float], regressor: Callable[[Column], Column], y: Column, low: float, high: float) -> DataFrame:
-    """keys, g, k, sse: y = k * regressor(g) with k clipped to [low, high]."""
-    d = df.withColumn("_y", y).withColumn("g", F.explode(F.array(*[F.lit(float(g)) for g in grid])))
-    d = d.withColumn("_x", regressor(F.col("g")))
-    x, v = F.col("_x"), F.col("_y")
-    per = d.groupBy(*keys, "g").agg(F.sum(x * v).alias("sxy"), F.sum(x * x).alias("sxx"), F.sum(v * v).alias("syy"), F.count(x).alias("n"))
-    per = per.filter((F.col("n") >= LEAST_POINTS) & (F.col("sxx") > 0))
-    per = per.withColumn("k", F.least(F.greatest(F.col("sxy") / F.col("sxx"), F.lit(low)), F.lit(high)))
-    per = per.withColumn("sse", F.col("syy") - 2 * F.col("k") * F.col("sxy") + F.col("k") * F.col("k") * F.col("sxx"))
-    return best_candidate(per, keys, F.struct("sse", "g"), ["g", "k", "sse", "syy"], lowest=True)
+def through_origin(low: float, high: float) -> Reducer:
+    """keys, k, sse, syy of _y = k * _x with k clipped to [low, high]."""
+
+    def per(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+        x, v = F.col("_x"), F.col("_y")
+        d = df.groupBy(*keys).agg(F.sum(x * v).alias("sxy"), F.sum(x * x).alias("sxx"), F.sum(v * v).alias("syy"), F.count(x).alias("n"))
+        d = d.filter((F.col("n") >= LEAST_POINTS) & (F.col("sxx") > 0))
+        d = d.withColumn("k", F.least(F.greatest(F.col("sxy") / F.col("sxx"), F.lit(low)), F.lit(high)))
+        return d.withColumn("sse", F.greatest(F.lit(0.0), F.col("syy") - 2 * F.col("k") * F.col("sxy") + F.col("k") * F.col("k") * F.col("sxx")))
+
+    return per
+
+
+def grid_fit(df: DataFrame, keys: Sequence[str], grid: Sequence[float], regressor: Callable[[Column], Column], y: Column, rounds: int = ROUNDS) -> DataFrame:
+    """keys, g, b, c, sse: y = b + c * regressor(g), for the g with the least squares."""
+    return bracketed(df, keys, grid, regressor, y, linear, ["b", "c", "sse"], True, rounds)
+
+
+def origin_fit(df: DataFrame, keys: Sequence[str], grid: Sequence[float], regressor: Callable[[Column], Column], y: Column, low: float, high: float, rounds: int = ROUNDS) -> DataFrame:
+    """keys, g, k, sse, syy: y = k * regressor(g) with k clipped to [low, high]."""
+    return bracketed(df, keys, grid, regressor, y, through_origin(low, high), ["k", "sse", "syy"], False, rounds)
 
 
 def best_candidate(df: DataFrame, keys: Sequence[str], order: Column, columns: Sequence[str], lowest: bool = False) -> DataFrame:
@@ -64,59 +103,151 @@ def inverse_axis_r2(df: DataFrame, keys: Sequence[str], t: Column, back: Column)
     return d.groupBy(*keys).agg((1 - F.sum("_e") / F.nullif(F.regr_sxx("_t", "_t"), F.lit(0.0))).alias("r2"))
 
 
-#: Leading shares of a segment that a square-root fit tries.
-LADDER = (1.0, 0.75, 0.5, 0.25)
+def prefix_moments(df: DataFrame, moments: dict[str, Column], keys: Sequence[str] = SEG, slice_points: int = SLICE) -> DataFrame:
+    """Adds each moment summed over the key's points up to and with a row (order: pt).
+
+    Running sums inside slices of pt, and a prefix over the slices' totals, so a long segment is many tasks.
+    """
+    d = df.withColumn("_s", F.floor(F.col("pt") / slice_points)).withColumns({f"_m_{m}": c.cast("double") for m, c in moments.items()})
+    totals = d.groupBy(*keys, "_s").agg(*[F.sum(f"_m_{m}").alias(f"_t_{m}") for m in moments])
+    before = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*keys, "_s", *[F.coalesce(F.sum(f"_t_{m}").over(before), F.lit(0.0)).alias(f"_b_{m}") for m in moments])
+    inside = running(*keys, "_s")
+    d = d.select(*df.columns, "_s", *[F.sum(f"_m_{m}").over(inside).alias(f"_i_{m}") for m in moments]).join(totals, [*keys, "_s"])
+    return d.select(*df.columns, *[(F.col(f"_b_{m}") + F.col(f"_i_{m}")).alias(m) for m in moments])
 
 
-def fit_sqrt(df: DataFrame, threshold: float = 0.95, layer: float = 0.0) -> DataFrame:
-    """meas_id, seg_pos, share, b, c, r2: u = b + c * (sqrt(tau + layer) - sqrt(layer)) over a leading share of each segment.
+def leading_fits(df: DataFrame, layer: float = 0.0, slice_points: int = SLICE) -> DataFrame:
+    """meas_id, seg_pos, n, m, b, c, r2 (null where there is no fit) of u = b + c * (sqrt(tau + layer) - sqrt(layer)) over each segment's first m points.
 
-    The longest share whose inverted axis reaches the threshold, else the one with the best r2.
+    r2 is that of the inverted axis: tau recovered from u is a square of u, so its squares come from moments of u and tau as well.
+    """
+    d = df.filter("t is not null and u is not null").select(*SEG, "pt", "t", "u")
+    ends = d.groupBy(*SEG).agg(F.min("t").alias("_t0"), F.avg("u").alias("_mean"), F.count(F.lit(1)).alias("n"))
+    d = d.join(ends, SEG).select(*SEG, "pt", "n", "_mean", (F.col("t") - F.col("_t0")).alias("_tau"), (F.col("u") - F.col("_mean")).alias("_v"))
+    x, u, t, root = F.sqrt(F.col("_tau") + layer) - layer**0.5, F.col("_v"), F.col("_tau"), layer**0.5
+    sums = {"m": F.lit(1), "sx": x, "sxx": x * x, "su": u, "sxu": x * u, "su2": u * u, "su3": u * u * u, "su4": u * u * u * u, "st": t, "st2": t * t, "stu": t * u, "stu2": t * u * u}
+    d = prefix_moments(d, sums, SEG, slice_points)
+    m = F.col("m")
+    d = d.withColumn("_sxx", F.col("sxx") - F.col("sx") * F.col("sx") / m)
+    slope = F.nullif(F.try_divide(F.col("sxu") - F.col("sx") * F.col("su") / m, F.when(m >= LEAST_POINTS, F.nullif("_sxx", F.lit(0.0)))), F.lit(0.0))
+    d = d.withColumn("c", slope).withColumn("_b", (F.col("su") - F.col("c") * F.col("sx")) / m)
+    # tau recovered: (p u + q)^2 - layer = a2 u^2 + a1 u + a0
+    p, q = 1 / F.col("c"), root - F.col("_b") / F.col("c")
+    d = d.withColumn("_a2", p * p).withColumn("_a1", 2 * p * q).withColumn("_a0", q * q - layer)
+    a2, a1, a0 = F.col("_a2"), F.col("_a1"), F.col("_a0")
+    off = F.col("st2") - 2 * (a2 * F.col("stu2") + a1 * F.col("stu") + a0 * F.col("st"))
+    off = off + a2 * a2 * F.col("su4") + 2 * a2 * a1 * F.col("su3") + (a1 * a1 + 2 * a2 * a0) * F.col("su2") + 2 * a1 * a0 * F.col("su") + a0 * a0 * m
+    r2 = 1 - off / F.nullif(F.col("st2") - F.col("st") * F.col("st") / m, F.lit(0.0))
+    return d.select(*SEG, "n", m.cast("long").alias("m"), (F.col("_b") + F.col("_mean")).alias("b"), "c", r2.alias("r2"))
+
+
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body's value for a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Levels of the bisection that are gone through at once: 2^LEVELS stretches of a segment are held in a row.
+LEVELS = 12
+NONE = "struct<m:bigint,r2:double,b:double,c:double>"
+
+
+def bisected(fits: DataFrame, threshold: float, levels: int = LEVELS) -> DataFrame:
+    """meas_id, seg_pos, n, m, b, c, r2: the leading stretch that halving finds.
+
+    It begins with the first half. A bracket is [k n / 2^d, (k + 1) n / 2^d]; the stretch up to its first quarter or up to its third is next, whichever
+    has the higher r2, and the half it lies in the next bracket. The first that reaches the threshold is taken; when the bracket is one point wide, the best seen.
+    The stretches that ``levels`` halvings can meet are gathered in an array (at most 2^levels of a segment); longer segments go on from there.
     """
-    d = since_start(df).withColumn("share", F.explode(F.array(*[F.lit(x) for x in LADDER])))
-    d = d.filter(F.col("pt") < F.ceil(F.col("share") * F.col("n")))
-    d = d.withColumn("_x", F.sqrt(F.col("tau") + layer) - layer**0.5)
-    w = Window.partitionBy(*SEG, "share")
-    d = d.withColumn("m", F.count(F.lit(1)).over(w)).filter(F.col("m") >= LEAST_POINTS)
-    d = d.withColumn("b", F.regr_intercept("u", "_x").over(w)).withColumn("c", F.regr_slope("u", "_x").over(w)).filter("c <> 0")
-    root = (F.col("u") - F.col("b")) / F.col("c") + layer**0.5
-    r2 = inverse_axis_r2(d, [*SEG, "share", "b", "c"], F.col("tau"), root * root - layer)
-    order = F.struct((F.coalesce("r2", F.lit(-1e300)) >= threshold).alias("ok"), F.when(F.col("r2") >= threshold, F.col("share")).otherwise(F.col("r2")).alias("v"), "share")
-    return best_candidate(r2.filter("r2 is not null"), SEG, order, ["share", "b", "c", "r2"])
+    state, out = None, None
+    longest = fits.agg(F.max("n")).first()[0] or 0
+    if longest > 1 << levels:
+        fits = staged(fits, "stretches")
+    point = F.struct("m", "r2", "b", "c")
+    rank = lambda p: F.coalesce(p["r2"], F.lit(-1e300))
+    place = lambda j, at: F.call_function("div", j * F.col("n"), F.call_function("shiftleft", F.lit(1).cast("long"), at))
+    while True:
+        d = fits.withColumn("d", F.lit(0)).withColumn("k", F.lit(0).cast("long")).withColumn("best", F.lit(None).cast(NONE)) if state is None else fits.join(state, [*SEG, "n"])
+        full = F.ceil(F.log2("n")).cast("int") + 2  # K n / 2^full is any whole place
+        d = d.withColumn("e", F.least(full, F.col("d") + levels))
+        lo, hi = place(F.col("k"), F.col("d")), place(F.col("k") + 1, F.col("d"))
+        # the least K whose place isn't below m, and whether m is a place at all
+        least = F.ceil(F.col("m") * F.pow(F.lit(2.0), F.col("e")) / F.col("n")).cast("long")
+        d = d.filter((F.col("m") >= lo) & (F.col("m") <= hi) & (place(least, F.col("e")) == F.col("m")))
+        d = d.groupBy(*SEG, "n", "d", "k", "e", "best").agg(F.map_from_entries(F.collect_list(F.struct("m", point.alias("p")))).alias("at"))
+
+        def step(s: Column, _: Column) -> Column:
+            small = place(s["k"] + 1, s["d"]) - place(s["k"], s["d"]) <= 1
+            of = lambda j: F.try_element_at("at", place(4 * s["k"] + j, s["d"] + 2))
+
+            def chosen(x: Column) -> Column:
+                return F.when(rank(x["left"]) > rank(x["right"]), F.struct(F.lit(0).alias("half"), x["left"].alias("p"))).otherwise(F.struct(F.lit(1).alias("half"), x["right"].alias("p")))
+
+            def moved(x: Column) -> Column:
+                reached = rank(x["p"]) >= threshold
+                best = F.when(reached | (rank(x["p"]) > rank(s["best"])), x["p"]).otherwise(s["best"])
+                return F.struct((s["d"] + 1).alias("d"), (2 * s["k"] + x["half"]).alias("k"), best.alias("best"), reached.alias("done"))
+
+            stay = F.struct(s["d"].alias("d"), s["k"].alias("k"), s["best"].alias("best"), (s["done"] | small).alias("done"))
+            return F.when(s["done"] | small | (s["d"] + 2 > F.col("e")), stay).otherwise(_with(_with(F.struct(of(1).alias("left"), of(3).alias("right")), chosen), moved))
+
+        half = F.try_element_at("at", place(F.lit(1), F.lit(1)))
+        begun = F.when(F.col("d") > 0, F.col("best")).otherwise(half)
+        start = F.struct("d", "k", begun.alias("best"), (F.coalesce(begun["r2"], F.lit(-1e300)) >= threshold).alias("done"))
+        d = d.withColumn("s", F.aggregate(F.sequence(F.lit(0), F.lit(levels)), start, step)).select(*SEG, "n", "s.*")
+        if longest <= 1 << levels:
+            return d.filter("best.r2 is not null").select(*SEG, "n", "best.*")
+        d = staged(d, "bisected")
+        ended = d.filter("done and best.r2 is not null").select(*SEG, "n", "best.*")
+        out = ended if out is None else out.unionByName(ended)
+        state = d.filter("not done").drop("done")
+        if state.isEmpty():
+            return out
+
+
+def fit_sqrt(df: DataFrame, threshold: float = 0.95, layer: float = 0.0, slice_points: int = SLICE, levels: int = LEVELS) -> DataFrame:
+    """meas_id, seg_pos, share, b, c, r2: u = b + c * (sqrt(tau + layer) - sqrt(layer)) over a leading share of each segment, found by halving (``bisected``)."""
+    found = bisected(leading_fits(df, layer, slice_points), threshold, levels)
+    return found.select(*SEG, (F.col("m") / F.col("n")).alias("share"), "b", "c", "r2")
 
 
 #: Rates of an exponential decay, in units of one over the segment's duration.
 RATES = tuple(0.2 * 250 ** (k / 23) for k in range(24))
 
 
-def fit_exp_decay(df: DataFrame, rates: Sequence[float] = RATES, y: str = "u") -> DataFrame:
-    """meas_id, seg_pos, asymptote, amplitude, rate, sse: y = asymptote + amplitude * exp(-rate * tau), rate on a grid of ``rates`` over the duration."""
-    d = since_start(df).filter("span > 0")
-    fit = grid_fit(d, [*SEG, "span"], rates, lambda g: F.exp(-g * F.col("tau") / F.col("span")), F.col(y))
+def fit_exp_decay(df: DataFrame, rates: Sequence[float] = RATES, y: str = "u", rounds: int = ROUNDS) -> DataFrame:
+    """meas_id, seg_pos, asymptote, amplitude, rate, sse: y = asymptote + amplitude * exp(-rate * tau).
+
+    The rate is first of ``rates`` (over the duration), then narrowed (``bracketed``) to about 1e-4 of itself.
+    """
+    d = staged(since_start(df).filter("span > 0").select(*SEG, "tau", "span", y), "decays")
+    fit = grid_fit(d, [*SEG, "span"], rates, lambda g: F.exp(-g * F.col("tau") / F.col("span")), F.col(y), rounds)
     return fit.select(*SEG, F.col("b").alias("asymptote"), F.col("c").alias("amplitude"), (F.col("g") / F.col("span")).alias("rate"), "sse")
 
 
-#: Trailing shares of a segment that a decay's fit tries.
-TAILS = (1.0, 0.75, 0.5, 0.25)
+#: Trailing shares of a segment that a decay's fit tries; what the argument of a logarithm is at least.
+TAILS, LEAST_RATIO = (1.0, 0.75, 0.5, 0.25), 1e-3
 
 
-def fit_exp_decays(df: DataFrame, threshold: float = 0.95, passes: int = 2, rates: Sequence[float] = RATES, y: str = "u") -> DataFrame:
+def fit_exp_decays(df: DataFrame, threshold: float = 0.95, passes: int = 2, rates: Sequence[float] = RATES, y: str = "u", rounds: int = ROUNDS) -> DataFrame:
     """meas_id, seg_pos, pass, share, asymptote, amplitude, rate, r2: y = asymptote + amplitude * exp(-rate * tau) over a trailing share of each segment.
 
     The longest share whose inverted axis reaches the threshold, else the one with the best r2. Each further pass fits the faster decay: the residual
-    of the stretch before the last one's, where at least LEAST_POINTS are left. tau counts from the segment's start in each pass.
+    of the stretch before the last one's, where at least LEAST_POINTS are left. tau counts from the segment's start in each pass. Rates as in ``fit_exp_decay``.
     """
-    rest, out = df.select(*SEG, "pt", "t", F.col(y).alias("_v")), None
-    w = Window.partitionBy(*SEG)
-    rest = rest.withColumn("_tau", F.col("t") - F.min("t").over(w))
+    starts = df.groupBy(*SEG).agg(F.min("t").alias("_t0"))
+    rest, out = df.join(starts, SEG).select(*SEG, "pt", F.col(y).alias("_v"), (F.col("t") - F.col("_t0")).alias("_tau")), None
     for k in range(passes):
-        d = rest.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_k", F.row_number().over(w.orderBy("pt")))
-        d = d.withColumn("share", F.explode(F.array(*[F.lit(x) for x in TAILS]))).filter(F.col("_k") > F.col("_n") - F.ceil(F.col("share") * F.col("_n")))
-        of = Window.partitionBy(*SEG, "share")
-        d = d.withColumn("_t0", F.min("_tau").over(of)).withColumn("_span", F.max("_tau").over(of) - F.col("_t0")).filter("_span > 0")
-        fit = grid_fit(d, [*SEG, "share", "_t0", "_span"], rates, lambda g: F.exp(-g * (F.col("_tau") - F.col("_t0")) / F.col("_span")), F.col("_v"), EXACT)
-        fit = fit.filter("c <> 0").select(*SEG, "share", "_t0", F.col("b").alias("asymptote"), (F.col("c") * F.exp(F.col("g") * F.col("_t0") / F.col("_span"))).alias("amplitude"), (F.col("g") / F.col("_span")).alias("rate"))
-        both = d.drop("_t0").join(fit, [*SEG, "share"])
+        d = staged(numbered(rest, SEG, "_k", "_n"), "tails")
+        tail = lambda share: F.col("_k") > F.col("_n") - F.ceil(share * F.col("_n"))
+        ends = d.groupBy(*SEG).agg(F.max("_tau").alias("_t1"), *[F.min(F.when(tail(F.lit(x)), F.col("_tau"))).alias(f"_t{j}_") for j, x in enumerate(TAILS)])
+        tails = F.array(*[F.struct(F.lit(x).alias("share"), F.col(f"_t{j}_").alias("t0"), (F.col("_t1") - F.col(f"_t{j}_")).alias("span")) for j, x in enumerate(TAILS)])
+        d = d.join(ends.select(*SEG, tails.alias("_tails")), SEG)
+        own = F.explode(F.filter("_tails", lambda x: (x["span"] > 0) & tail(x["share"])))
+        d = d.select(*SEG, "_v", "_tau", own.alias("_w")).select(*SEG, "_v", "_tau", "_w.share", F.col("_w.t0").alias("_t0"), F.col("_w.span").alias("_span"))
+        fit = grid_fit(d, [*SEG, "share", "_t0", "_span"], rates, lambda g: F.exp(-g * (F.col("_tau") - F.col("_t0")) / F.col("_span")), F.col("_v"), rounds)
+        fit = fit.filter("c <> 0").select(*SEG, "share", F.col("b").alias("asymptote"), (F.col("c") * F.exp(F.col("g") * F.col("_t0") / F.col("_span"))).alias("amplitude"), (F.col("g") / F.col("_span")).alias("rate"))
+        both = d.join(fit, [*SEG, "share"])
         back = -F.ln(F.greatest((F.col("_v") - F.col("asymptote")) / F.col("amplitude"), F.lit(LEAST_RATIO))) / F.col("rate")
         r2 = inverse_axis_r2(both, [*SEG, "share", "_t0", "asymptote", "amplitude", "rate"], F.col("_tau"), back)
         order = F.struct((F.coalesce("r2", F.lit(-1e300)) >= threshold).alias("ok"), F.when(F.col("r2") >= threshold, F.col("share")).otherwise(F.col("r2")).alias("v"), "share")
@@ -125,25 +256,22 @@ def fit_exp_decays(df: DataFrame, threshold: float = 0.95, passes: int = 2, rate
         out = found if out is None else out.unionByName(found)
         if k + 1 < passes:
             value = F.col("_v") - F.col("asymptote") - F.col("amplitude") * F.exp(-F.col("rate") * F.col("_tau"))
-            rest = staged(rest.join(found.drop("pass"), SEG).filter("_tau < _t0").select(*SEG, "pt", "t", value.alias("_v"), "_tau"), "residuals")
+            rest = rest.join(found.drop("pass"), SEG).filter("_tau < _t0").select(*SEG, "pt", value.alias("_v"), "_tau")
     return out.select(*SEG, "pass", "share", "asymptote", "amplitude", "rate", "r2")
 
 
-#: What the argument of a logarithm is at least, and the share of a segment's squares below which a fit is exact.
-LEAST_RATIO, EXACT = 1e-3, 1e-9
-
-
-def fit_power_law(df: DataFrame, exponents: Sequence[float], high: float) -> DataFrame:
-    """meas_id, seg_pos, n, k, ln_k, r2: u - u0 = k * tau^n with n on a grid and 0 <= k <= high."""
-    d = since_start(df).withColumn("_u0", F.first("u").over(whole(*SEG))).filter("tau > 0")
-    fit = origin_fit(d, SEG, exponents, lambda g: F.pow(F.col("tau"), g), F.col("u") - F.col("_u0"), 0.0, high)
+def fit_power_law(df: DataFrame, exponents: Sequence[float], high: float, rounds: int = ROUNDS) -> DataFrame:
+    """meas_id, seg_pos, exponent, k, ln_k, explained: u - u0 = k * tau^n with 0 <= k <= high, and n of ``exponents``, then narrowed (``bracketed``)."""
+    first = df.groupBy(*SEG).agg(F.min_by("u", "pt").alias("_u0"))
+    d = staged(since_start(df).join(first, SEG).filter("tau > 0").select(*SEG, "tau", (F.col("u") - F.col("_u0")).alias("_d")), "powers")
+    fit = origin_fit(d, SEG, exponents, lambda g: F.pow(F.col("tau"), g), F.col("_d"), 0.0, high, rounds)
     return fit.select(*SEG, F.col("g").alias("exponent"), "k", F.when(F.col("k") > 0, F.ln("k")).alias("ln_k"), (1 - F.col("sse") / F.nullif(F.col("syy"), F.lit(0.0))).alias("explained"))
 
 
-def fit_butler_volmer(df: DataFrame, keys: Sequence[str], s: Column, y: Column, alphas: Sequence[float]) -> DataFrame:
-    """keys, alpha, scale: y = scale * sqrt(1000) * s^(1 - alpha) * (1 - s)^alpha."""
-    d = df.withColumn("_s", s).filter((F.col("_s") > 0) & (F.col("_s") < 1))
-    fit = origin_fit(d, keys, alphas, lambda g: 1000**0.5 * F.pow(F.col("_s"), 1 - g) * F.pow(1 - F.col("_s"), g), y, -1e300, 1e300)
+def fit_butler_volmer(df: DataFrame, keys: Sequence[str], s: Column, y: Column, alphas: Sequence[float], rounds: int = ROUNDS) -> DataFrame:
+    """keys, alpha, scale: y = scale * sqrt(1000) * s^(1 - alpha) * (1 - s)^alpha, alpha of ``alphas``, then narrowed (``bracketed``)."""
+    d = staged(df.select(*keys, s.alias("_s"), y.alias("_v")).filter((F.col("_s") > 0) & (F.col("_s") < 1)), "kinetics")
+    fit = origin_fit(d, keys, alphas, lambda g: 1000**0.5 * F.pow(F.col("_s"), 1 - g) * F.pow(1 - F.col("_s"), g), F.col("_v"), -1e300, 1e300, rounds)
     return fit.select(*keys, F.col("g").alias("alpha"), F.col("k").alias("scale"), "sse")
 
 
@@ -167,9 +295,7 @@ def gitt_features(df: DataFrame, wanted: Sequence[int] | None = None, exp_window
     The windows (seconds from each segment's start) cut what the decay and the square root are fitted to.
     """
     cut = lambda window: df if window is None else keep_window(df, *window)
-    renumbered = lambda d: d.withColumn("pt", F.row_number().over(Window.partitionBy(*SEG).orderBy("pt")) - 1)
-    root = fit_sqrt(df if sqrt_window is None else renumbered(cut(sqrt_window)))
-    both = fit_exp_decay(cut(exp_window)).join(root, SEG)
+    both = fit_exp_decay(cut(exp_window)).join(fit_sqrt(cut(sqrt_window)), SEG)
     values = [F.col("asymptote") - F.col("b"), F.col("amplitude"), 1 / F.col("rate"), F.col("b"), 1 / F.col("c")]
     long = both.select(*SEG, F.posexplode(F.array(*values)).alias("k", "value")).withColumn("feature", 5 * F.col("seg_pos") + F.col("k"))
     if wanted is not None:

@@ -62,6 +62,17 @@ def segment_by_change(df: DataFrame, column: str, slice_points: int = SLICE) ->
     return d.join(ends, ["meas_id", "_s"]).withColumn("seg_pos", (F.col("_before") + F.col("_in")).cast("int")).drop("_c", "_s", "_in", "_before")
 
 
+def numbered(df: DataFrame, keys: Sequence[str], number: str, count: str | None = None, slice_points: int = SLICE) -> DataFrame:
+    """Adds each row's number in its key's order of pt, from 1, and the key's rows: numbers inside slices of pt, and a prefix over the slices."""
+    d = df.withColumn("_s", F.floor(F.col("pt") / slice_points))
+    d = d.withColumn("_in", F.row_number().over(within(*keys, "_s")))
+    slices = d.groupBy(*keys, "_s").agg(F.count(F.lit(1)).alias("_c"))
+    order = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.withColumn("_before", F.coalesce(F.sum("_c").over(order), F.lit(0))).withColumn("_all", F.sum("_c").over(Window.partitionBy(*keys))).drop("_c")
+    d = d.join(slices, [*keys, "_s"]).withColumn(number, F.col("_before") + F.col("_in"))
+    return (d.withColumn(count, F.col("_all")) if count else d).drop("_s", "_in", "_before", "_all")
+
+
 def seg_filter(df: DataFrame, positions: Sequence[int]) -> DataFrame:
     """Keeps whole segments."""
     return df.filter(F.col("seg_pos").isin(list(positions)))

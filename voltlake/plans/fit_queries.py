@@ -126,23 +126,51 @@ def features_join(spark, sf):
     return J.features_join(long(0), long(1))
 
 
-EXP_SQL = """tau AS (SELECT *, t - min(t) OVER w AS tau, max(t) OVER w - min(t) OVER w AS span FROM {src} WINDOW w AS (PARTITION BY meas_id, seg_pos)),
-cand AS (SELECT meas_id, seg_pos, span, g, regr_intercept(u, x) AS b, regr_slope(u, x) AS c, regr_syy(u, x) - regr_sxy(u, x) * regr_sxy(u, x) / regr_sxx(u, x) AS sse, regr_sxx(u, x) AS sxx, count(*) AS n
-  FROM (SELECT *, exp(-g * tau / span) AS x FROM tau, (SELECT 0.2 * pow(250, k / 23) AS g FROM (SELECT unnest(range(0, 24)) AS k)) WHERE span > 0) GROUP BY meas_id, seg_pos, span, g),
-decay AS (SELECT meas_id, seg_pos, arg_min(b, (sse, g)) AS asymptote, arg_min(c, (sse, g)) AS amplitude, arg_min(g / span, (sse, g)) AS rate, min(sse) AS sse FROM cand WHERE n >= 4 AND sxx > 0 GROUP BY 1, 2)"""
-EXP = EXP_SQL.format(src="blocks")
+FIRST_RATES = "SELECT g, coalesce(lag(g) OVER (ORDER BY k), g) AS lo, coalesce(lead(g) OVER (ORDER BY k), g) AS hi FROM (SELECT k, 0.2 * pow(250, k / 23) AS g FROM (SELECT unnest(range(0, 24)) AS k))"
+
+
+def rounds_sql(p: str, src: str, keys: str, x: str, y: str, where: str = "true", first: str = FIRST_RATES, between: str = "lo * pow(hi / lo, {k} / 11)", k: str | None = None) -> str:
+    """CTEs up to ``w{p}`` (keys, g, b, c or k, sse, syy): the best of the first values, then five rounds of twelve between the best one's neighbours. k: SQL of a slope through the origin."""
+    sums = "regr_intercept(y, x) AS b, regr_slope(y, x) AS c, greatest(0, regr_syy(y, x) - regr_sxy(y, x) * regr_sxy(y, x) / regr_sxx(y, x)) AS sse, regr_syy(y, x) AS syy"
+    held, enough = "'b': b, 'c': c", "count(*) >= 4 AND regr_sxx(y, x) > 0"
+    if k:
+        sums = f"{k} AS k, greatest(0, sum(y * y) - 2 * {k} * sum(x * y) + {k} * {k} * sum(x * x)) AS sse, sum(y * y) AS syy"
+        held, enough = "'k': k", "count(x) >= 4 AND sum(x * x) > 0"
+    out = []
+    for n in range(6):
+        places = [f"{{'g': {between.format(k=j)}, 'lo': {between.format(k=max(0, j - 1))}, 'hi': {between.format(k=min(11, j + 1))}}}" for j in range(12)]
+        both = " AND ".join(f"s.{c.strip()} = w.{c.strip()}" for c in keys.split(","))
+        tries = f"SELECT s.*, r.g, r.lo, r.hi FROM {src} s, ({first}) r" if n == 0 else f"SELECT s.*, w.f.g AS g, w.f.lo AS lo, w.f.hi AS hi FROM {src} s JOIN (SELECT {keys}, unnest([{', '.join(places)}]) AS f FROM v{p}{n - 1}) w ON {both}"
+        out.append(f"""q{p}{n} AS MATERIALIZED (SELECT {keys}, g, lo, hi, {sums} FROM (SELECT *, {x} AS x, {y} AS y FROM ({tries}) WHERE {where}) GROUP BY {keys}, g, lo, hi HAVING {enough}),
+v{p}{n} AS MATERIALIZED (SELECT {keys}, z.* FROM (SELECT {keys}, unnest(list_filter(l, lambda e: e.sse <= m * (1 + 1e-9) + 1e-11 * e.syy)[1:1]) AS z FROM
+  (SELECT {keys}, list({{'g': g, 'lo': lo, 'hi': hi, {held}, 'sse': sse, 'syy': syy}} ORDER BY g, lo, hi) AS l, min(sse) AS m FROM q{p}{n} GROUP BY {keys})))""")
+    return ", ".join(out) + f", w{p} AS (SELECT * FROM v{p}5)"
+
+
+def exp_sql(src: str, y: str = "u", p: str = "") -> str:
+    """CTEs tau{p} and decay{p} (meas_id, seg_pos, asymptote, amplitude, rate, sse)."""
+    fits = rounds_sql(f"e{p}", f"tau{p}", "meas_id, seg_pos, span", "exp(-g * tau / span)", y, "span > 0")
+    return f"""tau{p} AS (SELECT *, t - min(t) OVER w AS tau, max(t) OVER w - min(t) OVER w AS span FROM {src} WINDOW w AS (PARTITION BY meas_id, seg_pos)), {fits},
+decay{p} AS (SELECT meas_id, seg_pos, b AS asymptote, c AS amplitude, g / span AS rate, sse FROM we{p})"""
+
+
+EXP = exp_sql("blocks")
 #: The same of the current, with names of its own.
-EXP_I = EXP.replace("tau AS (", "tau_i AS (").replace("FROM tau,", "FROM tau_i,").replace("(u, x)", "(i, x)").replace("cand AS (", "cand_i AS (").replace("FROM cand ", "FROM cand_i ").replace("decay AS (", "decay_i AS (")
-_PASS = """n{p} AS (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY meas_id, seg_pos ORDER BY pt) AS k FROM {src} WINDOW w AS (PARTITION BY meas_id, seg_pos)),
+EXP_I = exp_sql("blocks", "i", "_i")
+
+
+def _pass_sql(p: int, src: str) -> str:
+    fits = rounds_sql(f"p{p}", f"s{p}", "meas_id, seg_pos, share, t0, span", "exp(-g * (tau - t0) / span)", "v", "span > 0")
+    return f"""n{p} AS (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY meas_id, seg_pos ORDER BY pt) AS k FROM {src} WINDOW w AS (PARTITION BY meas_id, seg_pos)),
 s{p} AS (SELECT n{p}.*, s.share, min(tau) OVER w AS t0, max(tau) OVER w - min(tau) OVER w AS span FROM n{p}, (VALUES (1.0::DOUBLE), (0.75), (0.5), (0.25)) s(share) WHERE k > n - ceil(s.share * n) WINDOW w AS (PARTITION BY meas_id, seg_pos, s.share)),
-c{p} AS (SELECT meas_id, seg_pos, share, t0, span, g, regr_intercept(v, x) AS b, regr_slope(v, x) AS c, regr_syy(v, x) - regr_sxy(v, x) * regr_sxy(v, x) / regr_sxx(v, x) AS sse, regr_sxx(v, x) AS sxx, count(*) AS n, 1e-9 * regr_syy(v, x) AS least
-  FROM (SELECT *, exp(-g * (tau - t0) / span) AS x FROM s{p}, (SELECT 0.2 * pow(250, k / 23) AS g FROM (SELECT unnest(range(0, 24)) AS k)) WHERE span > 0) GROUP BY meas_id, seg_pos, share, t0, span, g),
-f{p} AS (SELECT meas_id, seg_pos, share, t0, arg_min(b, (greatest(sse, least), g)) AS asymptote, arg_min(c * exp(g * t0 / span), (greatest(sse, least), g)) AS amplitude, arg_min(g / span, (greatest(sse, least), g)) AS rate, arg_min(c, (greatest(sse, least), g)) AS c FROM c{p} WHERE n >= 4 AND sxx > 0 GROUP BY 1, 2, 3, 4),
+{fits}, f{p} AS (SELECT meas_id, seg_pos, share, t0, b AS asymptote, c * exp(g * t0 / span) AS amplitude, g / span AS rate, c FROM wp{p}),
 r{p} AS (SELECT s.meas_id, s.seg_pos, s.share, any_value(f.t0) AS t0, any_value(f.asymptote) AS asymptote, any_value(f.amplitude) AS amplitude, any_value(f.rate) AS rate,
   1 - sum(pow(tau + ln(greatest((v - asymptote) / amplitude, 1e-3)) / rate, 2)) / nullif(regr_sxx(tau, tau), 0) AS r2 FROM s{p} s JOIN f{p} f ON f.meas_id = s.meas_id AND f.seg_pos = s.seg_pos AND f.share = s.share WHERE f.c <> 0 AND s.span > 0 GROUP BY 1, 2, 3),
 b{p} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY meas_id, seg_pos ORDER BY r2 >= 0.95 DESC, CASE WHEN r2 >= 0.95 THEN share ELSE r2 END DESC, share DESC) AS o FROM r{p} WHERE r2 IS NOT NULL) WHERE o = 1)"""
-DECAYS_SQL = "z0 AS (SELECT meas_id, seg_pos, pt, t - min(t) OVER (PARTITION BY meas_id, seg_pos) AS tau, u AS v FROM blocks), " + _PASS.format(p=0, src="z0") + """,
-z1 AS (SELECT z0.meas_id, z0.seg_pos, z0.pt, z0.tau, v - asymptote - amplitude * exp(-rate * tau) AS v FROM z0 JOIN b0 ON b0.meas_id = z0.meas_id AND b0.seg_pos = z0.seg_pos WHERE tau < t0), """ + _PASS.format(p=1, src="z1")
+
+
+DECAYS_SQL = "z0 AS (SELECT meas_id, seg_pos, pt, t - min(t) OVER (PARTITION BY meas_id, seg_pos) AS tau, u AS v FROM blocks), " + _pass_sql(0, "z0") + """,
+z1 AS (SELECT z0.meas_id, z0.seg_pos, z0.pt, z0.tau, v - asymptote - amplitude * exp(-rate * tau) AS v FROM z0 JOIN b0 ON b0.meas_id = z0.meas_id AND b0.seg_pos = z0.seg_pos WHERE tau < t0), """ + _pass_sql(1, "z1")
 
 
 @query(f"""WITH {BLOCKS_SQL}, {DECAYS_SQL}, e AS (SELECT 0 AS pass, * FROM b0 UNION ALL SELECT 1, * FROM b1)
@@ -153,11 +181,20 @@ def fit_exp_decays(spark, sf):
     return d.select(*S.SEG, "pass", "share", *[sig(c).alias(c) for c in ("asymptote", "amplitude", "rate")], F.round("r2", 5).alias("r2"))
 
 
-SQRT_SQL = """lead_ AS (SELECT b.*, s.share, sqrt(tau + {layer}) - sqrt({layer}) AS x FROM (SELECT *, t - min(t) OVER w AS tau, count(*) OVER w AS n FROM blocks WINDOW w AS (PARTITION BY meas_id, seg_pos)) b, (VALUES (1.0), (0.75), (0.5), (0.25)) s(share) WHERE b.pt < ceil(s.share * b.n)),
-reg AS (SELECT meas_id, seg_pos, share, regr_intercept(u, x) AS b, regr_slope(u, x) AS c FROM lead_ GROUP BY 1, 2, 3 HAVING count(*) >= 4 AND regr_slope(u, x) <> 0),
-rr AS (SELECT reg.*, 1 - z.e / nullif(z.v, 0) AS r2 FROM reg JOIN (SELECT l.meas_id, l.seg_pos, l.share, sum(pow(pow((u - b) / c + sqrt({layer}), 2) - {layer} - tau, 2)) AS e, regr_sxx(tau, tau) AS v FROM lead_ l JOIN reg q ON q.meas_id = l.meas_id AND q.seg_pos = l.seg_pos AND q.share = l.share GROUP BY 1, 2, 3) z
-  ON z.meas_id = reg.meas_id AND z.seg_pos = reg.seg_pos AND z.share = reg.share),
-root AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY meas_id, seg_pos ORDER BY r2 >= 0.95 DESC, CASE WHEN r2 >= 0.95 THEN share ELSE r2 END DESC, share DESC) AS k FROM rr WHERE r2 IS NOT NULL) WHERE k = 1)"""
+#: Every leading stretch is fitted by itself here, and the halving walks over them.
+SQRT_SQL = """bl AS (SELECT *, t - min(t) OVER w AS tau, count(*) OVER w AS n FROM blocks WINDOW w AS (PARTITION BY meas_id, seg_pos)),
+lead_ AS (SELECT l.*, m.pt + 1 AS m, sqrt(l.tau + {layer}) - sqrt({layer}) AS x FROM bl l JOIN bl m ON m.meas_id = l.meas_id AND m.seg_pos = l.seg_pos AND l.pt <= m.pt),
+reg AS (SELECT meas_id, seg_pos, m, regr_intercept(u, x) AS b, regr_slope(u, x) AS c FROM lead_ GROUP BY 1, 2, 3 HAVING count(*) >= 4 AND regr_slope(u, x) <> 0),
+rr AS MATERIALIZED (SELECT l.meas_id, l.seg_pos, l.m, any_value(l.n) AS n, any_value(b) AS b, any_value(c) AS c, 1 - sum(pow(pow((u - b) / c + sqrt({layer}), 2) - {layer} - tau, 2)) / nullif(regr_sxx(tau, tau), 0) AS r2
+  FROM lead_ l JOIN reg q ON q.meas_id = l.meas_id AND q.seg_pos = l.seg_pos AND q.m = l.m GROUP BY 1, 2, 3 HAVING r2 IS NOT NULL),
+walk AS (SELECT s.meas_id, s.seg_pos, s.n, 0 AS d, CAST(0 AS BIGINT) AS k, coalesce(r.r2, -1e300) AS now, r.m AS best, coalesce(r.r2, -1e300) AS most
+  FROM (SELECT DISTINCT meas_id, seg_pos, n FROM bl) s LEFT JOIN rr r ON r.meas_id = s.meas_id AND r.seg_pos = s.seg_pos AND r.m = s.n // 2
+  UNION ALL
+  SELECT meas_id, seg_pos, n, d + 1, 2 * k + CASE WHEN a > b THEN 0 ELSE 1 END, greatest(a, b), CASE WHEN greatest(a, b) >= 0.95 OR greatest(a, b) > most THEN CASE WHEN a > b THEN am ELSE bm END ELSE best END, greatest(most, a, b)
+  FROM (SELECT w.*, coalesce(x.r2, -1e300) AS a, x.m AS am, coalesce(y.r2, -1e300) AS b, y.m AS bm FROM walk w
+    LEFT JOIN rr x ON x.meas_id = w.meas_id AND x.seg_pos = w.seg_pos AND x.m = (4 * k + 1) * w.n // (4 << d) LEFT JOIN rr y ON y.meas_id = w.meas_id AND y.seg_pos = w.seg_pos AND y.m = (4 * k + 3) * w.n // (4 << d)
+    WHERE now < 0.95 AND (k + 1) * w.n // (1 << d) - k * w.n // (1 << d) > 1)),
+root AS (SELECT r.meas_id, r.seg_pos, r.m / r.n AS share, r.b, r.c, r.r2 FROM (SELECT meas_id, seg_pos, arg_max(best, d) AS m FROM walk GROUP BY 1, 2) w JOIN rr r ON r.meas_id = w.meas_id AND r.seg_pos = w.seg_pos AND r.m = w.m)"""
 
 
 @query(f"WITH {BLOCKS_SQL}, {EXP} SELECT meas_id, seg_pos, {sq('asymptote')} AS asymptote, {sq('amplitude')} AS amplitude, {sq('rate')} AS rate, {sq('sse')} AS sse FROM decay")
@@ -165,21 +202,24 @@ def fit_exp_decay(spark, sf):
     return X.fit_exp_decay(blocks(spark, sf)).select(*S.SEG, *[sig(c).alias(c) for c in ("asymptote", "amplitude", "rate", "sse")])
 
 
-@query(f"WITH {BLOCKS_SQL}, {SQRT_SQL.format(layer='0.0')} SELECT meas_id, seg_pos, CAST(share AS DOUBLE) AS share, {sq('b')} AS b, {sq('c')} AS c, {sq('r2')} AS r2 FROM root")
+@query(f"WITH RECURSIVE {BLOCKS_SQL}, {SQRT_SQL.format(layer='0.0')} SELECT meas_id, seg_pos, CAST(share AS DOUBLE) AS share, {sq('b')} AS b, {sq('c')} AS c, {r('r2', 5)} AS r2 FROM root")
 def fit_sqrt(spark, sf):
-    return X.fit_sqrt(blocks(spark, sf)).select(*S.SEG, "share", *[sig(c).alias(c) for c in ("b", "c", "r2")])
+    return X.fit_sqrt(blocks(spark, sf)).select(*S.SEG, "share", *[sig(c).alias(c) for c in ("b", "c")], F.round("r2", 5).alias("r2"))
 
 
-@query(f"WITH {BLOCKS_SQL}, {SQRT_SQL.format(layer='2500.0')} SELECT meas_id, seg_pos, CAST(share AS DOUBLE) AS share, {sq('b')} AS b, {sq('c')} AS c, {sq('r2')} AS r2 FROM root")
+@query(f"WITH RECURSIVE {BLOCKS_SQL}, {SQRT_SQL.format(layer='2500.0')} SELECT meas_id, seg_pos, CAST(share AS DOUBLE) AS share, {sq('b')} AS b, {sq('c')} AS c, {r('r2', 5)} AS r2 FROM root")
 def fit_sqrt_layered(spark, sf):
-    return X.fit_sqrt(blocks(spark, sf), layer=2500.0).select(*S.SEG, "share", *[sig(c).alias(c) for c in ("b", "c", "r2")])
+    return X.fit_sqrt(blocks(spark, sf), layer=2500.0).select(*S.SEG, "share", *[sig(c).alias(c) for c in ("b", "c")], F.round("r2", 5).alias("r2"))
+
+
+def power_sql(grid, high: str) -> str:
+    first = "SELECT unnest([" + ", ".join(f"{{'g': {g!r}::DOUBLE, 'lo': {grid[max(0, k - 1)]!r}::DOUBLE, 'hi': {grid[min(len(grid) - 1, k + 1)]!r}::DOUBLE}}" for k, g in enumerate(grid)) + "]) AS f"
+    fits = rounds_sql("l", "p0", "meas_id, seg_pos", "pow(tau, g)", "y0", "tau > 0", f"SELECT f.g AS g, f.lo AS lo, f.hi AS hi FROM ({first})", "lo + (hi - lo) * ({k} / 11)", f"least(greatest(sum(x * y) / sum(x * x), 0.0), {high})")
+    return f"""p0 AS (SELECT *, t - min(t) OVER (PARTITION BY meas_id, seg_pos) AS tau, u - first_value(u) OVER (PARTITION BY meas_id, seg_pos ORDER BY pt) AS y0 FROM blocks), {fits}"""
 
 
-POWER_SQL = """p0 AS (SELECT *, t - min(t) OVER (PARTITION BY meas_id, seg_pos) AS tau, u - first_value(u) OVER (PARTITION BY meas_id, seg_pos ORDER BY pt) AS y FROM blocks),
-pc AS (SELECT meas_id, seg_pos, g, least(greatest(sum(x * y) / sum(x * x), 0.0), {high}) AS k, sum(x * y) AS sxy, sum(x * x) AS sxx, sum(y * y) AS syy FROM (SELECT *, pow(tau, g) AS x FROM p0, (SELECT unnest([{grid}]) AS g) WHERE tau > 0) GROUP BY 1, 2, 3 HAVING count(*) >= 4),
-pe AS (SELECT *, syy - 2 * k * sxy + k * k * sxx AS sse FROM pc), pb AS (SELECT *, row_number() OVER (PARTITION BY meas_id, seg_pos ORDER BY sse, g) AS o FROM pe)"""
 NARROW, WIDE = [0.5 + 0.05 * k for k in range(13)], [0.1 + 0.145 * k for k in range(21)]
-_POWER = "SELECT meas_id, seg_pos, {e} AS exponent, {k} AS k, {l} AS ln_k, {x} AS explained FROM pb WHERE o = 1".format(
+_POWER = "SELECT meas_id, seg_pos, {e} AS exponent, {k} AS k, {l} AS ln_k, {x} AS explained FROM wl".format(
     e=sq("g"), k=sq("k"), l="CASE WHEN k > 0 THEN " + sq("ln(k)") + " END", x=sq("1 - sse / nullif(syy, 0)")
 )
 
@@ -189,25 +229,26 @@ def _power(spark, sf, grid, high):
     return d.select(*S.SEG, *[sig(c).alias(c) for c in ("exponent", "k")], F.when(F.col("k") > 0, sig("ln_k")).alias("ln_k"), sig("explained").alias("explained"))
 
 
-@query(f"WITH {BLOCKS_SQL}, {POWER_SQL.format(high='1e-2', grid=', '.join(f'{g!r}::DOUBLE' for g in NARROW))} {_POWER}")
+@query(f"WITH {BLOCKS_SQL}, {power_sql(NARROW, '1e-2')} {_POWER}")
 def fit_power_law(spark, sf):
     return _power(spark, sf, NARROW, 1e-2)
 
 
-@query(f"WITH {BLOCKS_SQL}, {POWER_SQL.format(high='1e2', grid=', '.join(f'{g!r}::DOUBLE' for g in WIDE))} {_POWER}")
+@query(f"WITH {BLOCKS_SQL}, {power_sql(WIDE, '1e2')} {_POWER}")
 def fit_power_law_wide(spark, sf):
     return _power(spark, sf, WIDE, 1e2)
 
 
-BV_SQL = """b0 AS (SELECT l_suppkey AS meas_id, l_quantity / 51 AS s, l_extendedprice / 1000 AS y FROM lineitem),
-bc AS (SELECT meas_id, g, sum(x * y) / sum(x * x) AS k, sum(y * y) - pow(sum(x * y), 2) / sum(x * x) AS sse FROM (SELECT *, sqrt(1000) * pow(s, 1 - g) * pow(1 - s, g) AS x FROM b0, (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]::DOUBLE[]) AS g) WHERE s > 0 AND s < 1) GROUP BY 1, 2 HAVING count(*) >= 4)"""
+ALPHAS = [k / 10 for k in range(1, 10)]
+BV_FIRST = "SELECT f.g AS g, f.lo AS lo, f.hi AS hi FROM (SELECT unnest([" + ", ".join(f"{{'g': {g!r}::DOUBLE, 'lo': {ALPHAS[max(0, k - 1)]!r}::DOUBLE, 'hi': {ALPHAS[min(8, k + 1)]!r}::DOUBLE}}" for k, g in enumerate(ALPHAS)) + "]) AS f)"
+BV_SQL = "b0 AS (SELECT l_suppkey AS meas_id, l_quantity / 51 AS s, l_extendedprice / 1000 AS y0 FROM lineitem), " + rounds_sql("l", "b0", "meas_id", "sqrt(1000) * pow(s, 1 - g) * pow(1 - s, g)", "y0", "s > 0 AND s < 1", BV_FIRST, "lo + (hi - lo) * ({k} / 11)", "sum(x * y) / sum(x * x)")
 
 
-@query(f"WITH {BV_SQL} SELECT meas_id, arg_min(g, sse) AS alpha, {sq('arg_min(k, sse)')} AS scale FROM bc GROUP BY 1")
+@query(f"WITH {BV_SQL} SELECT meas_id, {sq('g')} AS alpha, {sq('k')} AS scale FROM wl")
 def fit_butler_volmer(spark, sf):
     lines = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("meas_id"), (F.col("l_quantity") / 51).alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))
-    d = X.fit_butler_volmer(lines, S.MEAS, F.col("x"), F.col("y"), [k / 10 for k in range(1, 10)])
-    return d.select("meas_id", "alpha", sig("scale").alias("scale"))
+    d = X.fit_butler_volmer(lines, S.MEAS, F.col("x"), F.col("y"), ALPHAS)
+    return d.select("meas_id", sig("alpha").alias("alpha"), sig("scale").alias("scale"))
 
 
 @query(f"""WITH {BLOCKS_SQL}, {EXP} SELECT f.meas_id, f.seg_pos, {sq('1 - sum(pow(tau + ln(greatest((u - asymptote) / amplitude, 1e-3)) / rate, 2)) / nullif(regr_sxx(tau, tau), 0)')} AS r2
@@ -232,7 +273,7 @@ def drop_failed_fits(spark, sf):
     return J.drop_failed_fits(S.segment_ends(b), X.fit_exp_decay(b)).select(*S.SEG, "n")
 
 
-@query(f"WITH {BLOCKS_SQL}, {SQRT_SQL.format(layer='0.0')} SELECT meas_id, {sq('max(r2)')} AS r2, arg_max(seg_pos, (r2, seg_pos)) AS seg_pos FROM root GROUP BY 1")
+@query(f"WITH RECURSIVE {BLOCKS_SQL}, {SQRT_SQL.format(layer='0.0')} SELECT meas_id, {sq('max(r2)')} AS r2, arg_max(seg_pos, (r2, seg_pos)) AS seg_pos FROM root GROUP BY 1")
 def best_candidate(spark, sf):
     best = X.best_candidate(X.fit_sqrt(blocks(spark, sf)), S.MEAS, F.struct("r2", "seg_pos"), ["r2", "seg_pos"])
     return best.select("meas_id", sig("r2").alias("r2"), "seg_pos")
@@ -248,7 +289,7 @@ def static_features(spark, sf):
     return d.select(*S.SEG, sig("asymptotic_voltage").alias("asymptotic_voltage"), F.round("ir_step", 6).alias("ir_step"), *[kept(c) for c in ("amplitude", "rate", "i_asymptote", "i_amplitude", "i_rate")])
 
 
-@query(f"""WITH {BLOCKS_SQL}, {EXP}, {SQRT_SQL.format(layer='0.0')}, v AS (SELECT d.meas_id, d.seg_pos, unnest([0, 1, 2, 3, 4]) AS k, unnest([asymptote - b, amplitude, 1 / rate, b, 1 / c]) AS value FROM decay d JOIN root s ON s.meas_id = d.meas_id AND s.seg_pos = d.seg_pos)
+@query(f"""WITH RECURSIVE {BLOCKS_SQL}, {EXP}, {SQRT_SQL.format(layer='0.0')}, v AS (SELECT d.meas_id, d.seg_pos, unnest([0, 1, 2, 3, 4]) AS k, unnest([asymptote - b, amplitude, 1 / rate, b, 1 / c]) AS value FROM decay d JOIN root s ON s.meas_id = d.meas_id AND s.seg_pos = d.seg_pos)
 SELECT meas_id, seg_pos, CAST(5 * seg_pos + k AS INTEGER) AS feature, {sq('value')} AS value FROM v WHERE 5 * seg_pos + k IN (1, 2, 3, 4, 6, 7, 8, 9)""")
 def gitt_features(spark, sf):
     return X.gitt_features(blocks(spark, sf), [1, 2, 3, 4, 6, 7, 8, 9]).select(*S.SEG, F.col("feature").cast("int").alias("feature"), sig("value").alias("value"))
@@ -256,7 +297,7 @@ def gitt_features(spark, sf):
 
 @query(f"""WITH {BLOCKS_SQL}, {COULOMB_SQL.format(src='blocks')}, b AS (SELECT *, t - first_value(t) OVER (PARTITION BY meas_id, seg_pos ORDER BY pt) AS s FROM blocks WHERE seg_pos % 2 = 1),
 {CROSS_SQL.format(k='meas_id, seg_pos', x='s - 60000', src='b')}, trimmed AS (SELECT b.* FROM b JOIN cross_ c ON b.meas_id = c.meas_id AND b.seg_pos = c.seg_pos WHERE b.pt >= c.pos),
-{EXP_SQL.format(src='trimmed')}, {ENDS}, pl AS (SELECT *, lag(i_mean) OVER (PARTITION BY meas_id ORDER BY seg_pos) AS pulse FROM ends),
+{exp_sql('trimmed')}, {ENDS}, pl AS (SELECT *, lag(i_mean) OVER (PARTITION BY meas_id ORDER BY seg_pos) AS pulse FROM ends),
 q_end AS (SELECT meas_id, seg_pos, arg_max(c, pt) AS soc FROM soc GROUP BY 1, 2)
 SELECT d.meas_id, d.seg_pos, {sq('q.soc')} AS soc, {sq('d.asymptote')} AS ocv, CASE WHEN pl.pulse >= 0 THEN 'lithiation' ELSE 'delithiation' END AS direction
 FROM decay d JOIN q_end q ON q.meas_id = d.meas_id AND q.seg_pos = d.seg_pos JOIN pl ON pl.meas_id = d.meas_id AND pl.seg_pos = d.seg_pos""")
