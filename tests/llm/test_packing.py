@@ -33,6 +33,17 @@ def test_ids_of_all_words_of_a_table_are_the_tokenizers():
     assert [a.tolist()[:-1] for a in packing.WordEncoder(PATH).encode(some)] == [e.ids for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
 
 
+def test_memory_of_words_is_bounded_by_bytes(monkeypatch):
+    """A stretch of a megabyte without blanks isn't kept; what is kept is let go beyond the bound."""
+    monkeypatch.setattr(packing, "CACHE_BYTES", 2000)
+    encoder, direct = packing.WordEncoder(PATH), Tokenizer.from_file(PATH)
+    long = "".join(f"{k:x}ab" for k in range(200_000))
+    for texts in (["one " + long + " two", long], [f"word{k} other{k}." for k in range(50)], ["one more", None or ""]):
+        assert [a.tolist()[:-1] for a in encoder.encode(texts)] == [e.ids for e in direct.encode_batch(texts, add_special_tokens=False)]
+        assert long not in encoder.known and encoder.held < 2000 + 200 * 250
+    assert len(encoder.known) <= 4
+
+
 def check(rows, texts):
     """Every id once, sequences gapless and at most full."""
     ids = {}

@@ -24,14 +24,18 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voltlake.llm import packed
 from voltlake.llm.common import table
 
 WINDOW_TOKENS, END_ID, MAX_OPEN = 2048, 1, 1024
-#: Entries after which a task's memory of encoded words starts afresh.
-CACHE_WORDS = 400_000
+#: Bytes after which a task's memory of encoded words starts afresh (some 150 go with each entry), and the longest stretch that is kept in it.
+CACHE_BYTES, ENTRY_BYTES, KEPT_CHARS = 48 << 20, 150, 64
+#: Code points of texts that are encoded together.
+TOGETHER_CHARS = 1 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -52,6 +56,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.held = 0
         model = json.loads(self.tokenizer.to_str())["model"]
         letters = _byte_letters()
         raw = lambda token: bytes(letters[c] for c in token.removesuffix(WORD_END)) + b"\0" * token.endswith(WORD_END)
@@ -64,30 +69,36 @@ class WordEncoder:
             if not token.startswith("<|") and (rank := ranks.get(raw(token))) is not None:
                 self.ids[rank], self.ends[rank] = number, token.endswith(WORD_END)
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words that aren't known yet; the short ones are kept as well."""
         tails = {w: (w[:-1], w[-1]) for w in words if w[-1] in MARKS and w[:-1].isalpha()}
         new = {x for pair in tails.values() for x in pair}.union(w for w in words if w not in tails).difference(self.known)
-        simple = [w for w in new if _SIMPLE.fullmatch(w)]
+        simple, made = [w for w in new if _SIMPLE.fullmatch(w)], {}
         if simple:
             ranks = np.array(self.words.encode_ordinary("\0".join(simple) + "\0"), np.int64)
             ids, ends = self.ids[ranks].tobytes(), (np.flatnonzero(self.ends[ranks]) + 1).tolist()
-            self.known.update((w, ids[4 * i : 4 * j]) for w, i, j in zip(simple, [0, *ends], ends, strict=False))
+            made.update((w, ids[4 * i : 4 * j]) for w, i, j in zip(simple, [0, *ends], ends, strict=False))
         rest = list(new.difference(simple))
         for at in range(0, len(rest), 1000):
             few = rest[at : at + 1000]
-            made = self.tokenizer.encode_batch_fast(few, add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(few, made, strict=True))
-        self.known.update((w, self.known[a] + self.known[b]) for w, (a, b) in tails.items())
+            coded = self.tokenizer.encode_batch_fast(few, add_special_tokens=False)
+            made.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(few, coded, strict=True))
+        get = lambda w: made[w] if w in made else self.known[w]
+        made.update((w, get(a) + get(b)) for w, (a, b) in tails.items())
+        short = {w: x for w, x in made.items() if len(w) <= KEPT_CHARS}
+        self.known.update(short)
+        self.held += sum(len(w) + len(x) + ENTRY_BYTES for w, x in short.items())
+        return made
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Per text its ids and the end id."""
         parts = [stretches(x) for x in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
+        if self.held > CACHE_BYTES:
+            self.known, self.held = {}, 0
         new = set(chain.from_iterable(parts)).difference(self.known)
-        if new:
-            self.learn(list(new))
-        get, end = self.known.__getitem__, np.array([END_ID], "<u4").tobytes()
+        made = self.learn(list(new)) if new else {}
+        known, end = self.known, np.array([END_ID], "<u4").tobytes()
+        get = lambda w: known[w] if w in known else made[w]
         return [np.frombuffer(b"".join(chain(map(get, p), (end,))), "<u4") for p in parts]
 
 
@@ -236,16 +247,27 @@ def _packer(path: str, window: int, max_open: int):
                 if len(placed) > 2000:
                     yield rows(placed)
                     placed = []
+            packed.give_back()
         placed.extend(packer.settle(True))
+        del encoder
+        packed.give_back()
         if placed:
             yield rows(placed)
 
     return run
 
 
-def _few(texts: pa.Array, rows: int = 200) -> Iterator[tuple[int, pa.Array]]:
-    for at in range(0, len(texts), rows):
-        yield at, texts.slice(at, rows)
+def _few(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Slices of at most 200 texts and, but for single longer ones, TOGETHER_CHARS code points."""
+    sizes = pc.utf8_length(texts).fill_null(0).to_pylist()
+    at, held = 0, 0
+    for k, size in enumerate(sizes):
+        if k > at and (k - at == 200 or held + size > TOGETHER_CHARS):
+            yield at, texts.slice(at, k - at)
+            at, held = k, 0
+        held += size
+    if at < len(sizes):
+        yield at, texts.slice(at)
 
 
 def pack(docs: DataFrame, doc_id="doc_id", text="text", tokenizer: str | None = None, window: int = WINDOW_TOKENS, max_open: int = MAX_OPEN) -> DataFrame:
