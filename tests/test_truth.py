@@ -163,7 +163,7 @@ def test_instrument_file(spark, tmp_path):
     rows = df.filter("file like '%run2.txt'").orderBy("pt").collect()
     assert len(rows) == 40 and [r.pt for r in rows] == list(range(40))
     assert rows[3].t == 3 * 3600.0 and rows[3].U == pytest.approx(6.5e-3) and rows[3].state_text == "R3" and rows[3].state is None
-    assert measurements.comment_lines(spark, str(tmp_path), 2).count() == 4
+    assert measurements.comment_lines(spark, str(tmp_path), 2, "latin-1").count() == 4
 
 
 def test_empty_table(spark):
@@ -245,7 +245,7 @@ def test_static_read_and_row_groups(spark, tmp_path):
     assert (r.asymptotic_voltage, r.i_asymptote) == pytest.approx((3.0, 0.5), abs=0.1) and d.count() == 40 and d.filter("seg_pos = 1").count() == 10
     made = measurements.write_segments(d.withColumn("meas_id", F.lit(1)), str(tmp_path / "out")).collect()
     assert sum(r.groups for r in made) == 2 and sum(r.rows for r in made) == 40
-    assert sum(pq.ParquetFile(r.uri.removeprefix("file://")).num_row_groups for r in made) == 2
+    assert sum(pq.ParquetFile(r.uri.removeprefix("file:").replace("//", "/")).num_row_groups for r in made) == 2
 
 
 def test_lines_are_numbered_over_blocks(spark, tmp_path):
@@ -335,3 +335,35 @@ def test_numbers_run_over_slices(spark):
     rows = [(k % 3, 0, 7 * k, float(k), 0.0, 0.0) for k in range(100)]
     got = sorted((r.meas_id, r.pt, r.k, r.n) for r in numbered(points(spark, rows), ["meas_id"], "k", "n", 50).collect())
     assert got == sorted((m, 7 * k, k // 3 + 1, len(range(m, 100, 3))) for m in range(3) for k in range(m, 100, 3))
+
+
+TEXTS = ["# c\u00e4f\u00e9\n\n\nt\tU\n1\t2\n\n3\t4\n\n", "\n", "no end", "a\r\nb\r\n\r\nc", "", "x" * 5000 + "\n" + "y\n" * 300, "\u0a00\u000a\u0a0a\u0b0a\n\u0a0a"]
+
+
+@pytest.mark.parametrize("encoding", ["utf-8", "latin-1", "utf-16", "utf-16-be", "utf-32", "utf-8-sig", "cp1252"])
+def test_every_line_is_kept(spark, tmp_path, encoding):
+    """Blank lines in front, among and behind data; files in many ranges; compared with what Python reads."""
+    want = []
+    for k, text in enumerate(TEXTS):
+        data = text.encode(encoding, "replace")
+        (tmp_path / f"f{k}.txt").write_bytes(data)
+        with open(tmp_path / f"f{k}.txt", encoding=encoding) as f:
+            want += [(f"f{k}.txt", n, line.removesuffix("\n")) for n, line in enumerate(f)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("7", "64", "100000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = measurements.numbered_lines(spark, str(tmp_path), encoding, int(size)).collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        assert sorted((r.file.rpartition("/")[2], r.n, r.line) for r in got) == sorted(want)
+
+
+def test_comments_may_be_blank(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("# comment\n\nt\tU\n0\t1\n\n2\t3\n4\t5\n")
+    (tmp_path / "b.txt").write_bytes("t\tU\n0\t\u00b5\n7\t8,5\n".encode("utf-16"))
+    d = measurements.read_instrument_csv(spark, str(tmp_path / "a.txt"), {0: "t [s]", 1: "U [V]"}, skip=3).orderBy("pt")
+    assert [(r.pt, r.t, r.U) for r in d.collect()] == [(0, 0.0, 1.0), (1, None, None), (2, 2.0, 3.0), (3, 4.0, 5.0)]
+    catalog = spark.createDataFrame([(str(tmp_path / "a.txt"), "first", None, 3, None), (str(tmp_path / "b.txt"), "second", "utf-16", 1, ",")], "path string, name string, encoding string, skip int, symbol string")
+    both = measurements.by_catalog(spark, catalog, {0: "t [s]", 1: "U"})
+    assert sorted((r.name, r.pt, r.U or -1.0, r.U_text) for r in both.select("name", "pt", "U", "U_text").collect()) == [("first", 0, 1.0, None), ("first", 1, -1.0, None), ("first", 2, 3.0, None), ("first", 3, 5.0, None), ("second", 0, -1.0, "\u00b5"), ("second", 1, 8.5, None)]

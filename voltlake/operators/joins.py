@@ -46,21 +46,27 @@ def lookup_nearest(df: DataFrame, keys: Sequence[str], x: str, value: float | Co
 def join_interp(queries: DataFrame, knots: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
     """Adds y to each query row: linear between the knots around its x, null outside.
 
-    Queries and knots are sorted together per key, so a range join isn't needed and the cost stays linear.
+    Queries and knots are sorted together in ranges of (key, x), so a range join isn't needed, the cost stays linear and a long key is many
+    tasks; the last knot before a range and the first behind it are carried over the ranges of the key.
     """
     # of knots with one x, the first and last values serve the two sides
     flat = knots.groupBy(*keys, x).agg(F.min(y).alias("_y"))
     names = queries.columns
     both = queries.withColumn("_y", F.lit(None).cast("double")).withColumn("_q", F.lit(True)).unionByName(flat.withColumn("_q", F.lit(False)), allowMissingColumns=True)
+    both = staged(both.repartitionByRange(*keys, x).withColumn("_s", F.spark_partition_id()), "knots")
     knot = F.when(~F.col("_q"), F.struct(F.col(x).alias("x"), F.col("_y").alias("y")))
-    order = Window.partitionBy(*keys).orderBy(x, "_q")
-    back = Window.partitionBy(*keys).orderBy(x, "_q").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = order.rowsBetween(0, Window.unboundedFollowing)
+    order = Window.partitionBy(*keys, "_s").orderBy(x, "_q")
+    back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
     # a query at a knot's x sorts behind it, so the knot before is the knot itself
     d = both.withColumn("_k", knot).withColumn("_a", F.last("_k", True).over(back)).withColumn("_b", F.first("_k", True).over(ahead))
-    share = (F.col(x) - F.col("_a.x")) / (F.col("_b.x") - F.col("_a.x"))
+    ranges = both.withColumn("_k", knot).groupBy(*keys, "_s").agg(F.min("_k").alias("_first"), F.max("_k").alias("_last"))
+    over = Window.partitionBy(*keys).orderBy("_s")
+    before, behind = over.rowsBetween(Window.unboundedPreceding, -1), over.rowsBetween(1, Window.unboundedFollowing)
+    ranges = ranges.select(*keys, "_s", F.last("_last", True).over(before).alias("_before"), F.first("_first", True).over(behind).alias("_behind"))
+    d = d.filter("_q").join(ranges, [*keys, "_s"]).withColumn("_a", F.coalesce("_a", "_before")).withColumn("_b", F.coalesce("_b", "_behind"))
+    share = (F.col(x) - F.col("_a.x")) / F.nullif(F.col("_b.x") - F.col("_a.x"), F.lit(0.0))
     value = F.when(F.col("_a.x") == F.col(x), F.col("_a.y")).otherwise(F.col("_a.y") + share * (F.col("_b.y") - F.col("_a.y")))
-    return d.filter("_q").select(*names, value.alias(y))
+    return d.select(*names, value.alias(y))
 
 
 def param_override(base: DataFrame, free: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from voltlake.operators.segments import ordered
 from voltlake.operators.statistics import chi2_95
 from voltlake.operators.storage import staged
 
@@ -126,34 +127,58 @@ def named_features(features: DataFrame, names: DataFrame) -> DataFrame:
 Get = Callable[[str], Column]
 
 
+#: Levels of rules whose values are columns of one plan; then they are written.
+RULE_LEVELS = 20
+
+
+def rule_levels(rules: dict[str, str | Callable[[Get], Column]]) -> list[list[str]]:
+    """The rules in groups: each builds on those of groups before only. A circle is an error that names it."""
+    needs: dict[str, list[str]] = {}
+    for name, rule in rules.items():
+        if isinstance(rule, str):
+            needs[name] = [rule]
+        else:
+            asked: list[str] = []
+            rule(lambda n, asked=asked: asked.append(n) or F.lit(0.0))
+            needs[name] = asked
+    waiting, depth = {n: {x for x in needs[n] if x in rules} for n in rules}, []
+    while waiting:
+        free = [n for n, on in waiting.items() if not on]
+        if not free:
+            path = [next(iter(waiting))]
+            while path[-1] not in path[:-1]:
+                path.append(min(waiting[path[-1]]))
+            raise ValueError(f"rules go round in a circle: {' -> '.join(path[path.index(path[-1]) :])}")
+        depth.append(free)
+        waiting = {n: on.difference(free) for n, on in waiting.items() if n not in free}
+    return depth
+
+
 def derived_parameters(base: DataFrame, free: DataFrame, rules: dict[str, str | Callable[[Get], Column]]) -> DataFrame:
     """set_id, name, value of base values and derived ones, after the overrides of ``free`` (both: set_id, name, value).
 
     A rule is the name whose value is taken, or a function from a getter of other values to an expression. Where a set overrides a derived
     name, its rule doesn't count. Rules may build on each other; a circle of them is an error before anything runs, an unknown name gives null.
+    Rules are levels of a graph and a projection each, so a value is computed once, however many others take it. Rules are called twice: once
+    to see what they ask for.
     """
     pairs = lambda df, c: df.groupBy("set_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias(c))
-    wide = pairs(base, "_base").join(pairs(free, "_free"), "set_id", "full_outer")
-    under: list[str] = []
+    levels, place = rule_levels(rules), {n: k for k, n in enumerate(rules)}
+    made = pairs(base, "_base").join(pairs(free, "_free"), "set_id", "full_outer")
 
     def get(name: str) -> Column:
-        if name in under:
-            raise ValueError(f"rules go round in a circle: {' -> '.join([*under, name])}")
-        held = F.try_element_at("_free", F.lit(name))
-        if name not in rules:
-            return F.coalesce(held, F.try_element_at("_base", F.lit(name)))
-        under.append(name)
-        rule = rules[name]
-        value = get(rule) if isinstance(rule, str) else rule(get)
-        under.pop()
-        return F.coalesce(held, value.cast("double"))
-
-    made = wide
-    for name in rules:
-        made = made.withColumn(f"_rule_{name}", get(name))
+        if name in rules:
+            return F.col(f"_rule{place[name]}")
+        return F.coalesce(F.try_element_at("_free", F.lit(name)), F.try_element_at("_base", F.lit(name)))
+
+    for k, level in enumerate(levels):
+        if k and k % RULE_LEVELS == 0:
+            made = staged(made, "rules")
+        values = {n: get(rules[n]) if isinstance(rules[n], str) else rules[n](get) for n in level}
+        made = made.withColumns({f"_rule{place[n]}": F.coalesce(F.try_element_at("_free", F.lit(n)), v.cast("double")) for n, v in values.items()})
     none = F.create_map().cast("map<string,double>")
     plain = F.map_filter(F.map_concat(F.map_filter(F.coalesce("_base", none), lambda k, v: ~F.map_contains_key(F.coalesce("_free", none), k)), F.coalesce("_free", none)), lambda k, v: ~k.isin(list(rules)))
-    own = F.map_from_entries(F.array(*[F.struct(F.lit(n).alias("key"), F.col(f"_rule_{n}").alias("value")) for n in rules])) if rules else none
+    own = F.map_from_entries(F.array(*[F.struct(F.lit(n).alias("key"), F.col(f"_rule{k}").alias("value")) for n, k in place.items()])) if rules else none
     return made.select("set_id", F.explode(F.map_concat(plain, own)).alias("name", "value"))
 
 
@@ -165,11 +190,47 @@ def feature_discrepancy(simulated: DataFrame, measured: DataFrame, keys: Sequenc
     return d.groupBy(*keys).agg(F.ln(F.sqrt(F.sum((x - seen) * (x - seen)))).alias("discrepancy"))
 
 
+#: Cells into which a round of counting cuts a key's bracket, and the rows that a bracket may hold at last.
+CELLS, CROWD = 256, 4096
+
+
+def smallest(df: DataFrame, keys: Sequence[str], value: str, wanted: Column, order: Sequence[str], crowd: int = CROWD) -> DataFrame:
+    """The ``wanted`` (a column of the key's count ``_n``) rows of each key with the smallest values, ties by ``order``.
+
+    By counting: a bracket per key is cut into CELLS, the cell that holds the last wanted row is the next bracket, until it holds few rows or one
+    value; then rows below it are taken, and those in it are ranked by a window. So no window holds a whole key. Rows of one value that are
+    more than ``crowd`` are ranked in ranges. Null and NaN values take no part.
+    """
+    d = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).withColumn("_v", F.col(value).cast("double") + 0.0)
+    ends = d.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    state = staged(ends.withColumn("_want", wanted.cast("long")).withColumn("_below", F.lit(0).cast("long")).withColumn("_in", F.col("_n")), "bracket")
+    # cells are cut by place between the ends, infinite ones apart; equal ends are over
+    while not (going := state.filter((F.col("_in") > crowd) & (F.col("_lo") < F.col("_hi")))).isEmpty():
+        held = d.join(going, list(keys)).filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+        a, b = F.greatest("_lo", F.lit(-8e307)), F.least("_hi", F.lit(8e307))
+        inner = F.least(F.greatest(F.floor((F.col("_v") / 2 - a / 2) / F.nullif(b / 2 - a / 2, F.lit(0.0)) * CELLS), F.lit(0)), F.lit(CELLS - 1))
+        cell = F.when(F.col("_v") < -8e307, -1).when(F.col("_v") > 8e307, CELLS).otherwise(F.coalesce(inner, F.lit(0)))
+        cells = held.groupBy(*keys, "_n", "_want", "_below", cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        up_to = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_cell"))
+        cells = cells.withColumn("_to", F.col("_below") + up_to).filter((F.col("_to") >= F.col("_want")) & (F.col("_to") - F.col("_c") < F.col("_want")))
+        new = cells.select(*keys, "_lo", "_hi", "_n", "_want", (F.col("_to") - F.col("_c")).alias("_below"), F.col("_c").alias("_in"))
+        rest = state.filter((F.col("_in") <= crowd) | (F.col("_lo") >= F.col("_hi")))
+        state = staged(rest.unionByName(new), "bracket")
+    both = d.join(state, list(keys)).filter(F.col("_v") <= F.col("_hi"))
+    sure = both.filter(F.col("_v") < F.col("_lo")).select(*df.columns)
+    edge = both.filter(F.col("_v") >= F.col("_lo"))
+    few = edge.filter(F.col("_in") <= crowd).withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("_v", *order)))
+    taken = lambda d: d.filter(F.col("_k") + F.col("_below") <= F.col("_want")).select(*df.columns)
+    out = sure.unionByName(taken(few))
+    if state.filter(F.col("_in") > crowd).isEmpty():
+        return out
+    many = ordered(edge.filter(F.col("_in") > crowd), keys, list(order), "_k")
+    return out.unionByName(taken(many))
+
+
 def abc_accept(df: DataFrame, keys: Sequence[str], share: float, order: Sequence[str]) -> DataFrame:
-    """The best share of the sets per key, at least one."""
-    by = Window.partitionBy(*keys).orderBy("discrepancy", *order)
-    n = F.count("discrepancy").over(Window.partitionBy(*keys))
-    return df.filter("discrepancy is not null").withColumn("_k", F.row_number().over(by)).withColumn("_n", n).filter(F.col("_k") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share))).drop("_k", "_n")
+    """The best share of the sets per key, at least one; sets without a discrepancy take no part."""
+    return smallest(df, keys, "discrepancy", F.greatest(F.lit(1), F.floor(F.col("_n") * share)), order)
 
 
 UPDATE = "run_id long, what string, i int, j int, value double"

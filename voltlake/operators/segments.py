@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from voltlake.operators.storage import staged
+
 MEAS = ["meas_id"]
 SEG = ["meas_id", "seg_pos"]
 
@@ -73,6 +75,30 @@ def numbered(df: DataFrame, keys: Sequence[str], number: str, count: str | None
     return (d.withColumn(count, F.col("_all")) if count else d).drop("_s", "_in", "_before", "_all")
 
 
+def ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str], number: str, staging: str = "ordered") -> DataFrame:
+    """Adds each row's number in its key by any order, from 1: ranges of (key, order) are sorted apart, and a prefix runs over the ranges."""
+    d = staged(df.repartitionByRange(*keys, *order).withColumn("_s", F.spark_partition_id()), staging)
+    slices = d.groupBy(*keys, "_s").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1))
+    slices = slices.select(*keys, "_s", F.coalesce(before, F.lit(0)).alias("_before"))
+    d = d.withColumn("_in", F.row_number().over(Window.partitionBy(*keys, "_s").orderBy(*order)))
+    return d.join(slices, [*keys, "_s"]).withColumn(number, F.col("_before") + F.col("_in")).drop("_s", "_in", "_before")
+
+
+def with_halo(df: DataFrame, number: str, before: int, after: int, slice_rows: int = SLICE) -> DataFrame:
+    """Adds _s, the slice of a row by its number, and _halo: the last ``before`` and first ``after`` rows of a slice are in its neighbours as well.
+
+    So windows by (key, _s) see a row's neighbours, and a long key is many tasks. Rows with _halo are to be dropped after.
+    """
+    if max(before, after) > slice_rows:
+        raise ValueError("a slice must hold its neighbours' rows")
+    at, s = (F.col(number) - 1) % slice_rows, F.floor((F.col(number) - 1) / slice_rows)
+    own = F.struct(s.alias("s"), F.lit(False).alias("halo"))
+    up = F.when(at >= slice_rows - before, F.struct((s + 1).alias("s"), F.lit(True).alias("halo")))
+    down = F.when((at < after) & (s > 0), F.struct((s - 1).alias("s"), F.lit(True).alias("halo")))
+    return df.withColumn("_w", F.explode(F.array_compact(F.array(own, up, down)))).withColumn("_s", F.col("_w.s")).withColumn("_halo", F.col("_w.halo")).drop("_w")
+
+
 def seg_filter(df: DataFrame, positions: Sequence[int]) -> DataFrame:
     """Keeps whole segments."""
     return df.filter(F.col("seg_pos").isin(list(positions)))
@@ -103,13 +129,15 @@ def seg_gather(df: DataFrame, positions: Sequence[int]) -> DataFrame:
 
 
 def time_rebase(df: DataFrame, keys: Sequence[str] = MEAS) -> DataFrame:
-    return df.withColumn("t", F.col("t") - F.min("t").over(Window.partitionBy(*keys)))
+    first = df.groupBy(*keys).agg(F.min("t").alias("_t0"))
+    return df.join(first, list(keys)).withColumn("t", F.col("t") - F.col("_t0")).select(*df.columns)
 
 
-def nearest_crossing(df: DataFrame, keys: Sequence[str], x: Column, value: Column) -> DataFrame:
+def nearest_crossing(df: DataFrame, keys: Sequence[str], x: Column, value: Column, slice_rows: int = SLICE) -> DataFrame:
     """keys, pos: the first position at which x crosses the value, at the nearer neighbour; without one the nearer end."""
-    w = within(*keys)
-    d = df.select(*keys, "pt", (x - value).alias("r")).withColumn("after", F.lead("r").over(w)).withColumn("after_pt", F.lead("pt").over(w))
+    d = with_halo(numbered(df.select(*keys, "pt", (x - value).alias("r")), keys, "_k", slice_points=slice_rows), "_k", 0, 1, slice_rows)
+    w = within(*keys, "_s", order=("_k",))
+    d = d.withColumn("after", F.lead("r").over(w)).withColumn("after_pt", F.lead("pt").over(w)).filter("not _halo")
     place = F.when(F.signum("r") != F.signum("after"), F.when(F.abs("r") < F.abs("after"), F.col("pt")).otherwise(F.col("after_pt")))
     ends = F.when(F.abs(F.min_by("r", "pt")) < F.abs(F.max_by("r", "pt")), F.min("pt")).otherwise(F.max("pt"))
     return d.withColumn("place", place).groupBy(*keys).agg(F.coalesce(F.min("place"), ends).alias("pos"))
@@ -133,20 +161,24 @@ def keep_window(df: DataFrame, start: float | None, stop: float | None, last: fl
     return d.drop("_a", "_b")
 
 
-def monotone_cleanup(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
-    """Keeps the running records of x in the direction that most steps have; adds ``ord``, ascending in x. Equal x stay if no step goes against the direction."""
-    w = within(*keys)
-    step = F.signum(F.col(x) - F.lag(x).over(w))
-    d = df.withColumn("_s", step)
-    up = F.sum(F.when(F.col("_s") > 0, 1).otherwise(0)).over(Window.partitionBy(*keys))
-    down = F.sum(F.when(F.col("_s") < 0, 1).otherwise(0)).over(Window.partitionBy(*keys))
-    d = d.withColumn("_up", up).withColumn("_down", down)
+def monotone_cleanup(df: DataFrame, keys: Sequence[str], x: str, slice_rows: int = SLICE) -> DataFrame:
+    """Keeps the running records of x in the direction that most steps have; adds ``ord``, ascending in x. Equal x stay if no step goes against the direction.
+
+    Records run inside slices, over the extremes of the slices before.
+    """
+    d = with_halo(numbered(df, keys, "_k", slice_points=slice_rows), "_k", 1, 0, slice_rows)
+    w = within(*keys, "_s", order=("_k",))
+    d = d.withColumn("_d", F.signum(F.col(x) - F.lag(x).over(w))).filter("not _halo")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("_hi", F.max(x).over(before)).withColumn("_lo", F.min(x).over(before))
+    slices = d.groupBy(*keys, "_s").agg(F.max(x).alias("_h"), F.min(x).alias("_l"), F.count_if(F.col("_d") > 0).alias("_u"), F.count_if(F.col("_d") < 0).alias("_f"))
+    ahead, all_ = within(*keys, order=("_s",)).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
+    slices = slices.select(*keys, "_s", F.max("_h").over(ahead).alias("_h"), F.min("_l").over(ahead).alias("_l"), F.sum("_u").over(all_).alias("_up"), F.sum("_f").over(all_).alias("_down"))
+    d = d.join(slices, [*keys, "_s"]).withColumn("_hi", F.greatest("_hi", "_h")).withColumn("_lo", F.least("_lo", "_l"))
     rising = F.col("_up") >= F.col("_down")
     record = F.when(rising, (F.col("_down") == 0) | F.col("_hi").isNull() | (F.col(x) > F.col("_hi"))).otherwise((F.col("_up") == 0) | F.col("_lo").isNull() | (F.col(x) < F.col("_lo")))
-    kept = d.filter(record).withColumn("_o", F.when(rising, F.col("pt")).otherwise(-F.col("pt")))
-    return kept.withColumn("ord", F.row_number().over(Window.partitionBy(*keys).orderBy("_o")) - 1).drop("_s", "_up", "_down", "_hi", "_lo", "_o")
+    kept = numbered(d.filter(record).withColumn("_rising", rising).select(*df.columns, "_rising"), keys, "_k", "_n", slice_rows)
+    return kept.withColumn("ord", F.when(F.col("_rising"), F.col("_k") - 1).otherwise(F.col("_n") - F.col("_k")).cast("int")).drop("_rising", "_k", "_n")
 
 
 def interval_bucket(df: DataFrame, cuts: Sequence[tuple[str, int, int]]) -> DataFrame:
@@ -247,9 +279,11 @@ def delta_static(segs: DataFrame, column: str) -> DataFrame:
     return segs.withColumn("delta", F.lead(column).over(w) - F.col(column))
 
 
-def noise_estimate(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
+def noise_estimate(df: DataFrame, keys: Sequence[str], x: str, slice_rows: int = SLICE) -> DataFrame:
     """Adds ``noise``: |x - mean of neighbours| * sqrt(pi / 2); ends take their neighbour's."""
-    w = within(*keys)
+    d = with_halo(numbered(df, keys, "_k", "_count", slice_rows), "_k", 2, 2, slice_rows)
+    w = within(*keys, "_s", order=("_k",))
     inner = F.abs(F.col(x) - 0.5 * (F.lag(x).over(w) + F.lead(x).over(w))) * 1.2533141373155001
-    d = df.withColumn("_n", inner)
-    return d.withColumn("noise", F.coalesce("_n", F.when(F.lag(x).over(w).isNull(), F.lead("_n").over(w)).otherwise(F.lag("_n").over(w)))).drop("_n")
+    d = d.withColumn("_n", inner)
+    d = d.withColumn("noise", F.when(F.col("_k") == 1, F.lead("_n").over(w)).when(F.col("_k") == F.col("_count"), F.lag("_n").over(w)).otherwise(F.col("_n")))
+    return d.filter("not _halo").drop("_n", "_k", "_count", "_s", "_halo")

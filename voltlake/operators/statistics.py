@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from voltlake.operators.joins import join_interp
-from voltlake.operators.segments import SEG, running, within
+from voltlake.operators.segments import SEG, SLICE, ordered, running, with_halo, within
 from voltlake.operators.storage import staged
 
 @functools.lru_cache
@@ -265,19 +265,21 @@ def chain_diagnostics(df: DataFrame, keys: Sequence[str], chain: str, x: str) ->
     return both.select(*keys, F.sqrt((F.col("n") - 1) / F.col("n") + F.col("b") / F.nullif(F.col("w"), F.lit(0.0))).alias("r_hat"))
 
 
-def effective_sample_size(df: DataFrame, keys: Sequence[str], order: str, x: str, lags: int = 20) -> DataFrame:
+def effective_sample_size(df: DataFrame, keys: Sequence[str], order: str, x: str, lags: int = 20, slice_rows: int = SLICE) -> DataFrame:
     """keys, ess: n / (1 + 2 * sum of the positive first autocorrelations, up to the first that isn't).
 
-    ``lags`` at a time: keys whose correlations are all positive so far go on with the next ones, until none is left.
+    ``lags`` at a time: keys whose correlations are all positive so far go on with the next ones, until none is left. Products run in slices of a
+    key that begin with the last rows of the slice before, so a long chain is many tasks.
     """
-    w = Window.partitionBy(*keys).orderBy(order)
-    d = df.withColumn("_m", F.avg(x).over(Window.partitionBy(*keys))).select(*keys, (F.col(x) - F.col("_m")).alias("_d"), F.row_number().over(w).alias("_o"))
-    w, at, done, found = Window.partitionBy(*keys).orderBy("_o"), 0, [], None
-    d = staged(d, "deviations")
+    means = df.groupBy(*keys).agg(F.avg(x).alias("_m"))
+    d = ordered(df.select(*keys, F.col(order).alias("_order"), F.col(x).alias("_x")), keys, ["_order"], "_o")
+    d = staged(d.join(means, list(keys)).select(*keys, (F.col("_x") - F.col("_m")).alias("_d"), "_o"), "deviations")
+    at, done, found = 0, [], None
     while True:
         span = range(at + 1, at + lags + 1)
         sums = d if found is None else d.join(found.filter("_on").select(*keys, F.col("_s").alias("_before")), list(keys))
-        sums = sums.withColumns({f"_p{k}": F.col("_d") * F.lag("_d", k).over(w) for k in span})
+        w = Window.partitionBy(*keys, "_s").orderBy("_o")
+        sums = with_halo(sums, "_o", at + lags, 0, max(slice_rows, at + lags)).withColumns({f"_p{k}": F.col("_d") * F.lag("_d", k).over(w) for k in span}).filter("not _halo")
         before = F.lit(0.0) if found is None else F.first("_before")
         per = sums.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_d") * F.col("_d")).alias("v"), before.alias("_before"), *[F.sum(f"_p{k}").alias(f"_a{k}") for k in span])
         rho = F.array(*[F.coalesce(F.col(f"_a{k}") / F.nullif("v", F.lit(0.0)), F.lit(0.0)) for k in span])

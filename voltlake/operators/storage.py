@@ -27,3 +27,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path, schema = new_path(df.sparkSession, name), df.schema
     df.write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as a URI of the store that Spark would write it to, so that workers on other machines reach the same place."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()

@@ -8,14 +8,14 @@ from collections.abc import Sequence
 
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from voltlake.operators.segments import seg_filter, segment_by_change, state_sign
-from voltlake.operators.storage import staged
+from voltlake.operators.storage import qualified, staged
+from voltlake.sources.lines import located, numbered_lines
 
 #: Unit prefixes and time units of column headers.
 PREFIXES = {"M": 1e6, "k": 1e3, "m": 1e-3, "µ": 1e-6, "μ": 1e-6, "n": 1e-9}
@@ -57,26 +57,11 @@ def file_number(name: Column, digits: int) -> Column:
     return F.right(F.regexp_replace(name, "[^0-9]", ""), F.lit(digits)).try_cast("int")
 
 
-def numbered_lines(spark: SparkSession, path: str | Sequence[str], encoding: str = "utf-8") -> DataFrame:
-    """file, n, line: the lines of text files, numbered from 0 in each file.
-
-    In two levels: lines are numbered inside the blocks in which Spark reads a file, and a prefix over the blocks' counts does the rest, so a
-    large file isn't one task.
-    """
-    paths = path if isinstance(path, str) else list(path)
-    lines = spark.read.option("sep", "\x01").option("quote", "").option("encoding", encoding).schema("line string").csv(paths)
-    lines = lines.select("line", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m"))
-    lines = lines.withColumn("_k", F.row_number().over(Window.partitionBy("file", "_b").orderBy("_m")) - 1)
-    blocks = lines.groupBy("file", "_b").agg(F.count(F.lit(1)).alias("_c"))
-    before = F.sum("_c").over(Window.partitionBy("file").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    blocks = blocks.select("file", "_b", F.coalesce(before, F.lit(0)).alias("_before"))
-    return lines.join(blocks, ["file", "_b"]).select("file", (F.col("_before") + F.col("_k")).alias("n"), "line")
-
-
 def read_instrument_csv(spark: SparkSession, path: str | Sequence[str], columns: dict[int, str], skip: int = 0, delimiter: str = "\t", encoding: str = "utf-8", symbol: str = ".", limit: int | None = None, keep: Sequence[int] = ()) -> DataFrame:
     """file, pt and the given columns (position -> ``name [unit]``) of delimited text files, in SI units.
 
-    Lines aren't split by quotes; the first ``skip`` of each file are comments; at most ``limit`` data lines of each file are taken.
+    Lines aren't split by quotes; the first ``skip`` of each file are comments, blank ones among them; at most ``limit`` data lines of each file are taken.
+    Blank data lines are rows without values. ``encoding``: any that Python knows.
     Values of columns without a unit that aren't numbers stay as text in ``<name>_text``. Columns at positions ``keep`` come as text in ``_cell<position>``.
     """
     rows = numbered_lines(spark, path, encoding).withColumn("pt", F.col("n") - skip).filter("pt >= 0")
@@ -135,9 +120,9 @@ def read_instrument(
     return d.drop("meas_id")
 
 
-def comment_lines(spark: SparkSession, path: str, skip: int) -> DataFrame:
+def comment_lines(spark: SparkSession, path: str, skip: int, encoding: str = "utf-8") -> DataFrame:
     """file, n, line of the comments in front of each file."""
-    return numbered_lines(spark, path).filter(F.col("n") < skip).select("file", "n", "line")
+    return numbered_lines(spark, path, encoding).filter(F.col("n") < skip).select("file", "n", "line")
 
 
 def write_parquet(df: DataFrame, path: str, level: int = 3) -> None:
@@ -151,11 +136,11 @@ def write_segments(df: DataFrame, folder: str, level: int = 3) -> DataFrame:
 
     ``df``: meas_id, seg_pos, pt and further columns. A task holds one segment at a time. Files of repeated attempts aren't in the result.
     """
-    place = folder if ":" in folder.split("/")[0] else f"file://{folder}"
+    place = qualified(df.sparkSession, folder)
     ordered = df.repartition("meas_id", "seg_pos").sortWithinPartitions("meas_id", "seg_pos", "pt")
 
     def run(batches):
-        system, path = fs.FileSystem.from_uri(place)
+        system, path, _ = located(place)
         system.create_dir(path, recursive=True)
         name = f"part-{uuid.uuid4().hex}.parquet"
         held, out, key, groups, rows = [], None, None, 0, 0
@@ -245,12 +230,21 @@ def from_result_json(df: DataFrame) -> DataFrame:
 def by_catalog(spark: SparkSession, catalog: DataFrame, columns: dict[int, str], **options) -> DataFrame:
     """Reads the files that the catalog names and adds what it says about them: ``path`` (a file or folder, without wildcards) and any other columns.
 
-    The catalog is metadata, a row per file or folder; its paths are what the driver hands to Spark's reader. A file belongs to the longest path that it begins with.
+    The catalog is metadata, a row per file or folder; its paths are what the driver hands to the reader. A file belongs to the longest path that it
+    begins with. Columns ``encoding``, ``skip``, ``delimiter`` and ``symbol`` of the catalog hold for their row's files, and nulls in them for none: then ``options`` do.
     """
     known = catalog.collect()
     if not known:
         raise ValueError("the catalog names no file")
-    d = read_instrument_csv(spark, [r["path"] for r in known], columns, **options)
+    own = [c for c in ("encoding", "skip", "delimiter", "symbol") if c in catalog.columns]
+    kinds: dict[tuple, list[str]] = {}
+    for r in known:
+        kinds.setdefault(tuple(r[c] for c in own), []).append(r["path"])
+    d = None
+    for kind, paths in kinds.items():  # a plan for each way of reading, not for each file
+        given = options | {c: v for c, v in zip(own, kind, strict=True) if v is not None}
+        some = read_instrument_csv(spark, paths, columns, **given)
+        d = some if d is None else d.unionByName(some)
     files = d.select("file").distinct()
     plain = lambda c: F.regexp_replace(c, "^[a-z]+:/*", "/")
     named = F.broadcast(spark.createDataFrame(known, catalog.schema).withColumnRenamed("path", "_path"))
