@@ -42,6 +42,7 @@ from voltlake.llm.common import bounded, discard, staged, table
 LENGTH, ANCHOR = 50, 24
 BLOCK_PAIRS, BATCH_BYTES, PIECE_STRINGS, BUCKET_BYTES = 1_000_000, 1 << 18, 64, 1 << 20
 ANCHOR_PIECES = 1 << 13  # of some hundred bytes each
+TASK_BYTES = 8 << 20  # of pieces that a task sorts; it holds some twenty bytes for each
 BROADCAST_ROWS = 1_000_000  # of one number
 KEY = 12  # bytes of a text's digest
 
@@ -359,7 +360,8 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     pieces = staged(found.withColumn("h", F.xxhash64("piece")), "pieces")
     discard(shared)
     kinds = pieces.groupBy("tok", "h").agg(F.first("piece").alias("piece"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    buckets = max(12, -(-size // (16 << 20)))
+    held = pieces.agg(F.sum(F.octet_length("piece"))).first()[0] or 0  # pieces overlap, so they are several times the texts
+    buckets = max(12, -(-held // TASK_BYTES))
     crowded = crowded_anchors(pieces)
     several = not crowded.isEmpty()
     apart = bounded(crowded, BROADCAST_ROWS)
