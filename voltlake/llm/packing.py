@@ -29,13 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voltlake.llm import packed
-from voltlake.llm.common import table
+from voltlake.llm.common import staged, table
 
 WINDOW_TOKENS, END_ID, MAX_OPEN = 2048, 1, 1024
 #: Bytes after which a task's memory of encoded words starts afresh (some 150 go with each entry), and the longest stretch that is kept in it.
-CACHE_BYTES, ENTRY_BYTES, KEPT_CHARS = 48 << 20, 150, 64
+CACHE_BYTES, ENTRY_BYTES, KEPT_CHARS = 24 << 20, 150, 64
 #: Code points of texts that are encoded together.
-TOGETHER_CHARS = 1 << 20
+TOGETHER_CHARS = 1 << 18
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -281,7 +281,7 @@ def pack(docs: DataFrame, doc_id="doc_id", text="text", tokenizer: str | None =
 
 
 def op3_packing(spark, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return staged(pack(table(spark, sf_dir, "documents")), "packed")  # written in small batches
 
 
 QUERIES = {"op3_packing": op3_packing}
