@@ -79,7 +79,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return staged(packing.pack(docs), "packed")  # written in small batches
 
 
 STAGES = [
