@@ -33,9 +33,9 @@ from voltlake.llm.common import staged, table
 
 WINDOW_TOKENS, END_ID, MAX_OPEN = 2048, 1, 1024
 #: Bytes after which a task's memory of encoded words starts afresh (some 150 go with each entry), and the longest stretch that is kept in it.
-CACHE_BYTES, ENTRY_BYTES, KEPT_CHARS = 24 << 20, 150, 64
+CACHE_BYTES, ENTRY_BYTES, KEPT_CHARS = 64 << 20, 150, 64
 #: Code points of texts that are encoded together.
-TOGETHER_CHARS = 1 << 18
+TOGETHER_CHARS = 1 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
