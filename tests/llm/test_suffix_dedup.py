@@ -51,8 +51,10 @@ def test_empty(none):
 
 
 def test_cut_characters_are_left_out(spark):
-    df = spark.createDataFrame([(bytearray("aé".encode()[:2]),), (None,)], "kept binary")
-    assert [r.t for r in df.select(S.whole_characters(F.col("kept")).alias("t")).collect()] == ["a", None]
+    """The shared string ends inside a character: its rest isn't text."""
+    df = spark.createDataFrame([(1, "x" * 49 + "é"), (2, "x" * 49 + "è end"), (3, None)], "doc_id long, text string")
+    assert [r.kept for r in S.dedup_substrings(df, as_text=True).orderBy("doc_id").collect()] == ["x" * 49 + "é", " end", ""]
+    assert bytes(S.dedup_substrings(df).filter("doc_id = 2").first().kept) == b"\xa8 end"
 
 
 @settings(max_examples=200, deadline=None)

@@ -29,7 +29,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -394,9 +393,12 @@ def _cut(text: bytes, starts, ends) -> tuple[bytes, int, int]:
     return np.frombuffer(text, np.uint8)[~gone].tobytes(), int(gone.sum()), spans
 
 
-def dedup_substrings(docs: DataFrame, doc_id="doc_id", text="text", length: int = LENGTH) -> DataFrame:
-    """All columns of ``docs`` with kept (remaining bytes), n_bytes, n_removed, n_spans; columns of these names are replaced."""
-    added = {"kept": T.BinaryType(), "n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType()}
+def dedup_substrings(docs: DataFrame, doc_id="doc_id", text="text", length: int = LENGTH, as_text: bool = False) -> DataFrame:
+    """All columns of ``docs`` with kept (remaining bytes), n_bytes, n_removed, n_spans; columns of these names are replaced.
+
+    With ``as_text`` kept is text, and bytes of characters that a cut went through are left out.
+    """
+    added = {"kept": T.StringType() if as_text else T.BinaryType(), "n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType()}
     docs = docs.drop(*added)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), text_key(F.col(text)).alias("th"))
     ranges = repeated_ranges(rows, length)
@@ -411,22 +413,13 @@ def dedup_substrings(docs: DataFrame, doc_id="doc_id", text="text", length: int
                 texts = few.column(place).cast(pa.binary()).to_pylist()
                 out = [_cut(t or b"", s, e) for t, s, e in zip(texts, few.column(n).to_pylist(), few.column(n + 1).to_pylist(), strict=True)]
                 sizes = [len(t or b"") for t in texts]
-                cols = [pa.array([o[0] for o in out], pa.binary()), *(pa.array(c, pa.int64()) for c in (sizes, [o[1] for o in out], [o[2] for o in out]))]
+                kept = pa.array([o[0].decode("utf-8", "ignore") for o in out], pa.string()) if as_text else pa.array([o[0] for o in out], pa.binary())
+                cols = [kept, *(pa.array(c, pa.int64()) for c in (sizes, [o[1] for o in out], [o[2] for o in out]))]
                 yield pa.RecordBatch.from_arrays([*few.columns[:n], *cols], names=[*few.schema.names[:n], *added])
 
     return joined.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(k, v) for k, v in added.items())]))
 
 
-def whole_characters(kept: Column) -> Column:
-    """Text of remaining bytes; bytes of characters that a cut went through are left out."""
-
-    @F.pandas_udf("string")
-    def decode(values: pd.Series) -> pd.Series:
-        return values.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
-
-    return decode(kept)
-
-
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_substrings(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
