@@ -63,9 +63,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 @shielded
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = suffix_dedup.dedup_substrings(docs).filter("n_removed = 0 or n_removed < n_bytes")
+    cut = suffix_dedup.dedup_substrings(docs, as_text=True).filter("n_removed = 0 or n_removed < n_bytes")
     changed = F.col("n_removed") > 0
-    cut = cut.withColumn("text", F.when(changed, suffix_dedup.whole_characters(F.col("kept"))).otherwise(F.col("text")))
+    cut = cut.withColumn("text", F.when(changed, F.col("kept")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return cut
