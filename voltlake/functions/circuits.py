@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from math import pi
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -116,3 +117,103 @@ def randles(r0: Column, r1: Column, c: Column, w: Z, omega: Column) -> Z:
 def drt_semicircle(r0: Column, r: Column, f_tau: Column) -> Z:
     """R0 + R / (1 + j f tau)."""
     return real(r0) + real(r) / Z(F.lit(1.0), f_tau)
+
+
+#: A tree of a circuit: ("series" or "parallel", parts ...), or an element and the names of its parameters: ("R", r), ("C", c), ("L", l),
+#: ("Q", q, alpha), ("W", q) of infinite, ("Wo", sigma, tau) of open and ("Ws", sigma, tau) of short diffusion.
+Tree = tuple
+PARTS = ("series", "parallel")
+
+
+def _diffusing(end: str) -> Tree:
+    return ("series", ("R", "R_CT"), (end, "sigma", "tau"))
+
+
+def named_circuits(end: str = "Wo") -> dict[str, Tree]:
+    """The known circuits with open (Wo) or short (Ws) diffusion."""
+    interface = ("parallel", ("C", "C_DL"), _diffusing(end))
+    plain = ("parallel", ("C", "C_DL"), ("R", "R_CT"))
+    film = ("parallel", ("C", "C_F"), ("series", interface, ("R", "R_F")))
+    return {
+        "two_rc": ("series", ("R", "R_0"), ("parallel", ("R", "R_1"), ("C", "C_1")), ("parallel", ("R", "R_2"), ("C", "C_2"))),
+        "debye": ("series", ("parallel", ("R", "R_B"), ("C", "C_D")), ("C", "C_DL")),
+        "debye_variant": ("parallel", ("series", ("R", "R_B"), ("C", "C_DL")), ("C", "C_D")),
+        "randles": ("series", ("R", "R_U"), interface),
+        "randles_blocked": ("series", ("R", "R_U"), interface, ("C", "C_X")),
+        "randles_serial": ("series", ("R", "R_U"), plain, (end, "sigma", "tau"), ("Q", "Q_X", "alpha")),
+        "scr": ("series", ("R", "R_B"), ("parallel", ("C", "C_D"), ("series", ("R", "R_C"), interface))),
+        "scrf": ("series", ("R", "R_B"), ("parallel", ("C", "C_D"), ("series", ("R", "R_C"), film))),
+        "aluminium": ("series", ("R", "R_s"), ("parallel", ("C", "C_1"), ("R", "R_1"), ("series", ("L", "L_1"), ("R", "R_2"))), ("parallel", ("C", "C"), ("R", "R_3"))),
+        "aluminium_variant": ("series", ("R", "R_s"), ("parallel", ("C", "C_1"), ("series", ("R", "R_1"), ("parallel", ("L", "L_1"), ("R", "R_2")))), ("parallel", ("C", "C"), ("R", "R_3"))),
+    }
+
+
+def _element(kind: str, a: list[Column], omega: Column) -> Z:
+    if kind == "Q":
+        size = F.pow(F.nullif(a[0] * omega, F.lit(0.0)), -a[1])
+        return Z(size * F.cos(a[1] * pi / 2), -size * F.sin(a[1] * pi / 2))
+    if kind in ("Wo", "Ws"):
+        return (warburg_open if kind == "Wo" else warburg_short)(a[0], a[1], omega)
+    return {"R": lambda: resistor(a[0]), "C": lambda: capacitor(a[0], omega), "L": lambda: inductor(a[0], omega), "W": lambda: warburg(a[0], omega)}[kind]()
+
+
+def impedance(tree: Tree, value: Callable[[str], Column], omega: Column) -> Column:
+    """struct<re, im> of a tree whose parameters ``value`` gives; each node is computed once, and null where it has none (a blocking element at omega 0)."""
+    kind, *rest = tree
+    if kind not in PARTS:
+        return _element(kind, [value(name) for name in rest], omega).struct()
+
+    def inverse(z: Column) -> Column:
+        return (real(1.0) / Z(z["re"], z["im"])).struct()
+
+    parts = F.array(*[impedance(x, value, omega) for x in rest])
+    added = lambda zs: F.aggregate(zs, F.struct(F.lit(0.0).alias("re"), F.lit(0.0).alias("im")), lambda a, z: F.struct((a["re"] + z["re"]).alias("re"), (a["im"] + z["im"]).alias("im")))
+    if kind == "series":
+        return added(parts)
+    return F.get(F.transform(F.array(added(F.transform(parts, inverse))), inverse), F.lit(0))
+
+
+NODES = "circuit string, node int, parent int, kind string, names array<string>"
+
+
+def tree_rows(circuit: str, tree: Tree) -> list[tuple]:
+    """Rows of NODES: a node's parent has the smaller number, siblings are in order."""
+    out: list[tuple] = []
+
+    def add(t: Tree, parent: int | None) -> None:
+        node, (kind, *rest) = len(out), t
+        out.append((circuit, node, parent, kind, [] if kind in PARTS else list(rest)))
+        for x in rest if kind in PARTS else ():
+            add(x, node)
+
+    add(tree, None)
+    return out
+
+
+def trees_of(rows: Iterable[tuple]) -> dict[str, Tree]:
+    """The trees of such rows."""
+    held: dict[str, list] = {}
+    for circuit, node, parent, kind, names in rows:
+        held.setdefault(circuit, []).append((node, parent, kind, names))
+
+    def build(nodes: list, at: int) -> Tree:
+        _, _, kind, names = next(n for n in nodes if n[0] == at)
+        return (kind, *([build(nodes, n[0]) for n in nodes if n[1] == at] if kind in PARTS else names))
+
+    return {c: build(sorted(nodes), min(n[0] for n in nodes)) for c, nodes in held.items()}
+
+
+def circuit_impedance(df: DataFrame, nodes: DataFrame, circuit: str = "circuit", params: str = "params", omega: str = "omega") -> DataFrame:
+    """Adds re and im to rows of a circuit's name, a map of its parameters and a frequency: one expression for each distinct tree, in one projection.
+
+    ``nodes`` (NODES) is the circuits as a table, metadata of some rows for each; a name that isn't in it, or a parameter that isn't in the map, gives nulls.
+    """
+    trees = trees_of(tuple(r) for r in nodes.select("circuit", "node", "parent", "kind", "names").collect())
+    value = lambda name: F.try_element_at(F.col(params), F.lit(name))
+    kinds: dict[Tree, list[str]] = {}
+    for name, tree in trees.items():
+        kinds.setdefault(tree, []).append(name)
+    z = F.lit(None).cast("struct<re:double,im:double>")
+    for tree, names in kinds.items():
+        z = F.when(F.col(circuit).isin(names), impedance(tree, value, F.col(omega))).otherwise(z)
+    return df.withColumn("_z", z).withColumn("re", F.col("_z.re")).withColumn("im", F.col("_z.im")).drop("_z")

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from voltlake.operators.segments import ordered
+from voltlake.functions import distributions as D
+from voltlake.operators.segments import ordered, with_halo
 from voltlake.operators.statistics import chi2_95
 from voltlake.operators.storage import staged
 
@@ -325,22 +326,49 @@ def long_moments(samples: DataFrame) -> DataFrame:
     return pairs.groupBy("run_id", "i", "j").agg(F.avg("x").alias("mean_i"), F.covar_samp("x", "y").alias("cov"))
 
 
-def site_report(q: DataFrame, r: DataFrame, dimensions: int) -> DataFrame:
-    """run_id, i, mean, std, low, high of each run's (or site's) Gaussian; runs without a proper one are left out."""
-    k = chi2_95(dimensions) ** 0.5
+def packed_inverse(df: DataFrame, keys: Sequence[str], d: int) -> DataFrame:
+    """keys, a_i_j (j <= i, the inverse of each key's matrix), for symmetric positive definite ones; others have nulls. df: keys, i, j, q, of which those with j <= i count.
 
-    def per_run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        d = len(b)
-        mat, vec = np.zeros((d, d)), np.zeros(d)
-        mat[a["i"], a["j"]] = a["q"]
-        vec[b["i"]] = b["r"]
-        if not d or (np.linalg.eigvalsh(mat) <= 0).any():
-            return pd.DataFrame(columns=["run_id", "i", "mean", "std", "low", "high"])
-        cov = np.linalg.inv(mat)
-        mean, std = cov @ vec, np.sqrt(np.diag(cov))
-        return pd.DataFrame({"run_id": key[0], "i": np.arange(d), "mean": mean, "std": std, "low": mean - k * std, "high": mean + k * std})
-
-    return q.groupBy("run_id").cogroup(r.groupBy("run_id")).applyInPandas(per_run, "run_id long, i int, mean double, std double, low double, high double")
+    Triangles are columns: Cholesky's factor column by column, its inverse, and the product, each a projection, so no group leaves the JVM.
+    """
+    cell = lambda i, j: F.sum(F.when((F.col("i") == i) & (F.col("j") == j), F.col("q"))).alias(f"q_{i}_{j}")
+    out = df.groupBy(*keys).agg(*[cell(i, j) for i in range(d) for j in range(i + 1)])
+    c, add = (lambda n, i, j: F.col(f"{n}_{i}_{j}")), (lambda terms: sum(terms[1:], terms[0]) if terms else F.lit(0.0))
+    for j in range(d):
+        pivot = c("q", j, j) - add([c("l", j, k) * c("l", j, k) for k in range(j)])
+        out = out.withColumn(f"l_{j}_{j}", F.sqrt(F.when(pivot > 0, pivot)))
+        below = {f"l_{i}_{j}": (c("q", i, j) - add([c("l", i, k) * c("l", j, k) for k in range(j)])) / c("l", j, j) for i in range(j + 1, d)}
+        out = out.withColumns(below) if below else out
+    for i in range(d):  # the inverse of the factor, row by row
+        row = {f"m_{i}_{i}": 1 / c("l", i, i)} | {f"m_{i}_{j}": -add([c("l", i, k) * c("m", k, j) for k in range(j, i)]) / c("l", i, i) for j in range(i)}
+        out = out.withColumns(row)
+    product = [add([c("m", k, i) * c("m", k, j) for k in range(i, d)]).alias(f"a_{i}_{j}") for i in range(d) for j in range(i + 1)]
+    return out.select(*keys, *product)
+
+
+def site_matrices(q: DataFrame, dimensions: int, keys: Sequence[str] = ("run_id",)) -> DataFrame:
+    """keys, i, j, covariance, correlation of the Gaussian of each key's precision (keys, i, j, q)."""
+    inverse = packed_inverse(q, keys, dimensions)
+    at = lambda i, j: F.col(f"a_{max(i, j)}_{min(i, j)}")
+    cells = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), at(i, j).alias("covariance"), (at(i, j) / F.sqrt(at(i, i)) / F.sqrt(at(j, j))).alias("correlation")) for i in range(dimensions) for j in range(dimensions)]
+    return inverse.select(*keys, F.explode(F.array(*cells)).alias("c")).filter("c.covariance is not null").select(*keys, "c.*")
+
+
+def site_report(q: DataFrame, r: DataFrame, dimensions: int, keys: Sequence[str] = ("run_id",), kinds: Sequence[str] | None = None) -> DataFrame:
+    """keys, i, mean, std, low, high, guess, lower, upper of each key's Gaussian (of a run, or of each of its features' sites); those without a proper one are left out.
+
+    low and high are the bounds of the 95 % ellipsoid; guess, lower and upper the mean and bounds in the parameters' own scale, with ``kinds`` (none or log for each).
+    """
+    k, kinds = chi2_95(dimensions) ** 0.5, list(kinds or ["none"] * dimensions)
+    inverse = packed_inverse(q, keys, dimensions)
+    rs = r.groupBy(*keys).agg(*[F.sum(F.when(F.col("i") == i, F.col("r"))).alias(f"r_{i}") for i in range(dimensions)])
+    at = lambda i, j: F.col(f"a_{max(i, j)}_{min(i, j)}")
+    mean = [sum((at(i, j) * F.col(f"r_{j}") for j in range(1, dimensions)), at(i, 0) * F.col("r_0")) for i in range(dimensions)]
+    rows = [F.struct(F.lit(i).alias("i"), mean[i].alias("mean"), F.sqrt(at(i, i)).alias("std"), F.lit(kinds[i]).alias("kind")) for i in range(dimensions)]
+    d = inverse.join(rs, list(keys)).select(*keys, F.explode(F.array(*rows)).alias("c")).filter("c.std is not null").select(*keys, "c.*")
+    d = d.withColumn("low", F.col("mean") - k * F.col("std")).withColumn("high", F.col("mean") + k * F.col("std"))
+    own = lambda c: transform_params(F.col(c), F.col("kind"), back=True)
+    return d.select(*keys, "i", "mean", "std", "low", "high", own("mean").alias("guess"), own("low").alias("lower"), own("high").alias("upper"))
 
 
 def evaluation_log(sets: DataFrame, features: DataFrame, discrepancies: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -354,16 +382,51 @@ def verify_recovery(estimated: Column, verified: Column) -> Column:
     return F.abs(F.ln(estimated) - F.ln(verified)) / F.abs(F.ln(estimated))
 
 
-def param_curve(df: DataFrame, keys: Sequence[str], x: str, y: str, points: int = 11, log: bool = False) -> DataFrame:
-    """keys, x, y on ``points`` places per interval between neighbouring positions (linear, in the logarithm if asked); nulls are left out."""
-    w = Window.partitionBy(*keys).orderBy(x)
-    value = F.ln(y) if log else F.col(y)
-    d = df.filter(F.col(y).isNotNull()).withColumn("_v", value).withColumn("_x1", F.lead(x).over(w)).withColumn("_v1", F.lead("_v").over(w)).filter("_x1 is not null")
-    share = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k")
-    d = d.select(*keys, F.col(x).alias("x0"), "_x1", "_v", "_v1", share)
-    at = F.col("k") / (points - 1)
-    out = F.col("_v") + at * (F.col("_v1") - F.col("_v"))
-    return d.select(*keys, "x0", "k", (F.col("x0") + at * (F.col("_x1") - F.col("x0"))).alias("x"), (F.exp(out) if log else out).alias("y"))
+#: Knots of a curve that one row holds, and those of its neighbours that it sees: what lies further off counts less than rounding (0.27 a knot).
+SPLINE_KNOTS, SPLINE_HALO = 512, 40
+
+
+def spline_curvatures(df: DataFrame, keys: Sequence[str], x: str, y: str, knots: int = SPLINE_KNOTS) -> DataFrame:
+    """keys, x0, x1, y0, y1, m0, m1: the intervals between a key's neighbouring points, with the second derivatives of the natural cubic spline through all.
+
+    The tridiagonal system is solved by a forward and a backward sweep inside slices of a key that overlap by SPLINE_HALO points on either side.
+    Of rows with one x the smallest y counts; nulls and NaNs are left out.
+    """
+    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(F.col(y).cast("double"))).groupBy(*keys, F.col(x).alias("_x")).agg(F.min(y).alias("_y"))
+    d = with_halo(ordered(d, keys, ["_x"], "_k"), "_k", SPLINE_HALO, SPLINE_HALO, knots)
+    point = F.struct("_k", F.col("_x").cast("double").alias("x"), F.col("_y").cast("double").alias("y"), F.col("_halo").alias("halo"))
+    d = d.groupBy(*keys, "_s").agg(F.sort_array(F.collect_list(point)).alias("p")).filter("size(p) > 1")
+    at = lambda k, f: F.get("p", k)[f]
+    h, slope = (lambda k: at(k + 1, "x") - at(k, "x")), (lambda k: (at(k + 1, "y") - at(k, "y")) / (at(k + 1, "x") - at(k, "x")))
+
+    def forward(done: Column, k: Column) -> Column:
+        last = F.element_at(done, -1)
+        row = lambda w: F.array(F.struct((h(k) / w).alias("c"), ((6 * (slope(k) - slope(k - 1)) - h(k - 1) * last["d"]) / w).alias("d")))
+        return F.concat(done, F.get(F.transform(F.array(2 * (h(k - 1) + h(k)) - h(k - 1) * last["c"]), row), F.lit(0)))
+
+    inner = F.when(F.size("p") > 2, F.sequence(F.lit(1), F.size("p") - 2)).otherwise(F.array().cast("array<int>"))
+    start = F.array(F.struct(F.lit(0.0).alias("c"), F.lit(0.0).alias("d")))
+    d = d.withColumn("f", F.aggregate(inner, start, forward))
+    # behind the last inner point the curvature is 0; the sweep back gives the others, last first
+    back = lambda m, e: F.concat(m, F.array(e["d"] - e["c"] * F.element_at(m, -1)))
+    d = d.withColumn("m", F.reverse(F.aggregate(F.reverse(F.slice("f", F.lit(2), F.size("f"))), F.array(F.lit(0.0)), back)))
+    d = d.withColumn("m", F.concat(F.array(F.lit(0.0)), "m"))
+    d = d.select(*keys, "p", "m", F.explode(F.sequence(F.lit(0), F.size("p") - 2)).alias("_at")).filter(~at(F.col("_at"), "halo"))
+    of = lambda k: F.get("m", k)
+    k = F.col("_at")
+    return d.select(*keys, at(k, "x").alias("x0"), at(k + 1, "x").alias("x1"), at(k, "y").alias("y0"), at(k + 1, "y").alias("y1"), of(k).alias("m0"), of(k + 1).alias("m1"))
+
+
+def param_curve(df: DataFrame, keys: Sequence[str], x: str, y: str, points: int = 11, log: bool = False, kind: str = "spline", knots: int = SPLINE_KNOTS) -> DataFrame:
+    """keys, x0, k, x, y on ``points`` places per interval between neighbouring positions: a natural cubic spline through them (or ``linear``), of the logarithm if asked; nulls are left out."""
+    d = spline_curvatures(df.withColumn("_v", F.ln(y) if log else F.col(y)), keys, x, "_v", knots)
+    d = d.withColumn("_at", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    b = F.col("_at") / (points - 1)
+    a, h = 1 - b, F.col("x1") - F.col("x0")
+    out = a * F.col("y0") + b * F.col("y1")
+    if kind == "spline":
+        out = out + ((a * a * a - a) * F.col("m0") + (b * b * b - b) * F.col("m1")) * h * h / 6
+    return d.select(*keys, F.col("x0"), F.col("_at").alias("k"), (F.col("x0") + b * h).alias("x"), (F.exp(out) if log else out).alias("y"))
 
 
 def param_points(df: DataFrame, keys: Sequence[str], x: str, y: str, lo: str, hi: str, log: bool = False) -> DataFrame:
@@ -381,10 +444,16 @@ def add_noise(df: DataFrame, column: str, sigma: float, seed: int, keys: Sequenc
     return df.withColumn(column, F.col(column) + sigma * hashed_normal(seed, *[F.col(k) for k in keys]))
 
 
-def uncertainty_interval(kind: Column, a: Column, b: Column) -> tuple[Column, Column]:
-    """Central 95 % interval of normal(a, b) or uniform(a, b). Fixed value: the normal's 97.5 % quantile."""
-    z = 1.959963984540054
-    return F.when(kind == "normal", a - z * b).otherwise(a + 0.025 * (b - a)), F.when(kind == "normal", a + z * b).otherwise(b - 0.025 * (b - a))
+def parameter_noise(sets: DataFrame, distributions: DataFrame, seed: int, keys: Sequence[str] = ("set_id",)) -> DataFrame:
+    """keys, name, value: values whose name has a distribution (name, kind, arguments) are drawn from it anew, by keys and name; others stay."""
+    drawn = D.quantile(F.col("kind"), D.uniform(seed, *[F.col(k) for k in keys], F.col("name")), F.col("arguments"))
+    joined = sets.join(distributions.select("name", "kind", "arguments"), "name", "left")
+    return joined.select(*keys, "name", F.when(F.col("kind").isNotNull(), drawn).otherwise(F.col("value")).alias("value"))
+
+
+def uncertainty_interval(kind: Column, arguments: Column, level: float = 0.95) -> tuple[Column, Column]:
+    """Central interval of a named distribution (``functions.distributions``)."""
+    return D.interval(kind, arguments, level)
 
 
 def optimizer_input(segs: DataFrame, settings: dict[str, float]) -> DataFrame:

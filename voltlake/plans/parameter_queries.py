@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from math import pi
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from voltlake.functions import circuits as C
+from voltlake.functions import distributions as D
 from voltlake.functions import ocv as O
 from voltlake.operators import parameters as P
 from voltlake.operators import segments as S
@@ -333,10 +335,34 @@ def ep_loop(spark, sf):
     )
 
 
-@query(f"""WITH {SAMPLES_SQL}, m AS (SELECT run_id, avg(a) AS ma, avg(b) AS mb, stddev_samp(a) AS sa, stddev_samp(b) AS sb FROM samples GROUP BY 1 HAVING covar_samp(a, a) * covar_samp(b, b) - pow(covar_samp(a, b), 2) > 0)
-SELECT run_id, CAST(d.i AS INTEGER) AS i, {sq('CASE d.i WHEN 0 THEN ma ELSE mb END')} AS mean, {sq('CASE d.i WHEN 0 THEN sa ELSE sb END')} AS std FROM m, (VALUES (0), (1)) d(i)""")
+SITES_SQL = """m AS (SELECT run_id, chain AS feature, avg(a) AS ma, avg(b) AS mb, covar_samp(a, a) AS aa, covar_samp(a, b) AS ab, covar_samp(b, b) AS bb FROM samples GROUP BY 1, 2 HAVING covar_samp(a, a) * covar_samp(b, b) - pow(covar_samp(a, b), 2) > 1e-6 * covar_samp(a, a) * covar_samp(b, b))"""
+
+
+def _sites(spark, sf):
+    """Precision and its product with the mean of each run and feature: suppliers and return flags."""
+    m = samples(spark, sf).groupBy("run_id", F.col("chain").alias("feature")).agg(F.avg("a").alias("ma"), F.avg("b").alias("mb"), F.covar_samp("a", "a").alias("aa"), F.covar_samp("a", "b").alias("ab"), F.covar_samp("b", "b").alias("bb"))
+    m = staged(m.withColumn("det", F.col("aa") * F.col("bb") - F.col("ab") * F.col("ab")).filter(F.col("det") > 1e-6 * F.col("aa") * F.col("bb")), "gaussians")
+    inverse = {(0, 0): F.col("bb") / F.col("det"), (0, 1): -F.col("ab") / F.col("det"), (1, 0): -F.col("ab") / F.col("det"), (1, 1): F.col("aa") / F.col("det")}
+    rows = lambda *cells: m.select("run_id", "feature", F.explode(F.array(*cells)).alias("c")).select("run_id", "feature", "c.*")
+    q = rows(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), v.alias("q")) for (i, j), v in inverse.items()])
+    r_ = rows(*[F.struct(F.lit(i).alias("i"), (inverse[i, 0] * F.col("ma") + inverse[i, 1] * F.col("mb")).alias("r")) for i in (0, 1)])
+    return q, r_
+
+
+@query(f"""WITH {SAMPLES_SQL}, {SITES_SQL} SELECT run_id, feature, CAST(d.i AS INTEGER) AS i, {sq('CASE d.i WHEN 0 THEN ma ELSE mb END')} AS mean, {sq('sqrt(CASE d.i WHEN 0 THEN aa ELSE bb END)')} AS std,
+  {sq(f'CASE d.i WHEN 0 THEN ma - {CHI[2]!r} * sqrt(aa) ELSE exp((mb - {CHI[2]!r} * sqrt(bb)) / 1) END')} AS lower, {sq('CASE d.i WHEN 0 THEN ma ELSE exp(mb) END')} AS guess FROM m, (VALUES (0), (1)) d(i)""")
 def site_report(spark, sf):
-    return P.site_report(*natural(spark, sf), 2).select("run_id", "i", *sigs("mean", "std"))
+    """Mean, deviation, guess and lower bound of each run's features, the second parameter on a logarithmic scale."""
+    d = P.site_report(*_sites(spark, sf), 2, ["run_id", "feature"], ["none", "log"])
+    return d.select("run_id", "feature", "i", *sigs("mean", "std", "lower", "guess"))
+
+
+@query(f"""WITH {SAMPLES_SQL}, {SITES_SQL} SELECT run_id, feature, CAST(d.i AS INTEGER) AS i, CAST(d.j AS INTEGER) AS j, {sq('CASE d.i + d.j WHEN 0 THEN aa WHEN 1 THEN ab ELSE bb END')} AS covariance,
+  {r('CASE WHEN d.i = d.j THEN 1 ELSE ab / sqrt(aa) / sqrt(bb) END')} AS correlation FROM m, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) d(i, j)""")
+def site_matrices(spark, sf):
+    """Covariance and correlation of each run's features."""
+    d = P.site_matrices(_sites(spark, sf)[0], 2, ["run_id", "feature"])
+    return d.select("run_id", "feature", "i", "j", sig("covariance").alias("covariance"), F.round("correlation", 6).alias("correlation"))
 
 
 @query(f"""WITH o AS (SELECT o_custkey AS run_id, max(o_totalprice) AS e, min(o_totalprice) AS v FROM orders GROUP BY 1) SELECT run_id, {r('abs(ln(e) - ln(v)) / abs(ln(e))')} AS deviation FROM o""")
@@ -345,11 +371,22 @@ def verify_recovery(spark, sf):
     return o.select("run_id", F.round(P.verify_recovery(F.col("e"), F.col("v")), 6).alias("deviation"))
 
 
-@query(f"""WITH {BLOCKS_SQL}, {ENDS_SQL.format(src='blocks')}, l AS (SELECT meas_id, seg_pos, ln(u1) AS v, lead(seg_pos) OVER w AS x1, lead(ln(u1)) OVER w AS v1 FROM ends WINDOW w AS (PARTITION BY meas_id ORDER BY seg_pos))
-SELECT meas_id, seg_pos, CAST(k AS INTEGER) AS k, {sq('seg_pos + k / 10 * (x1 - seg_pos)')} AS x, {sq('exp(v + k / 10 * (v1 - v))')} AS y FROM l, (SELECT unnest(range(0, 11)) AS k) WHERE x1 IS NOT NULL""")
+CURVE_SQL = """kn AS (SELECT meas_id, seg_pos AS x, ln(u1) AS y, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY meas_id) AS n, lead(seg_pos) OVER w AS x1, lead(ln(u1)) OVER w AS y1,
+  lag(seg_pos) OVER w AS x_, lag(ln(u1)) OVER w AS y_ FROM ends WINDOW w AS (PARTITION BY meas_id ORDER BY seg_pos)),
+sw AS (SELECT meas_id, CAST(0 AS BIGINT) AS i, n, CAST(0 AS DOUBLE) AS c, CAST(0 AS DOUBLE) AS d FROM kn WHERE i = 0
+  UNION ALL SELECT k.meas_id, k.i, k.n, (x1 - x) / (2 * (x1 - x_) - (x - x_) * c), (6 * ((y1 - y) / (x1 - x) - (y - y_) / (x - x_)) - (x - x_) * d) / (2 * (x1 - x_) - (x - x_) * c)
+  FROM sw JOIN kn k ON k.meas_id = sw.meas_id AND k.i = sw.i + 1 WHERE k.i < k.n - 1),
+bk AS (SELECT DISTINCT meas_id, n - 1 AS i, CAST(0 AS DOUBLE) AS m FROM kn WHERE n > 1
+  UNION ALL SELECT s.meas_id, s.i, CASE WHEN s.i = 0 THEN 0 ELSE s.d - s.c * b.m END FROM bk b JOIN sw s ON s.meas_id = b.meas_id AND s.i = b.i - 1)"""
+
+
+@query(f"""WITH RECURSIVE {BLOCKS_SQL}, {ENDS_SQL.format(src='blocks')}, {CURVE_SQL}
+SELECT a.meas_id, CAST(a.x AS INTEGER) AS seg_pos, CAST(k AS INTEGER) AS k, {sq('a.x + k / 10 * (a.x1 - a.x)')} AS x,
+  {sq('exp((1 - k / 10) * a.y + k / 10 * a.y1 + ((pow(1 - k / 10, 3) - (1 - k / 10)) * m0.m + (pow(k / 10, 3) - k / 10) * m1.m) * pow(a.x1 - a.x, 2) / 6)')} AS y
+FROM kn a JOIN bk m0 ON m0.meas_id = a.meas_id AND m0.i = a.i JOIN bk m1 ON m1.meas_id = a.meas_id AND m1.i = a.i + 1, (SELECT unnest(range(0, 11)) AS k)""")
 def param_curve(spark, sf):
     d = P.param_curve(S.segment_ends(blocks(spark, sf)), ["meas_id"], "seg_pos", "u1", 11, True)
-    return d.select("meas_id", F.col("x0").alias("seg_pos"), "k", *sigs("x", "y"))
+    return d.select("meas_id", F.col("x0").cast("int").alias("seg_pos"), "k", *sigs("x", "y"))
 
 
 @query(f"""WITH {BLOCKS_SQL}, {ENDS_SQL.format(src='blocks')} SELECT meas_id, CAST(row_number() OVER (PARTITION BY meas_id ORDER BY seg_pos) - 1 AS INTEGER) AS place, CAST(seg_pos AS INTEGER) AS x,
@@ -375,12 +412,49 @@ def add_noise(spark, sf):
     )
 
 
-@query(f"""WITH o AS (SELECT o_custkey AS set_id, avg(o_totalprice) AS a, max(o_totalprice) AS b FROM orders GROUP BY 1)
-SELECT set_id, {sq("CASE WHEN set_id % 2 = 0 THEN a - 1.959963984540054 * b ELSE a + 0.025 * (b - a) END")} AS low, {sq("CASE WHEN set_id % 2 = 0 THEN a + 1.959963984540054 * b ELSE b - 0.025 * (b - a) END")} AS high FROM o""")
+def _ratio_sql(parts, x: str) -> str:
+    poly = lambda cs: " + ".join(f"{c!r}::DOUBLE * pow({x}, {k})" for k, c in enumerate(cs))
+    return f"(({poly(parts[0])}) / ({poly(parts[1])}))"
+
+
+def normal_quantile_sql(p: str) -> str:
+    r = f"sqrt(-ln(least({p}, 1 - {p})))"
+    tails = f"CASE WHEN {p} < 0.5 THEN -1 ELSE 1 END * CASE WHEN {r} <= 5 THEN {_ratio_sql(D.MIDDLE, f'({r} - 1.6)')} ELSE {_ratio_sql(D.TAIL, f'({r} - 5)')} END"
+    return f"CASE WHEN abs({p} - 0.5) <= 0.425 THEN ({p} - 0.5) * {_ratio_sql(D.CENTRE, f'(0.180625 - ({p} - 0.5) * ({p} - 0.5))')} ELSE {tails} END"
+
+
+def normal_probability_sql(z: str) -> str:
+    return f"(0.5 + exp(-{z} * {z} / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 120), lambda k: {z} * coalesce(list_product(list_transform(range(1, k + 1), lambda j: {z} * {z} / (2 * j + 1))), 1))))"
+
+
+INTERVAL_SQL = f"""o AS (SELECT o_custkey AS set_id, avg(o_totalprice) / 1e5 AS a, max(o_totalprice) / 1e5 AS b FROM orders GROUP BY 1), e AS (SELECT *, unnest([0.025, 0.975])::DOUBLE AS p, unnest([0, 1]) AS side FROM o),
+u AS (SELECT *, {normal_quantile_sql('p')} AS z, {normal_probability_sql('(-1.0)')} + p * ({normal_probability_sql('(0.5)')} - {normal_probability_sql('(-1.0)')}) AS w FROM e),
+v AS (SELECT set_id, side, CASE set_id % 5 WHEN 0 THEN a + b * z WHEN 1 THEN a + p * (b - a) WHEN 2 THEN exp(a + 0.1 * z)
+  WHEN 3 THEN CASE WHEN p * (b + 1) < a THEN sqrt(p * (b + 1) * a) ELSE b + 1 - sqrt((1 - p) * (b + 1) * (b + 1 - a)) END ELSE a + b * ({normal_quantile_sql('w')}) END AS x FROM u)"""
+
+
+@query(f"WITH {INTERVAL_SQL} SELECT l.set_id, {sq('l.x')} AS low, {sq('h.x')} AS high FROM v l JOIN v h ON h.set_id = l.set_id AND l.side = 0 AND h.side = 1")
 def uncertainty_interval(spark, sf):
-    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("set_id")).agg(F.avg("o_totalprice").alias("a"), F.max("o_totalprice").alias("b"))
-    low, high = P.uncertainty_interval(F.when(F.col("set_id") % 2 == 0, "normal").otherwise("uniform"), F.col("a"), F.col("b"))
-    return o.select("set_id", sig(low).alias("low"), sig(high).alias("high"))
+    """Central intervals of five named distributions, by set."""
+    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("set_id")).agg((F.avg("o_totalprice") / 1e5).alias("a"), (F.max("o_totalprice") / 1e5).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    given = {"normal": [a, b], "uniform": [a, b], "lognormal": [a, F.lit(0.1)], "triangular": [F.lit(0.0), a, b + 1], "truncated normal": [a, b, a - b, a + 0.5 * b]}
+    at = F.col("set_id") % 5
+    pick = lambda values: F.element_at(F.array(*values), (at + 1).cast("int"))
+    d = o.select("set_id", pick([F.lit(k) for k in given]).alias("kind"), pick([F.array(*v) for v in given.values()]).alias("arguments"))
+    low, high = P.uncertainty_interval(F.col("kind"), F.col("arguments"))
+    return d.select("set_id", sig(low).alias("low"), sig(high).alias("high"))
+
+
+@query("SELECT o_custkey AS set_id, v.name, CASE WHEN v.name = 'c' THEN round(max(o_totalprice), 2) + 0 END AS kept, true AS inside FROM orders, (VALUES ('a'), ('b'), ('c')) v(name) GROUP BY o_custkey, v.name")
+def parameter_noise(spark, sf):
+    """Draws of two named distributions in place of values, and a value without one."""
+    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("set_id")).agg(F.max("o_totalprice").alias("value"))
+    sets = o.withColumn("name", F.explode(F.array(*[F.lit(n) for n in "abc"])))
+    laws = spark.createDataFrame([("a", "triangular", [1.0, 1.5, 3.0]), ("b", "truncated normal", [0.0, 1.0, -0.5, 2.0])], "name string, kind string, arguments array<double>")
+    d = P.parameter_noise(sets, laws, 7)
+    inside = F.when(F.col("name") == "a", F.col("value").between(1, 3)).when(F.col("name") == "b", F.col("value").between(-0.5, 2)).otherwise(F.lit(True))
+    return d.select("set_id", "name", F.when(F.col("name") == "c", F.round("value", 2) + 0).alias("kept"), inside.alias("inside"))
 
 
 @query(f"WITH {BLOCKS_SQL}, {ENDS_SQL.format(src='blocks')} SELECT e.meas_id, e.seg_pos, {sq('o.u1 / 500 * 30000')} AS concentration FROM ends e JOIN ends o ON o.meas_id = e.meas_id AND o.seg_pos = 0 WHERE e.seg_pos >= 1")
@@ -493,18 +567,41 @@ def complex_arith(spark, sf):
     return spectra(spark, sf).select("meas_id", "pt", sig(z.abs()).alias("size"), F.round(z.phase(), 6).alias("phase"), sig(square.re).alias("square_re"), sig(square.im).alias("square_im"), sig(inverse.re).alias("inverse_re"), sig(inverse.im).alias("inverse_im"))
 
 
-CIRCUIT_SQL = """cz AS (SELECT p_partkey, f.k, 1.0 + p_size AS r1, 1e-3 AS c, pow(10.0, f.k - 2) AS w, p_retailprice / 100 AS q FROM part, (SELECT unnest(range(0, 5)) AS k) f),
-wz AS (SELECT *, pow(q * w, -0.5) * cos(pi() / 4) AS wr, -pow(q * w, -0.5) * sin(pi() / 4) AS wi FROM cz),
-az AS (SELECT *, (r1 + wr) / (pow(r1 + wr, 2) + wi * wi) AS yr, -wi / (pow(r1 + wr, 2) + wi * wi) + w * c AS yi FROM wz)"""
-
-
-@query(f"WITH {CIRCUIT_SQL} SELECT p_partkey, CAST(k AS INTEGER) AS k, {sq('0.5 + yr / (yr * yr + yi * yi)')} AS re, {sq('-yi / (yr * yr + yi * yi)')} AS im FROM az")
+def _circuits_sql() -> str:
+    """Each circuit written out once more, in complex numbers as structs."""
+    real_, cap, coil = (lambda x: f"{{'re': {x}, 'im': 0.0::DOUBLE}}"), (lambda x: f"{{'re': 0.0::DOUBLE, 'im': -1 / (w * {x})}}"), (lambda x: f"{{'re': 0.0::DOUBLE, 'im': w * {x}}}")
+    inv = lambda z: f"list_transform([{z}], lambda x: {{'re': x.re / (x.re * x.re + x.im * x.im), 'im': -x.im / (x.re * x.re + x.im * x.im)}})[1]"
+    ser = lambda *zs: f"list_reduce([{', '.join(zs)}], lambda x, y: {{'re': x.re + y.re, 'im': x.im + y.im}})"
+    par = lambda *zs: inv(ser(*map(inv, zs)))
+    # sigma coth(x (1 + j)) / (half (1 + j)), with coth = (sinh 2x - j sin 2x) / (cosh 2x - cos 2x)
+    wo = "{'re': sg / (2 * h * (cosh(2 * x) - cos(2 * x))) * (sinh(2 * x) - sin(2 * x)), 'im': sg / (2 * h * (cosh(2 * x) - cos(2 * x))) * (-sin(2 * x) - sinh(2 * x))}"
+    face = par(cap("1e-3"), ser(real_("rc"), wo))
+    al = par(cap("0.05"), real_("3.0"))
+    cpe = "{'re': pow(0.4 * w, -0.85) * cos(0.425 * pi()), 'im': -pow(0.4 * w, -0.85) * sin(0.425 * pi())}"
+    return ", ".join(f"('{n}', {z})" for n, z in {
+        "two_rc": ser(real_("0.1"), par(real_("rc"), cap("1e-3")), par(real_("2.0"), cap("1e-2"))),
+        "debye": ser(par(real_("0.5"), cap("1e-4")), cap("1e-3")), "debye_variant": par(ser(real_("0.5"), cap("1e-3")), cap("1e-4")),
+        "randles": ser(real_("0.6"), face), "randles_blocked": ser(real_("0.6"), face, cap("0.5")),
+        "randles_serial": ser(real_("0.6"), par(cap("1e-3"), real_("rc")), wo, cpe),
+        "scr": ser(real_("0.5"), par(cap("1e-4"), ser(real_("0.3"), face))),
+        "scrf": ser(real_("0.5"), par(cap("1e-4"), ser(real_("0.3"), par(cap("2e-3"), ser(face, real_("0.7")))))),
+        "aluminium": ser(real_("0.2"), par(cap("1e-3"), real_("rc"), ser(coil("0.1"), real_("2.0"))), al),
+        "aluminium_variant": ser(real_("0.2"), par(cap("1e-3"), ser(real_("rc"), par(coil("0.1"), real_("2.0")))), al),
+    }.items())
+
+
+@query(f"""WITH e AS (SELECT p_partkey, k, pow(10.0, k - 2) AS w, 1.0 + p_size AS rc, p_retailprice / 1000 AS sg, 0.8 * sqrt(pow(10.0, k - 2) / 2) AS x, sqrt(pow(10.0, k - 2) / 2) AS h FROM part, (SELECT unnest(range(0, 5)) AS k))
+SELECT p_partkey, c.circuit, CAST(k AS INTEGER) AS k, {sq('c.z.re')} AS re, {sq('c.z.im')} AS im FROM e, LATERAL (VALUES {_circuits_sql()}) c(circuit, z)""")
 def circuit_impedance(spark, sf):
-    """A Randles circuit with a Warburg element per part, at five frequencies."""
-    p = table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
-    w = F.pow(F.lit(10.0), F.col("k") - 2)
-    z = C.randles(F.lit(0.5), 1.0 + F.col("p_size"), F.lit(1e-3), C.warburg(F.col("p_retailprice") / 100, w), w)
-    return p.select("p_partkey", "k", sig(z.re).alias("re"), sig(z.im).alias("im"))
+    """All known circuits, as a table of trees, with each part's parameters at five frequencies, in one job."""
+    fixed = {"R_0": 0.1, "R_2": 2.0, "C_1": 1e-3, "C_2": 1e-2, "R_B": 0.5, "R_U": 0.6, "R_C": 0.3, "R_F": 0.7, "R_s": 0.2, "R_3": 3.0, "C_D": 1e-4, "C_DL": 1e-3, "C_F": 2e-3, "C_X": 0.5, "C": 0.05, "L_1": 0.1, "tau": 0.8, "Q_X": 0.4, "alpha": 0.85}
+    trees = C.named_circuits("Wo")
+    nodes = spark.createDataFrame([r for n, t in trees.items() for r in C.tree_rows(n, t)], C.NODES)
+    own = {"R_1": 1.0 + F.col("p_size"), "R_CT": 1.0 + F.col("p_size"), "sigma": F.col("p_retailprice") / 1000}
+    params = F.create_map(*[x for k, v in (fixed | own).items() for x in (F.lit(k), v if isinstance(v, Column) else F.lit(v))])
+    p = table(spark, sf, "part").select("p_partkey", params.alias("params"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
+    p = p.withColumn("omega", F.pow(F.lit(10.0), F.col("k") - 2)).withColumn("circuit", F.explode(F.array(*[F.lit(n) for n in trees])))
+    return C.circuit_impedance(p, nodes).select("p_partkey", "circuit", "k", sig("re").alias("re"), sig("im").alias("im"))
 
 
 TWO_RC_SQL = """lw AS (SELECT *, ln(f) AS lf FROM spectra), mu AS (SELECT avg(lf) AS m, stddev_samp(lf) AS s FROM (SELECT DISTINCT pt, lf FROM lw)),
