@@ -37,6 +37,31 @@ def test_large_values_stay_exact(spark):
     assert sorted(map(tuple, K.top_k(df, F.col("vec_id") % 50 == 0, 5).collect())) == brute(rows, 5)
 
 
+def test_scores_beyond_doubles_stay_exact(spark, monkeypatch):
+    """Scores that differ by one at 2^60, in blocks with enough rows to prune, and random ones near 2^62, against Python integers."""
+    monkeypatch.setattr(K, "BLOCK_ROWS", 64)
+    rng, dim = random.Random(3), 24
+    small = lambda total: [total / 256] + [0.0] * 15 if rng.random() < 0.5 else [0.0] * 15 + [total / 256]
+    rows = [(0, [2.0**22] + [0.0] * 7 + [1 / 256] * 16)] + [(k, [2.0**22] + [0.0] * 7 + small(129 if k != 77 else 130)) for k in range(1, 200) if k % 50]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, K.top_k(df, F.col("vec_id") % 50 == 0, 5).collect()))
+    assert got == brute(rows, 5) and got[0][2:] == (77, 2**60 + 130)
+    rows = [(k, [rng.uniform(1, 1.6) * 2.0**20.5 for _ in range(dim)]) for k in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, K.top_k(df, F.col("vec_id") % 50 == 0, 5).collect()))
+    assert got == brute(rows, 5) and max(r[3] for r in got) > 2**61
+
+
+def test_rows_of_one_id_are_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(K, "BLOCK_ROWS", 32)
+    rng = random.Random(4)
+    df = spark.createDataFrame([(7, [rng.gauss(0, 1) for _ in range(4)]) for _ in range(1000)], "vec_id long, embedding array<double>")
+    rows = df.select("vec_id", K.scaled(F.col("embedding")).alias("v"))
+    dealt = rows.groupBy(F.pmod(F.xxhash64("vec_id", "v"), F.lit(32))).count().collect()
+    assert len(dealt) == 32 and max(r["count"] for r in dealt) < 100
+    assert K.top_k(df, F.col("vec_id") % 7 == 0, 5).count() == 0  # rows with a query's own id never answer it
+
+
 def test_repeated_query_ids_and_many_ties(spark, monkeypatch):
     """A third of all rows have one query's id, another third one vector."""
     monkeypatch.setattr(K, "BLOCK_ROWS", 32)

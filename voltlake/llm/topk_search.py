@@ -13,7 +13,8 @@ what reaches the bound: some k rows in a round for each of the blocks before, ho
 
 Vectors that are null, empty or hold null, NaN or infinite components take no part, nor do rows without
 id. Only vectors of the query's length are candidates. Rows with a query's own id never answer it;
-if an id is repeated among the queries, the smallest vector counts. Scores must fit in a long.
+if an id is repeated among the queries, the smallest vector counts. Scores must fit in a long; blocks whose scores may reach 2^52 are compared in
+integers and without bounds. Blocks are dealt by id and vector, so rows of one id are in many.
 """
 
 from __future__ import annotations
@@ -56,10 +57,11 @@ def best(ids: np.ndarray, cols: np.ndarray, own: int, query: np.ndarray, k: int,
     """ids and scores of the k best rows of a block for one query that reach the floor; cols: dimension by row; tails: norms of what follows each step."""
     alive = np.flatnonzero(ids != own)
     score = np.zeros(len(alive), cols.dtype)
+    rounded = cols.dtype.kind == "f"  # scores that doubles hold exactly; bounds of larger ones would be rounded, so those aren't pruned
     for step, at in enumerate(range(0, len(query), STEP)):
         part = cols[at : at + STEP]
         score = score + query[at : at + STEP] @ (part if len(alive) == part.shape[1] else part[:, alive])
-        if at + STEP >= len(query) or len(alive) == 0 or len(alive) <= k and floor == NO_FLOOR:
+        if not rounded or at + STEP >= len(query) or len(alive) == 0 or len(alive) <= k and floor == NO_FLOOR:
             continue
         rest = np.sqrt(float((query[at + STEP :].astype(float) ** 2).sum())) * tails[step][alive] * (1 + 1e-9) + 1e-6
         least = np.partition(score - rest, len(alive) - k)[len(alive) - k] if len(alive) > k else -np.inf
@@ -68,7 +70,7 @@ def best(ids: np.ndarray, cols: np.ndarray, own: int, query: np.ndarray, k: int,
             alive, score = alive[keep], score[keep]
     keep = score >= floor
     alive, score = alive[keep], score[keep]
-    order = np.lexsort((ids[alive], -score))[:k]
+    order = np.lexsort((ids[alive], -score if rounded else ~score))[:k]
     return ids[alive][order], score[order]
 
 
@@ -102,9 +104,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_i
     asked = rows.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
     n = rows.count()
     blocks, qblocks = max(1, -(-n // BLOCK_ROWS)), max(1, -(-n // (50 * QUERY_ROWS)))
-    where = lambda count: F.pmod(F.xxhash64("vec_id"), F.lit(count))
+    where = lambda count, *more: F.pmod(F.xxhash64("vec_id", *more), F.lit(count))
     no_floor = F.lit(NO_FLOOR).cast("long").alias("floor")
-    packed = rows.select("dim", "vec_id", "v", no_floor, where(blocks).alias("block")).groupBy("dim", "block").applyInArrow(_pack, PACKED)
+    packed = rows.select("dim", "vec_id", "v", no_floor, where(blocks, "v").alias("block")).groupBy("dim", "block").applyInArrow(_pack, PACKED)
     packed = staged(packed.select("dim", "block", "ids", "mat"), "blocks")
     asked = asked.withColumn("qblock", where(qblocks))
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
