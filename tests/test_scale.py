@@ -210,3 +210,36 @@ def test_packed_inverses(spark, d):
                 x, mean, s = rep[k, f, i], (cov @ vec[k, f])[i], math.sqrt(cov[i, i])
                 bound = statistics.chi2_95(d) ** 0.5 * s
                 assert (x.mean, x.std, x.low, x.high, x.guess, x.upper) == pytest.approx((mean, s, mean - bound, mean + bound, math.exp(mean), math.exp(mean + bound)), rel=1e-9)
+
+
+def test_labels_of_known_clusters(spark):
+    """Three well separated kinds of segments: one cluster each, named by what varies less."""
+    from voltlake.operators.clustering import label_cycles
+
+    rng = np.random.default_rng(7)
+    kinds = [((1.0, 1e-6, 3.5, 0.2), "constant current"), ((-1.0, 1e-6, 3.1, 0.3), "constant current"), ((0.2, 0.4, 4.2, 1e-6), "constant voltage")]
+    rows = [(k, j, *(float(v * (1 + 0.01 * rng.standard_normal())) for v in kinds[k % 3][0])) for k in range(30) for j in range(5)]
+    got = label_cycles(spark.createDataFrame(rows, "meas_id long, seg_pos int, i_mean double, i_var double, u_mean double, u_var double"), 6).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.meas_id % 3, set()).add((r.cluster, r["name"]))
+    assert all(len(v) == 1 for v in by.values()) and len({c for v in by.values() for c, _ in v}) == 3
+    assert {k: next(iter(v))[1] for k, v in by.items()} == {k: name for k, (_, name) in enumerate(kinds)}
+
+
+def test_losses_of_models(spark):
+    """The model that made the points has no loss; orders 1, 2 and infinite against plain Python."""
+    from voltlake.functions.ocv import slope_unit
+
+    models = {"true": [(3.9, 0.25, 0.3), (3.7, 0.5, 0.3), (3.4, 0.2, 0.4)], "off": [(3.8, 0.25, 0.3), (3.7, 0.5, 0.3), (3.4, 0.2, 0.4)]}
+    term = lambda e, p: math.exp((e - p[0]) * p[1] * slope_unit())
+    soc = lambda e, m: sum(p[2] / (1 + term(e, p)) for p in m)
+    slope = lambda e, m: sum(p[2] * p[1] * slope_unit() * term(e, p) / (1 + term(e, p)) ** 2 for p in m)
+    points = [(1, 3.2 + 0.02 * k, soc(3.2 + 0.02 * k, models["true"]), 1.0 + k % 2) for k in range(50)]
+    df = spark.createDataFrame(points, "k long, e double, soc double, weight double")
+    table = spark.createDataFrame([(n, m, 0.0, 1.0) for n, m in models.items()], "candidate string, plateaus array<struct<e0:double,a:double,dx:double>>, start double, end double")
+    for order in (1.0, 2.0, math.inf):
+        got = {r.candidate: r.loss for r in statistics.ocv_losses(df, table, ["k"], order).collect()}
+        off = [w * abs(soc(e, models["off"]) - x) for _, e, x, w in points]
+        want = max(off) if order == math.inf else sum(o**order / (1 + slope(e, models["off"]) ** order) for o, (_, e, _, _) in zip(off, points)) ** (1 / order)
+        assert got["true"] < 1e-12 and got["off"] == pytest.approx(want, rel=1e-9)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from voltlake.functions.ocv import slope_unit
 from voltlake.operators.joins import join_interp
 from voltlake.operators.segments import SEG, SLICE, ordered, running, with_halo, within
 from voltlake.operators.storage import staged
@@ -294,6 +295,40 @@ def effective_sample_size(df: DataFrame, keys: Sequence[str], order: str, x: str
     return out.select(*keys, (F.col("n") / (1 + 2 * F.col("_s"))).alias("ess"))
 
 
+def residual_measures(df: DataFrame, keys: Sequence[str], error: Column) -> DataFrame:
+    """keys, root_sum_sq, rmse, mae, max_abs of the errors."""
+    d = df.withColumn("_e", error)
+    x = F.col("_e")
+    return d.groupBy(*keys).agg(F.sqrt(F.sum(x * x)).alias("root_sum_sq"), F.sqrt(F.avg(x * x)).alias("rmse"), F.avg(F.abs(x)).alias("mae"), F.max(F.abs(x)).alias("max_abs"))
+
+
+#: Candidates up to which each point is held against all of them in place.
+MOST_CANDIDATES = 10_000
+
+
+def ocv_losses(points: DataFrame, candidates: DataFrame, keys: Sequence[str], order: float = 2.0, temperature: float = 298.15) -> DataFrame:
+    """keys, candidate, loss of every candidate OCV model on every key's points.
+
+    points: keys, e (voltage), soc, and weight if there is one. candidates: candidate, plateaus (array of e0, a, dx), start and end of the SOC range; a table of
+    models, at most MOST_CANDIDATES. The loss is the sum of (weight |model - soc|)^order / (1 + |slope|^order), to the power 1 / order; of
+    infinite ``order`` the largest weight |model - soc|.
+    """
+    if candidates.count() > MOST_CANDIDATES:
+        raise ValueError(f"more than {MOST_CANDIDATES} candidates; hold them against the points in parts")
+    unit, weight = slope_unit(temperature=temperature), F.col("weight") if "weight" in points.columns else F.lit(1.0)
+    held = candidates.agg(F.collect_list(F.struct("candidate", "plateaus", "start", "end")).alias("_all"))
+    d = points.select(*keys, "e", "soc", weight.alias("_w")).join(F.broadcast(held)).withColumn("_c", F.explode("_all")).drop("_all")
+    grown = lambda p: F.exp(F.greatest(F.least((F.col("e") - p["e0"]) * p["a"] * unit, F.lit(700.0)), F.lit(-700.0)))
+    zero, width = F.struct(F.lit(0.0).alias("soc"), F.lit(0.0).alias("slope")), F.col("_c.end") - F.col("_c.start")
+    step = lambda s, p: F.get(F.transform(F.array(grown(p)), lambda x: F.struct((s["soc"] + p["dx"] / (1 + x)).alias("soc"), (s["slope"] + p["dx"] * p["a"] * unit * x / ((1 + x) * (1 + x))).alias("slope"))), F.lit(0))
+    d = d.withColumn("_m", F.aggregate("_c.plateaus", zero, step))
+    off = F.abs(F.col("_w") * (F.col("_c.start") + F.col("_m.soc") * width - F.col("soc")))
+    by = d.groupBy(*keys, F.col("_c.candidate").alias("candidate"))
+    if order == float("inf"):
+        return by.agg(F.max(off).alias("loss"))
+    return by.agg(F.pow(F.sum(F.pow(off, F.lit(order)) / (1 + F.pow(F.abs(F.col("_m.slope") * width), F.lit(order)))), F.lit(1 / order)).alias("loss"))
+
+
 def ocv_subtract(df: DataFrame, ocv: Column, sign: float = 1.0) -> DataFrame:
     """Adds overpotential: u - sign * OCV(SOC); segments whose current is zero throughout keep the last OCV before them (the first: its own).
 

@@ -298,20 +298,23 @@ def ocv_mismatch_ramp(spark, sf):
 def ocv_residuals(spark, sf):
     from voltlake.plans.views import SIGNS
 
-    d = S.state_sign(raw_points(spark, sf), SIGNS, "state", "raw").withColumn("d", O.ocv_model_soc(voltage(), PLATEAUS) - F.col("raw") / 600)
-    x = F.col("d")
-    return d.groupBy("meas_id").agg(F.sqrt(F.sum(x * x)).alias("root_sum_sq"), F.sqrt(F.avg(x * x)).alias("rmse"), F.avg(F.abs(x)).alias("mae"), F.max(F.abs(x)).alias("max_abs")).select("meas_id", *sigs("root_sum_sq", "rmse", "mae", "max_abs"))
+    d = S.state_sign(raw_points(spark, sf), SIGNS, "state", "raw")
+    return A.residual_measures(d, ["meas_id"], O.ocv_model_soc(voltage(), PLATEAUS) - F.col("raw") / 600).select("meas_id", *sigs("root_sum_sq", "rmse", "mae", "max_abs"))
 
 
-@query(f"""WITH {RAW_SQL}, m AS (SELECT meas_id, s.s, pow(sum(pow(0.5 * ({soc_sql('(3.0 + s.s * u / 500)')} - u / 500), 2) / (1 + pow({d1_sql('(3.0 + s.s * u / 500)')}, 2))), 0.5) AS loss FROM raw, (VALUES (0.8), (1.0), (1.2)) s(s) GROUP BY 1, 2)
-SELECT meas_id, CAST(arg_min(s, loss) AS DOUBLE) AS scale, {sq('min(loss)')} AS loss FROM m GROUP BY 1""")
+LOSS_SQL = f"""{RAW_SQL}, t AS (SELECT meas_id, c.c, 3.0 + u / 500 - c.shift AS e, u / 500 AS x FROM raw, (VALUES ('a', -0.1), ('b', 0.0), ('c', 0.1)) c(c, shift)),
+l AS (SELECT meas_id, c, sqrt(sum(pow({soc_sql('e')} - x, 2) / (1 + pow({d1_sql('e')}, 2)))) AS loss, max(abs({soc_sql('e')} - x)) AS largest FROM t GROUP BY 1, 2)"""
+
+
+@query(f"WITH {LOSS_SQL} SELECT meas_id, arg_min(c, (loss, c)) AS candidate, {sq('min(loss)')} AS loss, arg_min(c, (largest, c)) AS candidate_largest, {sq('min(largest)')} AS largest FROM l GROUP BY 1")
 def ocv_loss(spark, sf):
-    """Loss of candidate models; the best one per measurement."""
-    e = 3.0 + F.col("s") * F.col("u") / 500
-    d = raw_points(spark, sf).withColumn("s", F.explode(F.array(F.lit(0.8), F.lit(1.0), F.lit(1.2))))
-    term = F.pow(0.5 * (O.ocv_model_soc(e, PLATEAUS) - F.col("u") / 500), F.lit(2)) / (1 + F.pow(O.ocv_model_d1(e, PLATEAUS), F.lit(2)))
-    loss = d.groupBy("meas_id", "s").agg(F.sqrt(F.sum(term)).alias("loss"))
-    return loss.groupBy("meas_id").agg(F.min_by("s", "loss").alias("scale"), F.min("loss").alias("loss")).select("meas_id", "scale", sig("loss").alias("loss"))
+    """The best of a table of candidate models per measurement, by squares and by the largest difference."""
+    rows = [(c, [(e0 + shift, a, dx) for e0, a, dx in O.complete(PLATEAUS)], 0.0, 1.0) for c, shift in (("a", -0.1), ("b", 0.0), ("c", 0.1))]
+    models = spark.createDataFrame(rows, "candidate string, plateaus array<struct<e0:double,a:double,dx:double>>, start double, end double")
+    points = raw_points(spark, sf).select("meas_id", (3.0 + F.col("u") / 500).alias("e"), (F.col("u") / 500).alias("soc"))
+    best = lambda order, name, value: A.ocv_losses(points, models, ["meas_id"], order).groupBy("meas_id").agg(F.min_by("candidate", F.struct("loss", "candidate")).alias(name), F.min("loss").alias(value))
+    both = best(2.0, "candidate", "loss").join(best(float("inf"), "candidate_largest", "largest"), "meas_id")
+    return both.select("meas_id", "candidate", sig("loss").alias("loss"), "candidate_largest", sig("largest").alias("largest"))
 
 
 PLATEAU_SQL = f"""{RAW_SQL}, v AS (SELECT meas_id, count(*) AS points, count(DISTINCT 3.0 + u / 500) AS kinds FROM raw GROUP BY 1)"""
