@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from voltlake.operators.segments import SEG, SLICE, ir_step, keep_window, numbered, running, segment_ends
+from voltlake.operators.joins import pair_pulse_rest
+from voltlake.operators.segments import SEG, SLICE, coulomb_count, ir_step, keep_window, numbered, running, segment_ends, trim_head
 from voltlake.operators.storage import staged
 
 LEAST_POINTS = 4
@@ -301,3 +302,14 @@ def gitt_features(df: DataFrame, wanted: Sequence[int] | None = None, exp_window
     if wanted is not None:
         long = long.filter(F.col("feature").isin(list(wanted)))
     return long.select(*SEG, "feature", "value")
+
+
+def extract_ocv(df: DataFrame, rests: Column, head: float, start: Column | float = 0.0, sign: float = 1.0, capacity: float = 1.0) -> DataFrame:
+    """meas_id, seg_pos, soc, ocv, direction of the segments for which ``rests`` holds: SOC at their end, asymptote of their decay, and the way of the pulse before.
+
+    The first ``head`` seconds of a rest are left out of its fit; a rest without a fit or without a pulse before it has no row.
+    """
+    soc = coulomb_count(df, start, sign, capacity).groupBy(*SEG).agg(F.max_by("soc", "pt").alias("soc"))
+    pulses = pair_pulse_rest(segment_ends(df), ["i_mean"])
+    d = fit_exp_decay(trim_head(df.filter(rests), head)).join(soc, SEG).join(pulses, SEG)
+    return d.select(*SEG, "soc", F.col("asymptote").alias("ocv"), F.when(F.col("pulse_i_mean") >= 0, "lithiation").otherwise("delithiation").alias("direction"))

@@ -20,6 +20,11 @@ def join_source_index(segs: DataFrame, ocv: DataFrame, value: str, index: Column
     return joined.withColumn("start", F.coalesce("start", F.raise_error(F.lit("no OCV row for a segment")).cast("double")))
 
 
+def initial_concentration(segs: DataFrame, ocv: DataFrame, soc: str, largest: float) -> DataFrame:
+    """Adds ``concentration``: the SOC at each segment's source index times the electrode's largest concentration."""
+    return join_source_index(segs, ocv, soc).withColumn("concentration", F.col("start") * largest)
+
+
 def pair_pulse_rest(segs: DataFrame, columns: Sequence[str], first_rest: int = 1) -> DataFrame:
     """Each rest (every second segment from ``first_rest``) with the named columns of the pulse before it."""
     w = Window.partitionBy("meas_id").orderBy("seg_pos")

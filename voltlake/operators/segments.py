@@ -262,6 +262,13 @@ def unit_interval(x: Column, keys: Sequence[str]) -> Column:
     return (x - F.first(x).over(w)) / (F.last(x).over(w) - F.first(x).over(w))
 
 
+def soc_assign(df: DataFrame, x: str, start: float, end: float, complement: bool = False, slice_keys: Sequence[str] = SEG) -> DataFrame:
+    """Adds ``electrode_soc``: a fitted SOC range laid over each segment's axis in reverse order, or 1 less it."""
+    ends = df.groupBy(*slice_keys).agg(F.min_by(x, "pt").alias("_a"), F.max_by(x, "pt").alias("_b"))
+    soc = start + (1 - (F.col(x) - F.col("_a")) / F.nullif(F.col("_b") - F.col("_a"), F.lit(0.0))) * (end - start)
+    return df.join(ends, list(slice_keys)).withColumn("electrode_soc", 1 - soc if complement else soc).drop("_a", "_b")
+
+
 def segment_ends(df: DataFrame) -> DataFrame:
     """One row per segment: first and last time and voltage, mean current and number of points."""
     first, last = (lambda c: F.min_by(c, "pt")), (lambda c: F.max_by(c, "pt"))

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from voltlake.functions.ocv import slope_unit
 from voltlake.operators.joins import join_interp
-from voltlake.operators.segments import SEG, SLICE, ordered, running, with_halo, within
+from voltlake.operators.segments import SEG, SLICE, numbered, ordered, running, with_halo, within
 from voltlake.operators.storage import staged
 
 @functools.lru_cache
@@ -143,22 +143,27 @@ def incremental_capacity(df: DataFrame, width: float) -> DataFrame:
     return bins.withColumn("dsoc_du", slope).select(*SEG, "u_bin", "dsoc_du")
 
 
-def laplace(df: DataFrame, keys: Sequence[str], x: str, y: str, s: Sequence[tuple[float, float]]) -> DataFrame:
-    """keys, k, re, im: sum of y_mid * exp(-s x_mid) * dx for each complex s."""
-    w = within(*keys)
-    d = df.withColumn("_m", (F.col(x) + F.lag(x).over(w)) / 2).withColumn("_v", (F.col(y) + F.lag(y).over(w)) / 2).withColumn("_d", F.col(x) - F.lag(x).over(w))
-    table = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, (a, b) in enumerate(s)])
-    d = d.filter("_m is not null").withColumn("_s", F.explode(table))
-    size = F.col("_v") * F.exp(-F.col("_s.a") * F.col("_m")) * F.col("_d")
-    angle = F.col("_s.b") * F.col("_m")
-    return d.groupBy(*keys, F.col("_s.k").alias("k")).agg(F.sum(size * F.cos(angle)).alias("re"), F.sum(-size * F.sin(angle)).alias("im"))
+def _per_frequency(df: DataFrame, keys: Sequence[str], name: str, labels: Sequence[int], terms: Sequence[tuple[Column, Column]]) -> DataFrame:
+    """keys, name, re, im: the sums of each label's two terms, as columns of one aggregation, so no point is copied for each frequency."""
+    sums = df.groupBy(*keys).agg(*[F.sum(c).alias(f"_{part}{k}") for k, pair in enumerate(terms) for part, c in zip(("re", "im"), pair, strict=True)])
+    rows = [F.struct(F.lit(v).alias(name), F.col(f"_re{k}").alias("re"), F.col(f"_im{k}").alias("im")) for k, v in enumerate(labels)]
+    return sums.select(*keys, F.explode(F.array(*rows)).alias("_f")).select(*keys, "_f.*")
+
+
+def laplace(df: DataFrame, keys: Sequence[str], x: str, y: str, s: Sequence[tuple[float, float]], slice_rows: int = SLICE) -> DataFrame:
+    """keys, k, re, im: sum of y_mid * exp(-s x_mid) * dx for each complex s; a key's points in slices (order: pt)."""
+    d = with_halo(numbered(df.select(*keys, "pt", F.col(x).alias("_x"), F.col(y).alias("_y")), keys, "_k", slice_points=slice_rows), "_k", 1, 0, slice_rows)
+    w = within(*keys, "_s", order=("_k",))
+    d = d.withColumn("_m", (F.col("_x") + F.lag("_x").over(w)) / 2).withColumn("_v", (F.col("_y") + F.lag("_y").over(w)) / 2 * (F.col("_x") - F.lag("_x").over(w)))
+    d = d.filter("not _halo").filter("_m is not null")
+    size = lambda a: F.col("_v") * F.exp(-a * F.col("_m"))
+    return _per_frequency(d, keys, "k", range(len(s)), [(size(a) * F.cos(b * F.col("_m")), -size(a) * F.sin(b * F.col("_m"))) for a, b in s])
 
 
 def dft_at_frequency(df: DataFrame, keys: Sequence[str], n: Column, length: Column, y: str, bins: Sequence[int]) -> DataFrame:
     """keys, bin, re, im of the discrete Fourier transform at the given bins."""
-    d = df.withColumn("_n", n).withColumn("_l", length).withColumn("bin", F.explode(F.array(*[F.lit(b) for b in bins])))
-    angle = 6.283185307179586 * F.col("bin") * F.col("_n") / F.col("_l")
-    return d.groupBy(*keys, "bin").agg(F.sum(F.col(y) * F.cos(angle)).alias("re"), F.sum(-F.col(y) * F.sin(angle)).alias("im"))
+    d = df.withColumn("_a", 6.283185307179586 * n / length)
+    return _per_frequency(d, keys, "bin", bins, [(F.col(y) * F.cos(b * F.col("_a")), -F.col(y) * F.sin(b * F.col("_a"))) for b in bins])
 
 
 def peaks(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:

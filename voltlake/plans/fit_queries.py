@@ -303,13 +303,8 @@ SELECT d.meas_id, d.seg_pos, {sq('q.soc')} AS soc, {sq('d.asymptote')} AS ocv, C
 FROM decay d JOIN q_end q ON q.meas_id = d.meas_id AND q.seg_pos = d.seg_pos JOIN pl ON pl.meas_id = d.meas_id AND pl.seg_pos = d.seg_pos""")
 def extract_ocv(spark, sf):
     """SOC and relaxed voltage at every second segment, the first minute-scale stretch of it left out."""
-    b = blocks(spark, sf)
-    rests = S.trim_head(b.filter("seg_pos % 2 = 1"), 60000.0)
-    soc = S.coulomb_count(b).groupBy(*S.SEG).agg(F.max_by("soc", "pt").alias("soc"))
-    pulses = J.pair_pulse_rest(S.segment_ends(b), ["i_mean"])
-    d = X.fit_exp_decay(rests).join(soc, S.SEG).join(pulses, S.SEG)
-    way = F.when(F.col("pulse_i_mean") >= 0, "lithiation").otherwise("delithiation")
-    return d.select(*S.SEG, sig("soc").alias("soc"), sig("asymptote").alias("ocv"), way.alias("direction"))
+    d = X.extract_ocv(blocks(spark, sf), F.col("seg_pos") % 2 == 1, 60000.0)
+    return d.select(*S.SEG, sig("soc").alias("soc"), sig("ocv").alias("ocv"), "direction")
 
 
 @query("""WITH a AS (SELECT l_suppkey AS meas_id, l_linenumber AS seg_pos, l_quantity AS u FROM lineitem WHERE l_returnflag = 'A'), n AS (SELECT meas_id, max(seg_pos) + 1 AS n FROM a GROUP BY 1)

@@ -13,7 +13,7 @@ from voltlake.functions import ocv as O
 from voltlake.operators import parameters as P
 from voltlake.operators import segments as S
 from voltlake.operators import statistics as A
-from voltlake.operators.joins import join_source_index, lookup_nearest
+from voltlake.operators.joins import initial_concentration, lookup_nearest
 from voltlake.operators.storage import new_path, staged
 from voltlake.plans.curve_queries import PROTOCOL_SQL, sigs
 from voltlake.plans.fit_queries import sig, sq
@@ -461,8 +461,9 @@ def parameter_noise(spark, sf):
 def initial_soc(spark, sf):
     ends = S.segment_ends(blocks(spark, sf))
     ocv = ends.select("meas_id", F.col("seg_pos").alias("source_index"), F.col("seg_pos").alias("pos"), (F.col("u1") / 500).alias("soc"))
-    d = join_source_index(ends.filter("seg_pos >= 1"), ocv, "soc")
-    return d.select("meas_id", "seg_pos", sig(F.col("start") * 30000).alias("concentration"))
+    d = initial_concentration(ends.filter("seg_pos >= 1"), ocv, "soc", 30000.0)
+    return d.select("meas_id", "seg_pos", sig("concentration").alias("concentration"))
+
 
 
 @query(f"""WITH {BLOCKS_SQL}, {ENDS_SQL.format(src='blocks')} SELECT meas_id, '{{"current_input":[' || string_agg('"Step ' || seg_pos || '"', ',' ORDER BY seg_pos) || '],"experiment_features":[' || string_agg(CAST(CAST(round(u1 * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY seg_pos) || '],"optimizer_settings":{{"iterations":4.0,"seed":0.0}}}}' AS json FROM ends GROUP BY 1""")
@@ -630,11 +631,8 @@ def drt_semicircle(spark, sf):
 @query(f"""WITH {BLOCKS_SQL}, w AS (SELECT *, (t - first_value(t) OVER w) / nullif(last_value(t) OVER w - first_value(t) OVER w, 0) AS x FROM blocks WINDOW w AS (PARTITION BY meas_id, seg_pos ORDER BY pt ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
 SELECT meas_id, seg_pos, pt, {r('1 - (0.1 + (1 - x) * 0.8)')} AS electrode_soc FROM w""")
 def soc_assign(spark, sf):
-    """The fitted SOC range mapped back, in reverse order, seen from the other electrode."""
-    w = S.whole(*S.SEG)
-    span = F.last("t").over(w) - F.first("t").over(w)
-    x = F.when(span != 0, S.unit_interval(F.col("t"), S.SEG))
-    return blocks(spark, sf).select(*S.SEG, "pt", F.round(1 - O.soc_adjust(1 - x, 0.1, 0.9), 6).alias("electrode_soc"))
+    d = S.soc_assign(blocks(spark, sf), "t", 0.1, 0.9, complement=True)
+    return d.select(*S.SEG, "pt", F.round("electrode_soc", 6).alias("electrode_soc"))
 
 
 GRIDS_SQL = "g AS (SELECT meas_id, min(f) AS a, max(f) AS b FROM spectra GROUP BY 1)"
