@@ -18,8 +18,8 @@ from voltlake.operators.segments import SEG, SLICE, coulomb_count, ir_step, keep
 from voltlake.operators.storage import staged
 
 LEAST_POINTS = 4
-#: Rounds after the first, and the candidates of each: a bracket shrinks to 2/11 in a round.
-ROUNDS, FINE = 5, 12
+#: Rounds after the first, and the candidates of each: a bracket shrinks to 2/23 in a round.
+ROUNDS, FINE = 3, 24
 #: Squares within this share of the least, or of those of y, count as equal: what is left then is rounding.
 TIE, EXACT = 1e-9, 1e-11
 
@@ -219,7 +219,7 @@ RATES = tuple(0.2 * 250 ** (k / 23) for k in range(24))
 def fit_exp_decay(df: DataFrame, rates: Sequence[float] = RATES, y: str = "u", rounds: int = ROUNDS) -> DataFrame:
     """meas_id, seg_pos, asymptote, amplitude, rate, sse: y = asymptote + amplitude * exp(-rate * tau).
 
-    The rate is first of ``rates`` (over the duration), then narrowed (``bracketed``) to about 1e-4 of itself.
+    The rate is first of ``rates`` (over the duration), then narrowed (``bracketed``) to about 2e-4 of itself.
     """
     d = staged(since_start(df).filter("span > 0").select(*SEG, "tau", "span", y), "decays")
     fit = grid_fit(d, [*SEG, "span"], rates, lambda g: F.exp(-g * F.col("tau") / F.col("span")), F.col(y), rounds)

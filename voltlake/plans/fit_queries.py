@@ -129,22 +129,22 @@ def features_join(spark, sf):
 FIRST_RATES = "SELECT g, coalesce(lag(g) OVER (ORDER BY k), g) AS lo, coalesce(lead(g) OVER (ORDER BY k), g) AS hi FROM (SELECT k, 0.2 * pow(250, k / 23) AS g FROM (SELECT unnest(range(0, 24)) AS k))"
 
 
-def rounds_sql(p: str, src: str, keys: str, x: str, y: str, where: str = "true", first: str = FIRST_RATES, between: str = "lo * pow(hi / lo, {k} / 11)", k: str | None = None) -> str:
-    """CTEs up to ``w{p}`` (keys, g, b, c or k, sse, syy): the best of the first values, then five rounds of twelve between the best one's neighbours. k: SQL of a slope through the origin."""
+def rounds_sql(p: str, src: str, keys: str, x: str, y: str, where: str = "true", first: str = FIRST_RATES, between: str = "lo * pow(hi / lo, {k} / 23)", k: str | None = None) -> str:
+    """CTEs up to ``w{p}`` (keys, g, b, c or k, sse, syy): the best of the first values, then three rounds of twenty-four between the best one's neighbours. k: SQL of a slope through the origin."""
     sums = "regr_intercept(y, x) AS b, regr_slope(y, x) AS c, greatest(0, regr_syy(y, x) - regr_sxy(y, x) * regr_sxy(y, x) / regr_sxx(y, x)) AS sse, regr_syy(y, x) AS syy"
     held, enough = "'b': b, 'c': c", "count(*) >= 4 AND regr_sxx(y, x) > 0"
     if k:
         sums = f"{k} AS k, greatest(0, sum(y * y) - 2 * {k} * sum(x * y) + {k} * {k} * sum(x * x)) AS sse, sum(y * y) AS syy"
         held, enough = "'k': k", "count(x) >= 4 AND sum(x * x) > 0"
     out = []
-    for n in range(6):
-        places = [f"{{'g': {between.format(k=j)}, 'lo': {between.format(k=max(0, j - 1))}, 'hi': {between.format(k=min(11, j + 1))}}}" for j in range(12)]
+    for n in range(4):
+        places = [f"{{'g': {between.format(k=j)}, 'lo': {between.format(k=max(0, j - 1))}, 'hi': {between.format(k=min(23, j + 1))}}}" for j in range(24)]
         both = " AND ".join(f"s.{c.strip()} = w.{c.strip()}" for c in keys.split(","))
         tries = f"SELECT s.*, r.g, r.lo, r.hi FROM {src} s, ({first}) r" if n == 0 else f"SELECT s.*, w.f.g AS g, w.f.lo AS lo, w.f.hi AS hi FROM {src} s JOIN (SELECT {keys}, unnest([{', '.join(places)}]) AS f FROM v{p}{n - 1}) w ON {both}"
         out.append(f"""q{p}{n} AS MATERIALIZED (SELECT {keys}, g, lo, hi, {sums} FROM (SELECT *, {x} AS x, {y} AS y FROM ({tries}) WHERE {where}) GROUP BY {keys}, g, lo, hi HAVING {enough}),
 v{p}{n} AS MATERIALIZED (SELECT {keys}, z.* FROM (SELECT {keys}, unnest(list_filter(l, lambda e: e.sse <= m * (1 + 1e-9) + 1e-11 * e.syy)[1:1]) AS z FROM
   (SELECT {keys}, list({{'g': g, 'lo': lo, 'hi': hi, {held}, 'sse': sse, 'syy': syy}} ORDER BY g, lo, hi) AS l, min(sse) AS m FROM q{p}{n} GROUP BY {keys})))""")
-    return ", ".join(out) + f", w{p} AS (SELECT * FROM v{p}5)"
+    return ", ".join(out) + f", w{p} AS (SELECT * FROM v{p}3)"
 
 
 def exp_sql(src: str, y: str = "u", p: str = "") -> str:
@@ -214,7 +214,7 @@ def fit_sqrt_layered(spark, sf):
 
 def power_sql(grid, high: str) -> str:
     first = "SELECT unnest([" + ", ".join(f"{{'g': {g!r}::DOUBLE, 'lo': {grid[max(0, k - 1)]!r}::DOUBLE, 'hi': {grid[min(len(grid) - 1, k + 1)]!r}::DOUBLE}}" for k, g in enumerate(grid)) + "]) AS f"
-    fits = rounds_sql("l", "p0", "meas_id, seg_pos", "pow(tau, g)", "y0", "tau > 0", f"SELECT f.g AS g, f.lo AS lo, f.hi AS hi FROM ({first})", "lo + (hi - lo) * ({k} / 11)", f"least(greatest(sum(x * y) / sum(x * x), 0.0), {high})")
+    fits = rounds_sql("l", "p0", "meas_id, seg_pos", "pow(tau, g)", "y0", "tau > 0", f"SELECT f.g AS g, f.lo AS lo, f.hi AS hi FROM ({first})", "lo + (hi - lo) * ({k} / 23)", f"least(greatest(sum(x * y) / sum(x * x), 0.0), {high})")
     return f"""p0 AS (SELECT *, t - min(t) OVER (PARTITION BY meas_id, seg_pos) AS tau, u - first_value(u) OVER (PARTITION BY meas_id, seg_pos ORDER BY pt) AS y0 FROM blocks), {fits}"""
 
 
@@ -241,7 +241,7 @@ def fit_power_law_wide(spark, sf):
 
 ALPHAS = [k / 10 for k in range(1, 10)]
 BV_FIRST = "SELECT f.g AS g, f.lo AS lo, f.hi AS hi FROM (SELECT unnest([" + ", ".join(f"{{'g': {g!r}::DOUBLE, 'lo': {ALPHAS[max(0, k - 1)]!r}::DOUBLE, 'hi': {ALPHAS[min(8, k + 1)]!r}::DOUBLE}}" for k, g in enumerate(ALPHAS)) + "]) AS f)"
-BV_SQL = "b0 AS (SELECT l_suppkey AS meas_id, l_quantity / 51 AS s, l_extendedprice / 1000 AS y0 FROM lineitem), " + rounds_sql("l", "b0", "meas_id", "sqrt(1000) * pow(s, 1 - g) * pow(1 - s, g)", "y0", "s > 0 AND s < 1", BV_FIRST, "lo + (hi - lo) * ({k} / 11)", "sum(x * y) / sum(x * x)")
+BV_SQL = "b0 AS (SELECT l_suppkey AS meas_id, l_quantity / 51 AS s, l_extendedprice / 1000 AS y0 FROM lineitem), " + rounds_sql("l", "b0", "meas_id", "sqrt(1000) * pow(s, 1 - g) * pow(1 - s, g)", "y0", "s > 0 AND s < 1", BV_FIRST, "lo + (hi - lo) * ({k} / 23)", "sum(x * y) / sum(x * x)")
 
 
 @query(f"WITH {BV_SQL} SELECT meas_id, {sq('g')} AS alpha, {sq('k')} AS scale FROM wl")
