@@ -64,10 +64,34 @@ def test_dashes_and_quotes_part_words():
     assert w.per_text.tolist() == [5, 0] and w.letters.tolist() == [2, 6, 4, 1, 5]
 
 
-def test_dirty_labels_end_learning(spark, monkeypatch):
+def test_many_languages_score_alike(spark, docs, monkeypatch):
+    """Kept sparse, a model labels as the dense one does, in windows of any size; long and empty texts among them."""
+    rng = np.random.default_rng(1)
+    rows = [(k, " ".join("".join(rng.choice(list("abcdeÄжñ"), 4)) for _ in range(30)), f"l{k % 7}") for k in range(60)]
+    known = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    dense = L.learn(known)
     monkeypatch.setattr(L, "MAX_LANGUAGES", 3)
-    with pytest.raises(ValueError, match="languages"):
-        L.learn(spark.createDataFrame([(f"t{k}", f"l{k}") for k in range(4)], "text string, lang string"))
+    monkeypatch.setattr(L, "HELD_LANGUAGES", 2)
+    sparse = L.learn(known)
+    assert isinstance(sparse, L.SparseModel) and sparse.langs == dense.langs
+    texts = [t.encode() for _, t, _ in rows[:20]] + [b"", b"...", "жжжж abc".encode(), (rows[0][1] + " ").encode() * 200]
+    want = L.label(dense, texts, 3.0)
+    for size in (7, 100, 2_000_000):
+        monkeypatch.setattr(L, "WINDOW_SCORES", size)
+        got = L.label(sparse, texts, 3.0)
+        assert got[0] == want[0] and got[2] == want[2] and np.allclose(got[1], want[1])
+
+
+def test_thousands_of_dirty_labels(spark):
+    """Each label's own words are told apart; a batch of whole texts is labelled."""
+    letters = "bcdfghjklmnpqrstvwxz"
+    word = lambda k: "".join(letters[k // 20**j % 20] + "aeiou"[(k // 3 + j) % 5] for j in range(3))
+    rows = [(k, f"{word(k)} {word(k)} {word(k + 9000)} {word(k)}", f"label {k:04d}") for k in range(5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = L.learn(df)
+    assert len(model.langs) == 5000
+    got = {r.doc_id: r.lang_pred for r in L.label_languages(df.filter("doc_id % 25 = 0"), model).collect()}
+    assert len(got) == 200 and sum(got[k] == f"label {k:04d}" for k in got) > 190
 
 
 def grams(text):

@@ -2,8 +2,9 @@
 
 Learning: one pass counts letter trigrams (hashed to 2^16 buckets, word borders included) and the script of
 each word, per language, over all training rows; counts are summed by Spark and become arrays by language and range of
-buckets, of 2^16 + 64 counts a language. What reaches the driver and is broadcast is languages x these, whatever the input, and
-more than MAX_LANGUAGES languages (dirty labels, as a rule) end learning with an error before anything is counted.
+buckets, of 2^16 + 64 counts a language. What reaches the driver and is broadcast is languages x these, whatever the input. More than
+MAX_LANGUAGES languages (dirty labels, as a rule) are kept sparse, some 12 bytes for each bucket that a language has; what they
+score is the same, and paths are then found for one text at a time, in windows of words with a bit per word and language to go back by.
 
 Scripts are ranges of code points; dashes, quotes, symbols and emoji are no letters. Bytes that aren't UTF-8 can't occur in Spark's strings.
 
@@ -23,13 +24,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltlake.llm.common import table
 
 BUCKETS, SCRIPTS, PENALTY, RARE = 1 << 16, 64, 12.0, 0.001
-MAX_LANGUAGES, PART_SLOTS = 1000, 4096
+MAX_LANGUAGES, PART_SLOTS = 200, 4096
+#: Languages whose counts a worker holds before it hands them on; scores that a window of words holds.
+HELD_LANGUAGES, WINDOW_SCORES = 64, 2_000_000
 BATCH_BYTES, GROUP = 4 << 20, 256
 
 _letter = np.zeros(256, np.uint8)  # what a byte counts as: 0 for no letter, else the small letter or the byte itself
@@ -120,6 +124,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 grams, scripts = found.setdefault(lang, (np.zeros(BUCKETS, np.int64), np.zeros(SCRIPTS, np.int64)))
                 grams += np.bincount(w.bucket, minlength=BUCKETS)
                 scripts += np.bincount(w.script, minlength=SCRIPTS)
+            if len(found) > HELD_LANGUAGES:
+                yield from _sparse(found)
+                found.clear()
+    yield from _sparse(found)
+
+
+def _sparse(found: dict[str, tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     for lang, counts in found.items():
         both = np.concatenate(counts)
         slot = np.flatnonzero(both)
@@ -138,19 +149,57 @@ class Model:
         grams, scripts = counts[:, :BUCKETS] + 0.5, counts[:, BUCKETS:]
         self.langs = langs
         self.logp = np.log(grams / grams.sum(1, keepdims=True)).astype(np.float32)
-        share = scripts / np.maximum(1, scripts.sum(1, keepdims=True))
-        barred = share < rare
-        barred[:, barred.all(0)] = False
-        self.barred = np.where(barred, np.float32(-1e6), np.float32(0))
+        self.barred = barred_scripts(scripts, rare)
+
+    def scores(self, w: Words, a: int, b: int) -> np.ndarray:
+        """Of words a to b, by language."""
+        end = w.start[b] if b < len(w.start) else len(w.bucket)
+        own, start = w.bucket[w.start[a] : end], w.start[a:b] - w.start[a]
+        return np.stack([np.add.reduceat(p[own], start) for p in self.logp], 1) + self.barred[:, w.script[a:b]].T
+
+
+def barred_scripts(scripts: np.ndarray, rare: float) -> np.ndarray:
+    """By language and script: what a word in it loses."""
+    barred = scripts / np.maximum(1, scripts.sum(1, keepdims=True)) < rare
+    barred[:, barred.all(0)] = False
+    return np.where(barred, np.float32(-1e6), np.float32(0))
+
 
+class SparseModel:
+    """The same of many languages: a language's log probability of an unseen trigram, and what seen ones have more, by bucket."""
 
-def learn(docs: DataFrame, text="text", lang="lang", rare: float = RARE) -> Model:
+    def __init__(self, langs: list[str], lang: np.ndarray, slot: np.ndarray, n: np.ndarray, rare: float = RARE):
+        self.langs = langs
+        of, gram = lang.astype(np.int64), slot < BUCKETS
+        scripts = np.zeros((len(langs), SCRIPTS))
+        scripts[of[~gram], slot[~gram] - BUCKETS] = n[~gram]
+        self.barred = barred_scripts(scripts, rare)
+        total = np.bincount(of[gram], n[gram], len(langs)) + 0.5 * BUCKETS
+        self.base = np.log(0.5 / total)
+        order = np.lexsort((of[gram], slot[gram]))
+        self.lang, self.more = of[gram][order].astype(np.int32), (np.log(n[gram] + 0.5) - np.log(0.5))[order].astype(np.float32)
+        self.place = np.searchsorted(slot[gram][order], np.arange(BUCKETS + 1))
+
+    def scores(self, w: Words, a: int, b: int) -> np.ndarray:
+        end, k = w.start[b] if b < len(w.start) else len(w.bucket), len(self.langs)
+        own, grams = w.bucket[w.start[a] : end], np.diff(np.append(w.start[a:b], end))
+        word, many = np.repeat(np.arange(b - a), grams), self.place[own + 1] - self.place[own]
+        at = np.repeat(self.place[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        more = np.bincount(np.repeat(word, many) * k + self.lang[at], self.more[at], (b - a) * k).reshape(b - a, k)
+        return more + grams[:, None] * self.base + self.barred[:, w.script[a:b]].T
+
+
+def learn(docs: DataFrame, text="text", lang="lang", rare: float = RARE) -> Model | SparseModel:
     """Counts all rows of ``docs`` with a language."""
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     found = rows.select("lang").distinct().count()
-    if found > MAX_LANGUAGES:
-        raise ValueError(f"{found} languages, at most {MAX_LANGUAGES} can be learned; clean the labels first")
     sums = rows.mapInArrow(_count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    if found > MAX_LANGUAGES:
+        got = sums.toArrow()
+        names = pc.unique(got["lang"]).to_pylist()
+        names.sort()
+        lang = pc.index_in(got["lang"], pa.array(names, pa.string())).to_numpy()
+        return SparseModel(names, lang, got["slot"].to_numpy(), got["n"].to_numpy(), rare)
     sums = sums.withColumn("part", F.floor(F.col("slot") / PART_SLOTS).cast("int"))
     got = sums.groupBy("lang", "part").applyInArrow(_dense, "lang string, part int, counts binary").collect()
     langs = sorted({r.lang for r in got})
@@ -181,19 +230,46 @@ def viterbi(score: np.ndarray, length: np.ndarray, penalty: float) -> np.ndarray
     return path
 
 
-def label(model: Model, texts: list[bytes], penalty: float) -> tuple[list[str], np.ndarray, list[list[dict]]]:
+def path_of(model: Model | SparseModel, w: Words, first: int, last: int, penalty: float) -> np.ndarray:
+    """Best label of each of a text's words, as ``viterbi`` finds it, in windows: what is kept is a bit per word and language, and each word's best language."""
+    k = len(model.langs)
+    size, best, stays, tops = max(1, WINDOW_SCORES // k), None, [], []
+    for a in range(first, last, size):
+        for row in model.scores(w, a, min(last, a + size)):
+            if best is None:
+                best = row
+                continue
+            top = int(best.argmax())
+            stay = best >= best[top] - penalty
+            best = np.where(stay, best, best[top] - penalty) + row
+            stays.append(np.packbits(stay))
+            tops.append(top)
+    path = np.empty(last - first, np.int64)
+    path[-1] = best.argmax()
+    for t in range(last - first - 1, 0, -1):
+        own = path[t]
+        path[t - 1] = own if stays[t - 1][own >> 3] >> (7 - (own & 7)) & 1 else tops[t - 1]
+    return path
+
+
+def label(model: Model | SparseModel, texts: list[bytes], penalty: float) -> tuple[list[str], np.ndarray, list[list[dict]]]:
     """Language, score and spans (start and end word, lang) of each text."""
     w, k = Words(texts), len(model.langs)
     names, share = ["und"] * len(texts), np.zeros(len(texts))
     spans: list[list[dict]] = [[] for _ in texts]
     if not k or not len(w.start):
         return names, share, spans
-    score = np.stack([np.add.reduceat(p[w.bucket], w.start) for p in model.logp], 1) + model.barred[:, w.script].T
     begin = np.concatenate([[0], np.cumsum(w.per_text)])
     order = np.argsort(w.per_text, kind="stable")
     order = order[w.per_text[order] > 0]
     path = np.zeros(len(w.start), np.int64)
     at = len(order)
+    if isinstance(model, SparseModel):
+        for d in order.tolist():
+            path[begin[d] : begin[d + 1]] = path_of(model, w, int(begin[d]), int(begin[d + 1]), penalty)
+        at = 0
+    else:
+        score = model.scores(w, 0, len(w.start))
     while at:  # longest first; as many texts as keep the padded block small
         steps = int(w.per_text[order[at - 1]])
         few = order[max(0, at - max(1, min(GROUP, 2_000_000 // (steps * k)))) : at]
@@ -204,14 +280,13 @@ def label(model: Model, texts: list[bytes], penalty: float) -> tuple[list[str],
         block = np.where(inside[..., None], score[np.minimum(begin[few] + t, len(score) - 1)], 0)
         got = viterbi(block, n, penalty)
         path[(begin[few] + t)[inside]] = got[inside]
-    weight = np.zeros((len(texts), k))
-    np.add.at(weight, (w.text, path), w.letters)
-    total = weight.sum(1)
+    total = np.bincount(w.text, w.letters, len(texts))
     for d in np.flatnonzero(total):
         x = texts[d]
         if x.isascii() or _ASCII_LETTER.search(x) or any(c.isalpha() for c in x.decode()):  # marks and digits of other scripts alone are no letters
-            names[d], share[d] = model.langs[int(weight[d].argmax())], weight[d].max() / total[d]
             own = path[begin[d] : begin[d + 1]]
+            weight = np.bincount(own, w.letters[begin[d] : begin[d + 1]])
+            names[d], share[d] = model.langs[int(weight.argmax())], weight.max() / total[d]
             cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
             spans[d] = [{"start": i, "end": j, "lang": model.langs[own[i]]} for i, j in zip(cuts, cuts[1:], strict=False)]
     return names, share, spans
@@ -226,7 +301,7 @@ def label_languages(docs: DataFrame, model: Model, doc_id="doc_id", text="text",
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        limit = max(1 << 16, BATCH_BYTES // max(1, len(held.value.langs) // 4))
+        limit = max(1 << 16, BATCH_BYTES // max(1, min(MAX_LANGUAGES, len(held.value.langs)) // 4))
         for batch in batches:
             for at, texts in _batches(batch, 1, limit):
                 names, share, spans = label(held.value, texts, penalty)
