@@ -36,8 +36,3 @@ def test_same_as_sql(spark, duck, name):
     names = [d[0] for d in cur.description]
     assert sorted(df.columns) == sorted(names)
     assert rows(df.columns, df.collect()) == rows(names, cur.fetchall())
-
-
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
-def test_runs(spark, name):
-    assert registry.queries()[name](spark, DATA).count() > 0
