@@ -11,7 +11,6 @@ import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from voltlake.operators.segments import seg_filter, segment_by_change, state_sign
 from voltlake.operators.storage import qualified, staged
