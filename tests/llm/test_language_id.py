@@ -3,7 +3,6 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from voltlake.llm import language_id as L
