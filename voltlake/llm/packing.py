@@ -69,8 +69,8 @@ class WordEncoder:
             if not token.startswith("<|") and (rank := ranks.get(raw(token))) is not None:
                 self.ids[rank], self.ends[rank] = number, token.endswith(WORD_END)
 
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words that aren't known yet; the short ones are kept as well."""
+    def learn(self, words: list[str]) -> list[str]:
+        """Takes in words that aren't known yet; returns the long ones, which are to be dropped after use."""
         tails = {w: (w[:-1], w[-1]) for w in words if w[-1] in MARKS and w[:-1].isalpha()}
         new = {x for pair in tails.values() for x in pair}.union(w for w in words if w not in tails).difference(self.known)
         simple, made = [w for w in new if _SIMPLE.fullmatch(w)], {}
@@ -83,12 +83,11 @@ class WordEncoder:
             few = rest[at : at + 1000]
             coded = self.tokenizer.encode_batch_fast(few, add_special_tokens=False)
             made.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(few, coded, strict=True))
-        get = lambda w: made[w] if w in made else self.known[w]
-        made.update((w, get(a) + get(b)) for w, (a, b) in tails.items())
-        short = {w: x for w, x in made.items() if len(w) <= KEPT_CHARS}
-        self.known.update(short)
-        self.held += sum(len(w) + len(x) + ENTRY_BYTES for w, x in short.items())
-        return made
+        self.known.update(made)
+        self.known.update((w, self.known[a] + self.known[b]) for w, (a, b) in tails.items())
+        both = [*made, *tails]
+        self.held += sum(5 * len(w) + ENTRY_BYTES for w in both if len(w) <= KEPT_CHARS)
+        return [w for w in both if len(w) > KEPT_CHARS]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Per text its ids and the end id."""
@@ -96,10 +95,12 @@ class WordEncoder:
         if self.held > CACHE_BYTES:
             self.known, self.held = {}, 0
         new = set(chain.from_iterable(parts)).difference(self.known)
-        made = self.learn(list(new)) if new else {}
-        known, end = self.known, np.array([END_ID], "<u4").tobytes()
-        get = lambda w: known[w] if w in known else made[w]
-        return [np.frombuffer(b"".join(chain(map(get, p), (end,))), "<u4") for p in parts]
+        long = self.learn(list(new)) if new else []
+        get, end = self.known.__getitem__, np.array([END_ID], "<u4").tobytes()
+        out = [np.frombuffer(b"".join(chain(map(get, p), (end,))), "<u4") for p in parts]
+        for w in long:
+            self.known.pop(w, None)
+        return out
 
 
 def _byte_letters() -> dict[str, int]:
@@ -236,7 +237,9 @@ def _packer(path: str, window: int, max_open: int):
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[x.split()[0] for x in PIECES.split(", ")])
 
         placed: list = []
-        for batch in batches:
+        for number, batch in enumerate(batches):
+            if number % 16 == 15:
+                packed.give_back()
             ids = batch.column(0).to_pylist()
             for few in _few(batch.column(1)):
                 texts = [x or "" for x in few[1].to_pylist()]
@@ -247,7 +250,6 @@ def _packer(path: str, window: int, max_open: int):
                 if len(placed) > 2000:
                     yield rows(placed)
                     placed = []
-            packed.give_back()
         placed.extend(packer.settle(True))
         del encoder
         packed.give_back()
