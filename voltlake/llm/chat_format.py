@@ -10,9 +10,9 @@ or ``[``; in roles and texts these two and the backslash are written ``\\l``, ``
 contain a control string or a placeholder, and reading reverses it exactly: parts come back typed, with what ``attachments``
 hold about them; text parts in a row come back as one, empty ones not at all.
 
-Turns are ordered by (turn, role, content); nulls first. Null text or role is ''. Rows with a null
-conversation id form a conversation of their own. A conversation is one row by nature of the format;
-one shuffle on the conversation serves the offsets and the gathering. All of it are DataFrame functions.
+Turns are ordered by (turn, role, content); nulls first. Null text or role is ''. All rows with a null
+conversation id form one conversation. A conversation is one row by nature of the format, of 2 GB at most,
+so where ids are missing from many rows, give them ids or leave them out first; one shuffle on the conversation serves the offsets and the gathering. All of it are DataFrame functions.
 """
 
 from __future__ import annotations
