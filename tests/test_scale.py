@@ -243,3 +243,15 @@ def test_losses_of_models(spark):
         off = [w * abs(soc(e, models["off"]) - x) for _, e, x, w in points]
         want = max(off) if order == math.inf else sum(o**order / (1 + slope(e, models["off"]) ** order) for o, (_, e, _, _) in zip(off, points)) ** (1 / order)
         assert got["true"] < 1e-12 and got["off"] == pytest.approx(want, rel=1e-9)
+
+
+def test_parameters_of_circuits_are_looked_up_once(spark):
+    """However deep the trees, a row's map is searched once for each name."""
+    trees = C.named_circuits("Wo")
+    names = {n for name, t in trees.items() for r in C.tree_rows(name, t) for n in r[4]}
+    df = spark.createDataFrame([("scrf", {n: 1.0 for n in names}, 0.0), ("scrf", {}, 1.0), ("debye", {n: 1.0 for n in names}, 1.0)], "circuit string, params map<string,double>, omega double")
+    out = C.circuit_impedance(df, spark.createDataFrame([r for n, t in trees.items() for r in C.tree_rows(n, t)], C.NODES))
+    assert out._jdf.queryExecution().analyzed().toString().count("try_element_at") <= len(names)
+    got = {(r.circuit, r.omega): (r.re, r.im) for r in out.collect()}
+    assert got["scrf", 0.0] == got["scrf", 1.0] == (None, None)
+    assert got["debye", 1.0] == pytest.approx((0.25 * 2, -0.5 - 1.0))

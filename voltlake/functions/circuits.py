@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from math import pi
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -203,17 +205,69 @@ def trees_of(rows: Iterable[tuple]) -> dict[str, Tree]:
     return {c: build(sorted(nodes), min(n[0] for n in nodes)) for c, nodes in held.items()}
 
 
+def _names(tree: Tree) -> list[str]:
+    return [n for x in tree[1:] for n in (_names(x) if tree[0] in PARTS else [x])]
+
+
+def _held(a: np.ndarray) -> np.ndarray:
+    """NaN, which becomes null, instead of a zero that is divided by."""
+    return np.where(a == 0, np.nan, a)
+
+
+def _inverses(re: np.ndarray, im: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    d = _held(re * re + im * im)
+    return re / d, -im / d
+
+
+def _values(tree: Tree, value: Callable[[str], np.ndarray], omega: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """re and im of a tree over rows of parameters and frequencies: ``impedance`` on arrays."""
+    kind, *rest = tree
+    if kind in PARTS:
+        parts = [_values(x, value, omega) for x in rest]
+        if kind == "parallel":
+            parts = [_inverses(*z) for z in parts]
+        re, im = sum(z[0] for z in parts), sum(z[1] for z in parts)
+        return _inverses(re, im) if kind == "parallel" else (re, im)
+    a, none = [value(name) for name in rest], np.zeros(len(omega))
+    if kind == "R":
+        return a[0], none
+    if kind == "C":
+        return none, -1 / _held(omega * a[0])
+    if kind == "L":
+        return none, omega * a[0]
+    if kind in ("Q", "W"):
+        alpha = a[1] if kind == "Q" else 0.5
+        size = _held(a[0] * omega) ** -alpha
+        return size * np.cos(alpha * pi / 2), -size * np.sin(alpha * pi / 2)
+    half = np.sqrt(omega / 2)
+    double = 2 * a[1] * half
+    d = np.cosh(np.minimum(double, 300.0)) + np.cos(double)
+    re, im = np.sinh(np.minimum(double, 300.0)) / d, np.sin(double) / d
+    if kind == "Wo":
+        re, im = _inverses(re * half - im * half, re * half + im * half)
+        return a[0] * re, a[0] * im
+    back = _held(2 * half * half)
+    return a[0] * (re + im) * half / back, a[0] * (im - re) * half / back
+
+
 def circuit_impedance(df: DataFrame, nodes: DataFrame, circuit: str = "circuit", params: str = "params", omega: str = "omega") -> DataFrame:
-    """Adds re and im to rows of a circuit's name, a map of its parameters and a frequency: one expression for each distinct tree, in one projection.
+    """Adds re and im to rows of a circuit's name, a map of its parameters and a frequency: each tree over a batch's rows of it, in arrays.
 
-    ``nodes`` (NODES) is the circuits as a table, metadata of some rows for each; a name that isn't in it, or a parameter that isn't in the map, gives nulls.
+    ``nodes`` (NODES) is the circuits as a table, metadata of some rows for each; a name that isn't in it, or a parameter that isn't in the map
+    (or is NaN), gives nulls. A row's parameters are looked up once, whatever its tree.
     """
     trees = trees_of(tuple(r) for r in nodes.select("circuit", "node", "parent", "kind", "names").collect())
-    value = lambda name: F.try_element_at(F.col(params), F.lit(name))
-    kinds: dict[Tree, list[str]] = {}
-    for name, tree in trees.items():
-        kinds.setdefault(tree, []).append(name)
-    z = F.lit(None).cast("struct<re:double,im:double>")
-    for tree, names in kinds.items():
-        z = F.when(F.col(circuit).isin(names), impedance(tree, value, F.col(omega))).otherwise(z)
-    return df.withColumn("_z", z).withColumn("re", F.col("_z.re")).withColumn("im", F.col("_z.im")).drop("_z")
+    names = sorted({n for t in trees.values() for n in _names(t)})
+
+    def evaluate(which: pd.Series, w: pd.Series, *found: pd.Series) -> pd.DataFrame:
+        frequency, held = w.to_numpy(float), {n: x.to_numpy(float) for n, x in zip(names, found)}
+        re, im = np.full(len(which), np.nan), np.full(len(which), np.nan)
+        with np.errstate(all="ignore"):
+            for name, at in which.groupby(which).indices.items():
+                if name in trees:
+                    re[at], im[at] = _values(trees[name], lambda n, at=at: held[n][at], frequency[at])
+        return pd.DataFrame({"re": re, "im": im})
+
+    z = F.pandas_udf(evaluate, "re double, im double")
+    looked = [F.try_element_at(F.col(params), F.lit(n)).cast("double") for n in names]
+    return df.withColumn("_z", z(F.col(circuit), F.col(omega).cast("double"), *looked)).withColumn("re", F.col("_z.re")).withColumn("im", F.col("_z.im")).drop("_z")

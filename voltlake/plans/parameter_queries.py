@@ -600,7 +600,8 @@ def circuit_impedance(spark, sf):
     nodes = spark.createDataFrame([r for n, t in trees.items() for r in C.tree_rows(n, t)], C.NODES)
     own = {"R_1": 1.0 + F.col("p_size"), "R_CT": 1.0 + F.col("p_size"), "sigma": F.col("p_retailprice") / 1000}
     params = F.create_map(*[x for k, v in (fixed | own).items() for x in (F.lit(k), v if isinstance(v, Column) else F.lit(v))])
-    p = table(spark, sf, "part").select("p_partkey", params.alias("params"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
+    parts = table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")  # fifty rows come of each
+    p = parts.select("p_partkey", params.alias("params"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
     p = p.withColumn("omega", F.pow(F.lit(10.0), F.col("k") - 2)).withColumn("circuit", F.explode(F.array(*[F.lit(n) for n in trees])))
     return C.circuit_impedance(p, nodes).select("p_partkey", "circuit", "k", sig("re").alias("re"), sig("im").alias("im"))
 
