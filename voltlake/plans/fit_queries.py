@@ -24,9 +24,9 @@ def query(sql: str | None = None):
 
 
 def sig(column):
-    """Six significant digits; the nudge keeps exact halves, which engines round differently, from deciding."""
+    """Six significant digits; the nudge keeps exact halves, which engines round differently, from deciding. Null (which is written as a word) stays null."""
     c = F.col(column) if isinstance(column, str) else column
-    return F.format_string("%.5e", c * 1.000000000001).cast("double")
+    return F.format_string("%.5e", c * 1.000000000001).try_cast("double")
 
 
 def sq(expression: str) -> str:
