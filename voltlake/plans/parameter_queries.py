@@ -372,7 +372,7 @@ def verify_recovery(spark, sf):
 
 
 CURVE_SQL = """kn AS (SELECT meas_id, seg_pos AS x, ln(u1) AS y, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY meas_id) AS n, lead(seg_pos) OVER w AS x1, lead(ln(u1)) OVER w AS y1,
-  lag(seg_pos) OVER w AS x_, lag(ln(u1)) OVER w AS y_ FROM ends WINDOW w AS (PARTITION BY meas_id ORDER BY seg_pos)),
+  lag(seg_pos) OVER w AS x_, lag(ln(u1)) OVER w AS y_ FROM ends WHERE u1 > 0 WINDOW w AS (PARTITION BY meas_id ORDER BY seg_pos)),
 sw AS (SELECT meas_id, CAST(0 AS BIGINT) AS i, n, CAST(0 AS DOUBLE) AS c, CAST(0 AS DOUBLE) AS d FROM kn WHERE i = 0
   UNION ALL SELECT k.meas_id, k.i, k.n, (x1 - x) / (2 * (x1 - x_) - (x - x_) * c), (6 * ((y1 - y) / (x1 - x) - (y - y_) / (x - x_)) - (x - x_) * d) / (2 * (x1 - x_) - (x - x_) * c)
   FROM sw JOIN kn k ON k.meas_id = sw.meas_id AND k.i = sw.i + 1 WHERE k.i < k.n - 1),
