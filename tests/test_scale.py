@@ -255,3 +255,30 @@ def test_parameters_of_circuits_are_looked_up_once(spark):
     got = {(r.circuit, r.omega): (r.re, r.im) for r in out.collect()}
     assert got["scrf", 0.0] == got["scrf", 1.0] == (None, None)
     assert got["debye", 1.0] == pytest.approx((0.25 * 2, -0.5 - 1.0))
+
+
+def test_draws_are_not_broadcast(spark):
+    """Draws are estimated by the small table that they come of."""
+    from voltlake.plans import registry
+
+    assert "BroadcastExchange" not in registry.queries()["prior_draws"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stacks_of_runs(spark):
+    """Runs of one and of three parameters, an indefinite one and one without a mean, in one batch."""
+    rng = np.random.default_rng(2)
+    mats = {1: np.array([[4.0]]), 2: (lambda a: a @ a.T + np.eye(3))(rng.standard_normal((3, 3))), 3: np.diag([1.0, -1.0]), 4: np.eye(2)}
+    q = spark.createDataFrame([(k, i, j, float(m[i, j])) for k, m in mats.items() for i in range(len(m)) for j in range(len(m))], "run_id long, i int, j int, q double")
+    r = spark.createDataFrame([(k, i, 1.0 + i) for k, m in mats.items() if k != 4 for i in range(len(m))], "run_id long, i int, r double")
+    white = {}
+    for x in parameters.whitening(q, r).collect():
+        white.setdefault(x.run_id, {})[x.i, x.j] = x
+    assert sorted(white) == [1, 2]
+    for k, cells in white.items():
+        d = len(mats[k])
+        m = np.array([[cells[i, j].m for j in range(d)] for i in range(d)])
+        assert np.allclose(m @ m.T, np.linalg.inv(mats[k])) and np.allclose([cells[i, 0].mean_i for i in range(d)], np.linalg.solve(mats[k], 1.0 + np.arange(d)))
+    moments = spark.createDataFrame([(1, 0, 0, 2.0, 0.5), (3, 0, 0, 1.0, 1.0), (3, 0, 1, 1.0, 1.0), (3, 1, 1, 1.0, 1.0)], "run_id long, i int, j int, mean_i double, cov double")
+    got = {(x.run_id, x.what, x.i, x.j): x.value for x in parameters.ep_site_update(moments, q, r, None, None, 0.5).collect()}
+    assert got[1, "Q", 0, 0] == pytest.approx(3.0) and got[1, "r", 0, 0] == pytest.approx(2.5) and got[1, "site Q", 0, 0] == pytest.approx(-1.0)
+    assert all(got[2, "Q", i, j] == mats[2][i, j] for i in range(3) for j in range(3)) and got[3, "Q", 1, 1] == -1.0 and got[3, "site Q", 0, 0] == 0.0
