@@ -56,14 +56,20 @@ def ocv_model_d2(e: Column, plateaus: Sequence[Plateau]) -> Column:
     return _sum([dx * k * k * x * (x - 1) / ((1 + x) * (1 + x) * (1 + x)) for x, k, dx in _terms(e, plateaus, slope_unit())])
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body's value for a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def bisect(f: Callable[[Column], Column], low: float, high: float, steps: int = 50) -> Column:
     """Where f, falling from above 0 to below, crosses 0 between low and high; null if it doesn't."""
     start = F.struct(F.lit(low).alias("a"), F.lit(high).alias("b"))
 
     def step(s: Column, _: Column) -> Column:
-        mid = (s["a"] + s["b"]) / 2
-        above = f(mid) > 0
-        return F.struct(F.when(above, mid).otherwise(s["a"]).alias("a"), F.when(above, s["b"]).otherwise(mid).alias("b"))
+        def halved(mid: Column) -> Column:
+            return F.when(f(mid) > 0, F.struct(mid.alias("a"), s["b"].alias("b"))).otherwise(F.struct(s["a"].alias("a"), mid.alias("b")))
+
+        return _once((s["a"] + s["b"]) / 2, halved)
 
     root = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda s: (s["a"] + s["b"]) / 2)
     return F.when((f(F.lit(low)) >= 0) & (f(F.lit(high)) <= 0), root)
@@ -75,13 +81,12 @@ def ocv_model_inverse(soc: Column, plateaus: Sequence[Plateau], low: float, high
 
 
 def ocv_inverse_d1(soc: Column, plateaus: Sequence[Plateau], low: float, high: float) -> Column:
-    return 1 / ocv_model_d1(ocv_model_inverse(soc, plateaus, low, high), plateaus)
+    return 1 / _once(ocv_model_inverse(soc, plateaus, low, high), lambda e: ocv_model_d1(e, plateaus))
 
 
 def ocv_inverse_d2(soc: Column, plateaus: Sequence[Plateau], low: float, high: float) -> Column:
-    e = ocv_model_inverse(soc, plateaus, low, high)
-    d1 = ocv_model_d1(e, plateaus)
-    return -ocv_model_d2(e, plateaus) / (d1 * d1 * d1)
+    rise = lambda e: _once(ocv_model_d1(e, plateaus), lambda d1: -ocv_model_d2(e, plateaus) / (d1 * d1 * d1))
+    return _once(ocv_model_inverse(soc, plateaus, low, high), rise)
 
 
 def ocv_a_from_gamma(gamma: Column) -> Column:
