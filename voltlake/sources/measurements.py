@@ -130,10 +130,15 @@ def write_parquet(df: DataFrame, path: str, level: int = 3) -> None:
     ordered.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
 
 
-def write_segments(df: DataFrame, folder: str, level: int = 3) -> DataFrame:
+#: Row groups of a file: a writer holds what it has to say of each until its file is closed.
+FILE_GROUPS = 4096
+
+
+def write_segments(df: DataFrame, folder: str, level: int = 3, file_groups: int = FILE_GROUPS) -> DataFrame:
     """uri, groups, rows of Parquet files in which each segment is one row group, so that readers fetch segments alone.
 
-    ``df``: meas_id, seg_pos, pt and further columns. A task holds one segment at a time. Files of repeated attempts aren't in the result.
+    ``df``: meas_id, seg_pos, pt and further columns. A task holds one segment and the footer of one file at a time, of at most ``file_groups`` groups.
+    Files of repeated attempts aren't in the result.
     """
     place = qualified(df.sparkSession, folder)
     ordered = df.repartition("meas_id", "seg_pos").sortWithinPartitions("meas_id", "seg_pos", "pt")
@@ -141,17 +146,24 @@ def write_segments(df: DataFrame, folder: str, level: int = 3) -> DataFrame:
     def run(batches):
         system, path, _ = located(place)
         system.create_dir(path, recursive=True)
-        name = f"part-{uuid.uuid4().hex}.parquet"
-        held, out, key, groups, rows = [], None, None, 0, 0
+        name, held, out, key, groups, rows = None, [], None, None, 0, 0
 
         def flush():
-            nonlocal out, groups, rows
+            nonlocal name, out, groups, rows
             table = pa.Table.from_batches(held)
-            out = out or pq.ParquetWriter(f"{path}/{name}", table.schema, filesystem=system, compression="zstd", compression_level=level)
+            if out is None:
+                name, groups, rows = f"part-{uuid.uuid4().hex}.parquet", 0, 0
+                out = pq.ParquetWriter(f"{path}/{name}", table.schema, filesystem=system, compression="zstd", compression_level=level)
             out.write_table(table, row_group_size=max(1, table.num_rows))
             groups, rows = groups + 1, rows + table.num_rows
             held.clear()
 
+        def closed():
+            nonlocal out
+            out.close()
+            out = None
+            return pa.RecordBatch.from_pydict({"uri": [f"{place}/{name}"], "groups": [groups], "rows": [rows]})
+
         for batch in batches:
             keys = list(zip(batch["meas_id"].to_pylist(), batch["seg_pos"].to_pylist(), strict=True))
             cuts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
@@ -160,17 +172,58 @@ def write_segments(df: DataFrame, folder: str, level: int = 3) -> DataFrame:
                     continue
                 if held and keys[a] != key:
                     flush()
+                    if groups >= file_groups:
+                        yield closed()
                 key = keys[a]
                 held.append(batch.slice(a, b - a))
         if held:
             flush()
         if out:
-            out.close()
-            yield pa.RecordBatch.from_pydict({"uri": [f"{place}/{name}"], "groups": [groups], "rows": [rows]})
+            yield closed()
 
     return staged(ordered.mapInArrow(run, "uri string, groups long, rows long"), "manifest")
 
 
+def write_lines(df: DataFrame, folder: str, key: str, order: str, header: str, columns: Sequence[str], delimiter: str = "\t") -> DataFrame:
+    """file, lines of text files, one for each value of ``key`` by the name ``<key>=<value>.csv``, all in one folder: the header, then the rows' columns by rising ``order``.
+
+    A task streams one file at a time. A file gets its name when it is whole, so repeated attempts replace it by the same.
+    """
+    place = qualified(df.sparkSession, folder)
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+    lines = df.select(F.col(key).cast("string").alias("key"), F.col(order).alias("order"), F.concat_ws(delimiter, *cells).alias("line"))
+    lines = lines.repartition("key").sortWithinPartitions("key", "order").select("key", "line")
+
+    def run(batches):
+        system, path, _ = located(place)
+        system.create_dir(path, recursive=True)
+        out, own, held, n = None, None, "", 0
+
+        def closed():
+            out.close()
+            system.move(held, f"{path}/{key}={own}.csv")
+            return pa.RecordBatch.from_pydict({"file": [f"{place}/{key}={own}.csv"], "lines": [n]})
+
+        for batch in batches:
+            keys, texts = batch["key"].to_pylist(), batch["line"].to_pylist()
+            cuts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if out is None or keys[a] != own:
+                    if out is not None:
+                        yield closed()
+                    own, held, n = keys[a], f"{path}/.{uuid.uuid4().hex}", 0
+                    out = system.open_output_stream(held)
+                    out.write(f"{header}\n".encode())
+                out.write("".join(f"{x}\n" for x in texts[a:b]).encode())
+                n += b - a
+        if out is not None:
+            yield closed()
+
+    return staged(lines.mapInArrow(run, "file string, lines long"), "manifest")
+
+
 def read_parquet(spark: SparkSession, path: str, known: Sequence[str] = ("meas_id", "seg_pos", "pt", "t", "i", "u")) -> tuple[DataFrame, list[str]]:
     """The measurement, and the names of its further columns."""
     df = spark.read.parquet(path)
