@@ -762,10 +762,11 @@ num AS (SELECT *, CAST(sum(c) OVER (PARTITION BY meas_id ORDER BY pt ROWS UNBOUN
 
 
 def _user_files(spark, sf, *columns):
-    """Points of each user as a file of its own, in order."""
+    """Points of each user as a file of its own, in order, all in one folder."""
     path = new_path(spark, "cycler")
     p = raw_points(spark, sf).select("pt", *columns, F.col("meas_id").alias("cell"))
-    p.repartition("cell").sortWithinPartitions("cell", "pt").drop("pt").write.option("header", True).option("sep", ";").partitionBy("cell").csv(path)
+    names = [c for c in p.columns if c not in ("pt", "cell")]
+    M.write_lines(p, path, "cell", "pt", ";".join(names), names, ";")
     return path
 
 
@@ -775,7 +776,7 @@ def src_instrument_cycling(spark, sf):
     comma = lambda c, k: F.replace((F.col(c) * k).cast("decimal(30,10)").cast("string"), F.lit("."), F.lit(",")).alias(c)
     path = _user_files(spark, sf, comma("t", 1.0), comma("raw", 1000.0), comma("u", 1.0), "state")
     d = M.read_instrument(spark, path, {0: "t [s]", 1: "I [mA]", 2: "U [V]"}, skip=1, delimiter=";", symbol=",", segment_column=3, segments=[0, 2, 3], state_column=3, signs=SIGNS, flip_voltage=True)
-    cell = F.regexp_extract("file", "cell=([0-9]+)/", 1).cast("long")
+    cell = F.regexp_extract("file", "cell=([0-9]+)[.]csv", 1).cast("long")
     return d.select(cell.alias("meas_id"), "seg_pos", "pt", F.round("t", 3).alias("t"), (F.round("i", 6) + 0.0).alias("i"), (F.round("u", 6) + 0.0).alias("u"))
 
 
@@ -784,7 +785,7 @@ def src_instrument_impedance(spark, sf):
     """One read of impedance files: both parts flipped, the imaginary one back again, at most twenty lines of each."""
     path = _user_files(spark, sf, (F.col("t") + 1).alias("f"), F.col("u").alias("re"), (F.col("u") / 2).alias("im"))
     d = M.read_instrument(spark, path, {0: "f [Hz]", 1: "real [Ω]", 2: "imag [Ω]"}, skip=1, delimiter=";", limit=20, datatype="impedance", flip_voltage=True, flip_imaginary=True)
-    cell = F.regexp_extract("file", "cell=([0-9]+)/", 1).cast("long")
+    cell = F.regexp_extract("file", "cell=([0-9]+)[.]csv", 1).cast("long")
     return d.select(cell.alias("meas_id"), "seg_pos", "pt", F.round("f", 3).alias("f"), (F.round("re", 6) + 0.0).alias("re"), (F.round("im", 6) + 0.0).alias("im"))
 
 
