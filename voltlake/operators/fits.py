@@ -1,16 +1,21 @@
 """Grouped fits in closed form: for each candidate rate a linear regression, then the best candidate, in rounds that narrow a bracket.
 
-Sums per (segment, candidate) are partial before the shuffle, so what moves is a few numbers per segment and candidate, whatever the length of a
-segment. A round's brackets are one small row per segment, joined back to the points (broadcast where adaptive execution finds them small).
+Points of a short segment are fewer bytes than its candidates' sums: they are brought together once, a row per segment, and all rounds run over
+arrays of a batch of such rows. Sums per (long segment, candidate) are partial before the shuffle, so what moves is a few numbers per segment and
+candidate, whatever its length; a round's brackets are one small row per segment, joined back to the points (broadcast where adaptive execution finds them small).
 Leading stretches are fitted from prefix moments: running sums inside slices of a segment, and a prefix over the slices.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from types import ModuleType
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from voltlake.operators.joins import pair_pulse_rest
@@ -22,6 +27,10 @@ LEAST_POINTS = 4
 ROUNDS, FINE = 3, 24
 #: Squares within this share of the least, or of those of y, count as equal: what is left then is rounding.
 TIE, EXACT = 1e-9, 1e-11
+#: Points of a segment that is fitted in one row; points of the rows that arrays hold at once.
+SHORT, AT_ONCE = 1024, 1 << 18
+#: Long segments whose keys are broadcast.
+BROADCAST = 100_000
 
 
 def since_start(df: DataFrame) -> DataFrame:
@@ -31,65 +40,186 @@ def since_start(df: DataFrame) -> DataFrame:
     return d.withColumn("span", F.col("_t1") - F.col("_t0")).drop("_t0", "_t1")
 
 
-Reducer = Callable[[DataFrame, Sequence[str]], DataFrame]
+#: regressor(m, g, c): the regressor of candidate g, c(name) being a column; m is the functions of Spark, or NumPy where columns are arrays.
+Regressor = Callable[[ModuleType, object, Callable[[str], object]], object]
 
 
-def bracketed(df: DataFrame, keys: Sequence[str], grid: Sequence[float], regressor: Callable[[Column], Column], y: Column, reducer: Reducer, fields: Sequence[str], log: bool, rounds: int) -> DataFrame:
-    """keys, g, and fields of the reducer, for the g with the least sse: first of the grid, then ``rounds`` times of FINE values between the best one's neighbours.
+class Linear:
+    """b, c, sse, syy of _y = b + c * _x."""
 
-    Spaced evenly in the logarithm or plainly. Of values whose squares are equal (TIE, EXACT) the first is taken, so where the data
-    can't tell rates beyond some value apart, that value comes out: a lower bound.
-    """
-    d = df.withColumn("_y", y)
-    near = [(g, grid[max(0, k - 1)], grid[min(len(grid) - 1, k + 1)]) for k, g in enumerate(grid)]
-    tries = F.array(*[F.struct(F.lit(float(g)).alias("g"), F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi")) for g, lo, hi in near])
-    at = lambda k: F.col("lo") * F.pow(F.col("hi") / F.col("lo"), k / (FINE - 1)) if log else F.col("lo") + (F.col("hi") - F.col("lo")) * (k / (FINE - 1))
-    finer = F.array(*[F.struct(at(k).alias("g"), at(max(0, k - 1)).alias("lo"), at(min(FINE - 1, k + 1)).alias("hi")) for k in range(FINE)])
-    found = None
-    for _ in range(rounds + 1):
-        if found is None:
-            tried = d.withColumn("_c", F.explode(tries))
-        else:
-            tried = d.join(found.select(*keys, finer.alias("_f")), list(keys)).withColumn("_c", F.explode("_f")).drop("_f")
-        tried = tried.select(*df.columns, "_y", F.col("_c.g").alias("g"), F.col("_c.lo").alias("lo"), F.col("_c.hi").alias("hi")).withColumn("_x", regressor(F.col("g")))
-        held = reducer(tried, [*keys, "g", "lo", "hi"]).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("g", "lo", "hi", "sse", "syy", *[f for f in fields if f not in ("sse", "syy")]))).alias("_c"))
-        held = held.withColumn("_least", F.array_min(F.transform("_c", lambda x: x["sse"])))
-        first = F.get(F.filter("_c", lambda x: x["sse"] <= F.col("_least") * (1 + TIE) + EXACT * x["syy"]), F.lit(0))
-        found = held.select(*keys, first.alias("_b")).select(*keys, "_b.*")
-    return found.select(*keys, "g", *fields)
+    fields, whole = ("b", "c", "sse", "syy"), True
+
+    def sums(self, df: DataFrame, keys: Sequence[str]) -> DataFrame:
+        per = df.groupBy(*keys).agg(
+            F.regr_intercept("_y", "_x").alias("b"), F.regr_slope("_y", "_x").alias("c"),
+            F.regr_sxx("_y", "_x").alias("sxx"), F.regr_sxy("_y", "_x").alias("sxy"), F.regr_syy("_y", "_x").alias("syy"), F.count("_x").alias("n"),
+        )
+        per = per.filter((F.col("n") >= LEAST_POINTS) & (F.col("sxx") > 0))
+        return per.withColumn("sse", F.greatest(F.lit(0.0), F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx")))
+
+    def arrays(self, y: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Callable[[np.ndarray], tuple[np.ndarray, ...]]:
+        def centred(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            first = v[starts]  # so that equal values have no squares at all
+            off = v - np.repeat(first, sizes)
+            mean = np.add.reduceat(off, starts) / sizes
+            return off - np.repeat(mean, sizes), first + mean
+
+        v, ym = centred(y)
+        syy = np.add.reduceat(v * v, starts)
+
+        def fit(x: np.ndarray) -> tuple[np.ndarray, ...]:
+            u, xm = centred(x)
+            sxx, sxy = np.add.reduceat(u * u, starts), np.add.reduceat(u * v, starts)
+            c = sxy / sxx
+            return sxx, ym - c * xm, c, np.maximum(0.0, syy - sxy * sxy / sxx), syy
+
+        return fit
 
 
-def linear(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, b, c, sse, syy of _y = b + c * _x."""
-    per = df.groupBy(*keys).agg(
-        F.regr_intercept("_y", "_x").alias("b"), F.regr_slope("_y", "_x").alias("c"),
-        F.regr_sxx("_y", "_x").alias("sxx"), F.regr_sxy("_y", "_x").alias("sxy"), F.regr_syy("_y", "_x").alias("syy"), F.count("_x").alias("n"),
-    )
-    per = per.filter((F.col("n") >= LEAST_POINTS) & (F.col("sxx") > 0))
-    return per.withColumn("sse", F.greatest(F.lit(0.0), F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx")))
+class Origin:
+    """k, sse, syy of _y = k * _x with k clipped to [low, high]."""
 
+    fields, whole = ("k", "sse", "syy"), False
 
-def through_origin(low: float, high: float) -> Reducer:
-    """keys, k, sse, syy of _y = k * _x with k clipped to [low, high]."""
+    def __init__(self, low: float, high: float):
+        self.low, self.high = low, high
 
-    def per(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    def sums(self, df: DataFrame, keys: Sequence[str]) -> DataFrame:
         x, v = F.col("_x"), F.col("_y")
         d = df.groupBy(*keys).agg(F.sum(x * v).alias("sxy"), F.sum(x * x).alias("sxx"), F.sum(v * v).alias("syy"), F.count(x).alias("n"))
         d = d.filter((F.col("n") >= LEAST_POINTS) & (F.col("sxx") > 0))
-        d = d.withColumn("k", F.least(F.greatest(F.col("sxy") / F.col("sxx"), F.lit(low)), F.lit(high)))
+        d = d.withColumn("k", F.least(F.greatest(F.col("sxy") / F.col("sxx"), F.lit(self.low)), F.lit(self.high)))
         return d.withColumn("sse", F.greatest(F.lit(0.0), F.col("syy") - 2 * F.col("k") * F.col("sxy") + F.col("k") * F.col("k") * F.col("sxx")))
 
-    return per
+    def arrays(self, y: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Callable[[np.ndarray], tuple[np.ndarray, ...]]:
+        syy = np.add.reduceat(y * y, starts)
 
+        def fit(x: np.ndarray) -> tuple[np.ndarray, ...]:
+            sxx, sxy = np.add.reduceat(x * x, starts), np.add.reduceat(x * y, starts)
+            k = np.fmin(np.maximum(sxy / sxx, self.low), self.high)
+            return sxx, k, np.maximum(0.0, syy - 2 * k * sxy + k * k * sxx), syy
 
-def grid_fit(df: DataFrame, keys: Sequence[str], grid: Sequence[float], regressor: Callable[[Column], Column], y: Column, rounds: int = ROUNDS) -> DataFrame:
-    """keys, g, b, c, sse: y = b + c * regressor(g), for the g with the least squares."""
-    return bracketed(df, keys, grid, regressor, y, linear, ["b", "c", "sse"], True, rounds)
+        return fit
 
 
-def origin_fit(df: DataFrame, keys: Sequence[str], grid: Sequence[float], regressor: Callable[[Column], Column], y: Column, low: float, high: float, rounds: int = ROUNDS) -> DataFrame:
-    """keys, g, k, sse, syy: y = k * regressor(g) with k clipped to [low, high]."""
-    return bracketed(df, keys, grid, regressor, y, through_origin(low, high), ["k", "sse", "syy"], False, rounds)
+def tries_of(grid: Sequence[float]) -> list[tuple[float, float, float]]:
+    """(g, lo, hi) of the first round: each value and its neighbours."""
+    return sorted((float(g), float(grid[max(0, k - 1)]), float(grid[min(len(grid) - 1, k + 1)])) for k, g in enumerate(grid))
+
+
+def between(m: ModuleType, lo, hi, k: int, log: bool):
+    """The k-th of FINE values from lo to hi, evenly in the logarithm or plainly."""
+    return lo * m.power(hi / lo, k / (FINE - 1)) if log else lo + (hi - lo) * (k / (FINE - 1))
+
+
+def bracketed(df: DataFrame, keys: Sequence[str], grid: Sequence[float], regressor: Regressor, reducer: Linear | Origin, log: bool, rounds: int, short: int = SHORT) -> DataFrame:
+    """keys, g, and fields of the reducer, for the g with the least sse: first of the grid, then ``rounds`` times of FINE values between the best one's neighbours.
+
+    Spaced evenly in the logarithm or plainly. Of values whose squares are equal (TIE, EXACT) the first is taken, so where the data
+    can't tell rates beyond some value apart, that value comes out: a lower bound.
+    df (keys, what the regressor takes of each point, _y) is staged, as its keys' points are counted first: keys of more than ``short`` points
+    are fitted by partial sums, all others in a row each.
+    """
+    df = df.filter(" and ".join(f"{k} is not null" for k in keys))
+    how = (keys, grid, regressor, reducer, log, rounds)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    some, every, n = counts.agg(F.max("_n") > short, F.min("_n") > short, F.count_if(F.col("_n") > short)).first()
+    if not some:
+        return by_rows(df, *how)
+    if every:
+        return by_sums(df, *how)
+    long = counts.filter(F.col("_n") > short).select(*keys)
+    long = F.broadcast(long) if n <= BROADCAST else long
+    both = by_rows(df.join(long, list(keys), "left_anti"), *how)
+    return both.unionByName(by_sums(staged(df.join(long, list(keys), "left_semi"), "long"), *how))
+
+
+def by_sums(d: DataFrame, keys: Sequence[str], grid: Sequence[float], regressor: Regressor, reducer: Linear | Origin, log: bool, rounds: int) -> DataFrame:
+    """``bracketed`` by partial sums of each candidate."""
+    tries = F.array(*[F.struct(F.lit(g).alias("g"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for g, lo, hi in tries_of(grid)])
+    at = lambda k: between(F, F.col("lo"), F.col("hi"), k, log)
+    finer = F.array(*[F.struct(at(k).alias("g"), at(max(0, k - 1)).alias("lo"), at(min(FINE - 1, k + 1)).alias("hi")) for k in range(FINE)])
+    others, found = [f for f in reducer.fields if f not in ("sse", "syy")], None
+    for _ in range(rounds + 1):
+        if found is None:
+            tried = d.withColumn("_c", F.explode(tries))
+        else:
+            tried = d.join(found.select(*keys, finer.alias("_f")), list(keys)).withColumn("_c", F.explode("_f")).drop("_f")
+        tried = tried.select(*d.columns, F.col("_c.g").alias("g"), F.col("_c.lo").alias("lo"), F.col("_c.hi").alias("hi")).withColumn("_x", regressor(F, F.col("g"), F.col))
+        held = reducer.sums(tried, [*keys, "g", "lo", "hi"]).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("g", "lo", "hi", "sse", "syy", *others))).alias("_c"))
+        held = held.withColumn("_least", F.array_min(F.transform("_c", lambda x: x["sse"])))
+        first = F.get(F.filter("_c", lambda x: x["sse"] <= F.col("_least") * (1 + TIE) + EXACT * x["syy"]), F.lit(0))
+        found = held.select(*keys, first.alias("_b")).filter("_b is not null").select(*keys, "_b.*")
+    return found.select(*keys, "g", *reducer.fields)
+
+
+def by_rows(d: DataFrame, keys: Sequence[str], grid: Sequence[float], regressor: Regressor, reducer: Linear | Origin, log: bool, rounds: int) -> DataFrame:
+    """``bracketed`` of keys with few points: a row of points each, and every round over arrays of a batch of rows."""
+    points = [c for c in d.columns if c not in keys]
+    rows = d.groupBy(*keys).agg(F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in points])).alias("_p"))
+    schema = T.StructType([d.schema[k] for k in keys] + [T.StructField(f, T.DoubleType()) for f in ("g", *reducer.fields)])
+    tries = tries_of(grid)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts = batch.column("_p").offsets.to_numpy()[:-1]
+            cuts = [0, *(np.flatnonzero(np.diff(starts // AT_ONCE)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if b > a:
+                    at, found = best_of_rows(batch.slice(a, b - a), keys, points, tries, regressor, reducer, log, rounds)
+                    kept = [batch.column(k).slice(a, b - a).take(pa.array(at)) for k in keys]
+                    yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, found)], names=schema.names)
+
+    return rows.select(*keys, "_p").mapInArrow(run, schema)
+
+
+def best_of_rows(batch: pa.RecordBatch, keys: Sequence[str], points: Sequence[str], tries: Sequence[tuple], regressor: Regressor, reducer: Linear | Origin, log: bool, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that have a fit, and their g and fields; nulls, NaN and ties as in ``by_sums``."""
+    packed = batch.column("_p")
+    held = dict(zip(points, packed.flatten().flatten()))
+    there = {c: v.is_valid().to_numpy(zero_copy_only=False) for c, v in held.items()}
+    row = np.repeat(np.arange(batch.num_rows), np.diff(packed.offsets.to_numpy()))
+    full = np.logical_and.reduce([there[c] for c in points if c != "_y"])
+    count = lambda which: np.bincount(row[which], minlength=batch.num_rows)
+    enough = (count(full) >= LEAST_POINTS) & (count(full & there["_y"]) > 0)
+    kept = np.flatnonzero(full & enough[row] & (there["_y"] | (not reducer.whole)))
+    rows = np.flatnonzero(enough)
+    if not len(rows):
+        return rows, np.empty((1 + len(reducer.fields), 0))
+    value = {c: np.where(there[c], v.to_numpy(zero_copy_only=False), 0.0)[kept] for c, v in held.items()}
+    value |= {c: batch.column(c).to_numpy(zero_copy_only=False)[row[kept]] for c in keys}
+    sizes = np.bincount(row[kept], minlength=batch.num_rows)[rows]
+    sse, syy, found = reducer.fields.index("sse") + 3, reducer.fields.index("syy") + 3, None
+    with np.errstate(all="ignore"):
+        fit = reducer.arrays(value["_y"], np.cumsum(sizes) - sizes, sizes)
+        some = np.ones(len(rows), bool)
+        for _ in range(rounds + 1):
+            if found is None:
+                brackets = [tuple(np.full(len(rows), x) for x in t) for t in tries]
+            else:
+                at = [between(np, found[1], found[2], k, log) for k in range(FINE)]
+                brackets = [(at[k], at[max(0, k - 1)], at[min(FINE - 1, k + 1)]) for k in range(FINE)]
+            tried = []
+            for g, lo, hi in brackets:
+                sxx, *fields = fit(regressor(np, np.repeat(g, sizes), value.__getitem__))
+                tried.append((g, lo, hi, *fields, ~(sxx <= 0)))
+            tried = np.array(tried, dtype=float)
+            able = tried[:, -1] > 0
+            bound = np.fmin.reduce(np.where(able, tried[:, sse], np.nan)) * (1 + TIE) + EXACT * tried[:, syy]
+            hit = able & (np.isnan(bound) | (tried[:, sse] <= bound))
+            some &= hit.any(axis=0)
+            found = tried[hit.argmax(axis=0), :-1, np.arange(len(rows))].T
+    return rows[some], np.delete(found, (1, 2), axis=0)[:, some]
+
+
+def grid_fit(df: DataFrame, keys: Sequence[str], grid: Sequence[float], regressor: Regressor, rounds: int = ROUNDS, short: int = SHORT) -> DataFrame:
+    """keys, g, b, c, sse, syy: _y = b + c * regressor(g), for the g with the least squares."""
+    return bracketed(df, keys, grid, regressor, Linear(), True, rounds, short)
+
+
+def origin_fit(df: DataFrame, keys: Sequence[str], grid: Sequence[float], regressor: Regressor, low: float, high: float, rounds: int = ROUNDS, short: int = SHORT) -> DataFrame:
+    """keys, g, k, sse, syy: _y = k * regressor(g) with k clipped to [low, high]."""
+    return bracketed(df, keys, grid, regressor, Origin(low, high), False, rounds, short)
 
 
 def best_candidate(df: DataFrame, keys: Sequence[str], order: Column, columns: Sequence[str], lowest: bool = False) -> DataFrame:
@@ -221,8 +351,8 @@ def fit_exp_decay(df: DataFrame, rates: Sequence[float] = RATES, y: str = "u", r
 
     The rate is first of ``rates`` (over the duration), then narrowed (``bracketed``) to about 2e-4 of itself.
     """
-    d = staged(since_start(df).filter("span > 0").select(*SEG, "tau", "span", y), "decays")
-    fit = grid_fit(d, [*SEG, "span"], rates, lambda g: F.exp(-g * F.col("tau") / F.col("span")), F.col(y), rounds)
+    d = staged(since_start(df).filter("span > 0").select(*SEG, "tau", "span", F.col(y).alias("_y")), "decays")
+    fit = grid_fit(d, [*SEG, "span"], rates, lambda m, g, c: m.exp(-g * c("tau") / c("span")), rounds)
     return fit.select(*SEG, F.col("b").alias("asymptote"), F.col("c").alias("amplitude"), (F.col("g") / F.col("span")).alias("rate"), "sse")
 
 
@@ -239,40 +369,41 @@ def fit_exp_decays(df: DataFrame, threshold: float = 0.95, passes: int = 2, rate
     starts = df.groupBy(*SEG).agg(F.min("t").alias("_t0"))
     rest, out = df.join(starts, SEG).select(*SEG, "pt", F.col(y).alias("_v"), (F.col("t") - F.col("_t0")).alias("_tau")), None
     for k in range(passes):
-        d = staged(numbered(rest, SEG, "_k", "_n"), "tails")
+        d = staged(numbered(staged(rest, "rest"), SEG, "_k", "_n"), "numbered")
         tail = lambda share: F.col("_k") > F.col("_n") - F.ceil(share * F.col("_n"))
         ends = d.groupBy(*SEG).agg(F.max("_tau").alias("_t1"), *[F.min(F.when(tail(F.lit(x)), F.col("_tau"))).alias(f"_t{j}_") for j, x in enumerate(TAILS)])
         tails = F.array(*[F.struct(F.lit(x).alias("share"), F.col(f"_t{j}_").alias("t0"), (F.col("_t1") - F.col(f"_t{j}_")).alias("span")) for j, x in enumerate(TAILS)])
-        d = d.join(ends.select(*SEG, tails.alias("_tails")), SEG)
+        d = staged(d.join(ends.select(*SEG, tails.alias("_tails")), SEG), "tails")
         own = F.explode(F.filter("_tails", lambda x: (x["span"] > 0) & tail(x["share"])))
-        d = d.select(*SEG, "_v", "_tau", own.alias("_w")).select(*SEG, "_v", "_tau", "_w.share", F.col("_w.t0").alias("_t0"), F.col("_w.span").alias("_span"))
-        fit = grid_fit(d, [*SEG, "share", "_t0", "_span"], rates, lambda g: F.exp(-g * (F.col("_tau") - F.col("_t0")) / F.col("_span")), F.col("_v"), rounds)
-        fit = fit.filter("c <> 0").select(*SEG, "share", F.col("b").alias("asymptote"), (F.col("c") * F.exp(F.col("g") * F.col("_t0") / F.col("_span"))).alias("amplitude"), (F.col("g") / F.col("_span")).alias("rate"))
-        both = d.join(fit, [*SEG, "share"])
+        parts = d.select(*SEG, "_v", "_tau", own.alias("_w")).select(*SEG, F.col("_v").alias("_y"), "_tau", "_w.share", F.col("_w.t0").alias("_t0"), F.col("_w.span").alias("_span"))
+        fit = grid_fit(parts, [*SEG, "share", "_t0", "_span"], rates, lambda m, g, c: m.exp(-g * (c("_tau") - c("_t0")) / c("_span")), rounds)
+        fit = fit.filter("c <> 0").select(*SEG, "share", "_t0", F.col("b").alias("asymptote"), (F.col("c") * F.exp(F.col("g") * F.col("_t0") / F.col("_span"))).alias("amplitude"), (F.col("g") / F.col("_span")).alias("rate"))
+        # a segment's fits are one row, so that its points meet them once, not once a share
+        fits = fit.groupBy(*SEG).agg(F.collect_list(F.struct("share", "_t0", "asymptote", "amplitude", "rate")).alias("_f"))
+        both = d.join(fits, SEG).select(*SEG, "_v", "_tau", F.explode(F.filter("_f", lambda x: tail(x["share"]))).alias("_f")).select(*SEG, "_v", "_tau", "_f.*")
         back = -F.ln(F.greatest((F.col("_v") - F.col("asymptote")) / F.col("amplitude"), F.lit(LEAST_RATIO))) / F.col("rate")
         r2 = inverse_axis_r2(both, [*SEG, "share", "_t0", "asymptote", "amplitude", "rate"], F.col("_tau"), back)
         order = F.struct((F.coalesce("r2", F.lit(-1e300)) >= threshold).alias("ok"), F.when(F.col("r2") >= threshold, F.col("share")).otherwise(F.col("r2")).alias("v"), "share")
         found = best_candidate(r2.filter("r2 is not null"), SEG, order, ["share", "_t0", "asymptote", "amplitude", "rate", "r2"])
         found = staged(found.withColumn("pass", F.lit(k)), "decays")
         out = found if out is None else out.unionByName(found)
-        if k + 1 < passes:
-            value = F.col("_v") - F.col("asymptote") - F.col("amplitude") * F.exp(-F.col("rate") * F.col("_tau"))
-            rest = rest.join(found.drop("pass"), SEG).filter("_tau < _t0").select(*SEG, "pt", value.alias("_v"), "_tau")
+        value = F.col("_v") - F.col("asymptote") - F.col("amplitude") * F.exp(-F.col("rate") * F.col("_tau"))
+        rest = d.join(found.drop("pass"), SEG).filter("_tau < _t0").select(*SEG, "pt", value.alias("_v"), "_tau")
     return out.select(*SEG, "pass", "share", "asymptote", "amplitude", "rate", "r2")
 
 
 def fit_power_law(df: DataFrame, exponents: Sequence[float], high: float, rounds: int = ROUNDS) -> DataFrame:
     """meas_id, seg_pos, exponent, k, ln_k, explained: u - u0 = k * tau^n with 0 <= k <= high, and n of ``exponents``, then narrowed (``bracketed``)."""
     first = df.groupBy(*SEG).agg(F.min_by("u", "pt").alias("_u0"))
-    d = staged(since_start(df).join(first, SEG).filter("tau > 0").select(*SEG, "tau", (F.col("u") - F.col("_u0")).alias("_d")), "powers")
-    fit = origin_fit(d, SEG, exponents, lambda g: F.pow(F.col("tau"), g), F.col("_d"), 0.0, high, rounds)
+    d = staged(since_start(df).join(first, SEG).filter("tau > 0").select(*SEG, "tau", (F.col("u") - F.col("_u0")).alias("_y")), "powers")
+    fit = origin_fit(d, SEG, exponents, lambda m, g, c: m.power(c("tau"), g), 0.0, high, rounds)
     return fit.select(*SEG, F.col("g").alias("exponent"), "k", F.when(F.col("k") > 0, F.ln("k")).alias("ln_k"), (1 - F.col("sse") / F.nullif(F.col("syy"), F.lit(0.0))).alias("explained"))
 
 
 def fit_butler_volmer(df: DataFrame, keys: Sequence[str], s: Column, y: Column, alphas: Sequence[float], rounds: int = ROUNDS) -> DataFrame:
     """keys, alpha, scale: y = scale * sqrt(1000) * s^(1 - alpha) * (1 - s)^alpha, alpha of ``alphas``, then narrowed (``bracketed``)."""
-    d = staged(df.select(*keys, s.alias("_s"), y.alias("_v")).filter((F.col("_s") > 0) & (F.col("_s") < 1)), "kinetics")
-    fit = origin_fit(d, keys, alphas, lambda g: 1000**0.5 * F.pow(F.col("_s"), 1 - g) * F.pow(1 - F.col("_s"), g), F.col("_v"), -1e300, 1e300, rounds)
+    d = staged(df.select(*keys, s.alias("_s"), y.alias("_y")).filter((F.col("_s") > 0) & (F.col("_s") < 1)), "kinetics")
+    fit = origin_fit(d, keys, alphas, lambda m, g, c: 1000**0.5 * m.power(c("_s"), 1 - g) * m.power(1 - c("_s"), g), -1e300, 1e300, rounds)
     return fit.select(*keys, F.col("g").alias("alpha"), F.col("k").alias("scale"), "sse")
 
 
