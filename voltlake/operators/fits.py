@@ -351,7 +351,17 @@ def fit_exp_decay(df: DataFrame, rates: Sequence[float] = RATES, y: str = "u", r
 
     The rate is first of ``rates`` (over the duration), then narrowed (``bracketed``) to about 2e-4 of itself.
     """
-    d = staged(since_start(df).filter("span > 0").select(*SEG, "tau", "span", F.col(y).alias("_y")), "decays")
+    return decays(decay_points(df, y), y, rates, rounds)
+
+
+def decay_points(df: DataFrame, *ys: str) -> DataFrame:
+    """What ``decays`` takes of the points, staged: one pass over df for all values that are fitted."""
+    return staged(since_start(df).filter("span > 0").select(*SEG, "tau", "span", *ys), "decays")
+
+
+def decays(points: DataFrame, y: str = "u", rates: Sequence[float] = RATES, rounds: int = ROUNDS) -> DataFrame:
+    """``fit_exp_decay`` of ``decay_points``."""
+    d = points.select(*SEG, "tau", "span", F.col(y).alias("_y"))
     fit = grid_fit(d, [*SEG, "span"], rates, lambda m, g, c: m.exp(-g * c("tau") / c("span")), rounds)
     return fit.select(*SEG, F.col("b").alias("asymptote"), F.col("c").alias("amplitude"), (F.col("g") / F.col("span")).alias("rate"), "sse")
 
@@ -416,8 +426,9 @@ def fit_curve_values(df: DataFrame, fits: DataFrame) -> DataFrame:
 def static_features(df: DataFrame) -> DataFrame:
     """Per segment: asymptotic voltage (of the fit, else the last), IR step, and the decays of voltage and current."""
     ends = ir_step(segment_ends(df))
-    current = fit_exp_decay(df, y="i").select(*SEG, F.col("asymptote").alias("i_asymptote"), F.col("amplitude").alias("i_amplitude"), F.col("rate").alias("i_rate"))
-    both = ends.join(fit_exp_decay(df), SEG, "left").join(current, SEG, "left")
+    points = decay_points(df, "u", "i")
+    current = decays(points, "i").select(*SEG, F.col("asymptote").alias("i_asymptote"), F.col("amplitude").alias("i_amplitude"), F.col("rate").alias("i_rate"))
+    both = ends.join(decays(points), SEG, "left").join(current, SEG, "left")
     return both.select(*SEG, F.coalesce("asymptote", "u1").alias("asymptotic_voltage"), "ir_step", "amplitude", "rate", "i_asymptote", "i_amplitude", "i_rate")
 
 
