@@ -73,7 +73,7 @@ def shuffled(spark, run):
     return sum(b for k, b in stages().items() if k not in before)
 
 
-@pytest.mark.parametrize("name", ["fit_exp_decays", "static_features"])
+@pytest.mark.parametrize("name", ["fit_exp_decays", "static_features", "inverse_axis_r2"])
 def test_points_of_short_segments_are_shuffled_not_their_sums(spark, name):
     """A point of events takes some 50 bytes of a shuffle; a segment's 24 sums a round took some 8000."""
     data = "/root/testdata/sf0.01"

@@ -255,8 +255,8 @@ def fit_butler_volmer(spark, sf):
 FROM tau f JOIN decay d ON d.meas_id = f.meas_id AND d.seg_pos = f.seg_pos GROUP BY 1, 2""")
 def inverse_axis_r2(spark, sf):
     """Of exponential fits; logarithms' arguments are at least 0.001."""
-    b = blocks(spark, sf)
-    d = X.since_start(b).join(X.fit_exp_decay(b), S.SEG)
+    points = X.decay_points(blocks(spark, sf), "u")
+    d = points.join(X.decays(points), S.SEG)
     back = -F.ln(F.greatest((F.col("u") - F.col("asymptote")) / F.col("amplitude"), F.lit(1e-3))) / F.col("rate")
     return X.inverse_axis_r2(d, S.SEG, F.col("tau"), back).select(*S.SEG, sig("r2").alias("r2"))
 
